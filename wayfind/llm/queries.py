@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm import packing
+from wayfind.llm import gif, packing
 from wayfind.llm.common import documents
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(documents(spark, sf_dir))
 
 
 def queries():
-    return {"op10_packing": op10_packing}
+    return {"op3_gif": op3_gif, "op10_packing": op10_packing}
 
 
 def oracle_sql():
