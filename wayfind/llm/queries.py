@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfind.llm import gif, packing
-from wayfind.llm.common import documents
+from wayfind.llm import gif, language, packing, toxicity
+from wayfind.llm.common import documents, fold, table
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(documents(spark, sf_dir))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, fold(F.col("doc_id")) != 1)
+    found = language.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.join(labels.filter(fold(F.col("doc_id")) != 1), "doc_id"))
+    found = toxicity.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(documents(spark, sf_dir))
 
 
 def queries():
-    return {"op3_gif": op3_gif, "op10_packing": op10_packing}
+    return {"op3_gif": op3_gif, "op4_language": op4_language, "op7_toxicity": op7_toxicity, "op10_packing": op10_packing}
 
 
 def oracle_sql():

@@ -21,6 +21,9 @@ _TABLE_LOWER = _TABLE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: Every ASCII byte but letters and digits separates.
+SYMBOLS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
@@ -107,12 +110,13 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
         return mix(h)
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> Words:
+def words(data: np.ndarray, off: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
+    """space: for each byte value, whether it separates words."""
     n, docs = len(data), len(off) - 1
     if n == 0:
         z = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), z, z, z, np.zeros(docs, np.int64))
-    space = _SPACE[data]
+    space = space[data]
     first = ~space
     last = first.copy()
     inner = off[1:-1]
@@ -165,3 +169,9 @@ def shingle_sets(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
             out.append(a)
     sizes = np.array([len(a) for a in out], np.int64)
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def doc_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of the values of each document (values run along the bytes, words or n-grams that off delimits)."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    return total[off[1:]] - total[off[:-1]]
