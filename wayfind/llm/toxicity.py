@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct words, pairs of neighbours and pairs over a gap of one or two words, hashed
-to a fixed number of coordinates. Each of a fixed number of shards runs FTRL-proximal (a learning rate for
+to a fixed number of coordinates. Each shard of some thousand rows runs FTRL-proximal (a learning rate for
 every coordinate, L1 for sparsity) over its share of a bounded labelled sample; the shards' weights are averaged
 and a two-parameter logistic calibration on the sample's margins turns the sum into a probability. Only the
 non-zero weights are broadcast.
@@ -27,7 +27,8 @@ COORDINATES = 1 << 20
 GROUPS = ((), (1,), (2,), (3,))
 #: At most about so many labelled rows are used to fit (a hash of the text decides which).
 MAX_FIT_ROWS = 24_000
-SHARDS = 4
+#: Rows of a shard, about.
+SHARD_ROWS = 6_000
 EPOCHS = 4
 #: A coordinate takes part in a shard's fit once so many of its rows have it.
 LEAST_ROWS = 6
@@ -86,7 +87,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -
     where = F.xxhash64("text", F.lit(3))
     if total > MAX_FIT_ROWS:
         rows = rows.filter(F.pmod(where, F.lit(1_000_000)) < int(1_000_000 * MAX_FIT_ROWS / total))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(SHARDS)).cast("int"))
+    shards = -(-min(total, MAX_FIT_ROWS) // SHARD_ROWS)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(shards)).cast("int"))
 
     def train(table: pa.Table) -> pa.Table:
         data, off = textnum.view(table.column("text"))
@@ -101,9 +103,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -
         k, w = ftrl(k[enough].astype(np.int64), at, table.column("label").to_numpy())
         return pa.table({"k": pa.array(k, pa.int64()), "w": pa.array(w, pa.float64())})
 
-    shards = rows.groupBy("shard").applyInArrow(train, "k long, w double")
+    fitted = rows.groupBy("shard").applyInArrow(train, "k long, w double")
     used = rows.select("shard").distinct().count()
-    mean = shards.groupBy("k").agg((F.sum("w") / used).alias("w")).filter(F.abs("w") > 1e-4).orderBy("k").toPandas()
+    mean = fitted.groupBy("k").agg((F.sum("w") / used).alias("w")).filter(F.abs("w") > 1e-4).orderBy("k").toPandas()
     model = Model(mean["k"].to_numpy(), mean["w"].to_numpy(), 1.0, 0.0)
     sample = score(rows.withColumn("id", F.col("label")), model, id_col="id").select("id", "margin").toPandas()
     model.slope, model.shift = _calibrated(sample["margin"].to_numpy(), sample["id"].to_numpy())
