@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import gif, language, packing, toxicity
+from wayfind.llm import gif, language, packing, quality, toxicity
 from wayfind.llm.common import documents, fold, table
 
 
@@ -28,12 +28,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.select("doc_id", "text").join(labels.filter(fold(F.col("doc_id")) != 1), "doc_id"))
+    return quality.classify(docs, model).select("doc_id", "quality_evidence", "quality_posterior", "quality_kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(documents(spark, sf_dir))
 
 
 def queries():
-    return {"op3_gif": op3_gif, "op4_language": op4_language, "op7_toxicity": op7_toxicity, "op10_packing": op10_packing}
+    return {"op3_gif": op3_gif, "op4_language": op4_language, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 
 def oracle_sql():
