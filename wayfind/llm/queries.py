@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import gif, language, packing, quality, toxicity
+from wayfind.llm import gif, language, packing, pii, quality, toxicity
 from wayfind.llm.common import documents, fold, table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(documents(spark, sf_dir))
 
@@ -40,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op3_gif": op3_gif, "op4_language": op4_language, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
+    return {"op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 
 def oracle_sql():
