@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import gif, language, packing, pii, quality, toxicity
+from wayfind.llm import decontaminate, gif, language, packing, pii, quality, sharding, toxicity
 from wayfind.llm.common import documents, fold, table
 
 
@@ -24,6 +24,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -44,8 +53,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_packing": op10_packing}
+    return {"op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 
 def oracle_sql():
-    return {}
+    return {"op8_decontaminate": decontaminate.ORACLE_SQL}
