@@ -41,3 +41,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 3: remainder 1 is held out of training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """docs joined with (doc_id, label) rows, of which a hash of the id keeps at most about ``most``; so the
+    labels are few enough to broadcast and the texts are not shuffled."""
+    labels = labels.filter(F.col("label").isNotNull())
+    n = labels.count()
+    if n > most:
+        labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * most / n))
+    return docs.join(F.broadcast(labels), "doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.llm import decontaminate, gif, language, packing, pii, quality, sharding, toxicity
-from wayfind.llm.common import documents, fold, table
+from wayfind.llm.common import documents, fold, labelled_sample, table
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(docs.join(labels.filter(fold(F.col("doc_id")) != 1), "doc_id"))
+    model = toxicity.fit(labelled_sample(docs, labels.filter(fold(F.col("doc_id")) != 1), toxicity.MAX_FIT_ROWS))
     found = toxicity.score(docs, model)
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
