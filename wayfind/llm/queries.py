@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontaminate, gif, language, packing, pii, quality, sharding, toxicity
+from wayfind.llm import decontaminate, gif, language, licenses, packing, pii, quality, sharding, toxicity
 from wayfind.llm.common import documents, fold, labelled_sample, table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing}
+    return {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 
 def oracle_sql():
