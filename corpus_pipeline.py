@@ -1,11 +1,70 @@
-"""Five-stage cleaning of documents (filled in below as the stages exist)."""
+"""Five-stage cleaning of documents: quality, near duplicates, benchmark passages, personal data, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
+return the columns of docs, whatever these are; the last returns the packed pieces. Rows whose id repeats
+count as one document in stage 2. A null id is never dropped as a copy or for a benchmark passage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfind.llm import decontaminate, jaccard_join, packing, pii, quality
+from wayfind.llm.common import kept, labelled_sample, table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those with these ids. Few ids are broadcast, many are joined by a shuffle."""
+    ids = kept(ids.filter("doc_id is not null").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= jaccard_join.MAX_BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hierarchical empirical Bayes does not reject."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(labelled_sample(docs.select("doc_id", "text"), labels, quality.MAX_FIT_ROWS))
+    return quality.classify(docs, model).filter("quality_kept").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of texts that links connect."""
+    found = kept(jaccard_join.join(docs.select("doc_id", "text")), "near-copies")
+    out = _without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
+    return out.dropDuplicates(["doc_id"]) if repeated else out
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return _without(docs, decontaminate.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    model = pii.learn(pii.candidates(docs))
+    return pii.redact(docs, model).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.pack_texts(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_copies", one_of_each),
+    ("benchmark", no_benchmark),
+    ("personal_data", no_personal_data),
+    ("packing", packed),
+]
+
+#: Not in SQL: tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
