@@ -32,10 +32,6 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
 
-def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(documents(spark, sf_dir))
-
-
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
@@ -65,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op5_jaccard_join": op5_jaccard_join, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing}
+    return {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 
 def oracle_sql():
