@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from wayfind.plans import rules
+
+_AREAS = (rules,)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return rules.QUERIES["e16_apply_rules"][0](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: run for area in _AREAS for name, (run, _) in area.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for area in _AREAS for name, (_, sql) in area.QUERIES.items() if sql}
