@@ -47,6 +47,8 @@ EXTRA = 0.1
 #: Longer matrix rows are handled as families.
 LONG = 64
 FAMILY_BLOCK = 384
+#: Text that a task holds in expanded form at a time.
+GROUP_BYTES = 8 << 20
 #: Ids up to this many are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
 
@@ -92,15 +94,21 @@ def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(b[s]), *(c[s:e] for c in columns)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of at most GROUP_BYTES of text (or one row)."""
+    for batch in batches:
+        _, off = textnum.view(batch.column(column))
+        for i, j in textnum.parts(off, GROUP_BYTES):
+            yield batch.slice(i, j - i)
+
+
 def _deal_keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = np.uint64(int(COUNTED * 2**64))
-        for batch in batches:
+        for batch in _groups(batches, 0):
             found = [h[h < limit] for _, _, h, _ in _sets(batch.column(0))]
-            if not found:
-                continue
             keys = np.concatenate(found) >> np.uint64(64 - 8 * KEY_BYTES)
-            # a batch tells no more than that a key is frequent
+            # a group tells no more than that a key is frequent
             keys = np.sort(keys)
             first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
             start = np.flatnonzero(first)
@@ -129,13 +137,13 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deal_prefixes(buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        for batch in batches:
+        for batch in _groups(batches, 1):
             ids = batch.column(0).to_numpy()
             hashes, docs, sizes, digests, seen = [], [], [], [], {}
             for i, j, h, at in _sets(batch.column(1)):
                 n = np.diff(at)
                 digest = np.array([xxhash.xxh3_64_intdigest(h[at[k] : at[k + 1]].tobytes()) for k in range(j - i)], np.uint64)
-                # a class enters a batch's rows once
+                # a class enters a group's rows once
                 take = np.zeros(j - i, bool)
                 for k in np.flatnonzero(n).tolist():
                     first = seen.setdefault(int(digest[k]), (len(hashes), k, ids[i + k]))
@@ -154,8 +162,6 @@ def _deal_prefixes(buckets: int, shared):
                 docs.append(doc[chosen] + i)
                 sizes.append(n[doc[chosen]])
                 digests.append(digest[doc[chosen]])
-            if not hashes:
-                continue
             h, digest = np.concatenate(hashes), np.concatenate(digests)
             least = {d: x[2] for d, x in seen.items()}
             names, back = np.unique(digest, return_inverse=True)
@@ -194,7 +200,7 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 swap = a > b
                 pairs.append(np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)], axis=1))
                 waiting += len(a)
-        if waiting > 1_000_000:
+        if waiting > 250_000:
             yield _counted(pairs)
             pairs, waiting = [], 0
         for s, m in zip(start[length > LONG].tolist(), length[length > LONG].tolist()):
