@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfind.plans import rules
+from wayfind.plans import matching, rules
 
-_AREAS = (rules,)
+_AREAS = (rules, matching)
 
 
 def flagship(spark, sf_dir):
