@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfind.plans import matching, rules
+from wayfind.plans import matching, rules, takeoff
 
-_AREAS = (rules, matching)
+_AREAS = (rules, matching, takeoff)
 
 
 def flagship(spark, sf_dir):

@@ -143,3 +143,28 @@ FLAT_PRICES = {"evacuation_map": 45.0}
 INSTALL_PRICE = 18.00
 #: US dollars for a million input and output tokens.
 TOKEN_PRICES = (1.25, 5.00)
+
+# Estimation prices by words in the type, in this order: fixed values.
+ESTIMATES = {
+    "Typical Toilet Room Sign": 185.0,
+    "Room Sign with Insert": 195.0,
+    "Emergency Exit": 145.0,
+    "Fire Extinguisher": 95.0,
+    "Room Sign with No Storage": 185.0,
+    "Occupancy Sign": 95.0,
+    '24" Letter Signage': 450.0,
+    "Typical Room Sign": 165.0,
+    "Egress Map": 285.0,
+    "Egress Stair Sign at Corridor": 165.0,
+    "Typical Stair Sign at Landing": 195.0,
+    "Sign at Elevator": 165.0,
+    "Sign at Unit": 95.0,
+    "Elevator Machine Room Sign": 145.0,
+    "Sign at Corridor": 245.0,
+    "Elevator Control Room Location Sign": 145.0,
+}
+OTHER_ESTIMATE = 150.0
+
+# Room numbers that education buildings allow: fixed values.
+ALLOWLIST_TYPES = ("education", "school")
+ALLOWED_NUMBER = r"(?i)^(?:W|E)\d{3}[A-Z]?$|^(?:WC|EC)\d{3}[A-Z]?$|^(?:SA|SB|SC|SD)\d{2}$|^EV\d{2}$"
