@@ -6,8 +6,8 @@ the class of everything else. Function words and n-grams that are common in othe
 a paragraph without a template's other words is unknown by its constant alone and need not be scored. A temperature fitted on held-out rows calibrates the probabilities. A prediction is confirmed
 if the paragraph has enough of a template's word pairs of that family.
 
-Defined cases: null and empty texts have no paragraphs; paragraphs without a licence word give no row; repeated
-rows give their paragraphs as often as they occur; ties go to the family first in the alphabet; an empty
+Defined cases: null and empty texts have no paragraphs; paragraphs without a licence word give no row; paragraphs
+that repeat with their id and number count once; ties go to the family first in the alphabet; an empty
 corpus still trains on the templates; other columns are ignored.
 """
 
