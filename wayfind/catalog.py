@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfind.plans import matching, rules, takeoff
+from wayfind.plans import buildings, matching, rules, takeoff
 
-_AREAS = (rules, matching, takeoff)
+_AREAS = (rules, matching, takeoff, buildings)
 
 
 def flagship(spark, sf_dir):

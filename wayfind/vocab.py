@@ -168,3 +168,30 @@ OTHER_ESTIMATE = 150.0
 # Room numbers that education buildings allow: fixed values.
 ALLOWLIST_TYPES = ("education", "school")
 ALLOWED_NUMBER = r"(?i)^(?:W|E)\d{3}[A-Z]?$|^(?:WC|EC)\d{3}[A-Z]?$|^(?:SA|SB|SC|SD)\d{2}$|^EV\d{2}$"
+
+# Profiles of building types (evacuation maps of a floor, area of rescue, stairs by default): fixed values.
+PROFILES = {
+    "commercial": (4, False, 2),
+    "healthcare": (6, True, 2),
+    "education": (4, False, 2),
+    "residential": (2, False, 2),
+    "hotel": (4, False, 2),
+    "retail": (4, False, 2),
+    "assembly": (6, True, 2),
+    "warehouse": (2, False, 1),
+    "unknown": (4, False, 2),
+}
+EGRESS_EXITS = {"education": 4, "healthcare": 4, "commercial": 2, "government": 3, "hotel": 2, "residential": 2, "assembly": 4, "unknown": 2}
+EGRESS_STAIR_NUMBER = r"^S[A-F]\d{1,2}[A-Z]?$|^S\d{1,2}[A-Z]?$|^STAIR[-\s]?[A-Z0-9]"
+EGRESS_STAIR_NAME = r"STAIR(?:WAY|WELL)?(?:\s|$)|^(?:S1|S2|SA|SB)(?: |$)"
+DECISION_POINT = "^(?:CORRIDOR|HALL|HALLWAY|PASSAGE|GALLERY|CIRCULATION|WALKWAY|BREEZEWAY)"
+EGRESS_NUMBER = "^(?:STAIR-|EXIT-STAIR-|EXIT-EXT-|EVAC-L|AOR-STAIR-)"
+
+# Spreadsheet columns by their names in lower case: fixed values.
+NUMBER_COLUMNS = ("room #", "room#", "room number", "door #", "door#", "door number", "unit #", "unit#", "unit number", "space #", "space#", "rm #", "rm#")
+NAME_COLUMNS = ("room name", "room", "text on sign", "sign text", "space name", "space", "description", "name")
+META_COLUMNS = (*NUMBER_COLUMNS, *NAME_COLUMNS, "bldg", "building", "level", "floor", "suite", "notes", "note", "project", "address")
+NOT_SIGN_COLUMNS = ("level", "floor", "bldg", "building", "suite", "notes", "note", "qty", "quantity", "total", "comments", "project", "address")
+SECTION_ROW = r"(?i)ground|floor|level|basement|mezzanine|roof|\d+(?:st|nd|rd|th)"
+SIGN_CODE = r"\s+[A-Z]{1,3}\d+[A-Z]?\s*$"
+CANONICAL = ("Room ID", "Room ID w/insert", "Restroom", "Restroom(Women)", "Restroom(Men)", "Restroom(Unisex)", "Exit", "Exit(Tactile)", "Stair(Corridor)", "Stair(Landing)", "Elevator", "Elevator Mach Rm", "Accessible Entrance", "Accessible Parking", "Evacuation Map", "Office Directory", "Building ID", "Directional", "Unit ID", "Max Occupancy", "Area of Rescue")
