@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfind.plans import buildings, matching, rules, takeoff
+from wayfind.plans import buildings, matching, rules, sheets, takeoff
 
-_AREAS = (rules, matching, takeoff, buildings)
+_AREAS = (rules, matching, takeoff, buildings, sheets)
 
 
 def flagship(spark, sf_dir):

@@ -195,3 +195,24 @@ NOT_SIGN_COLUMNS = ("level", "floor", "bldg", "building", "suite", "notes", "not
 SECTION_ROW = r"(?i)ground|floor|level|basement|mezzanine|roof|\d+(?:st|nd|rd|th)"
 SIGN_CODE = r"\s+[A-Z]{1,3}\d+[A-Z]?\s*$"
 CANONICAL = ("Room ID", "Room ID w/insert", "Restroom", "Restroom(Women)", "Restroom(Men)", "Restroom(Unisex)", "Exit", "Exit(Tactile)", "Stair(Corridor)", "Stair(Landing)", "Elevator", "Elevator Mach Rm", "Accessible Entrance", "Accessible Parking", "Evacuation Map", "Office Directory", "Building ID", "Directional", "Unit ID", "Max Occupancy", "Area of Rescue")
+
+# Abbreviations in room names: fixed values.
+SYNONYMS = {"VEST": "VESTIBULE", "CORR": "CORRIDOR", "HALL": "HALLWAY", "STOR": "STORAGE", "MECH": "MECHANICAL", "ELEC": "ELECTRICAL", "CONF": "CONFERENCE", "TLTL": "TOILET", "TLT": "TOILET", "TOIL": "TOILET", "REST": "RESTROOM", "BLDG": "BUILDING", "RR": "RESTROOM", "MRR": "MENS RESTROOM", "WRR": "WOMENS RESTROOM", "EMERG": "EMERGENCY", "INTERROG": "INTERROGATION"}
+
+# Sheets that hold no plan view: fixed values.
+ADMIN_SHEETS = ("A-001", "A001", "A-002", "A002", "A-003", "A003")
+OTHER_DISCIPLINES = "^(?:S-|M-|E-|P-|C-|FP-)"
+RESTROOM_TITLE = r"\b(?:TOILET|RESTROOM|LAVATORY)\b|\bRR\b"
+NO_PLAN_TITLES = "ELEVATION|SECTION|EGRESS|ACCESSORY LEGEND|LIGHT FIXTURE SCHEDULE|BATHROOM FINISH|DRAWING INDEX|SYMBOL LEGEND|ABBREVIATIONS|SPECIFICATIONS|CODE ANALYSIS|LIFE SAFETY NOTES|PLUMBING FIXTURE SCHEDULE|LIGHTING SCHEDULE|LIGHTING PLAN|ELECTRICAL SCHEDULE|PLUMBING SCHEDULE|MECHANICAL SCHEDULE|REFLECTED CEILING|FINISH PLAN|FURNITURE PLAN|POWER PLAN|DATA PLAN"
+PLAN_ONLY_TITLES = "GENERAL NOTES|DOOR SCHEDULE|WINDOW SCHEDULE"
+# Floors in sheet titles, in this order: fixed values.
+TITLE_FLOORS = [
+    (r"first\s+floor|floor\s*[-\s]?1|level\s*[-\s]?1|ground\s+floor", "LEVEL 1"),
+    (r"second\s+floor|floor\s*[-\s]?2|level\s*[-\s]?2", "LEVEL 2"),
+    (r"third\s+floor|floor\s*[-\s]?3|level\s*[-\s]?3", "LEVEL 3"),
+    (r"fourth\s+floor|floor\s*[-\s]?4|level\s*[-\s]?4", "LEVEL 4"),
+    (r"fifth\s+floor|floor\s*[-\s]?5|level\s*[-\s]?5", "LEVEL 5"),
+    (r"basement|lower\s+level|\blevel\s*[-\s]?b\b", "LEVEL B1"),
+    ("mezzanine", "MEZZANINE"),
+    (r"\broof\b", "ROOF"),
+]
