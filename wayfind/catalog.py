@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfind.plans import buildings, matching, rules, sheets, takeoff
+from wayfind.plans import buildings, matching, reviews, rules, sheets, takeoff
 
-_AREAS = (rules, matching, takeoff, buildings, sheets)
+_AREAS = (rules, matching, takeoff, buildings, sheets, reviews)
 
 
 def flagship(spark, sf_dir):

@@ -85,3 +85,24 @@ def retained(runs: DataFrame, since, newest: int) -> DataFrame:
 def short_patterns(corrections: DataFrame, least: int = 3) -> DataFrame:
     """Active corrections whose pattern is too short to match safely."""
     return corrections.filter(F.col("is_active") & (F.length(F.trim("room_name_pattern")) < least))
+
+
+def upsert_patterns(mined: DataFrame, existing: DataFrame) -> DataFrame:
+    """Mined patterns over stored ones by their natural key: fresh evidence replaces the old, an approved status
+    stays, patterns that were not mined again stay as they are."""
+    key = ["tenant_id", "correction_type", "pattern", "sign_type"]
+    old = existing.select(*key, F.col("evidence").alias("_old"), F.col("status").alias("_was"))
+    both = mined.join(old, key, "full_outer")
+    status = F.when(F.col("_was") == "approved", "approved").otherwise(F.coalesce("status", "_was"))
+    return both.select(*key, F.coalesce("evidence", "_old").alias("evidence"), status.alias("status"), F.when(F.col("_old").isNull(), "inserted").when(F.col("evidence").isNull(), "kept").otherwise("updated").alias("outcome"))
+
+
+def training_context(patterns: DataFrame, k: int = 15) -> DataFrame:
+    """The best supported approved patterns of each tenant."""
+    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("evidence"), "pattern", "correction_type", "sign_type"))
+    return patterns.filter("status = 'approved'").withColumn("place", place).filter(F.col("place") <= k).select("tenant_id", "correction_type", "pattern", "sign_type", "evidence", "place")
+
+
+def list_corrections(corrections: DataFrame, since, until, limit: int, offset: int = 0) -> DataFrame:
+    """Corrections between two moments, newest first, one page."""
+    return corrections.filter(F.col("created_at").between(F.lit(since), F.lit(until))).orderBy(F.desc("created_at"), "seq").offset(offset).limit(limit)

@@ -116,3 +116,66 @@ def offset_to_corridor(signs: DataFrame, corridors: DataFrame) -> DataFrame:
     moved = lambda a, b: F.when(F.col("_b").isNull(), F.col(a)).otherwise(F.floor(F.col(a) + (F.col(f"_b.{b}") - F.col(a)) * SHIFT + 0.5))
     return signs.join(best, [*JOB, "seq"], "left").select(*JOB, "seq", moved("coord_x", "_cx").alias("coord_x"), moved("coord_y", "_cy").alias("coord_y"), F.col("_b").isNotNull().alias("moved"))
 
+
+
+def takeoff_diffs(takeoff: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Human rows (with sign_type) whose type is not the one that their name suggests: new, duplicate or conflict
+    against the tenant's last correction of exactly this name."""
+    suggested = text.predict_sign_type(F.col("room_name"))
+    last = corrections.filter("coalesce(room_name_pattern, '') <> '' and coalesce(sign_type, '') <> ''").groupBy("tenant_id", F.col("room_name_pattern").alias("room_name")).agg(F.max_by("sign_type", "seq").alias("known_type"))
+    odd = takeoff.withColumn("suggested", suggested).filter("suggested <> sign_type").join(last, ["tenant_id", "room_name"], "left")
+    category = F.when(F.col("known_type").isNull(), "new").when(F.col("known_type") == F.col("sign_type"), "duplicate").otherwise("conflict")
+    return odd.select(*JOB, "seq", "room_name", "sign_type", "suggested", "known_type", category.alias("category"))
+
+
+def diff_collisions(diffs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Distinct (tenant_id, room_name, sign_type) of diffs that a correction has already."""
+    known = corrections.select("tenant_id", F.col("room_name_pattern").alias("room_name"), "sign_type").distinct()
+    return diffs.select("tenant_id", "room_name", "sign_type").distinct().join(known, ["tenant_id", "room_name", "sign_type"], "left_semi")
+
+
+#: Where a sign of a sheet goes that no room places.
+CENTRE, EDGE = 50_000, 100_000
+
+
+def fill_markers(signs: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(tenant_id, job_id, seq, room_seq, marker_x, marker_y) of signs without a marker: from their room, from the
+    number in their message, from their own number (the last room of a number), else the sheet's centre."""
+    own = rooms.select(*JOB, F.col("seq").alias("room_seq"), F.struct(F.col("seq"), "coord_x", "coord_y").alias("_own"))
+    last = rooms.filter("room_number <> ''").groupBy(*JOB, "room_number").agg(F.max_by(F.struct("seq", "coord_x", "coord_y"), "seq").alias("_place"))
+    by_message = last.select(*JOB, F.col("room_number").alias("_told"), F.col("_place").alias("_by_message"))
+    by_number = last.select(*JOB, "room_number", F.col("_place").alias("_by_number"))
+    s = signs.withColumn("_told", F.trim(F.get(F.split("message", r" \| "), F.lit(1))))
+    placed = s.join(own, [*JOB, "room_seq"], "left").join(by_message, [*JOB, "_told"], "left").join(by_number, [*JOB, "room_number"], "left").withColumn("_place", F.coalesce("_own", "_by_message", "_by_number"))
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(EDGE), F.col(f"_place.{c}")))
+    there = F.col("_place.coord_x").isNotNull() & F.col("_place.coord_y").isNotNull()
+    centre = F.when(F.col("sheet_id").isNotNull(), CENTRE)
+    return placed.select(*JOB, "seq", F.when(there, F.col("_place.seq")).otherwise(F.col("room_seq")).alias("room_seq"), F.when(there, at("coord_x")).otherwise(centre).cast("long").alias("marker_x"), F.when(there, at("coord_y")).otherwise(centre).cast("long").alias("marker_y"))
+
+
+def restore_placements(rooms: DataFrame, placements: DataFrame) -> DataFrame:
+    """rooms (keyed by number and level) with the coordinates of the first manual placement of their key."""
+    first = first_per_key(placements, [*JOB, "room_number", "level"]).select(*JOB, "room_number", "level", F.col("coord_x").alias("_x"), F.col("coord_y").alias("_y"))
+    joined = rooms.join(first, [*JOB, "room_number", "level"], "left")
+    return joined.withColumns({"coord_x": F.coalesce("_x", "coord_x"), "coord_y": F.coalesce("_y", "coord_y")}).select(*rooms.columns)
+
+
+def schedule_to_signs(schedule: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Sign rows of a schedule: the floor of the first room with the number, a message from type, number and name."""
+    first = rooms.filter("trim(room_number) <> ''").groupBy(*JOB, _number().alias("_n")).agg(F.min_by("level", "seq").alias("_level"))
+    told = F.concat_ws(" | ", text.blank_to_null(F.col("sign_type")), text.blank_to_null(F.col("room_number")), text.blank_to_null(F.col("room_name")))
+    joined = schedule.withColumn("_n", _number()).join(first, [*JOB, "_n"], "left")
+    return joined.select(*JOB, "seq", "sign_type", F.coalesce("quantity", F.lit(1)).alias("qty"), F.coalesce("_level", "floor").alias("floor_label"), told.alias("message"), F.when(F.col("type_mark").isNotNull(), F.concat(F.lit("Type Mark: "), "type_mark")).alias("notes"))
+
+
+def apply_review(rooms: DataFrame, actions: DataFrame) -> DataFrame:
+    """rooms found by vision with the status of their job's action (optionally for one level or from one status)."""
+    a = actions.select(*JOB, F.col("level").alias("_level"), F.col("from_status").alias("_from"), F.col("to_status").alias("_to"))
+    hit = F.col("_to").isNotNull() & (F.col("source") == "ai_vision") & (F.col("_level").isNull() | F.col("level").eqNullSafe(F.col("_level"))) & (F.col("_from").isNull() | (F.col("review_status") == F.col("_from")))
+    return rooms.join(a, JOB, "left").withColumn("review_status", F.when(hit, F.col("_to")).otherwise(F.col("review_status"))).select(*rooms.columns)
+
+
+def cascade_review(signs: DataFrame, rooms: DataFrame) -> DataFrame:
+    """signs with is_deleted set for those of dismissed rooms; others as they were."""
+    gone = rooms.filter("review_status = 'dismissed'").select(*JOB, F.col("seq").alias("room_seq")).distinct().withColumn("_gone", F.lit(True))
+    return signs.join(gone, [*JOB, "room_seq"], "left").withColumn("is_deleted", F.coalesce("_gone", "is_deleted")).select(*signs.columns)
