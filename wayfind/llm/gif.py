@@ -46,29 +46,30 @@ _MOST = 4096
 
 def lzw_codes(samples: bytes, least: int = 8) -> list[int]:
     clear, end = 1 << least, (1 << least) + 1
-    codes = [clear]
     if not samples:
         return [clear, end]
-    add, table, free = codes.append, {}, end + 1
-    get = table.get
+    # codes are kept eight bits to the left, so that a code and the next sample make a key without a shift
+    codes, table, free, full = [clear << 8], {}, (end + 1) << 8, _MOST << 8
+    add, get = codes.append, table.get
     stream = iter(samples)
-    held = next(stream)
+    held = next(stream) << 8
     for c in stream:
-        key = held << 8 | c
-        if (known := get(key)) is not None:
+        key = held | c
+        known = get(key)
+        if known:
             held = known
             continue
         add(held)
         table[key] = free
-        free += 1
-        held = c
-        if free == _MOST:
-            add(clear)
+        free += 256
+        held = c << 8
+        if free == full:
+            add(clear << 8)
             table.clear()
-            free = end + 1
+            free = (end + 1) << 8
     add(held)
-    add(end)
-    return codes
+    add(end << 8)
+    return [c >> 8 for c in codes]
 
 
 def lzw_pack(codes: list[int], least: int = 8) -> bytes:
@@ -92,9 +93,10 @@ def lzw_unpack(stream: bytes, least: int, wanted: int) -> bytes:
     """Samples of a code stream, at most ``wanted``; a stream that breaks off gives what came before."""
     clear, end = 1 << least, (1 << least) + 1
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
-    bits, bit, out = 8 * len(stream), 0, bytearray()
+    bits, bit, out = 8 * len(stream), 0, []
+    done = 0
     span = _MOST
-    while bit < bits and len(out) < wanted:
+    while bit < bits and done < wanted:
         width = _widths(least, span)
         at = bit + np.cumsum(width) - width
         n = int(np.searchsorted(at + width, bits, side="right"))
@@ -108,36 +110,42 @@ def lzw_unpack(stream: bytes, least: int, wanted: int) -> bytes:
             span *= 4  # a full table stays in use until the next clear code
             continue
         n = int(stop[0]) if len(stop) else n
-        if not _expand(codes[:n].tolist(), clear, out) or not len(stop) or codes[n] == end:
+        part, whole = _expand(codes[:n].tolist(), clear)
+        out.append(part)
+        done += len(part)
+        if not whole or not len(stop) or codes[n] == end:
             break
         bit, span = int(at[n] + width[n]), _MOST
-    return bytes(out[:wanted])
-
-
-def _expand(codes: list[int], clear: int, out: bytearray) -> bool:
-    """Append the samples of codes between two clear codes. An entry made at step i is what step i wrote and
-    the first sample of step i + 1, so it is a slice of the output."""
-    begin: list[int] = []
-    mark, size, first = begin.append, len(out), clear + 2
-    add, put = out.extend, out.append
-    for i, code in enumerate(codes):
-        mark(size)
-        if code < clear:
-            put(code)
-            size += 1
-            continue
-        e = code - first
-        if e >= i or e < 0:
-            return False
-        s, t = begin[e], begin[e + 1] + 1
-        if e + 1 == i:
-            add(out[s:size])
-            put(out[s])
-            size += t - s
-        else:
-            add(out[s:t])
-            size += t - s
-    return True
+    return b"".join(out)[:wanted]
+
+
+_SINGLE = [bytes((i,)) for i in range(256)]
+
+
+def _expand(codes: list[int], clear: int) -> tuple[bytes, bool]:
+    """Samples of the codes between two clear codes, and whether all of them have a meaning. Every code but the
+    first adds an entry: what the code before stands for and the first sample of this one."""
+    if not codes:
+        return b"", True
+    if codes[0] >= clear:
+        return b"", False
+    table = [*_SINGLE[:clear], b"", b""]
+    before = table[codes[0]]
+    out = [before]
+    put, learn = out.append, table.append
+    room = _MOST - len(table)
+    for code in codes[1 : room + 1]:
+        try:
+            entry = table[code]
+        except IndexError:
+            if code > len(table):
+                return b"".join(out), False
+            entry = before + before[:1]
+        put(entry)
+        learn(before + entry[:1])
+        before = entry
+    out += [table[code] for code in codes[room + 1 :]]  # the table is full
+    return b"".join(out), True
 
 
 # ---- files ----
