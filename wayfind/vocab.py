@@ -216,3 +216,20 @@ TITLE_FLOORS = [
     ("mezzanine", "MEZZANINE"),
     (r"\broof\b", "ROOF"),
 ]
+
+# Names that are notes, materials or table rows, not rooms: fixed values.
+JUNK_WORDS = "PTD HM VIF GWB CMU ACT MTL STL GALV FL-N QUARTZ RUBBER SEAMLESS PAINTED EXISTING FLOORING CEILING LEGEND REMOVED DEMOLISHED NEW REINSTALL INSTALL PROVIDE COORDINATE".split()
+TABLE_WORDS = "FLOOR BASE WALLS CEILING COMMENTS LEGEND FLOORING RUBBER SEAMLESS PAINTED EXISTING FINISH SCHEDULE NUMBER NAME".split()
+NOTE_PHRASES = r"FIELD MEASURE|V\.I\.F\.|SEE DETAIL|COORDINATE WITH|SEE DRAWING|NEW WORK|AREA OF WORK|TEMPORARY|REINSTALL|DEMOLISH"
+SHORT_WORDS = "WC RR IT MR DR AV HR PR SR NO OF BY".split()
+EXEMPT_UNIT = r"^(?:UNIT|APT|SUITE|APARTMENT|FLAT)\s+[A-Z0-9]{1,4}$"
+NOT_A_NAME = r"^[A-Z]{1,2}\d{2,}\.\d+$|^[A-Z]{1,3}\s+\d+['\"’‘]|^[\d\s\-'\"`’‘“”/]+$|^[^A-Z0-9]|\d+['\"’‘][-–]\d+|\b\d+\s*X\s*\d+\b|\bTO\s+[EW][A-Z0-9]"
+JUNK_ROW = r"OCCUPANT.?LOAD|LOAD.?TABLE|FIXTURE.?TABLE|DOOR.?SCHEDULE|FINISH.?SCHEDULE|PLUMBING.?SCHEDULE|HARDWARE.?SET|^KEYNOTE|^GENERAL.?NOTE|^NOTE:|^LEGEND|^ABBREVIATION|^SYMBOL|^FEET\s*SCALE$|^INCH\s*SCALE$|^FEET$|^SCALE$|^TEEF|^ELACS|^HCNI"
+SHORT_NUMBER = r"^(?:\d{1,2}|[A-Z]{1,2}\d{1,2})$"
+ANNOTATION = r"\d+X\d+|\d+'-\d|^[\s.\-'\"]+$|\bTO\s+[EW]\d"
+PLAIN_CORRIDOR = r"^(?:CORRIDOR|HALLWAY|HALL|CIRCULATION|COMMON\s+CORRIDOR|PUBLIC\s+CORRIDOR)$"
+EGRESS_NAMES = "STAIR|EXIT|ELEV|LOBBY|VESTIBULE|MECHANICAL|ELECTRICAL|FIRE"
+RESTROOM_SCOPE = any_word(r"TOILET RESTROOM BATHROOM WC UNISEX STAFF\s*RR BOYS GIRLS MEN WOMEN GENDER LAVATORY ACCESSIBLE")
+GENERAL_TITLE = r"\bFLOOR\s+PLAN\b|\bROOM\s+SCHEDULE\b|\bFINISH\s+SCHEDULE\b"
+# Sign types that a schedule's type definitions suppress by not naming them: fixed values.
+SUPPRESSED_UNLESS = [(("Exit", "Exit(Tactile)"), r"\bEXIT\b"), (("Evacuation Map",), r"EVAC(?:UATION)?|EMERGENCY.?\s*MAP"), (("Office Directory", "Building ID"), r"\bDIRECTORY\b")]
