@@ -52,7 +52,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = quality.fit(docs.select("doc_id", "text").join(labels.filter(fold(F.col("doc_id")) != 1), "doc_id"))
+    model = quality.fit(labelled_sample(docs.select("doc_id", "text"), labels.filter(fold(F.col("doc_id")) != 1), quality.MAX_FIT_ROWS))
     return quality.classify(docs, model).select("doc_id", "quality_evidence", "quality_posterior", "quality_kept")
 
 
