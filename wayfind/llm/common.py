@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     if n > most:
         labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * most / n))
     return docs.join(F.broadcast(labels), "doc_id")
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While this lasts, actions pass at most so many rows at a time to Python: for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

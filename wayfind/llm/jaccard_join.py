@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import textnum
-from wayfind.llm.common import kept, shuffle_partitions
+from wayfind.llm.common import batch_rows, kept, shuffle_partitions
 
 WORDS = 5
 #: A shingle is frequent from so many documents on ...
@@ -49,6 +49,8 @@ LONG = 64
 FAMILY_BLOCK = 384
 #: Text that a task holds in expanded form at a time.
 GROUP_BYTES = 8 << 20
+#: Rows that pass to Python at a time: texts, and pairs of sets.
+TEXT_ROWS, PAIR_ROWS = 2_000, 500
 #: Ids up to this many are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
 
@@ -357,14 +359,16 @@ def links(texts: DataFrame) -> DataFrame:
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = each.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "part", "hashes")
     blocks = dealt.groupBy("family", "i", "j").applyInArrow(_block_pair, "a long, b long")
-    return kept(verified.unionByName(blocks), "links")
+    with batch_rows(spark, PAIR_ROWS):
+        return kept(verified.unionByName(blocks), "links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = kept(texts.mapInArrow(_profile, "doc_id long, n_shingles long, high long, low long"), "profile")
-    found = kept(components(links(texts.filter("doc_id is not null"))), "components")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        profile = kept(texts.mapInArrow(_profile, "doc_id long, n_shingles long, high long, low long"), "profile")
+        found = kept(components(links(texts.filter("doc_id is not null"))), "components")
     classes = profile.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
     first = F.when(F.col("n_shingles") > 0, F.least("first", "doc_id")).otherwise(F.col("doc_id"))
     named = profile.join(classes, ["high", "low"], "left").select("doc_id", "n_shingles", first.alias("first"))
