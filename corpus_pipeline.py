@@ -32,7 +32,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = kept(jaccard_join.join(docs.select("doc_id", "text")), "near-copies")
     out = _without(docs, found.filter("doc_id <> component_id").select("doc_id"))
     repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    if not repeated:
+        return out
+    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

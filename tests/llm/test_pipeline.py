@@ -60,3 +60,10 @@ def test_odd_rows(spark, tmp_path):
             if name == "near_copies" and source:
                 assert sorted((r["doc_id"] for r in docs.collect()), key=str) == [1, 5, None]
         assert (docs.count() > 0) == bool(source)
+
+
+def test_null_ids_beside_a_repeated_id_all_stay(spark):
+    text = "Plain words that go on for a while and then stop at last number "
+    docs = spark.createDataFrame([(1, text + "one"), (1, text + "one"), (None, "quite another text"), (None, "and a third one"), (None, None)], "doc_id long, text string")
+    left = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (0, "and a third one"), (0, "quite another text"), (1, text + "one")]
