@@ -63,6 +63,22 @@ def test_licences(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licence_bodies_and_wrapped_notices(spark):
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    as_is = 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+    rows = [(1, "some words first\n \n" + warranty), (2, gpl), (3, as_is), (4, "Licensed under the Apache\nLicense, Version 2.0"), (5, "Released under the MIT License.\nLicensed under CC BY 4.0."), (6, "the software is fine and the cat sat on the mat")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sure = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in found if r["confirmed"])
+    assert sure == [(1, 1, "mit"), (2, 0, "gpl-3.0"), (3, 0, "apache-2.0"), (4, 0, "apache-2.0"), (5, 0, "cc-by-4.0"), (5, 0, "mit")]
+
+
+def test_licence_features_come_from_labelled_paragraphs(spark):
+    rows = [(i, f"Frobnicator grants apply here to item w{i}.\nReleased under the MIT License.") for i in range(30)] + [(100 + i, f"plain text number {i} of the sample") for i in range(30)]
+    model = licenses.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "frobnicator grants" in model.features and "w3" not in model.features
+
+
 # ---- op2 ----
 
 EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
