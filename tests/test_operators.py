@@ -139,6 +139,18 @@ def test_overrides_fold_in_order(spark):
     assert run(over(1, "sign_type", "Max Occupancy", number="101"), over(2, "sign_type", "Max Occupancy", number="102"), over(3, "sign_type", "Nonsense", number="103"), over(4, "add", "X", tenant="other", number="101")) == {1: plain, 2: [("Max Occupancy", 1)], 3: plain}
 
 
+def test_overrides_come_from_all_corrections(spark):
+    from types import SimpleNamespace
+
+    from wayfind.plans import reviews
+
+    kinds = ["ai_missed", "ai_extra", "edit", "sign_type_override"]
+    rows = [("t", i, kinds[i % 4], f"ROOM {i}", "Exit") for i in range(12)]
+    v = SimpleNamespace(corrections=spark.createDataFrame([*rows, *rows[:1]], "tenant_id string, seq long, correction_type string, room_name_pattern string, sign_type string"))
+    out = reviews._learned(v).collect()
+    assert sorted((r["seq"], r["override_type"], r["c_pattern"]) for r in out) == [(i, ["add", "exclude", "modify_qty", "sign_type"][i % 4], f"ROOM {i}") for i in range(12)]
+
+
 def test_cells(spark):
     tall = [["", "note"], ["Sign Type", "Room Name", "Qty", "Floor"], ["Exit", "Lobby", "3 ea", "2"], ["", "x", "1", ""], ["Exit", "Hall", "", None]]
     wide = [["Room #", "Text on Sign", "Exit AA1", "Notes", "Total", "Restroom"], ["First Floor", "", "", "", "", ""], ["101", "Lobby", "x", "hello", "9", "-"], ["102", "", "2.4", "", "", "maybe"], ["", "", "x", "", "", ""]]

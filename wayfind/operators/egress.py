@@ -94,6 +94,34 @@ def _matches() -> Column:
     return out
 
 
+_STEPS = "array<struct<o_seq: bigint, override_type: string, sign_type: string, qty: int, rule_ref: string, confidence: double>>"
+
+
+def _override_key() -> Column:
+    """What a room must have to meet an override: its number, three letters of its name, a short name, or nothing."""
+    p, c = F.lower(F.trim("c_pattern")), F.upper("c_contains")
+    word = F.get(F.filter(F.split(p, r"\s+"), lambda w: F.length(w) > 2), F.lit(0))
+    by_pattern = F.when(word.isNotNull(), F.concat(F.lit("l:"), F.substring(word, 1, 3))).when(F.length(p) >= 3, F.concat(F.lit("l:"), F.substring(p, 1, 3))).otherwise(F.concat(F.lit("="), p))
+    by_part = F.when(F.length(c) >= 3, F.concat(F.lit("u:"), F.substring(c, 1, 3)))
+    return F.when(F.col("c_number").isNotNull(), F.concat(F.lit("#"), F.upper("c_number"))).when(p.isNotNull(), by_pattern).otherwise(F.coalesce(by_part, F.lit("*")))
+
+
+def _name_keys() -> Column:
+    def threes(kind: str, name: Column) -> Column:
+        return F.when(F.length(name) >= 3, F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.concat(F.lit(kind), F.substring(name, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+    name = F.coalesce("room_name", F.lit(""))
+    low = F.lower(F.trim(name))
+    return F.array_distinct(F.concat(threes("l:", low), threes("u:", F.upper(name)), F.array(F.concat(F.lit("="), low), F.lit("*"))))
+
+
+def _counting(steps: Column) -> Column:
+    """The steps that count: of those that add, the two most confident."""
+    adding = lambda s: F.coalesce(s["override_type"].isin("add", "sign_type"), F.lit(False))
+    ranked = F.array_sort(F.transform(F.filter(steps, adding), lambda s: F.struct(F.coalesce(-s["confidence"], F.lit(float("inf"))).alias("c"), s["o_seq"].alias("q"), s.alias("s"))))
+    return F.concat(F.filter(steps, lambda s: ~adding(s)), F.transform(F.slice(ranked, 1, 2), lambda r: r["s"]))
+
+
 def apply_overrides(rooms: DataFrame, overrides: DataFrame) -> DataFrame:
     """(tenant_id, job_id, seq, signs) after the tenant's overrides in the order of their seq.
 
@@ -103,14 +131,24 @@ def apply_overrides(rooms: DataFrame, overrides: DataFrame) -> DataFrame:
     the list, if its type is a canonical one (Max Occupancy: in assembly rooms only).
     """
     o = overrides.withColumnRenamed("seq", "o_seq").withColumnsRenamed({"rule_ref": "o_rule", "sign_type": "o_type", "qty": "o_qty", "confidence": "o_confidence"})
+    o = o.filter(F.coalesce("o_type", F.lit("")) != "").withColumn("_key", _override_key())
     o = F.broadcast(o) if o.count() <= MAX_BROADCAST_OVERRIDES else o
-    hits = rooms.join(o, "tenant_id").filter(_matches()).filter(F.coalesce("o_type", F.lit("")) != "")
-    adding = F.col("override_type").isin("add", "sign_type")
-    nth = F.row_number().over(Window.partitionBy(*JOB, "seq", adding).orderBy(F.desc("o_confidence"), "o_seq"))
-    kept = hits.withColumn("_nth", nth).filter(~adding | (F.col("_nth") <= 2))
     step = F.struct("o_seq", "override_type", F.col("o_type").alias("sign_type"), F.col("o_qty").cast("int").alias("qty"), F.col("o_rule").alias("rule_ref"), F.col("o_confidence").cast("double").alias("confidence"))
-    steps = kept.groupBy(*JOB, "seq").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    joined = rooms.join(steps, [*JOB, "seq"], "left")
+    # conditions on a number meet rooms by it; all others meet each distinct name, group and flags of a tenant once
+    numbered = rooms.withColumn("_key", F.concat(F.lit("#"), F.upper("room_number"))).join(o.filter("c_number is not null"), ["tenant_id", "_key"]).filter(_matches())
+    by_number = numbered.groupBy(*JOB, "seq").agg(F.collect_list(step).alias("_by_number"))
+    shared = ["room_name", "occupancy_group", *dict.fromkeys(_FLAGS.values())]
+    kinds = rooms.select("tenant_id", *shared).distinct().withColumn("room_number", F.lit(None).cast("string"))
+    met = kinds.withColumn("_key", F.explode(_name_keys())).join(o.filter("c_number is null"), ["tenant_id", "_key"]).filter(_matches())
+    by_name = met.groupBy("tenant_id", *shared).agg(_counting(F.collect_list(step)).alias("_by_name"))
+    by_name = by_name.withColumnsRenamed({c: f"_{c}" for c in ("tenant_id", *shared)})
+    by_name = F.broadcast(by_name) if by_name.count() <= MAX_BROADCAST_OVERRIDES else by_name
+    same = F.col("tenant_id") == F.col("_tenant_id")
+    for c in shared:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    none = F.array().cast(_STEPS)
+    joined = rooms.join(by_number, [*JOB, "seq"], "left").join(by_name, same, "left")
+    joined = joined.withColumn("steps", F.array_sort(_counting(F.concat(F.coalesce("_by_number", none), F.coalesce("_by_name", none)))))
     assembly = F.col("is_assembly")
 
     def fold(state: Column, s: Column) -> Column:
@@ -127,5 +165,5 @@ def apply_overrides(rooms: DataFrame, overrides: DataFrame) -> DataFrame:
         )
         return F.struct(changed.cast(NONE).alias("signs"), (state["done"] | ((kind == "sign_type") & valid)).alias("done"))
 
-    folded = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<o_seq: bigint, override_type: string, sign_type: string, qty: int, rule_ref: string, confidence: double>>")), F.struct(F.col("signs").cast(NONE).alias("signs"), F.lit(False).alias("done")), fold)
+    folded = F.aggregate("steps", F.struct(F.col("signs").cast(NONE).alias("signs"), F.lit(False).alias("done")), fold)
     return joined.select(*JOB, "seq", folded["signs"].alias("signs"))

@@ -36,14 +36,25 @@ def _patterns(v):
     return mined, old
 
 
+#: What each kind of correction does to the signs of the rooms it names.
+_OVERRIDE = {"ai_missed": "add", "ai_extra": "exclude", "edit": "modify_qty", "sign_type_override": "sign_type"}
+
+
+def _learned(v):
+    """An override for each distinct (tenant, pattern, sign type, kind) of all corrections."""
+    key = ["tenant_id", "room_name_pattern", "sign_type", "correction_type"]
+    found = v.corrections.groupBy(*key).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
+    kind = F.coalesce(*(F.when(F.col("correction_type") == c, F.lit(k)) for c, k in _OVERRIDE.items()))
+    none = lambda kind: F.lit(None).cast(kind)
+    qty = F.when(kind == "modify_qty", F.col("seq") % 3 + 1).otherwise(1).cast("int")
+    return found.select("tenant_id", "seq", F.concat(F.lit("learned:"), F.col("seq").cast("string")).alias("rule_ref"), kind.alias("override_type"), "sign_type", qty.alias("qty"), F.least(F.lit(0.99), 0.75 + F.col("n") * 0.05).alias("confidence"), none("string").alias("c_contains"), F.col("room_name_pattern").alias("c_pattern"), none("string").alias("c_number"), none("string").alias("c_group"), *(none("boolean").alias(f"c_{k}") for k in egress._FLAGS))
+
+
 def _overridden(v):
-    """Room signs after a tenant's overrides: the most frequent corrections of each tenant add their type."""
+    """Room signs after the overrides that all corrections of a tenant give."""
     ready = rules.prepared(v.rooms, v.jobs).withColumn("occupancy_group", F.lit(None).cast("string"))
     one = F.array(F.struct(F.lit("Room ID").alias("sign_type"), F.lit(1).alias("qty"), F.lit("R1").alias("rule_ref"), F.lit(0.85).alias("confidence")))
-    top = learning.top_corrections(v.corrections, 4)
-    none = lambda kind: F.lit(None).cast(kind)
-    overrides = top.select("tenant_id", F.col("place").cast("long").alias("seq"), F.concat(F.lit("learned:"), F.col("place").cast("string")).alias("rule_ref"), F.lit("add").alias("override_type"), "sign_type", F.lit(1).alias("qty"), (0.9 - F.col("place") * 0.1).alias("confidence"), none("string").alias("c_contains"), F.col("room_name_pattern").alias("c_pattern"), none("string").alias("c_number"), none("string").alias("c_group"), *(none("boolean").alias(f"c_{k}") for k in egress._FLAGS))
-    out = egress.apply_overrides(ready.withColumn("signs", one), overrides)
+    out = egress.apply_overrides(ready.withColumn("signs", one), _learned(v))
     return out.select(*rules.JOB, "seq", F.inline("signs")).groupBy(*rules.JOB, "sign_type").agg(F.sum("qty").alias("qty"))
 
 
