@@ -190,3 +190,14 @@ def test_hot_patterns_gather_five_jobs(spark):
     df = spark.createDataFrame(rows, "tenant_id string, job_id string, seq long, correction_type string, room_name_pattern string, sign_type string, created_at timestamp, is_active boolean")
     out = learning.mine_patterns(df).collect()
     assert [(r["evidence"], r["status"], r["example_jobs"]) for r in out] == [(300, "approved", [f"j{i:03d}" for i in range(5)])]
+
+
+def test_scope_reads_the_whole_schedule(spark):
+    from types import SimpleNamespace
+
+    from wayfind.plans import cleaning as plans
+
+    schema = "tenant_id string, job_id string, seq long, sign_type string"
+    v = SimpleNamespace(schedule=spark.createDataFrame([("t", "j4", 211, "Exit"), ("t", "j4", 212, "Exit"), ("t", "j5", 211, "Restroom"), ("t", "j5", 212, "Exit")], schema))
+    sheets = spark.createDataFrame([], "tenant_id string, job_id string, sheet_no string, title string")
+    assert [r["job_id"] for r in plans.cleaning.job_scope(plans._typed_by_job(v), sheets).collect()] == ["j4"]

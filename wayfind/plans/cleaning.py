@@ -42,6 +42,11 @@ def _strategy(v):
     return cleaning.job_strategy(v.jobs, v.schedule.filter("type_mark is null and seq % 5 = 0"), _categories(v))
 
 
+def _typed_by_job(v):
+    """The whole schedule; in every fourth job all types are restrooms, so that both scopes occur."""
+    return v.schedule.withColumn("sign_type", F.when(F.substring("job_id", 2, 20).cast("long") % 4 == 0, "Restroom").otherwise(F.col("sign_type")))
+
+
 def _definitions(v):
     return v.jobs.select(*rules.JOB, F.when(F.col("status") == "pending", "EX").otherwise("D1").alias("type_code"), F.when(F.col("status") == "pending", "exit sign").otherwise("Office directory").alias("description"))
 
@@ -74,11 +79,22 @@ QUERIES = {
     "d13_scope": (
         _run(lambda v: cleaning.job_scope(v.schedule.filter("seq % 211 = 0"), _sheets(v))),
         f"""WITH {views.SQL}, {SHEETS_SQL} SELECT tenant_id, job_id FROM schedule WHERE seq % 211 = 0 GROUP BY 1, 2 HAVING bool_and({has("upper(sign_type)", vocab.RESTROOM_SCOPE)})
+UNION SELECT tenant_id, job_id FROM sheets GROUP BY 1, 2 HAVING count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) > 0 AND NOT bool_or({has("title", vocab.GENERAL_TITLE)}) AND count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} AND {has("title", vocab.RESTROOM_TITLE)} THEN 1 END) / count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) >= 0.8""",
+    ),
+    "d13_scope_whole": (
+        _run(lambda v: cleaning.job_scope(_typed_by_job(v), _sheets(v))),
+        f"""WITH {views.SQL}, {SHEETS_SQL}, s AS (SELECT tenant_id, job_id, CASE WHEN CAST(substring(job_id, 2) AS BIGINT) % 4 = 0 THEN 'Restroom' ELSE sign_type END AS sign_type FROM schedule)
+SELECT tenant_id, job_id FROM s GROUP BY 1, 2 HAVING bool_and({has("upper(sign_type)", vocab.RESTROOM_SCOPE)})
 UNION SELECT tenant_id, job_id FROM sheets GROUP BY 1, 2 HAVING count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) > 0 AND NOT bool_or({has("title", vocab.GENERAL_TITLE)}) AND count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} AND {has("title", vocab.RESTROOM_TITLE)} THEN 1 END) / count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) >= 0.8""",
     ),
     "d13_strategy": (
         _run(_strategy),
         f"""WITH {views.SQL}, {SHEETS_SQL}, r AS (SELECT tenant_id, job_id, count(*) AS n FROM schedule WHERE type_mark IS NULL AND seq % 5 = 0 GROUP BY 1, 2)
+SELECT j.tenant_id, j.job_id, CASE WHEN coalesce(page_count = 5, false) OR coalesce(n, 0) >= 100 THEN 'schedule_primary' WHEN coalesce(page_count, 0) % 3 <> 0 OR page_count IS NULL THEN 'egress_only' WHEN coalesce(n, 0) > 0 THEN 'hybrid' ELSE 'floor_plan_primary' END AS strategy FROM jobs j LEFT JOIN r USING (tenant_id, job_id) LEFT JOIN files USING (tenant_id, job_id)""",
+    ),
+    "d13_strategy_whole": (
+        _run(lambda v: cleaning.job_strategy(v.jobs, v.schedule.filter("type_mark is null"), _categories(v))),
+        f"""WITH {views.SQL}, {SHEETS_SQL}, r AS (SELECT tenant_id, job_id, count(*) AS n FROM schedule WHERE type_mark IS NULL GROUP BY 1, 2)
 SELECT j.tenant_id, j.job_id, CASE WHEN coalesce(page_count = 5, false) OR coalesce(n, 0) >= 100 THEN 'schedule_primary' WHEN coalesce(page_count, 0) % 3 <> 0 OR page_count IS NULL THEN 'egress_only' WHEN coalesce(n, 0) > 0 THEN 'hybrid' ELSE 'floor_plan_primary' END AS strategy FROM jobs j LEFT JOIN r USING (tenant_id, job_id) LEFT JOIN files USING (tenant_id, job_id)""",
     ),
     "e11_suppressed": (_run(_suppressed), f"WITH {views.SQL} SELECT seq FROM signs LEFT JOIN jobs USING (tenant_id, job_id) WHERE NOT (status IS NOT NULL AND (sign_type = 'Exit' AND status <> 'pending' OR sign_type = 'Evacuation Map'))"),

@@ -49,10 +49,10 @@ def _timings(v):
     return v.table("events").select(F.col("event_type").alias("op"), F.floor(F.col("value") * 10).alias("ms"), (F.col("event_id") % 13 != 0).alias("ok"))
 
 
-def _overrides(v):
+def _overrides(v, new):
     c = v.corrections
     old = c.filter("is_active and seq % 3 = 0").select("tenant_id", F.concat(F.lit("learned:"), F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws("_", "sign_type", "room_name_pattern")), "[^a-z0-9]+", "_"), "^_|_$", "")).alias("rule_ref")).distinct()
-    return learning.upsert_overrides(c.filter("seq % 2 = 0"), old.withColumns({"confidence": F.lit(0.96), "source_corrections": F.lit(1)}))
+    return learning.upsert_overrides(new, old.withColumns({"confidence": F.lit(0.96), "source_corrections": F.lit(1)}))
 
 
 _RULE = "concat('learned:', regexp_replace(regexp_replace(lower(concat(sign_type, '_', room_name_pattern)), '[^a-z0-9]+', '_', 'g'), '^_|_$', ''))"
@@ -120,8 +120,13 @@ SELECT c.*, CAST(coalesce(signs, 0) AS BIGINT) AS signs, CAST(coalesce(nr, 0) AS
 SELECT tenant_id, correction_type, pattern, sign_type, count(*) AS evidence, list_sort(list(DISTINCT job_id))[1:5] AS example_jobs, CASE WHEN count(*) >= 3 THEN 'approved' ELSE 'pending' END AS status FROM r GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2""",
     ),
     "g4_overrides": (
-        _run(_overrides),
+        _run(lambda v: _overrides(v, v.corrections.filter("seq % 2 = 0"))),
         f"""WITH {views.SQL}, n AS (SELECT tenant_id, {_RULE} AS rule_ref, count(*) AS n FROM corrections WHERE is_active AND seq % 2 = 0 GROUP BY 1, 2), e AS (SELECT DISTINCT tenant_id, {_RULE} AS rule_ref, 1 AS e FROM corrections WHERE is_active AND seq % 3 = 0)
+SELECT tenant_id, rule_ref, CAST(CASE WHEN e IS NULL THEN 0.8 WHEN n IS NULL THEN 0.96 ELSE 0.99 END AS DOUBLE) AS confidence, coalesce(e, 0) + coalesce(n, 0) AS source_corrections FROM e FULL JOIN n USING (tenant_id, rule_ref)""",
+    ),
+    "g4_overrides_whole": (
+        _run(lambda v: _overrides(v, v.corrections)),
+        f"""WITH {views.SQL}, n AS (SELECT tenant_id, {_RULE} AS rule_ref, count(*) AS n FROM corrections WHERE is_active GROUP BY 1, 2), e AS (SELECT DISTINCT tenant_id, {_RULE} AS rule_ref, 1 AS e FROM corrections WHERE is_active AND seq % 3 = 0)
 SELECT tenant_id, rule_ref, CAST(CASE WHEN e IS NULL THEN 0.8 WHEN n IS NULL THEN 0.96 ELSE 0.99 END AS DOUBLE) AS confidence, coalesce(e, 0) + coalesce(n, 0) AS source_corrections FROM e FULL JOIN n USING (tenant_id, rule_ref)""",
     ),
     "g5_snapshots": (
