@@ -79,6 +79,16 @@ def test_licence_features_come_from_labelled_paragraphs(spark):
     assert "frobnicator grants" in model.features and "w3" not in model.features
 
 
+def test_repeated_rows_do_not_raise_the_probability(spark):
+    schema = "doc_id long, paragraph int, block string, words array<string>"
+    row = (1, 0, "released under mit", ["released", "under", "mit"])
+    w = np.zeros((1, len(licenses.FAMILIES) + 1))
+    w[0, 0] = 1.0
+    model = licenses.Model(["released under"], w, np.zeros(len(licenses.FAMILIES) + 1), 1.0)
+    once, thrice = ([r["probability"] for r in licenses.classify(spark.createDataFrame([row] * n, schema), model).collect()] for n in (1, 3))
+    assert once == thrice
+
+
 # ---- op2 ----
 
 EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))

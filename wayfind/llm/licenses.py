@@ -243,7 +243,7 @@ def classify(near: DataFrame, model: Model) -> DataFrame:
     spark = near.sparkSession
     n = len(model.classes)
     weights = F.broadcast(spark.createDataFrame([(f, [float(v) for v in model.weights[k]]) for k, f in enumerate(model.features)], "gram string, w array<double>"))
-    hits = near.select("doc_id", "paragraph", "block", "words", F.explode(_grams(F.col("words"))).alias("gram")).join(weights, "gram")
+    hits = near.dropDuplicates(["doc_id", "paragraph", "block"]).select("doc_id", "paragraph", "block", "words", F.explode(_grams(F.col("words"))).alias("gram")).join(weights, "gram")
     key = ["doc_id", "paragraph", "block"]
     sums = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("hits"), F.max("words").alias("words"), *(F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)))
     logit = [(F.col(f"s{k}") / F.sqrt("hits") + float(model.constant[k])) / model.temperature for k in range(n)]
