@@ -159,6 +159,14 @@ def test_gif_round_trip(spark, odd, empty):
     assert gif.digests(empty).count() == 0
 
 
+def test_feature_counts_the_colours_of_all_frames(spark):
+    size = 64 * 512
+    docs = spark.createDataFrame([(1, "a" * size + "c" * size), (2, "b" * size + "c" * size)], "doc_id long, text string")
+    features = {r["doc_id"]: r["feature"].split("colours=")[1] for r in gif.digests(docs).collect()}
+    frames, _ = gif.decode(gif.encode(b"a" * size + b"c" * size))
+    assert features[1] == ",".join(str(x) for x in sum(f["histogram"] for f in frames))
+
+
 def _picture(frames, width=4, height=4, colours=((0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255))):
     out = struct.pack("<6sHHBBB", b"GIF89a", width, height, 0x80 | 1, 0, 0) + bytes(x for c in colours for x in c)
     for left, top, w, h, pixels, disposal, clear, flags in frames:

@@ -303,10 +303,11 @@ def frames_table(read: DataFrame) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """The stored and re-read texts' digests: one row per document."""
     read = read_media(store_texts(docs))
+    colours = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), BINS), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
     shown = F.concat_ws(
         ";",
         F.concat(F.lit("frames="), F.size("frames")),
         F.concat(F.lit("ms="), F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + f["delay_ms"])),
-        F.concat(F.lit("colours="), F.array_join(F.transform(F.element_at("frames", -1)["histogram"], lambda x: x.cast("string")), ",")),
+        F.concat(F.lit("colours="), F.array_join(F.transform(colours, lambda x: x.cast("string")), ",")),
     )
     return read.select(F.col("id").alias("doc_id"), "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), shown.alias("feature"), "error")
