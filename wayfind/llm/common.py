@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +22,54 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, one process gets a temporary one (tests);
+    a cluster is refused, for its executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wayfind-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later steps read files, not the lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``kept`` of which nothing more will be read."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_places.pop(df))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_name(columns: list[str], name: str) -> str:
+    """name, or it with underscores, so that no column is called so (Spark tells no upper from lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -41,8 +77,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def fold(doc_id: Column) -> Column:
-    """crc32 of the id's decimal text, modulo 3: remainder 1 is held out of training."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+    """crc32 of the id's decimal text, modulo 3: remainder 1 is held out of training. 0 for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
+
+
+def sampled(hash64: Column, share: float) -> Column:
+    """Whether a hash lies in the first share of the 64-bit range."""
+    return hash64 < F.lit(int(share * 2**64) - 2**63)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -51,10 +92,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     labels = labels.filter(F.col("label").isNotNull())
     n = labels.count()
     if n > most:
-        labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * most / n))
+        labels = labels.filter(sampled(F.xxhash64("doc_id"), 0.95 * most / n))
     return docs.join(F.broadcast(labels), "doc_id")
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on the session passes at most so many bytes at a time to Python, so that long texts or many of
+    them do not add up in the executors' memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(min(size, int(spark.conf.get(key).rstrip("b")))))
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While this lasts, actions pass at most so many rows at a time to Python: for rows that are large."""

@@ -7,12 +7,14 @@ block, so the work per word does not depend on Python objects. Blocks bound the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+#: Bytes of text that are worked on at a time: the arrays made of them stay within a core's cache.
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256)
@@ -61,7 +63,7 @@ def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -82,6 +84,14 @@ def parts(off: np.ndarray, limit: int = BLOCK) -> list[tuple[int, int]]:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], k: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of at most limit bytes in the k-th column (or one row)."""
+    for batch in batches:
+        _, off = view(batch.column(k))
+        for i, j in parts(off, limit):
+            yield batch.slice(i, j - i)
+
+
 @dataclass
 class Words:
     hash: np.ndarray  # uint64

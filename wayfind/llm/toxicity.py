@@ -7,7 +7,7 @@ and a two-parameter logistic calibration on the sample's margins turns the sum i
 non-zero weights are broadcast.
 
 Defined cases: null and empty texts get the bias's score; without labelled rows every score is 0; labels that are
-null do not train; a document labelled twice trains twice; other columns, whatever their names, are ignored.
+null do not train; a document labelled twice trains twice; a null id is carried along; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import textnum
+from wayfind.llm.common import sampled
 
 COORDINATES = 1 << 20
 #: Word groups: single words, neighbours, and skips over one and two words.
@@ -86,7 +87,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -
         return None
     where = F.xxhash64("text", F.lit(3))
     if total > MAX_FIT_ROWS:
-        rows = rows.filter(F.pmod(where, F.lit(1_000_000)) < int(1_000_000 * MAX_FIT_ROWS / total))
+        rows = rows.filter(sampled(where, MAX_FIT_ROWS / total))
     shards = -(-min(total, MAX_FIT_ROWS) // SHARD_ROWS)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(shards)).cast("int"))
 
