@@ -7,8 +7,12 @@ the groups really differ. A document's final odds are its own times those of its
 with its own contribution taken out of the path first. Everything but the fitted weights is grouped
 aggregation, so a hot host is summed up in many tasks.
 
-Defined cases: texts that are null or have no word are rejected; null hosts and paths are groups of their own; without labels every text with words is kept with
-posterior 0.5; repeated rows count as often as they occur; other columns pass through untouched.
+The levels are whatever two columns are named: for web pages the host and the first path segment of the address
+(``page_texts``), for documents, which have no address, their source and, below it, its language.
+
+Defined cases: texts that are null or have no word are rejected; null hosts and paths are groups of their own;
+without labels every text with words is kept with posterior 0.5; repeated rows count as often as they occur; ids
+play no part, so null ones are like others; other columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import textnum
-from wayfind.llm.common import kept
+from wayfind.llm.common import column, kept, new_name, sampled
 
 #: At most about so many labelled rows are used to fit (a hash of the text decides which).
 MAX_FIT_ROWS = 40_000
@@ -70,7 +74,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("double").alias("label"))
     total = rows.count()
     if total > MAX_FIT_ROWS:
-        rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * MAX_FIT_ROWS / total))
+        rows = rows.filter(sampled(F.xxhash64("text", F.lit(3)), MAX_FIT_ROWS / total))
     sample = rows.select("label", _features_of()(F.col("text")).alias("x")).toPandas()
     y = sample["label"].to_numpy()
     if not len(y) or y.min() == y.max():
@@ -152,21 +156,37 @@ def posteriors(scored: DataFrame, host_col: str = "host", path_col: str = "path"
     return joined.withColumn("global_share", F.lit(mean)).withColumn("strength", F.lit(k_path))
 
 
-def classify(docs: DataFrame, model: Classifier | None, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """docs with quality_evidence (log odds of the text), quality_posterior and quality_kept."""
-    text, host, path = F.col(text_col), F.col(host_col), F.col(path_col)
-    names = ("quality_evidence", "quality_posterior", "quality_kept")
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
-    scored = docs.withColumn("quality_evidence", evidence(text, model))
-    slim = scored.select(host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-F.col("quality_evidence")))).alias("p"))
-    groups = kept(posteriors(slim), "quality-groups").select(F.struct("host", "path").alias("_group"), F.struct("n", "total", "host_share", "global_share", "strength").alias("_prior"))
+def classify(docs: DataFrame, model: Classifier | None, text_col: str = "text", host_col: str = "source", path_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
+    """docs, or these columns of it, with quality_evidence (log odds of the text), quality_posterior and quality_kept.
+
+    The three get underscores at their end if docs has columns of their names.
+    """
+    own = docs.columns if columns is None else columns
+    name = lambda n: new_name([*docs.columns, *own], n)
+    odds_, posterior, keep, host, path, group, prior_ = map(name, ("quality_evidence", "quality_posterior", "quality_kept", "_host", "_path", "_group", "_prior"))
+    # written once, so that the texts pass through Python once
+    scored = kept(docs.select(*map(column, own), column(host_col).alias(host), column(path_col).alias(path), evidence(column(text_col), model).alias(odds_)), "quality-evidence")
+    p = 1 / (1 + F.exp(-F.col(odds_)))
+    groups = kept(posteriors(scored.select(F.col(host).alias("host"), F.col(path).alias("path"), p.alias("p"))), "quality-groups")
+    groups = groups.select(F.struct("host", "path").alias(group), F.struct("n", "total", "host_share", "global_share", "strength").alias(prior_))
     few = groups.count() <= MAX_BROADCAST_GROUPS
-    by = scored.withColumn("_key", F.struct(host.alias("host"), path.alias("path")))
-    joined = by.join(F.broadcast(groups) if few else groups, F.col("_key").eqNullSafe(F.col("_group")), "left")
-    p = 1 / (1 + F.exp(-F.col("quality_evidence")))
-    prior = F.col("_prior")
+    joined = scored.join(F.broadcast(groups) if few else groups, F.struct(F.col(host).alias("host"), F.col(path).alias("path")).eqNullSafe(F.col(group)), "left")
+    prior = F.col(prior_)
     share = (F.greatest(prior["total"] - p, F.lit(0.0)) + prior["strength"] * prior["host_share"]) / (prior["n"] - 1 + prior["strength"])
     share = F.least(F.greatest(share, F.lit(1e-6)), F.lit(1 - 1e-6))
-    odds = F.col("quality_evidence") + _logit(share) - _logit(prior["global_share"])
-    out = joined.withColumn("quality_posterior", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("quality_kept", F.col("quality_posterior") >= REJECT_BELOW).drop("_key", "_group", "_prior")
+    odds = F.col(odds_) + _logit(share) - _logit(prior["global_share"])
+    out = joined.withColumn(posterior, 1 / (1 + F.exp(-odds)))
+    return out.select(*map(column, own), odds_, posterior, (F.col(posterior) >= REJECT_BELOW).alias(keep))
+
+
+def accepted(docs: DataFrame, model: Classifier | None, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """The rows of docs that are not rejected, with its columns."""
+    found = classify(docs, model, text_col, host_col, path_col)
+    return found.filter(F.col(found.columns[-1])).select(*map(column, docs.columns))
+
+
+def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, host, path, text): the host and first path segment of each page's address, and its text without markup."""
+    url = F.col(url_col)
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", "\n")
+    return pages.select(F.col(id_col).alias("id"), F.lower(F.nullif(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#:]+)", 1), F.lit(""))).alias("host"), F.nullif(F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]+/([^/?#]+)", 1), F.lit("")).alias("path"), bare.alias("text"))
