@@ -10,9 +10,10 @@ similarity of their sets is at least 3/4. Texts with equal sets form a class and
    blocks of shingles; a block's product with itself gives overlap counts of pairs, which are added up over
    the blocks, and pairs below the bound that their sizes give are discarded. What remains is verified on
    the whole sets.
-3. Rows of the matrix that are still long (families of near copies) are not expanded into pairs: the documents
-   of a family are dealt out in square blocks, each block pair is multiplied densely over all shingles, and
-   only a spanning forest of the links in it is returned.
+3. Rows of the matrix that are still long (families of near copies) are not expanded into pairs. Each document
+   of a family is first held against the family's pivot, the one in most of its rows; those that link with it
+   are connected already. The others are dealt out in blocks against each other and against the connected ones,
+   each block pair is multiplied densely over all shingles, and only a spanning forest of its links is returned.
 4. Connected components by alternating stars.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a text of 1 to 4
@@ -31,26 +32,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import textnum
-from wayfind.llm.common import batch_rows, kept, shuffle_partitions
+from wayfind.llm.common import batch_rows, column, discard, kept, shuffle_partitions
 
 WORDS = 5
 #: A shingle is frequent from so many documents on ...
 FREQUENT = 32
 #: ... or from so many more that the list stays within this length.
 MOST_FREQUENT = 1 << 20
-#: Share of the hash range whose shingles are counted; the order is valid whatever is counted.
-COUNTED = 0.6
 #: Bytes of a hash that the counting keeps.
 KEY_BYTES = 5
 #: Part of a set by which its prefix is longer than the least, so that links share many entries.
 EXTRA = 0.1
 #: Longer matrix rows are handled as families.
 LONG = 64
-FAMILY_BLOCK = 384
+#: Documents of a family's block, and bytes of their sets, about.
+FAMILY_BLOCK, FAMILY_BYTES = 384, 12 << 20
 #: Text that a task holds in expanded form at a time.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
+#: Bytes that a task reads of the dealt incidence matrix, at most about; a fourth or less of it is one block.
+TASK_BYTES = 64 << 20
 #: Rows that pass to Python at a time: texts, and pairs of sets.
-TEXT_ROWS, PAIR_ROWS = 2_000, 500
+TEXT_ROWS, PAIR_ROWS = 1_000, 200
 #: Ids up to this many are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
 
@@ -96,20 +98,24 @@ def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(b[s]), *(c[s:e] for c in columns)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in slices of at most GROUP_BYTES of text (or one row)."""
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
+    """The blobs of one bucket after the other, from rows in the order of buckets."""
+    at, held = None, []
     for batch in batches:
-        _, off = textnum.view(batch.column(column))
-        for i, j in textnum.parts(off, GROUP_BYTES):
-            yield batch.slice(i, j - i)
+        for b, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != at and held:
+                yield held
+                held = []
+            at = b
+            held.append(blobs)
+    if held:
+        yield held
 
 
 def _deal_keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = np.uint64(int(COUNTED * 2**64))
-        for batch in _groups(batches, 0):
-            found = [h[h < limit] for _, _, h, _ in _sets(batch.column(0))]
-            keys = np.concatenate(found) >> np.uint64(64 - 8 * KEY_BYTES)
+        for batch in textnum.slices(batches, 0, GROUP_BYTES):
+            keys = np.concatenate([h >> np.uint64(64 - 8 * KEY_BYTES) for _, _, h, _ in _sets(batch.column(0))])
             # a group tells no more than that a key is frequent
             keys = np.sort(keys)
             first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
@@ -123,12 +129,8 @@ def _deal_keys(buckets: int):
 
 
 def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for b, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(b, []).append(k)
-    for blobs in held.values():
-        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, KEY_BYTES)
+    for blobs in _by_bucket(batches):
+        raw = np.frombuffer(b"".join(x[0] for x in blobs), np.uint8).reshape(-1, KEY_BYTES)
         keys = np.zeros((len(raw), 8), np.uint8)
         keys[:, :KEY_BYTES] = raw
         k, n = np.unique(keys.view(np.int64).ravel(), return_counts=True)
@@ -139,7 +141,7 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deal_prefixes(buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        for batch in _groups(batches, 1):
+        for batch in textnum.slices(batches, 1, GROUP_BYTES):
             ids = batch.column(0).to_numpy()
             hashes, docs, sizes, digests, seen = [], [], [], [], {}
             for i, j, h, at in _sets(batch.column(1)):
@@ -176,13 +178,9 @@ def _deal_prefixes(buckets: int, shared):
 
 def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlap counts of pairs from the blocks' short rows; the members of long rows with the row's first as list."""
-    held: dict[int, list[list[bytes]]] = {}
-    for batch in batches:
-        for b, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(b, []).append(blobs)
     pairs: list[np.ndarray] = []
     waiting = 0
-    for blobs in held.values():
+    for blobs in _by_bucket(batches):
         h, ids, n, digest = (np.frombuffer(b"".join(x[k] for x in blobs), t) for k, t in enumerate((np.uint64, np.int64, np.int32, np.uint64)))
         order = np.lexsort((ids, digest, h))
         h, ids, n, digest = h[order], ids[order], n[order].astype(np.int64), digest[order]
@@ -232,9 +230,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = np.zeros(batch.num_rows, bool)
         for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate((x, y)), kind="stable")
-            good[k] = (both[1:] == both[:-1]).sum() >= least_overlap(len(x), len(y))
+            good[k] = _linked(x, y)
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
 
@@ -276,6 +272,26 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+def _beside_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each document links with its family's pivot (or is it)."""
+    for batch in batches:
+        ids, pivots = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        near = ids == pivots
+        for k, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            if not near[k]:
+                near[k] = _linked(x, y)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], names=["id", "family", "pivot", "near"])
+
+
+def _linked(x: bytes, y: bytes) -> bool:
+    """Whether two sorted sets share enough."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return int((both[1:] == both[:-1]).sum()) >= least_overlap(len(x), len(y))
+
+
 def _block_pair(key: tuple, table: pa.Table) -> pa.Table:
     ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
@@ -301,14 +317,25 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     seen = state(edges)
+    done: list[DataFrame] = []
+
+    def parted(df: DataFrame) -> DataFrame:
+        """Large tables are written: Spark splits a hot centre's rows in a join of tables, not of aggregates."""
+        if seen[0] <= MAX_BROADCAST_IDS:
+            return df
+        done.append(kept(df, "edges"))
+        return done[-1]
+
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = parted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = parted(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least_of_large = parted(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = large.join(least_of_large, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = kept(small, "edges")
+        before, edges = edges, kept(small, "edges")
+        discard(before, *done)
+        done.clear()
         now = state(edges)
         if now == seen:
             break
@@ -323,24 +350,27 @@ def _few(df: DataFrame) -> DataFrame:
 
 def frequent_keys(texts: DataFrame, n: int, buckets: int) -> np.ndarray:
     """The most frequent shingles' keys in order, at most MOST_FREQUENT."""
-    counts = kept(texts.select("text").mapInArrow(_deal_keys(buckets), "bucket int, keys binary").repartition(n, "bucket").mapInArrow(_count_keys, "key long, n long"), "frequent")
+    dealt = texts.select("text").mapInArrow(_deal_keys(buckets), "bucket int, keys binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    counts = kept(dealt.mapInArrow(_count_keys, "key long, n long"), "frequent")
     least = FREQUENT
     while counts.filter(F.col("n") > least).count() > MOST_FREQUENT:
         least *= 2
-    return np.array(sorted(r[0] for r in counts.filter(F.col("n") > least).select("key").collect()), np.uint64)
+    found = np.array(sorted(r[0] for r in counts.filter(F.col("n") > least).select("key").collect()), np.uint64)
+    discard(counts)
+    return found
 
 
-def links(texts: DataFrame) -> DataFrame:
+def links(texts: DataFrame, shingles: int) -> DataFrame:
     """(a, b): links between class representatives, enough of them to connect what is connected.
 
-    texts: (doc_id, text).
+    texts: (doc_id, text); shingles: about how many their sets have.
     """
     spark = texts.sparkSession
-    n = shuffle_partitions(spark)
+    n = max(shuffle_partitions(spark), -(-shingles * 12 // TASK_BYTES))
     buckets = 1 << (4 * n - 1).bit_length()
     frequent = spark.sparkContext.broadcast(frequent_keys(texts, n, buckets))
     matrix = texts.mapInArrow(_deal_prefixes(buckets, frequent), "bucket int, hashes binary, ids binary, sizes binary, digests binary")
-    product = kept(matrix.repartition(n, "bucket").mapInArrow(_multiply, "a long, b long, na long, nb long, shared long"), "product")
+    product = kept(matrix.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_multiply, "a long, b long, na long, nb long, shared long"), "product")
     # shared is 0 in the rows of families
     lacking = "greatest({0} - {1}, {2} - {3})"
     prefix = "({0} - ceil(3 * {0} / 4) + 1 + floor({1} * {0}))"
@@ -350,26 +380,49 @@ def links(texts: DataFrame) -> DataFrame:
     members = product.filter("shared = 0").select("a", "b")
     family = kept(components(members).select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(family.select(F.col("id").alias("doc_id"))).distinct()
-    sets = kept(texts.join(_few(kept(wanted, "wanted")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets, "id long, hashes binary"), "sets")
+    wanted = kept(wanted, "wanted")
+    sets = kept(texts.join(_few(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets, "id long, hashes binary"), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     full = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     verified = full.mapInArrow(_verify, "a long, b long")
-    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("parts"))
-    placed = family.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(sets, "id")
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    with batch_rows(spark, PAIR_ROWS):
+        out = kept(verified.unionByName(_family_links(family, members, sets)), "links")
+    discard(product, pairs, family, wanted, sets)
+    return out
+
+
+def _family_links(family: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links in families, from (id, family), the (row's first, member) rows and (id, hashes)."""
+    rows = members.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    pivots = family.join(rows, "id").groupBy("family").agg(F.max_by("id", F.struct("rows", -F.col("id"))).alias("pivot"))
+    pivots = kept(pivots.join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot"), "pivots")
+    beside = family.join(sets, "id").join(pivots, "family").select("id", "family", "pivot", "hashes", "pivot_hashes")
+    placed = kept(beside.mapInArrow(_beside_pivot, "id long, family long, pivot long, near boolean"), "placed")
+    # blocks of those apart from the pivot: 0, 1, ...; of those connected with it: -1, -2, ...
+    size = F.greatest(F.octet_length("hashes"), F.lit(FAMILY_BYTES // FAMILY_BLOCK))
+    full = placed.join(sets, "id").select("id", "family", "near", "hashes")
+    parts = lambda near: F.ceil(F.coalesce(F.sum(F.when(F.col("near") == near, size)), F.lit(0)) / FAMILY_BYTES).cast("int")
+    sizes = kept(full.groupBy("family").agg(parts(False).alias("apart"), parts(True).alias("connected")).filter("apart > 0"), "sizes")
+    full = full.join(sizes, "family")
+    own = F.when(F.col("near"), -1 - F.pmod(F.xxhash64("id"), F.col("connected"))).otherwise(F.pmod(F.xxhash64("id"), F.col("apart"))).cast("int")
+    others = F.when(F.col("near"), F.sequence(F.lit(0), F.col("apart") - 1)).otherwise(F.sequence(-F.col("connected"), F.col("apart") - 1))
+    each = full.withColumn("part", own).withColumn("other", F.explode(others))
     dealt = each.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "part", "hashes")
     blocks = dealt.groupBy("family", "i", "j").applyInArrow(_block_pair, "a long, b long")
-    with batch_rows(spark, PAIR_ROWS):
-        return kept(verified.unionByName(blocks), "links")
+    return placed.filter("near and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).unionByName(blocks)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     with batch_rows(docs.sparkSession, TEXT_ROWS):
         profile = kept(texts.mapInArrow(_profile, "doc_id long, n_shingles long, high long, low long"), "profile")
-        found = kept(components(links(texts.filter("doc_id is not null"))), "components")
+        total = profile.agg(F.sum("n_shingles")).first()[0] or 0
+        linked = links(texts.filter("doc_id is not null"), total)
+        found = kept(components(linked), "components")
     classes = profile.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    # a table of its own, so that Spark can split the rows of a text with very many copies in the join
+    classes = kept(classes, "classes")
     first = F.when(F.col("n_shingles") > 0, F.least("first", "doc_id")).otherwise(F.col("doc_id"))
     named = profile.join(classes, ["high", "low"], "left").select("doc_id", "n_shingles", first.alias("first"))
     out = named.join(found, F.col("first") == F.col("node"), "left")
