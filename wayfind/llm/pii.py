@@ -4,20 +4,23 @@ Candidates are the base spans (email, ip, card, phone) and looser ones: digit gr
 (number) and values after credential words (secret). Regex, gazetteer and context labelers each vote for,
 against or not at all on every candidate. The vote patterns of all documents are counted in Spark; there are
 boundedly many, and expectation-maximisation on their counts estimates each labeler's reliability and each
-pattern's probability. A logistic span classifier is then fitted to those probabilities over kind, shape and
-votes, again on pattern counts. Base spans stay whatever it says; other candidates are kept from probability
-``KEEP_FROM`` on, if they do not overlap a base span.
+pattern's probability. These probabilities are the soft labels of a logistic span classifier over traits of the
+span that no labeler sees (make-up of its characters, neighbours, the word before it), so it also scores
+candidates whose votes or traits never stood together. Base spans stay whatever it says; other candidates are
+kept from probability ``KEEP_FROM`` on, if they do not overlap a base span.
 
 Defined cases: null texts count as empty and stay null when redacted; repeated rows count as often as they
-occur; an empty table gives no rows and no model; other columns pass through ``redact`` and are ignored elsewhere.
+occur; null ids are carried along; an empty table gives no rows and a model that keeps base spans only; other
+columns, whatever their names, pass through ``redact`` and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import textnum
-from wayfind.llm.common import kept
+from wayfind.llm.common import column, kept, sampled
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "number", "secret")
 LABELERS = ("shape", "gazetteer", "cue", "border", "check", "counter_cue")
 KEEP_FROM = 0.5
 WINDOW = 32
+#: At most about so many different candidates fit the classifier.
+MAX_FIT_ROWS = 50_000
+#: Text that is taken apart at a time.
+SLICE_BYTES = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -102,13 +109,29 @@ def spans_of(text: str) -> list[tuple[str, int, int, bool]]:
                     out["phone"].append((*m.span(), True))
     if "=" in text or ":" in text:
         out["secret"] = [(*m.span(1), False) for m in _SECRET.finditer(text)]
-    taken = sorted(x[:2] for k in BASE for x in out[k])
+    taken = [x[:2] for k in BASE for x in out[k]]
     for k in KINDS[len(BASE) :]:
-        out[k] = [x for x in out[k] if not any(s < x[1] and x[0] < e for s, e in taken)]
-        taken = sorted([*taken, *(x[:2] for x in out[k])])
+        out[k] = _apart(out[k], taken)
+        taken += [x[:2] for x in out[k]]
     return [(k, s, e, base) for k in KINDS for s, e, base in out[k]]
 
 
+def _apart(spans: list, taken: list[tuple[int, int]]) -> list:
+    """Those of the spans, which stand in order and do not overlap, that overlap none of the others."""
+    out, others, i = [], [], 0
+    for s, e in sorted(taken):  # runs of overlapping ones become one
+        if others and s < others[-1][1]:
+            others[-1][1] = max(others[-1][1], e)
+        else:
+            others.append([s, e])
+    for x in spans:
+        while i < len(others) and others[i][1] <= x[0]:
+            i += 1
+        if i == len(others) or others[i][0] >= x[1]:
+            out.append(x)
+    return out
+
+
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     """1 for, -1 against, 0 no opinion, in the order of LABELERS."""
     span, before = text[start:end], text[max(0, start - WINDOW) : start]
@@ -136,24 +159,63 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
 
 
 def pattern(text: str, kind: str, start: int, end: int) -> str:
-    """What EM and the classifier know of a candidate: kind, length class, votes."""
-    return f"{kind}|{min((end - start).bit_length(), 7)}|" + "".join("-0+"[v + 1] for v in votes(text, kind, start, end))
+    """What EM knows of a candidate: kind and votes."""
+    return f"{kind}|" + "".join("-0+"[v + 1] for v in votes(text, kind, start, end))
+
+
+#: Trait groups of the span classifier and how many values each has.
+TRAITS = {"kind": len(KINDS), "length": 8, "digits": 5, "capitals": 3, "marks": 3, "changes": 5, "left": 4, "right": 4, "word": 32}
+_FIRST = dict(zip(TRAITS, np.cumsum([0, *TRAITS.values()]).tolist()))
+WIDTH = sum(TRAITS.values())
+
+
+def _side(c: str) -> int:
+    return 0 if not c else 1 if c.isspace() else 2 if c.isalnum() else 3
+
+
+def traits(text: str, kind: str, start: int, end: int) -> list[int]:
+    """What the classifier knows of a candidate: one place of its weights for each trait group."""
+    span, n = text[start : min(end, start + 4096)], min(end - start, 4096)
+    sort = [2 if c.isdigit() else 1 if c.isalpha() else 0 for c in span]
+    word = re.findall(r"[^\W\d_]+", text[max(0, start - WINDOW) : start])
+    found = {
+        "kind": KINDS.index(kind),
+        "length": min((end - start).bit_length(), 7),
+        "digits": sort.count(2) * 4 // n,
+        "capitals": min(2, sum(c.isupper() for c in span)),
+        "marks": min(2, sort.count(0)),
+        "changes": min(4, sum(x != y for x, y in zip(sort, sort[1:])) * 8 // n),
+        "left": _side(text[start - 1 : start] if start else ""),
+        "right": _side(text[end : end + 1]),
+        "word": zlib.crc32(word[-1].lower().encode()) % 31 + 1 if word else 0,
+    }
+    return [_FIRST[k] + v for k, v in found.items()]
 
 
 @dataclass
 class Model:
-    probability: dict[str, float]  # of each pattern seen
-    reliability: dict[str, tuple[float, float]]  # a labeler's chance to vote for a true and a false span
+    weights: np.ndarray  # of every trait value, the constant last
+    probability: dict[str, float] = field(default_factory=dict)  # of each vote pattern seen, by EM
+    reliability: dict[str, tuple[float, float]] = field(default_factory=dict)  # a labeler's chance to vote for a true and a false span
+
+    def score(self, places: list[int]) -> float:
+        """Log odds of a candidate with these traits."""
+        return float(self.weights[places].sum() + self.weights[-1])
+
 
+#: A model without candidates: nothing but base spans.
+def no_model() -> Model:
+    return Model(np.append(np.zeros(WIDTH), -30.0))
 
-def fit(patterns: dict[str, int]) -> Model:
-    """EM over vote patterns, then the span classifier on its soft labels."""
+
+def reliabilities(patterns: dict[str, int]) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
+    """EM over counted vote patterns: each pattern's probability, each labeler's chances."""
     names = sorted(patterns)
     if not names:
-        return Model({}, {})
+        return {}, {}
     n = np.array([patterns[x] for x in names], float)
     kind = np.array([KINDS.index(x.split("|")[0]) for x in names])
-    v = np.array([["-0+".index(c) for c in x.split("|")[2]] for x in names])
+    v = np.array([["-0+".index(c) for c in x.split("|")[1]] for x in names])
     q = np.clip(0.5 + 0.18 * (v - 1).sum(axis=1), 0.02, 0.98)  # majority to begin with
     eye = np.eye(3)[v]
     for _ in range(200):
@@ -172,57 +234,73 @@ def fit(patterns: dict[str, int]) -> Model:
         change, q = np.abs(new - q).max(), new
         if change < 1e-7:
             break
-    size = np.array([int(x.split("|")[1]) for x in names])
-    a = np.column_stack([np.eye(len(KINDS))[kind], np.eye(8)[size], v - 1.0])
-    b = np.zeros(a.shape[1])
+    return dict(zip(names, q.tolist())), {x: (float(chance[1][j, 2]), float(chance[0][j, 2])) for j, x in enumerate(LABELERS)}
+
+
+def classifier(places: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression on soft labels: rows of trait places, how often they occur, probabilities."""
+    a = np.zeros((len(n), WIDTH + 1))
+    np.put_along_axis(a, places, 1.0, axis=1)
+    a[:, -1] = 1
+    b = np.zeros(WIDTH + 1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + np.eye(len(b)), a.T @ (n * (p - q)) + b)
         b -= step * min(1, 4 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-    return Model(dict(zip(names, p.tolist())), {x: (float(chance[1][j, 2]), float(chance[0][j, 2])) for j, x in enumerate(LABELERS)})
+    return b
 
 
 # ---- Spark ----
 
 _WANTED = np.zeros(256, bool)
 _WANTED[[ord(c) for c in "@=:0123456789"]] = True
-_CANDIDATE = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("pattern", pa.string())])
+_CANDIDATE = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("pattern", pa.string()), ("traits", pa.list_(pa.int32()))])
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): every text's candidates with their vote patterns."""
+    """(id, spans): every text's candidates with their vote patterns and traits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textnum.slices(batches, 1, SLICE_BYTES):
             data, off = textnum.view(batch.column(1))
             may = textnum.doc_sums(_WANTED[data], off) > 0
             out: list[list] = [[] for _ in range(batch.num_rows)]
             for i in np.flatnonzero(may).tolist():
                 text = data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
-                out[i] = [{"kind": k, "start": s, "end": e, "base": base, "pattern": pattern(text, k, s, e)} for k, s, e, base in spans_of(text)]
+                out[i] = [{"kind": k, "start": s, "end": e, "base": base, "pattern": pattern(text, k, s, e), "traits": traits(text, k, s, e)} for k, s, e, base in spans_of(text)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(_CANDIDATE))], names=["id", "spans"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, spans array<struct<kind: string, start: long, end: long, base: boolean, pattern: string>>")
+    return df.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(run, f"id {kind}, spans array<struct<kind: string, start: long, end: long, base: boolean, pattern: string, traits: array<int>>>")
 
 
 def learn(found: DataFrame) -> Model:
-    """The model from all candidates of ``candidates``."""
-    counts = found.select(F.explode("spans.pattern").alias("pattern")).groupBy("pattern").count()
-    return fit({r["pattern"]: r["count"] for r in counts.toLocalIterator()})
+    """The model from all candidates of ``candidates``: EM sees all vote patterns, the classifier all traits, or a
+    sample by hash of MAX_FIT_ROWS of their different combinations."""
+    each = found.select(F.explode("spans").alias("s")).groupBy("s.pattern", "s.traits").agg(F.count(F.lit(1)).alias("n"))
+    counts = kept(each, "pii-counts")
+    patterns = {r["pattern"]: r["n"] for r in counts.groupBy("pattern").agg(F.sum("n").alias("n")).toLocalIterator()}
+    if not patterns:
+        return no_model()
+    probability, reliability = reliabilities(patterns)
+    total = counts.count()
+    if total > MAX_FIT_ROWS:
+        counts = counts.filter(sampled(F.xxhash64("pattern", "traits"), MAX_FIT_ROWS / total))
+    rows = counts.orderBy("pattern", "traits").toPandas()
+    weights = classifier(np.array(rows["traits"].tolist(), np.int64).reshape(-1, len(TRAITS)), rows["n"].to_numpy(float), rows["pattern"].map(probability).to_numpy(float))
+    return Model(weights, probability, reliability)
 
 
-def _accepted(model: Model) -> list[str]:
-    return sorted(x for x, p in model.probability.items() if p >= KEEP_FROM)
+_KEEP_ODDS = float(np.log(KEEP_FROM / (1 - KEEP_FROM)))
 
 
 def decided(spans: Column, model: Model) -> Column:
-    """The base spans and those others whose pattern the classifier accepts."""
-    good = F.array(*(F.lit(x) for x in _accepted(model) if x.split("|")[0] not in BASE)) if model.probability else F.array().cast("array<string>")
-    return F.filter(spans, lambda s: s["base"] | F.array_contains(good, s["pattern"]))
+    """The base spans and those others that the classifier accepts."""
+    weights = F.array(*(F.lit(float(w)) for w in model.weights[:-1]))
+    odds = lambda s: F.aggregate(s["traits"], F.lit(float(model.weights[-1])), lambda a, i: a + F.get(weights, i))
+    return F.filter(spans, lambda s: s["base"] | (odds(s) >= _KEEP_ODDS))
 
 
 def _text_of(spans: Column) -> Column:
@@ -236,28 +314,26 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
     all_spans = decided(F.col("spans"), model)
-    return found.select(F.col("id").alias("doc_id"), *(count(k) for k in BASE), F.sha2(_text_of(base).cast("binary"), 256).alias("base_sha256"), _text_of(all_spans).alias("spans"), (F.size(all_spans) - F.size(base)).cast("long").alias("n_added"))
+    return found.select(F.col("id").alias("doc_id"), *(count(k) for k in BASE), F.sha2(_text_of(base).cast("binary"), 256).alias("base_sha256"), _text_of(all_spans).alias("spans"), (F.size(all_spans) - F.size(base)).cast("long").alias("n_added"), F.size(all_spans).cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with every decided span of the text replaced by its kind in brackets; other columns as they were."""
-    accepted = frozenset(_accepted(model))
-
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            data, off = textnum.view(column)
-            out = column.to_pylist()
+        for strings in batches:
+            data, off = textnum.view(strings)
+            out = strings.to_pylist()
             for i in np.flatnonzero(textnum.doc_sums(_WANTED[data], off) > 0).tolist():
-                out[i] = masked(out[i], accepted)
+                out[i] = masked(out[i], model)
             yield pa.array(out, pa.string())
 
-    return df.withColumn(text_col, run(F.col(text_col)))
+    return df.select(*(run(column(c)).alias(c) if c == text_col else column(c) for c in df.columns))
 
 
-def masked(text: str, accepted: frozenset[str]) -> str:
+def masked(text: str, model: Model) -> str:
     """Spans that overlap are replaced as one, by the kind listed first."""
-    spans = sorted((s, -e, k) for k, s, e, base in spans_of(text) if base or pattern(text, k, s, e) in accepted)
+    spans = sorted((s, -e, k) for k, s, e, base in spans_of(text) if base or model.score(traits(text, k, s, e)) >= _KEEP_ODDS)
     out, done, i = [], 0, 0
     while i < len(spans):
         s, e, kinds = spans[i][0], -spans[i][1], [spans[i][2]]
