@@ -2,22 +2,26 @@
 
 An item is contained in a document if the document has at least ``LEAST`` of the item's distinct k-word
 shingles (k is 5; a shorter item is one shingle of its own length). Items are partitioned by the size of their
-shingle sets. A partition's items are indexed by their bottom-m MinHash values, where m follows from the size:
-a document that has enough of an item's shingles has at least one of the m smallest, however long the document
-is, so no contained item is missed. Documents are searched with all their shingle hashes; the pairs found are
-then verified on the shingles themselves.
+shingle sets, each partition up to twice the size of the one before. A partition's items are indexed by their
+bottom-m MinHash sketches: an item of n shingles may lack n - ceil(LEAST * n) of them, so with one more a document
+that contains it, however long, has one of its sketch; ``sketch_length`` gives the longest sketch of a partition.
+The order of hashes is the same for all items and puts those that many items share last, so that a phrase of many
+items is in a sketch only where it must be. Documents are searched with all their shingle hashes, each text in one
+pass; the pairs found are then verified on the shingles themselves.
 
 Defined cases: null texts and texts without words contain nothing, and items without words are contained in
 nothing; repeated items and documents appear as often as they occur (ids that repeat are joined into one);
-empty tables give no rows; other columns are ignored.
+rows with a null id, documents or items, take no part; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import kept
+from wayfind.llm.common import column, kept
 
 WORDS = 5
 LEAST = 0.75
@@ -30,10 +34,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), "")
 
 
-def _shingles(words_col: str, width: int) -> Column:
+def _runs(w: Column, width: int) -> Column:
     """All runs of ``width`` words, as arrays."""
-    w = F.col(words_col)
-    return F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.slice(w, i, width))
+    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.slice(w, i, width))
+    return F.when(F.size(w) >= width, runs).otherwise(F.array().cast("array<array<string>>"))
+
+
+def _all_runs(w: Column, widths: list[int], of) -> Column:
+    """``of`` each run of these widths."""
+    return F.flatten(F.array(*(F.transform(_runs(w, k), of) for k in widths)))
+
+
+def sketch_length(part: int, least: float = LEAST) -> int:
+    """Hashes in the longest sketch of the partition of items with 2 ** part to 2 ** (part + 1) - 1 shingles."""
+    n = range(1 << part, 2 << part)
+    return max(k - max(1, math.ceil(k * least)) + 1 for k in n)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -47,13 +62,14 @@ def item_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     n: the item's distinct shingles; needed: how many a document must have; part: the size partition (n's
     power of two); rows with place <= n - needed + 1 are the item's sketch.
     """
-    w = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
+    w = items.select(column(id_col).alias("item_id"), words(column(text_col)).alias("w")).filter(F.col("item_id").isNotNull() & (F.size("w") > 0))
     w = w.withColumn("width", F.least(F.size("w"), F.lit(WORDS)))
     all_runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1), lambda i: F.slice("w", i, F.col("width")))
     sets = w.select("item_id", "width", F.array_distinct(all_runs).alias("runs"))
     merged = sets.select("item_id", "width", F.explode("runs").alias("run")).distinct()
-    hashed = merged.select("item_id", "width", F.array_join("run", " ").alias("shingle"), F.xxhash64("run").alias("hash"))
-    grouped = hashed.groupBy("item_id", "width").agg(F.array_sort(F.collect_set(F.struct("hash", "shingle"))).alias("s"))
+    hashed = kept(merged.select("item_id", "width", F.array_join("run", " ").alias("shingle"), F.xxhash64("run").alias("hash")), "benchmark-shingles")
+    many = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("items"))
+    grouped = hashed.join(many, "hash").groupBy("item_id", "width").agg(F.array_sort(F.collect_list(F.struct("items", "hash", "shingle"))).alias("s"))
     n = F.size("s")
     out = grouped.withColumn("n", n).withColumn("needed", F.greatest(F.ceil(n * F.lit(least)), F.lit(1)).cast("int")).withColumn("part", F.floor(F.log2(n)).cast("int"))
     return out.select("item_id", "width", "n", "needed", "part", F.posexplode("s").alias("place", "s")).select("item_id", "width", "n", "needed", "part", F.col("s.shingle").alias("shingle"), F.col("s.hash").alias("hash"), (F.col("place") + 1).alias("place"))
@@ -62,35 +78,24 @@ def item_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def candidates(docs: DataFrame, index: DataFrame, widths: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct (doc_id, item_id) where the document has one of the item's sketch hashes and enough words."""
     sketch = index.filter(F.col("place") <= F.col("n") - F.col("needed") + 1)
-    w = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    found = None
-    for width in widths:
-        own = _small(sketch.filter(F.col("width") == width).select("item_id", "hash", "part", "needed"))
-        hashes = F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda i: F.xxhash64(F.slice("w", i, width)))
-        rows = w.filter(F.size("w") >= width).select("doc_id", F.size("w").alias("size"), F.explode(hashes).alias("hash"))
-        # a document below the smallest size of the item's partition is out of reach of its items
-        hits = rows.join(own, "hash").filter((F.col("size") - (width - 1) >= F.col("needed")) & (F.col("size") >= F.floor(F.lit(LEAST) * F.pow(F.lit(2.0), F.col("part"))))).select("doc_id", "item_id")
-        found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
+    own = _small(sketch.select("item_id", "hash", F.col("needed"), F.col("width")))
+    w = docs.select(column(id_col).alias("doc_id"), words(column(text_col)).alias("w"))
+    rows = w.select("doc_id", F.size("w").alias("size"), F.explode(_all_runs(F.col("w"), widths, lambda x: F.xxhash64(x))).alias("hash"))
+    hits = rows.join(own, "hash").filter(F.col("size") - (F.col("width") - 1) >= F.col("needed"))
+    return hits.select("doc_id", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) of every contained item."""
     index = kept(item_index(items, item_id, item_text), "benchmark-index")
     widths = sorted(r[0] for r in index.select("width").distinct().collect())  # at most five
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    if not widths:
-        return slim.select("doc_id").limit(0).crossJoin(index.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0).cast("long").alias("shared"), F.lit(0).alias("item_shingles"), F.lit(0.0).alias("containment"))
-    pairs = kept(candidates(slim, index, widths), "benchmark-pairs")
+    slim = docs.select(column(doc_id).alias("doc_id"), column(doc_text).alias("text")).filter("doc_id is not null")
+    pairs = kept(candidates(slim, index, widths or [WORDS]), "benchmark-pairs")
     ids = pairs.select("doc_id").distinct()
     w = slim.join(_small(ids), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    shared = None
-    for width in widths:
-        own = _small(index.filter(F.col("width") == width).select("item_id", "n", "needed", "shingle"))
-        runs = F.transform(_shingles("w", width), lambda x: F.array_join(x, " "))
-        rows = w.filter(F.size("w") >= width).select("doc_id", F.explode(runs).alias("shingle"))
-        hits = rows.join(own, "shingle").groupBy("doc_id", "item_id", "n", "needed", "shingle").agg(F.lit(1).alias("one")).groupBy("doc_id", "item_id", "n", "needed").agg(F.count("one").alias("shared"))
-        shared = hits if shared is None else shared.unionByName(hits)
+    rows = w.select("doc_id", F.explode(_all_runs(F.col("w"), widths or [WORDS], lambda x: F.array_join(x, " "))).alias("shingle"))
+    own = _small(index.select("item_id", "n", "needed", "shingle"))
+    shared = rows.join(own, "shingle").distinct().groupBy("doc_id", "item_id", "n", "needed").agg(F.count(F.lit(1)).alias("shared"))
     verified = shared.filter(F.col("shared") >= F.col("needed")).join(pairs, ["doc_id", "item_id"], "left_semi")
     return verified.select("doc_id", "item_id", "shared", F.col("n").alias("item_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
 
