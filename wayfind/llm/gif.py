@@ -5,8 +5,8 @@ column into timed frames, each with the indices of its own rectangle and a colou
 shown, and joins the indices of all frames to the payload.
 
 Defined cases: a null text is stored like an empty one (64 zero bytes); a null or broken file gives the frames
-before the fault and the fault in ``error``; repeated rows are handled alike; columns other than those named
-are ignored; empty tables give no rows.
+before the fault and the fault in ``error``, as does one that claims a canvas over ``MAX_PIXELS``; repeated rows are
+handled alike, null ids carried along; columns other than those named are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import textnum
+from wayfind.llm.common import column
 
 WIDTH, ROWS = 64, 512
 DELAY_CS = 10
 BINS = 64
 #: 3 bits of red, 3 of green, 2 of blue.
 PALETTE = np.array([((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3) for i in range(256)], np.uint8)
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
+#: Pixels of a canvas; a file that claims more is not drawn.
+MAX_PIXELS = 1 << 24
 
 _HEAD = struct.Struct("<6sHHBBB")
 _IMAGE = struct.Struct("<BHHHHB")
@@ -194,6 +197,8 @@ def decode(data: bytes | None) -> tuple[list[dict], str | None]:
         if not data or data[:6] not in (b"GIF87a", b"GIF89a"):
             return frames, "no GIF header"
         _, w, h, flags, _, _ = _HEAD.unpack_from(data)
+        if w * h > MAX_PIXELS:
+            return frames, f"a canvas of {w} x {h} is too large"
         at = _HEAD.size
         shared = None
         if flags & 0x80:
@@ -268,7 +273,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    return df.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
 FRAME = "struct<frame: int, x: int, y: int, width: int, height: int, delay_ms: int, disposal: int, transparent: int, interlaced: boolean, histogram: array<long>>"
@@ -277,17 +282,15 @@ _FRAME = pa.struct([(n, pa.int32()) for n in ("frame", "x", "y", "width", "heigh
 
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """The rows with payload (the indices of all frames in one piece), frames and error; columns of these names are replaced."""
-    df = df.select(*(c for c in df.columns if c not in ("payload", "frames", "error")))
+    df = df.select(*(column(c) for c in df.columns if c not in ("payload", "frames", "error")))
     names = [*df.columns, "payload", "frames", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(i, 1000)
-                found = [decode(x) for x in part.column(names.index(media_col)).to_pylist()]
-                frames = [[{k: v for k, v in f.items() if k != "pixels"} for f in x] for x, _ in found]
-                payload = [b"".join(f["pixels"] for f in x) for x, _ in found]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payload, pa.binary()), pa.array(frames, pa.list_(_FRAME)), pa.array([x for _, x in found], pa.string())], names=names)
+        for part in textnum.slices(batches, names.index(media_col), OUT_BYTES):
+            found = [decode(x) for x in part.column(names.index(media_col)).to_pylist()]
+            frames = [[{k: v for k, v in f.items() if k != "pixels"} for f in x] for x, _ in found]
+            payload = [b"".join(f["pixels"] for f in x) for x, _ in found]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payload, pa.binary()), pa.array(frames, pa.list_(_FRAME)), pa.array([x for _, x in found], pa.string())], names=names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInArrow(run, f"{schema}, payload binary, frames array<{FRAME}>, error string")

@@ -7,7 +7,7 @@ broadcast, and a batch is scored by gathering its rows and adding them up by doc
 
 Defined cases: a null text and a text without letters are ``und`` with score 0; so is every text if no
 labelled row exists; rows with a null language do not train; repeated rows train as often as they occur;
-other columns, whatever their names, are ignored.
+bytes that are no UTF-8 count as U+FFFD; null ids are carried along; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import textnum
+from wayfind.llm.common import column
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
-MAX_LANGUAGES = 1000
+#: Entries of the matrix; with more languages than fit, neighbouring buckets are added up until it has no more.
+MAX_ENTRIES = 1 << 25
 #: A text's evidence counts as that of at most this many n-grams in its score, not in its prediction.
 EVIDENCE = 40
 _FOLDED = 0x250
@@ -39,9 +41,23 @@ class Model:
     prior: np.ndarray
 
 
+def _valid(raw: bytes, off: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts with U+FFFD for bytes that are no UTF-8."""
+    inner = (np.frombuffer(raw, np.uint8)[off[:-1][off[:-1] < off[1:]]] & 0xC0) == 0x80
+    try:
+        if not inner.any():
+            raw.decode()
+            return raw, off
+    except UnicodeDecodeError:
+        pass
+    own = [raw[i:j].decode("utf-8", "replace").encode() for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+    return b"".join(own), np.cumsum([0, *map(len, own)])
+
+
 def grams(raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets and documents of all n-grams, and whether each document has a letter."""
-    chars = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    raw, off = _valid(raw, off)
+    chars = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
     lead = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
     at = lead[off]
     wide = chars >= _FOLDED
@@ -89,20 +105,21 @@ def fit(docs: DataFrame, keep: Column | None = None, text_col: str = "text", lan
             b = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(b) + 1)), pa.array(np.append(b, -1).astype(np.int32)), pa.array(np.append(x[b], rows[name]))], names=["lang", "bucket", "n"])
 
-    known = docs.filter(F.col(lang_col).isNotNull()) if keep is None else docs.filter(F.col(lang_col).isNotNull() & keep)
-    parts = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(count, "lang string, bucket int, n long")
+    known = docs.filter(column(lang_col).isNotNull()) if keep is None else docs.filter(column(lang_col).isNotNull() & keep)
+    parts = known.select(column(text_col).alias("text"), column(lang_col).cast("string").alias("lang")).mapInArrow(count, "lang string, bucket int, n long")
     found = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if not len(found):
         return None
     names, code = np.unique(found["lang"].to_numpy().astype(str), return_inverse=True)
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is bounded to {MAX_LANGUAGES}")
-    counts, rows = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
+    buckets = BUCKETS
+    while buckets > 1 and buckets * len(names) > MAX_ENTRIES:
+        buckets //= 2
+    counts, rows = np.zeros((buckets, len(names)), np.float32), np.zeros(len(names))
     bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy().astype(float)
     rows[code[bucket < 0]] = n[bucket < 0]
-    counts[bucket[bucket >= 0], code[bucket >= 0]] = n[bucket >= 0]
-    smooth = counts + 0.5
-    return Model(names.tolist(), np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.log(rows / rows.sum()))
+    np.add.at(counts, (bucket[bucket >= 0] & (buckets - 1), code[bucket >= 0]), n[bucket >= 0])
+    counts += 0.5
+    return Model(names.tolist(), np.log(counts / counts.sum(axis=0, dtype=float)).astype(np.float32), np.log(rows / rows.sum()))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,6 +133,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             best, prob = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             for i, j in textnum.parts(off) if m else []:
                 b, d, letter = grams(data[off[i] : off[j]].tobytes(), off[i : j + 1] - off[i])
+                b &= np.uint32(len(m.matrix) - 1)
                 n = np.bincount(d, minlength=j - i)
                 log = np.stack([np.bincount(d, weights=m.matrix[:, k][b], minlength=j - i) for k in range(len(m.languages))], axis=1)
                 best[i:j] = np.where(letter, np.array(m.languages, object)[(log + m.prior).argmax(axis=1)], "und")
@@ -125,4 +143,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.tolist(), pa.string()), pa.array(prob)], names=["id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, lang_pred string, score double")
+    return docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(score, f"id {kind}, lang_pred string, score double")

@@ -8,7 +8,8 @@ multiples of the sequence length are cut off first and stand alone. Where nothin
 fixed size, so no shuffle is needed and nothing gathers.
 
 Defined cases: null and empty texts count as the end token alone; repeated rows are packed as often as they
-occur; an empty table gives no rows; columns other than the id and text are ignored.
+occur; null ids are carried along; bytes that are no UTF-8 count as U+FFFD; an empty table gives no rows; columns
+other than the id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import textnum
+from wayfind.llm.common import column, kept
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: The chunk cache of a worker is emptied beyond this size (some 40 bytes each).
 CACHED_CHUNKS = 500_000
 _FIELDS = [x.split()[0] for x in PIECES.split(", ")]
@@ -109,9 +111,11 @@ class Tokeniser:
     def _encode_chunks(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks [s, e), one after another, and each chunk's number of ids."""
         raw = data.tobytes()
-        wide = data >= 128
-        wide &= (data != 0xC2) & (data != 0xC3)
-        wide[1:] &= (data[:-1] != 0xC2) & (data[:-1] != 0xC3)
+        # bytes that are not ASCII or a whole character of two bytes up to U+00FF
+        lead, inner = (data == 0xC2) | (data == 0xC3), (data & 0xC0) == 0x80
+        wide = (data >= 128) & ~lead
+        wide[1:] &= ~(inner[1:] & lead[:-1])
+        wide |= lead & ~np.append(inner[1:], False)
         wide = np.concatenate((np.zeros(1, np.int32), np.cumsum(wide, dtype=np.int32)))
         last, before = data[e - 1], data[np.maximum(e - 2, s)]
         blank = (data[s] == 32) | (data[s] == 10)
@@ -196,6 +200,42 @@ class Packer:
         return out
 
 
+def public_vocabulary() -> tuple[str, str]:
+    """The 50k byte-level BPE as a tokenizers file and as tiktoken ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def token_counts(df: DataFrame, columns: list[str], text_col: str = "text", vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+    """These columns and n_tokens, the number of ids of each text (0 for null)."""
+    if vocabulary is None:
+        vocabulary, ranks = public_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokeniser = tokeniser_of(vocabulary, ranks)
+        for batch in textnum.slices(batches, len(columns), BATCH_BYTES):
+            _, count = tokeniser.encode(*textnum.view(batch.column(len(columns))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(count)], names=[*columns, "n_tokens"])
+
+    kinds = dict(df.dtypes)
+    return df.select(*map(column, columns), column(text_col).alias("text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_tokens long")
+
+
+def pack_conversations(turns: DataFrame, tokens: int = 1024, segments: int = 16, loss: int = 768) -> DataFrame:
+    """Instruction data: whole conversations into sequences under limits on tokens, conversations and the tokens
+    that bear loss, which are those of the assistant's turns. turns: conv_id, role, text.
+
+    (conv_id, n_tokens, n_loss, sequence_id, offset, segment); a turn ends in one more token.
+    """
+    counted = token_counts(turns, ["conv_id", "role"])
+    size = F.col("n_tokens") + 1
+    sums = counted.groupBy("conv_id").agg(F.sum(size).alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", size).otherwise(0)).alias("n_loss"))
+    sums = kept(sums, "conversations")
+    placed = pack_lengths(sums, "conv_id", "n_tokens", "n_loss", tokens, segments, loss)
+    return placed.withColumnRenamed("id", "conv_id").join(sums, "conv_id").select("conv_id", "n_tokens", "n_loss", "sequence_id", "offset", "segment")
+
+
 def pack_texts(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -216,9 +256,7 @@ def pack_texts(
     token bears loss.
     """
     if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+        vocabulary, ranks = public_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokeniser, packer = tokeniser_of(vocabulary, ranks), Packer(tokens, segments, loss, pool, min_cut)
@@ -261,7 +299,7 @@ def pack_texts(
             close(packer.fill())
         yield from flush()
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def pack_lengths(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, tokens: int, segments: int, loss: int, pool: int = 256) -> DataFrame:
@@ -299,7 +337,7 @@ def pack_lengths(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, tok
         if rows:
             yield _placed(rows, batch.schema.field(0).type)
 
-    return df.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long"), F.col(loss_col).cast("long")).mapInArrow(run, f"id {name}, sequence_id long, offset long, segment int")
+    return df.select(column(id_col).alias("id"), column(tokens_col).cast("long"), column(loss_col).cast("long")).mapInArrow(run, f"id {name}, sequence_id long, offset long, segment int")
 
 
 def _placed(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
