@@ -6,8 +6,9 @@ counts, so each shard holds a compact region and files can be pruned on several
 partitioning and the position in each partition give every row its global rank; only the partitions' counts
 are gathered, so no window spans the table.
 
-Defined cases: null metadata takes cell 0 and null texts size 1; ties are broken by the columns named last,
-repeated rows take neighbouring slots; an empty table gives no rows; columns other than those named are ignored.
+Defined cases: null metadata takes cell 0 and null texts size 1; null ids come first among ties; ties are broken by
+the columns named last, repeated rows take neighbouring slots; an empty table gives no rows; columns other than those
+named are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +21,26 @@ from wayfind.llm.common import kept, shuffle_partitions
 BITS = 6
 
 
-def quantised_hash(column: Column, bits: int = BITS) -> Column:
-    """A categorical value's cell."""
-    return F.when(column.isNull(), 0).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << bits))).cast("int")
+def text_key(value: Column, skip: int) -> Column:
+    """Seven bytes of a text from the skip-th on as a number: texts in byte order give numbers in order."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
 
 
-def quantised_log(column: Column, most: float, bits: int = BITS) -> Column:
-    """A size's cell on a logarithmic scale up to ``most``."""
-    top = (1 << bits) - 1
-    return F.coalesce(F.least(F.greatest(F.floor(F.log2(F.greatest(column, F.lit(1))) * F.lit(top) / F.log2(F.lit(float(max(most, 2))))), F.lit(0)), F.lit(top)), F.lit(0)).cast("int")
+def quantised(df: DataFrame, key: Column, bits: int = BITS) -> Column:
+    """A number's cell. Cells follow the order and, as far as the numbers differ, hold equally many rows of df; a
+    frequent number takes the last of the cells that are its share."""
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    bounds = df.agg(F.percentile_approx(key.cast("long"), shares, 2000)).first()[0] or []
+    cell = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= key))
+    return F.when(key.isNull(), 0).otherwise(cell).cast("int")
+
+
+def quantised_text(df: DataFrame, name: str, bits: int = BITS) -> Column:
+    """A text's cell, in byte order."""
+    least, most = (x or "" for x in df.agg(F.min(name), F.max(name)).first())
+    least, most = least.encode(), most.encode()
+    skip = next((i for i, (x, y) in enumerate(zip(least, most)) if x != y), min(len(least), len(most)))
+    return quantised(df, text_key(F.col(name), skip), bits)
 
 
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
@@ -88,13 +100,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, bits: int = BITS) -> Data
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        quantised_hash(F.col("lang"), bits).alias("cell_lang"),
-        quantised_hash(F.col("source"), bits).alias("cell_source"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
     )
     slim = kept(slim, "shard-metadata")
-    most = slim.agg(F.max("size")).first()[0] or 1
     cells = [F.col("cell_lang"), F.col("cell_source"), F.col("cell_size")]
-    placed = slim.withColumn("cell_size", quantised_log(F.col("size"), most, bits)).withColumn("curve", hilbert_index(cells, bits))
+    placed = slim.withColumns({"cell_lang": quantised_text(slim, "lang", bits), "cell_source": quantised_text(slim, "source", bits), "cell_size": quantised(slim, F.col("size"), bits)})
+    placed = placed.withColumn("curve", hilbert_index(cells, bits))
     return equal_runs(placed, ["curve", "text_crc32", "doc_id"], shards)
 
 
