@@ -67,3 +67,24 @@ def test_null_ids_beside_a_repeated_id_all_stay(spark):
     docs = spark.createDataFrame([(1, text + "one"), (1, text + "one"), (None, "quite another text"), (None, "and a third one"), (None, None)], "doc_id long, text string")
     left = corpus_pipeline.one_of_each(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (0, "and a third one"), (0, "quite another text"), (1, text + "one")]
+
+
+def test_columns_of_any_name_pass(spark, tmp_path):
+    text = "Plain words that go on for a while and then stop at last, number "
+    schema = "doc_id long, text string, lang string, source string, quality_posterior double, _key string, _group string, _prior int, `a.b` string, id long, spans string, count int"
+    rows = [(i, text + str(i) * 30, "en", "s", 0.123, "k", "g", 1, "dot", 5, "x", 2) for i in range(3)] + [(None, text + x, None, None, None, None, None, None, None, None, None, None) for x in ("one", "two two", "three")]
+    for name, kinds in (("labels", [("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]), ("benchmark", [("item_id", pa.int64()), ("text", pa.string())])):
+        pq.write_table(pa.schema(kinds).empty_table(), tmp_path / f"{name}.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = kept(stage(spark, docs, str(tmp_path)), f"names-{name}")
+        assert docs.columns == spark.createDataFrame([], schema).columns
+    left = [tuple(r) for r in docs.collect()]
+    # the three with an id are near copies of each other; of those without one nothing is dropped
+    assert sorted(left, key=str) == sorted([r for r in rows if r[0] in (0, None)], key=str)
+
+
+def test_two_texts_under_one_id_both_stay(spark):
+    rows = [(1, "quite one text", "a"), (1, "and another text", "b"), (1, "quite one text", "c"), (2, "and another text", "d"), (3, "a third text", "e"), (None, "quite one text", "f")]
+    left = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, extra string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "quite one text"), (1, "and another text"), (1, "quite one text"), (3, "a third text")]

@@ -33,6 +33,34 @@ def test_few_rows_and_none(spark):
     assert sorted(r["slot"] for r in out) == [0, 0, 0]
 
 
+def test_slots_against_a_plain_sort(spark):
+    rows = [(i * 7 % 211, f"text {i} " * (i % 9), f"l{i % 3}", f"s{i % 5}", 0, 0) for i in range(211)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    order = sorted(out, key=lambda r: (r["curve"], r["text_crc32"], r["doc_id"]))
+    for i, r in enumerate(order):
+        shard = i * 16 // len(order)
+        assert (r["shard"], r["slot"]) == (shard, i - -(-shard * len(order) // 16))
+
+
+def test_cells_follow_the_order_of_texts(spark):
+    names = ["http://a.com", "http://ab.com", "http://b.com", "http://z.com/x", "http://é.com"]
+    df = spark.createDataFrame([(n,) for n in names * 20] + [(None,)], "source string")
+    cells = {r[0]: r[1] for r in df.select("source", sharding.quantised_text(df, "source")).distinct().collect()}
+    known = [cells[n] for n in sorted(names, key=str.encode)]
+    assert known == sorted(set(known)) and cells[None] == 0
+
+
+def test_written_files_prune(spark, tmp_path):
+    """Statistics of the files written in curve order exclude most files for a value of each column."""
+    rows = [(i, "x" * (1 + i * 31 % 97 * 40), f"l{i * 13 % 4}", f"s{i * 17 % 20:02d}", 0, 0) for i in range(4000)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA))
+    sharding.write_shards(out, str(tmp_path / "shards"))
+    found = sharding.extents(spark.read.parquet(str(tmp_path / "shards")), ["lang", "source", "size"]).collect()
+    assert len(found) == 16
+    for column, value in (("lang", "l2"), ("source", "s07"), ("size", 1601)):
+        assert sum(r[f"min_{column}"] <= value <= r[f"max_{column}"] for r in found) <= 12, column
+
+
 def test_shards_are_compact(spark):
     rows = [(i, "x" * (1 + i % 97 * 40), f"l{i % 4}", f"s{i % 20}", 0, 0) for i in range(4000)]
     out = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA))

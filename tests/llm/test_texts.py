@@ -61,6 +61,31 @@ def test_licences(spark, empty):
     assert not any(r["confirmed"] for r in found if r["doc_id"] == 3)
     assert all(0 <= r["probability"] <= 1 for r in found)
     assert licenses.scan(empty).count() == 0
+    by_doc = {r["doc_id"]: r["families"] for r in licenses.families(licenses.scan(docs)).collect()}
+    assert by_doc == {1: ["apache-2.0"], 2: ["mit"], 6: ["cc-by-nc-4.0"], 7: ["proprietary"], 8: ["gpl-3.0"]}
+
+
+def test_scores_against_a_plain_computation(spark):
+    """Every paragraph of the documents by the model's weights, one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = licenses.fit(docs)
+    found = {}
+    for r in licenses.classify(licenses.with_cue(licenses.paragraphs(docs), model.cues), model).collect():
+        found.setdefault((r["doc_id"], r["paragraph"]), []).append(r)
+    place = {f: k for k, f in enumerate(model.features)}
+    seen = set()
+    for d in docs.collect():
+        for k, block in enumerate(x for x in re.split(r"\n\s*\n", d["text"] or "") if x.strip()):
+            hit = [place[g] for g in licenses.grams_of(licenses.tokens_of(block)) if g in place]
+            if not hit:
+                continue
+            z = (model.weights[hit].sum(axis=0) / np.sqrt(len(hit)) + model.constant) / model.temperature
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            seen.add((d["doc_id"], k))
+            for r in found[d["doc_id"], k]:
+                assert abs(r["probability"] - p[model.classes.index(r["family"])]) < 1e-9
+    assert seen == set(found)
 
 
 def test_licence_bodies_and_wrapped_notices(spark):
@@ -131,10 +156,55 @@ def test_report_and_redaction(spark, odd, empty):
 
 
 def test_em_ranks_labelers():
-    patterns = {"secret|5|+++++0": 500, "secret|5|-+0---": 300, "number|5|--0-- 0".replace(" ", ""): 400, "email|5|+++++0".replace("+++++0", "++0+00"): 800}
-    model = pii.fit(patterns)
-    assert model.probability["secret|5|+++++0"] > 0.9 > 0.5 > model.probability["number|5|--0--0"]
-    assert all(true >= false for true, false in model.reliability.values())
+    patterns = {"secret|+++++0": 500, "secret|-+0---": 300, "number|--0--0": 400, "email|++0+00": 800}
+    probability, reliability = pii.reliabilities(patterns)
+    assert probability["secret|+++++0"] > 0.9 > 0.5 > probability["number|--0--0"]
+    assert all(true >= false for true, false in reliability.values())
+
+
+def test_em_finds_the_reliabilities_that_made_the_votes():
+    r = random.Random(12)
+    true_for, false_for = [0.9, 0.85, 0.6, 0.9, 0.8, 0.5], [0.1, 0.2, 0.3, 0.1, 0.2, 0.4]
+    patterns = {}
+    right = {}
+    for _ in range(20_000):
+        real = r.random() < 0.4
+        p = "secret|" + "".join("+" if r.random() < (true_for if real else false_for)[j] else "-" for j in range(6))
+        patterns[p] = patterns.get(p, 0) + 1
+        right.setdefault(p, []).append(real)
+    probability, reliability = pii.reliabilities(patterns)
+    for j, name in enumerate(pii.LABELERS):
+        assert abs(reliability[name][0] - true_for[j]) < 0.06 and abs(reliability[name][1] - false_for[j]) < 0.06
+    for p, real in right.items():  # the exact posterior of the votes
+        odds = 0.4 / 0.6
+        for j, c in enumerate(p.split("|")[1]):
+            odds *= true_for[j] / false_for[j] if c == "+" else (1 - true_for[j]) / (1 - false_for[j])
+        assert abs(probability[p] - odds / (1 + odds)) < 0.2
+
+
+def test_span_classifier_scores_traits_it_never_saw(spark):
+    texts = [(i, f"login password={'aB3xK9qLm2' + str(i)} set") for i in range(40)] + [(100 + i, f"order invoice token: {'a' * (8 + i % 9)} page") for i in range(40)]
+    model = pii.learn(pii.candidates(spark.createDataFrame(texts, "doc_id long, text string")))
+    new = "credential: secret=Qz81_kkP0xx9 \n"
+    span = next(x for x in pii.spans_of(new) if x[0] == "secret")
+    assert model.score(pii.traits(new, *span[:3])) > 0
+    assert pii.masked(new, model) == "credential: secret=[SECRET] \n"
+    plain = "order token: aaaaaaaaaaaa page"
+    span = next(x for x in pii.spans_of(plain) if x[0] == "secret")
+    assert model.score(pii.traits(plain, *span[:3])) < 0
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    text = "a@b.cd 1234567890123 " * 20_000
+    start = time.perf_counter()
+    found = pii.spans_of(text)
+    assert len(found) == 40_000 and time.perf_counter() - start < 5
+    spans = [(random.Random(i).randrange(1000), 0) for i in range(30)]
+    spans = sorted((s, s + 3) for s in {x[0] // 5 * 5 for x in spans})
+    taken = [(4, 12), (300, 310), (305, 500), (900, 901)]
+    assert pii._apart(spans, taken) == [x for x in spans if not any(s < x[1] and x[0] < e for s, e in taken)]
 
 
 # ---- op3 ----
@@ -175,6 +245,11 @@ def _picture(frames, width=4, height=4, colours=((0, 0, 0), (255, 0, 0), (0, 255
     return out + b"\x3b"
 
 
+def test_a_hostile_header_is_a_fault():
+    frames, fault = gif.decode(struct.pack("<6sHHBBB", b"GIF89a", 65535, 65535, 0, 0, 0) + b"\x3b")
+    assert frames == [] and "too large" in fault
+
+
 def test_disposal_transparency_interlace_and_faults(spark):
     red, green, blue = 48, 12, 3
     frames, fault = gif.decode(_picture([(0, 0, 4, 4, [1] * 16, 1, None, 0), (0, 0, 2, 2, [2, 0, 0, 2], 3, 0, 0), (1, 1, 2, 2, [3] * 4, 2, None, 0), (0, 0, 1, 1, [0], 0, 0, 0)]))
@@ -223,6 +298,31 @@ def test_language_counts_against_a_plain_model(spark):
         assert (model.matrix[b].sum(axis=0) + model.prior).argmax() == k
 
 
+def test_bytes_that_are_no_utf8(spark):
+    raw = [b"plain words here", b"caf\xc3", b"\xa9 tail", b"\xe2\x82 broken \xff\xfe", b"\xc3a and \xc2", "größe".encode(), b""]
+    docs = spark.createDataFrame(list(enumerate(map(bytearray, raw))), "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text", "'en' as lang")
+    model = language.fit(docs)
+    assert {r["id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}[5] == "en"
+    t = packing.tokeniser_of(*packing.public_vocabulary())
+    counts = {}
+    for p in packing.pack_texts(docs).collect():
+        counts[p["doc_id"]] = counts.get(p["doc_id"], 0) + p["length"]
+    for i, b in enumerate(raw):
+        want = t.exact.encode(b.decode("utf-8", "replace"), add_special_tokens=False).ids
+        assert counts[i] == len(want) + 1, b
+    for one in (pii.report(docs), gif.digests(docs), toxicity.score(docs, None), quality.classify(docs.selectExpr("*", "'s' as source"), None)):
+        assert one.count() == len(raw)
+
+
+def test_many_languages_share_buckets(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_ENTRIES", 1 << 12)
+    texts = [("en", "the cat sat on the mat"), ("de", "die katze sass auf der matte"), ("fr", "le chat dormait sur la table")]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.matrix.size <= 1 << 12
+    assert {r["id"]: r["lang_pred"] for r in language.predict(docs, model).collect()} == {0: "en", 1: "de", 2: "fr"}
+
+
 def test_toxicity(spark, odd, empty):
     r = random.Random(3)
     words = [f"w{i}" for i in range(300)]
@@ -254,6 +354,47 @@ def test_quality(spark, odd, empty):
     assert quality.classify(empty, None).count() == 0
 
 
+def test_quality_keeps_columns_of_any_name(spark):
+    rows = [(1, "some words of a text", "s", "en", 0.123, "k", 1, 2, "d", "h"), (2, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, quality_posterior double, _key string, _group int, _prior int, `a.b` string, _host string")
+    got = quality.accepted(docs, None)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [rows[0]]
+    assert [c for c in quality.classify(docs, None).columns if c not in docs.columns] == ["quality_evidence", "quality_posterior_", "quality_kept"]
+
+
+def test_posteriors_against_a_plain_computation(spark):
+    r = random.Random(9)
+    rows = [(h := f"h{r.randrange(12)}", f"{h}/p{r.randrange(3)}", r.random() ** (1 + int(h[1:]) % 3)) for _ in range(900)]
+    n, total, hn, ht = {}, {}, {}, {}
+    for h, p, x in rows:
+        n[h, p], total[h, p] = n.get((h, p), 0) + 1, total.get((h, p), 0) + x
+        hn[h], ht[h] = hn.get(h, 0) + 1, ht.get(h, 0) + x
+    mean = sum(ht.values()) / len(rows)
+
+    def strength(between, size):
+        real = max(between - mean * (1 - mean) / size, 1e-9)
+        return min(max(mean * (1 - mean) / real - 1, quality.LEAST_STRENGTH), quality.MOST_STRENGTH)
+
+    spread = lambda n, t: sum(t[k] ** 2 / n[k] for k in n) / len(rows) - mean**2
+    between, below = spread(hn, ht), spread(n, total)
+    k = strength(between, len(rows) / len(hn))
+    kp = strength(max(0.0, below) - between, len(rows) / len(n))
+    got = {(x["host"], x["path"]): x for x in quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    assert set(got) == set(n)
+    for key, x in got.items():
+        assert x["n"] == n[key] and abs(x["total"] - total[key]) < 1e-9
+        assert abs(x["host_share"] - (ht[key[0]] + k * mean) / (hn[key[0]] + k)) < 1e-9 and abs(x["strength"] - kp) < 1e-6 * kp
+
+
+def test_pages_have_hosts_and_paths(spark):
+    rows = [(1, "https://A.example.com:80/en/25#top", "<html><head><title>no</title></head><p>some <b>words</b></p><script>var t='</p>'</script>"), (2, "mailto:x", None), (3, None, "plain")]
+    got = {r["id"]: r for r in quality.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[1]["host"], got[1]["path"], got[1]["text"].split()) == ("a.example.com", "en", ["some", "words"])
+    assert (got[2]["host"], got[2]["path"], got[2]["text"]) == (None, None, "") and got[3]["text"] == "plain"
+    out = queries.pages_quality(spark, SF).collect()
+    assert len(out) == 250 and all(r["host"] for r in out)
+
+
 def test_sparse_hosts_shrink_to_the_global_share(spark):
     rows = [("good", "p", 0.95)] * 400 + [("bad", "p", 0.05)] * 400 + [("one", "p", 0.0), (None, None, 1.0)]
     share = {r["host"]: r["host_share"] for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
@@ -293,6 +434,48 @@ def test_packing_against_the_tokeniser(spark, odd, empty):
     assert packing.pack_texts(empty).count() == 0
 
 
+def test_packer_takes_the_largest_dot_product():
+    """Against the rule, told plainly, for whole examples."""
+    r = random.Random(21)
+    packer, waiting = packing.Packer(100, 5, 60, pool=40, min_cut=101), []
+    for i in range(400):
+        n = r.randrange(1, 100)
+        m = r.randrange(min(n, 60) + 1)
+        waiting.append((n, m, i))
+        found = packer.add(n, m, i)
+        if len(waiting) > 40:
+            left, left_loss, want = 100, 60, []
+            while len(want) < 5:
+                fit = [x for x in waiting if x[0] <= left and x[1] <= left_loss]
+                if not fit or not left:
+                    break
+                best = max(fit, key=lambda x: x[0] * left / 100**2 + x[1] * left_loss / 60**2)
+                value = lambda x: x[0] * left / 100**2 + x[1] * left_loss / 60**2  # noqa: B023, E731
+                own = next(f for f in found if f[0] in {x[2] for x in fit if abs(value(x) - value(best)) < 1e-12} and f[0] not in {w[2] for w in want})
+                best = next(x for x in waiting if x[2] == own[0])
+                want.append(best)
+                waiting.remove(best)
+                left, left_loss = left - best[0], left_loss - best[1]
+            assert [f[0] for f in found] == [x[2] for x in want]
+
+
+def test_conversations_are_packed_whole(spark):
+    out = queries.conversations_packing(spark, SF).collect()
+    t = packing.tokeniser_of(*packing.public_vocabulary())
+    size = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        n = len(t.exact.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        s = size.setdefault(r["conv_id"], [0, 0])
+        s[0] += n
+        s[1] += n * (r["role"] == "assistant")
+    assert {r["conv_id"]: [r["n_tokens"], r["n_loss"]] for r in out} == size
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for rows in by.values():
+        assert len(rows) == 1 or sum(r["n_tokens"] for r in rows) <= 1024 and sum(r["n_loss"] for r in rows) <= 768 and len(rows) <= 16
+
+
 def test_vector_limits_hold(spark):
     r = random.Random(8)
     rows = [(i, r.randrange(1, 900), None) for i in range(2000)]

@@ -53,7 +53,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(labelled_sample(docs.select("doc_id", "text"), labels.filter(fold(F.col("doc_id")) != 1), quality.MAX_FIT_ROWS))
-    return quality.classify(docs, model).select("doc_id", "quality_evidence", "quality_posterior", "quality_kept")
+    return quality.classify(docs, model, columns=["doc_id"])
+
+
+def pages_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages by the evidence of their text, their host and the first path segment below it."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(labelled_sample(documents(spark, sf_dir).select("doc_id", "text"), labels, quality.MAX_FIT_ROWS))
+    pages = quality.page_texts(table(spark, sf_dir, "pages"))
+    return quality.classify(pages, model, host_col="host", path_col="path", columns=["id", "host", "path"])
+
+
+def conversations_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under limits on tokens, conversations and the assistant's tokens."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"))
+
+
+def media_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed frames of every stored text with a column for each colour bin."""
+    return gif.frames_table(gif.read_media(gif.store_texts(documents(spark, sf_dir))).select("id", "frames"))
+
+
+def license_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmed licence families of each document that has any."""
+    return licenses.families(licenses.scan(documents(spark, sf_dir)))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +84,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing}
+    more = {"pages_quality": pages_quality, "conversations_packing": conversations_packing, "media_frames": media_frames, "license_families": license_families}
+    return more | {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 
 def oracle_sql():
