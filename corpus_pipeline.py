@@ -1,8 +1,9 @@
 """Five-stage cleaning of documents: quality, near duplicates, benchmark passages, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
-return the columns of docs, whatever these are; the last returns the packed pieces. Rows whose id repeats
-count as one document in stage 2. A null id is never dropped as a copy or for a benchmark passage.
+return the columns of docs, whatever their names; the last returns the packed pieces. Of rows that repeat with id and
+text, stage 2 keeps one; different texts under one id all stay or go together, as that id does. A null id is never
+dropped as a copy or for a benchmark passage. Stages pass texts to Python a few MB at a time.
 """
 
 from __future__ import annotations
@@ -11,30 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.llm import decontaminate, jaccard_join, packing, pii, quality
-from wayfind.llm.common import kept, labelled_sample, table
+from wayfind.llm.common import all_columns, discard, kept, labelled_sample, small_batches, table
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= jaccard_join.MAX_BROADCAST_IDS else ids
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but those with these ids. Few ids are broadcast, many are joined by a shuffle."""
     ids = kept(ids.filter("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= jaccard_join.MAX_BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(_few(ids), "doc_id", "left_anti").select(*all_columns(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hierarchical empirical Bayes does not reject."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(labelled_sample(docs.select("doc_id", "text"), labels, quality.MAX_FIT_ROWS))
-    return quality.classify(docs, model).filter("quality_kept").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of texts that links connect."""
+    small_batches(spark)
     found = kept(jaccard_join.join(docs.select("doc_id", "text")), "near-copies")
     out = _without(docs, found.filter("doc_id <> component_id").select("doc_id"))
-    repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
-    if not repeated:
+    repeated = kept(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
         return out
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
+    repeated = _few(repeated)
+    single = out.join(repeated, "doc_id", "left_anti").select(*all_columns(docs))
+    return single.unionByName(out.join(repeated, "doc_id", "left_semi").select(*all_columns(docs)).dropDuplicates(["doc_id", "text"]))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +53,13 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
-    model = pii.learn(pii.candidates(docs))
-    return pii.redact(docs, model).select(*docs.columns)
+    small_batches(spark)
+    return pii.redact(docs, pii.learn(kept(pii.candidates(docs), "candidates")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
+    small_batches(spark)
     return packing.pack_texts(docs)
 
 
@@ -67,6 +77,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
