@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfind.plans import buildings, cleaning, layout, matching, reviews, rules, sheets, takeoff
+from wayfind.plans import buildings, cleaning, drawings, layout, matching, reviews, rules, schedules, sheets, takeoff
 
-_AREAS = (rules, matching, takeoff, buildings, sheets, reviews, layout, cleaning)
+_AREAS = (rules, matching, takeoff, buildings, sheets, reviews, layout, cleaning, schedules, drawings)
 
 
 def flagship(spark, sf_dir):

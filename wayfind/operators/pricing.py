@@ -33,11 +33,23 @@ def unit_price(sign_type: Column, size: Column) -> Column:
 
 def takeoff_lines(signs: DataFrame) -> DataFrame:
     """Live lines with shown level, sort keys, unit and extended price. A global order is the writer's choice."""
+    return _lines(signs)
+
+
+def _lines(signs: DataFrame, *more: str) -> DataFrame:
     size = dimensions(F.col("sign_type"))
-    out = signs.filter(~F.col("is_deleted")).select(*JOB, "seq", "sign_type", F.coalesce("qty", F.lit(1)).alias("qty"), text.format_level(F.col("floor_label")).alias("level"), text.floor_sort_key(F.col("floor_label")).alias("floor_key"), text.wing_sort_key(F.col("room_number")).alias("room_key"), unit_price(F.col("sign_type"), size).alias("unit_price"))
+    out = signs.filter(~F.col("is_deleted")).select(*JOB, "seq", *more, "sign_type", F.coalesce("qty", F.lit(1)).alias("qty"), text.format_level(F.col("floor_label")).alias("level"), text.floor_sort_key(F.col("floor_label")).alias("floor_key"), text.wing_sort_key(F.col("room_number")).alias("room_key"), unit_price(F.col("sign_type"), size).alias("unit_price"))
     return out.withColumn("extended", rounded(F.col("unit_price") * F.col("qty")))
 
 
+def room_lines(signs: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Live lines with the number, name and level of their room; the sign's own floor where the room has none."""
+    own = rooms.select(*JOB, F.col("seq").alias("room_seq"), "room_number", "room_name", F.nullif("level", F.lit("")).alias("_level"))
+    joined = signs.select(*(c for c in signs.columns if c not in ("room_number", "room_name"))).join(own, [*JOB, "room_seq"], "left")
+    named = joined.withColumns({"room_number": F.coalesce("room_number", F.lit("")), "room_name": F.coalesce("room_name", F.lit("")), "floor_label": F.coalesce("_level", "floor_label")})
+    return _lines(named, "room_number", "room_name")
+
+
 def floor_totals(lines: DataFrame) -> DataFrame:
     """Per job: subtotal of each floor and the total (level null), from sums by job and floor."""
     by_floor = lines.groupBy(*JOB, "level").agg(F.sum("qty").alias("qty"), F.sum("extended").alias("extended"))

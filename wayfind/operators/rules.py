@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfind import vocab
 from wayfind.functions import text
+from wayfind.sources.kept import kept
 
 JOB = ["tenant_id", "job_id"]
 
@@ -200,8 +201,8 @@ def formula_exits(rooms: DataFrame) -> DataFrame:
 
 def apply_rules(rooms: DataFrame, jobs: DataFrame) -> DataFrame:
     """All signs of all jobs: (tenant_id, job_id, room_seq, sign_type, qty, rule_ref, confidence)."""
-    # the rooms are read once for each kind of rule, all from one partitioning by tenant and job
-    ready = prepared(rooms, jobs)
+    # written once, classified and with the job's facts; each kind of rule then scans the columns it needs
+    ready = kept(prepared(rooms, jobs), "prepared")
     cut = lambda df, room=None: df.select(*JOB, (F.col(room) if room else F.lit(None).cast("long")).alias("room_seq"), "sign_type", "qty", "rule_ref", "confidence")
     maps = evacuation_maps(ready).select(*JOB, F.explode(F.sequence(F.lit(1), "maps")).alias("k")).select(*JOB, F.lit("Evacuation Map").alias("sign_type"), F.lit(1).alias("qty"), F.lit("R13").alias("rule_ref"), F.lit(0.85).alias("confidence"))
     return cut(room_signs(ready), "seq").unionByName(cut(stair_signs(ready))).unionByName(cut(elevator_signs(ready))).unionByName(cut(maps)).unionByName(cut(formula_exits(ready)))

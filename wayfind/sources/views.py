@@ -2,16 +2,19 @@
 
 The tables at hand have no rooms or signs; these views are deterministic functions of them. ``SQL`` states them
 for the SQL twins of the queries; ``Views`` builds the same in Spark, where the running number comes from a
-range partitioning instead of a window over the whole table.
+range partitioning instead of a window over the whole table. The numbered lines are written once a session and
+folder, in job order, and all queries read that table.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfind.sources.kept import kept, numbered
+
 ROOM_NAMES = ["OFFICE", "CORR", "MEN'S TOILET", "WOMEN'S TOILET", "STAIR A", "ELEV LOBBY", "CONFERENCE", "MECH ROOM", "JANITOR", "LOBBY", "ENTRY VESTIBULE", "TRAINING / COMMUNITY", "UNIT 101", "106A", "STORAGE", "FINISH SCHEDULE", "60X21 CASEWORK", "GYMNASIUM", "CLASSROOM", "APPARATUS BAY", "UNISEX RR", "SUITE 200", "JANITOR STAIR", "GIRLS PASSAGE", "EXAM ROOM", "RECEPTION"]
 SIGN_TYPES = ["Room ID", "Restroom", "Exit", "Stair(Corridor)", "Elevator", "Evacuation Map", "Max Occupancy"]
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -63,15 +66,7 @@ schedule AS (SELECT r.seq, r.tenant_id, r.job_id, r.sheet_id, CASE WHEN r.seq %
 """
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with seq, 1 and up in this order, without a window over all rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
-    joined = placed.withColumn("_part", part).join(F.broadcast(ahead), "_part")
-    return joined.withColumn("seq", F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_ahead")
+_lines: dict[tuple[str, str], DataFrame] = {}
 
 
 def _word(names: list[str], index) -> F.Column:
@@ -89,8 +84,11 @@ class Views:
 
     @cached_property
     def lines(self) -> DataFrame:
-        d = numbered(self.table("lineitem").select(*ORDER), ORDER)
-        return d.withColumn("job", F.floor(F.col("l_orderkey") / 50)).withColumn("fl", F.col("l_linenumber").cast("long") % 4).withColumn("num", F.col("l_partkey").cast("long") % 60)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _lines:
+            d = numbered(self.table("lineitem").select(*ORDER), ORDER)
+            _lines[key] = kept(d.withColumn("job", F.floor(F.col("l_orderkey") / 50)).withColumn("fl", F.col("l_linenumber").cast("long") % 4).withColumn("num", F.col("l_partkey").cast("long") % 60), "lines")
+        return _lines[key]
 
     def _room_columns(self) -> dict:
         whole = (100 * (F.col("fl") + 1) + F.col("num")).cast("string")
