@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfind.plans import buildings, cleaning, drawings, layout, matching, reviews, rules, schedules, sheets, takeoff
+from wayfind.plans import buildings, cleaning, drawings, layout, matching, reviews, rules, schedules, sheets, takeoff, trends
 
-_AREAS = (rules, matching, takeoff, buildings, sheets, reviews, layout, cleaning, schedules, drawings)
+_AREAS = (rules, matching, takeoff, buildings, sheets, reviews, layout, cleaning, schedules, drawings, trends)
 
 
 def flagship(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfind import vocab
 from wayfind.functions import text
 from wayfind.operators.rules import JOB
+from wayfind.operators.schedules import is_type_code
 
 
 def _live(signs: DataFrame) -> DataFrame:
@@ -104,3 +105,31 @@ def dashboard(jobs: DataFrame, signs: DataFrame) -> DataFrame:
     counts = jobs.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_jobs"), *(F.count_if(F.col("status") == s).alias(s) for s in ("pending", "processing", "completed")))
     live = live_sign_counts(signs).groupBy("tenant_id").agg(F.sum("total_signs").alias("signs"), F.sum("needs_review").alias("needs_review"))
     return counts.join(live, "tenant_id", "left").fillna(0, ["signs", "needs_review"])
+
+
+def recent_jobs(jobs: DataFrame, k: int = 5) -> DataFrame:
+    """The jobs of each tenant that changed last."""
+    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("updated_at"), "job_id"))
+    return jobs.withColumn("place", place).filter(F.col("place") <= k).select(*JOB, "status", "updated_at", "place")
+
+
+def reconcile_benchmarks(rooms: DataFrame, schedule: DataFrame, signs: DataFrame, benchmarks: DataFrame, least_coverage: float = 0.7, least_signs: float = 0.6) -> DataFrame:
+    """Per job: rooms against rows of its schedule, signs against its benchmark, and a warning for each that falls
+    short. benchmarks: tenant_id, job_id, benchmark."""
+    n = lambda df, name: df.groupBy(*JOB).agg(F.count(F.lit(1)).alias(name))
+    counted = n(rooms, "n_rooms").join(n(schedule, "n_scheduled"), JOB, "full_outer").join(n(signs, "n_signs"), JOB, "full_outer").join(benchmarks, JOB, "left").fillna(0, ["n_rooms", "n_scheduled", "n_signs"])
+    coverage = F.when(F.col("n_scheduled") > 0, F.col("n_rooms") / F.col("n_scheduled"))
+    short = F.array(F.when(coverage < least_coverage, "room coverage"), F.when(F.col("n_signs") < F.col("benchmark") * least_signs, "sign count"))
+    return counted.withColumn("coverage", coverage).withColumn("warnings", F.array_join(F.array_compact(short), ", "))
+
+
+def rules_of_types(signs: DataFrame) -> DataFrame:
+    """Per job and sign type: quantity, distinct floors and rules. Needs floor_label and rule_ref."""
+    return signs.groupBy(*JOB, "sign_type").agg(F.sum("qty").alias("qty"), F.count_distinct("floor_label").alias("n_levels"), F.count_distinct("rule_ref").alias("n_rules"))
+
+
+def unrecognised_codes(signs: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Distinct project type codes of signs that no definition (type_code) of their job has."""
+    known = definitions.select(*JOB, F.upper(F.concat(F.lit("Type "), "type_code")).alias("_code")).distinct()
+    coded = signs.filter(is_type_code(F.col("sign_type"))).select(*JOB, F.trim("sign_type").alias("sign_type")).distinct().withColumn("_code", F.upper("sign_type"))
+    return coded.join(known, [*JOB, "_code"], "left_anti").select(*JOB, "sign_type")

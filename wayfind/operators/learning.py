@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text
+from wayfind.sources.kept import numbered
 
 
 def mine_patterns(corrections: DataFrame, least: int = 2, approve_from: int = 3, examples: int = 5) -> DataFrame:
@@ -55,7 +56,8 @@ def accuracy_snapshots(delta: DataFrame) -> DataFrame:
     n = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
     jobs = delta.groupBy("tenant_id", "job_id").agg(n("matched"), n("missed"), n("extra"))
     accuracy = F.col("matched") / (F.col("matched") + F.col("missed") + F.col("extra"))
-    return jobs.withColumn("accuracy", accuracy).withColumn("tenant_accuracy", F.avg("accuracy").over(Window.partitionBy("tenant_id")))
+    scored = jobs.withColumn("accuracy", accuracy)
+    return scored.join(scored.groupBy("tenant_id").agg(F.avg("accuracy").alias("tenant_accuracy")), "tenant_id")
 
 
 def model_cost(scans: DataFrame) -> DataFrame:
@@ -106,3 +108,60 @@ def training_context(patterns: DataFrame, k: int = 15) -> DataFrame:
 def list_corrections(corrections: DataFrame, since, until, limit: int, offset: int = 0) -> DataFrame:
     """Corrections between two moments, newest first, one page."""
     return corrections.filter(F.col("created_at").between(F.lit(since), F.lit(until))).orderBy(F.desc("created_at"), "seq").offset(offset).limit(limit)
+
+
+# ---- snapshots of imports: tenant_id, job_id, seq, snapshot_date, confidence, accuracy ----
+
+
+def with_previous(snapshots: DataFrame) -> DataFrame:
+    """snapshots with the confidence of the tenant's snapshot before and the change against it.
+
+    The neighbour is found by a running number over all tenants, so a tenant with very many snapshots is dealt over
+    tasks like others.
+    """
+    ordered = numbered(snapshots, ["tenant_id", "snapshot_date", "seq"], "_n")
+    before = ordered.select((F.col("_n") + 1).alias("_n"), F.col("tenant_id").alias("_tenant"), F.col("confidence").alias("_before"))
+    joined = ordered.join(before, "_n", "left")
+    previous = F.when(F.col("_tenant") == F.col("tenant_id"), F.col("_before"))
+    return joined.withColumn("previous", previous).withColumn("change", F.round(F.col("confidence") - F.col("previous"), 6)).select(*snapshots.columns, "previous", "change")
+
+
+def confidence_trend(snapshots: DataFrame, jobs: DataFrame, since, until) -> DataFrame:
+    """Snapshots between two days that have a confidence, with the building type of their job."""
+    own = jobs.select("tenant_id", "job_id", "building_type")
+    return snapshots.filter(F.col("snapshot_date").between(F.lit(since), F.lit(until)) & (F.col("confidence") > 0)).join(own, ["tenant_id", "job_id"], "left")
+
+
+def override_impact(overrides: DataFrame, corrections: DataFrame, month) -> DataFrame:
+    """Per tenant: overrides, active ones, corrections from the start of a month on. overrides: tenant_id, is_active."""
+    ours = overrides.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("overrides"), F.count_if("is_active").alias("active_overrides"))
+    recent = corrections.groupBy("tenant_id").agg(F.count_if(F.col("created_at") >= F.lit(month)).alias("corrections_this_month"))
+    return ours.join(recent, "tenant_id", "full_outer").fillna(0, ["overrides", "active_overrides", "corrections_this_month"])
+
+
+def training_health(snapshots: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Per tenant: validated jobs, their mean accuracy, approved patterns."""
+    scored = snapshots.filter("accuracy is not null").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("validated_jobs"), F.avg("accuracy").alias("mean_accuracy"))
+    approved = patterns.filter("status = 'approved'").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("patterns_active"))
+    return scored.join(approved, "tenant_id", "full_outer").fillna(0, ["validated_jobs", "mean_accuracy", "patterns_active"])
+
+
+def example_jobs(snapshots: DataFrame, jobs: DataFrame, k: int = 3) -> DataFrame:
+    """The most accurate snapshots of each tenant and building type."""
+    typed = snapshots.filter("accuracy is not null").join(jobs.select("tenant_id", "job_id", "building_type"), ["tenant_id", "job_id"])
+    place = F.row_number().over(Window.partitionBy("tenant_id", "building_type").orderBy(F.desc("accuracy"), "seq"))
+    return typed.withColumn("place", place).filter(F.col("place") <= k).select("tenant_id", "building_type", "job_id", "accuracy", "place")
+
+
+def cost_since_first_snapshot(scans: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Per tenant: cost of the model calls from its first snapshot on (all, without one), distinct jobs, mean."""
+    first = snapshots.groupBy("tenant_id").agg(F.min("snapshot_date").alias("first_date"))
+    seen = scans.join(first, "tenant_id", "left").filter(F.col("first_date").isNull() | (F.col("created_at") >= F.col("first_date")))
+    sums = seen.groupBy("tenant_id").agg(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.count_distinct("job_id").alias("jobs"), F.first("first_date").alias("first_date"))
+    out = sums.withColumn("cost", F.round(text.scan_cost(F.col("i"), F.col("o")), 6))
+    return out.select("tenant_id", "jobs", "cost", F.round(F.col("cost") / F.col("jobs"), 6).alias("cost_per_job"), "first_date")
+
+
+def history_totals(runs: DataFrame) -> DataFrame:
+    """Per tenant: runs in the history, their quantity, the last one's moment."""
+    return runs.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("removed").alias("removed"), F.max("created_at").alias("last_run"))

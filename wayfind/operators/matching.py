@@ -179,3 +179,66 @@ def cascade_review(signs: DataFrame, rooms: DataFrame) -> DataFrame:
     """signs with is_deleted set for those of dismissed rooms; others as they were."""
     gone = rooms.filter("review_status = 'dismissed'").select(*JOB, F.col("seq").alias("room_seq")).distinct().withColumn("_gone", F.lit(True))
     return signs.join(gone, [*JOB, "room_seq"], "left").withColumn("is_deleted", F.coalesce("_gone", "is_deleted")).select(*signs.columns)
+
+
+def presence_lists(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct keys of one side only: missed (expected, not found) and extra."""
+    e, a = expected.select(*JOB, *key).distinct(), actual.select(*JOB, *key).distinct()
+    missed, extra = e.join(a, [*JOB, *key], "left_anti"), a.join(e, [*JOB, *key], "left_anti")
+    return missed.withColumn("kind", F.lit("missed")).unionByName(extra.withColumn("kind", F.lit("extra")))
+
+
+def resolve_sign_sheet(signs: DataFrame, rooms: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(tenant_id, job_id, seq, resolved): the sheet of a sign: its room's; else on a level with several sheets the
+    first that names the building letter of the room's number; else the level's with most signs, then by number;
+    else the job's first floor plan. signs: seq, room_seq; rooms: seq, sheet_id, level, room_number; sheets, floor
+    plans only: sheet_id, sheet_no, title, level, page."""
+    own = rooms.select(*JOB, F.col("seq").alias("room_seq"), F.col("sheet_id").alias("_own"), F.col("level").alias("_level"), text.building_from_room_number(F.col("room_number")).alias("_letter"))
+    placed = signs.select(*JOB, "seq", "room_seq").join(own, [*JOB, "room_seq"], "left")
+    # aggregated by sheet first: a job's sheets are few
+    counts = placed.filter("_own is not null").groupBy(*JOB, F.col("_own").alias("sheet_id")).agg(F.count(F.lit(1)).alias("_n"))
+    plans = sheets.join(counts, [*JOB, "sheet_id"], "left")
+    best = F.min_by("sheet_id", F.struct(-F.coalesce("_n", F.lit(0)), "sheet_no", "sheet_id"))
+    levels = plans.filter("level is not null").groupBy(*JOB, F.col("level").alias("_level")).agg(best.alias("_best"), F.count(F.lit(1)).alias("_sheets"))
+    letter = F.nullif(F.regexp_extract(F.upper(F.concat_ws(" ", "sheet_no", "title")), r"\b([A-Z])\b", 1), F.lit(""))
+    lettered = sheets.select(*JOB, F.col("level").alias("_level"), letter.alias("_letter"), "sheet_id", "page").filter("_level is not null and _letter is not null")
+    lettered = lettered.groupBy(*JOB, "_level", "_letter").agg(F.min_by("sheet_id", F.struct("page", "sheet_id")).alias("_wing"))
+    first = sheets.groupBy(*JOB).agg(F.min_by("sheet_id", F.struct("page", "sheet_id")).alias("_first"))
+    found = placed.join(levels, [*JOB, "_level"], "left").join(lettered, [*JOB, "_level", "_letter"], "left").join(first, JOB, "left")
+    wing = F.when(F.col("_sheets") >= 2, F.col("_wing"))
+    return found.select(*JOB, "seq", F.coalesce("_own", wing, "_best", "_first").alias("resolved"))
+
+
+def reuse_cached_rooms(rooms: DataFrame, old_sheets: DataFrame, new_sheets: DataFrame, version: str, forced: DataFrame) -> DataFrame:
+    """Vision rooms of an earlier run for the new sheets with the same file, title and page, unless the old sheet is
+    forced to be scanned again or the rooms are of another version."""
+    place = [F.coalesce("file_id", F.lit("")).alias("_f"), F.coalesce("title", F.lit("")).alias("_t"), F.coalesce("page", F.lit(0)).alias("_p")]
+    again = forced.select(*JOB, "sheet_id").distinct()
+    old = old_sheets.select(*JOB, "sheet_id", *place).join(again, [*JOB, "sheet_id"], "left_anti")
+    cached = rooms.filter((F.col("source") == "ai_vision") & (F.col("pipeline_version").isNull() | (F.col("pipeline_version") == version))).join(old, [*JOB, "sheet_id"])
+    new = new_sheets.select(*JOB, F.col("sheet_id").alias("new_sheet_id"), *place)
+    return cached.join(new, [*JOB, "_f", "_t", "_p"]).select(*rooms.columns, "new_sheet_id")
+
+
+def flag_cached_sheets(sheets: DataFrame, rooms: DataFrame) -> DataFrame:
+    """sheets with whether vision has found rooms on them."""
+    seen = rooms.filter("source = 'ai_vision'").select(*JOB, "sheet_id").distinct().withColumn("is_cached", F.lit(True))
+    return sheets.join(seen, [*JOB, "sheet_id"], "left").fillna(False, ["is_cached"])
+
+
+def specialty_from_dictionary(dictionary: DataFrame, detail_sheets: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """Specialty lines of jobs without detail sheets: the entries of these categories in the job's sign dictionary.
+
+    dictionary: tenant_id, job_id, sign_types (array of code, name, category, qty).
+    """
+    open_jobs = dictionary.join(detail_sheets.select(*JOB).distinct(), JOB, "left_anti")
+    each = open_jobs.select(*JOB, F.explode("sign_types").alias("t")).filter(F.col("t.category").isin(*categories))
+    return each.select(*JOB, F.col("t.code").alias("sign_code"), F.col("t.name").alias("description"), F.col("t.qty").alias("qty"), F.concat(F.lit("Category: "), "t.category").alias("notes"))
+
+
+def restore_review(signs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """signs with is_deleted unset for rooms that were dismissed and no longer are; others as they were."""
+    gone = lambda df: df.filter("review_status = 'dismissed'").select(*JOB, F.col("seq").alias("room_seq")).distinct()
+    back = gone(before).join(gone(after), [*JOB, "room_seq"], "left_anti").withColumn("_back", F.lit(True))
+    joined = signs.join(back, [*JOB, "room_seq"], "left")
+    return joined.withColumn("is_deleted", F.when(F.col("_back"), F.lit(False)).otherwise(F.col("is_deleted"))).select(*signs.columns)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from wayfind import vocab
 from wayfind.functions import text
+from wayfind.operators.cleaning import is_junk_room_name
+from wayfind.operators.dedup import first_per_key
 from wayfind.operators.rules import JOB
 
 
@@ -181,3 +183,25 @@ def validate_jobs(ready: DataFrame, signs: DataFrame, stair_signs: DataFrame, el
     }
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.when(ok, "pass").otherwise("fail" if k == "multi_level_coverage" else "warning").alias("status")) for k, ok in checks.items())))
     return all_facts.select(*JOB, each.alias("c")).select(*JOB, "c.*")
+
+
+def merged_restroom_flag(name: Column, keyword: Column, by_vision: Column, vision_says: Column) -> Column:
+    """Restroom by keyword, or by vision where the name is too short to tell or has a restroom word."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    return keyword | F.coalesce(by_vision & vision_says & ((F.length(n) < 4) | F.upper(n).rlike(vocab.RESTROOM)), F.lit(False))
+
+
+def rooms_from_payload(payloads: DataFrame, default_confidence: float = 0.75) -> DataFrame:
+    """Rooms of extraction answers: (tenant_id, job_id, sheet_id, seq, payload), the last a JSON list of items with
+    camel or snake names. Coordinates are percent, held to 0..100 and kept in thousandths, null if there is none; a
+    confidence outside 0..1 gives way to the default; junk names and rows without number and name go; the first of
+    each number and name of a sheet stays."""
+    fields = "roomNumber string, room_number string, roomName string, room_name string, x string, y string, confidence double, level string"
+    items = payloads.select(*JOB, "sheet_id", "seq", F.posexplode(F.from_json("payload", f"array<struct<{fields}>>")).alias("item", "r"))
+    either = lambda a, b: F.trim(F.coalesce(F.col(f"r.{a}"), F.col(f"r.{b}"), F.lit("")))
+    percent = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.col(c).try_cast("double") + 0.5))) * 1000
+    sure = F.when(F.col("r.confidence").between(0, 1), F.col("r.confidence")).otherwise(default_confidence)
+    rows = items.select(*JOB, "sheet_id", "seq", "item", either("roomNumber", "room_number").alias("room_number"), either("roomName", "room_name").alias("_name"), F.when(F.col("r.x").try_cast("double").isNotNull(), percent("r.x")).cast("long").alias("coord_x"), F.when(F.col("r.y").try_cast("double").isNotNull(), percent("r.y")).cast("long").alias("coord_y"), sure.alias("confidence"), text.blank_to_null(F.col("r.level")).alias("level"))
+    some = rows.filter("room_number <> '' or _name <> ''").withColumns({"_n": F.lower("room_number"), "_m": F.lower("_name")})
+    first = first_per_key(some, [*JOB, "sheet_id", "_n", "_m"], F.col("seq"), F.col("item"))
+    return first.filter(~is_junk_room_name(F.col("_name"))).select(*JOB, "sheet_id", "seq", "item", "room_number", expand_synonyms(F.col("_name")).alias("room_name"), "level", "coord_x", "coord_y", "confidence")
