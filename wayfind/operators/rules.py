@@ -1,5 +1,6 @@
 """Sign rules: rooms and jobs in, signs out. Everything is keyed by tenant and job; a job's facts come from one
-grouped aggregation joined back, and per-room rules are arrays of sign structs, so a room is read once."""
+grouped aggregation joined back, and per-room rules are arrays of sign structs, so a room is read once. What a room's name tells is computed once for each
+distinct name."""
 
 from __future__ import annotations
 
@@ -13,19 +14,59 @@ from wayfind.sources.kept import kept
 JOB = ["tenant_id", "job_id"]
 
 
+def looked_up(df: DataFrame, key: str, columns) -> DataFrame:
+    """df with columns that depend on one text column alone: computed once for each distinct text (names and levels
+    repeat massively) and joined back. The texts are a table of their own, so that Spark sees its size and broadcasts
+    it, or else can split the rows of a frequent text."""
+    found = df.select(F.col(key).alias("_text")).distinct().select("_text", *(c.alias(n) for n, c in columns(F.col("_text")).items()))
+    found = kept(found, f"texts-{key}")
+    return df.join(found, F.col(key).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def classify_rooms(rooms: DataFrame) -> DataFrame:
     """rooms with a flag column for each kind and the canonical level."""
-    return rooms.withColumns({**text.room_flags(F.col("room_name")), "level": text.normalize_level(F.col("level"))})
+    named = looked_up(rooms, "room_name", text.room_flags)
+    levelled = looked_up(named, "level", lambda c: {"_level": text.normalize_level(c)})
+    return levelled.withColumn("level", F.col("_level")).drop("_level")
+
+
+def _name_patterns(name: Column) -> dict[str, Column]:
+    """What the rules ask of a room's name, beside its flags."""
+    upper, known, trimmed = F.upper(name), F.upper(F.coalesce(name, F.lit(""))), F.upper(F.trim(F.coalesce(name, F.lit(""))))
+    return {
+        "_units": known.rlike(vocab.UNIT_NAMED),
+        "_hotel_room": known.rlike(vocab.HOTEL_ROOM),
+        "_hotel_lobby": known.rlike(vocab.HOTEL_LOBBY),
+        "_hotel_desk": known.rlike(vocab.HOTEL_DESK),
+        **{f"_by_{k}": known.rlike(p) for k, p in vocab.TYPE_WORDS},
+        "_suite": trimmed.rlike(vocab.SUITE),
+        "_lobby_or_entry": trimmed.rlike(vocab.LOBBY_OR_ENTRY),
+        "_unit_or_apt": trimmed.rlike(vocab.UNIT_OR_APT),
+        "_multi_entry": upper.rlike(vocab.MULTI_ENTRY),
+        "_dorm": upper.rlike(vocab.DORM),
+        "_residential_common": upper.rlike(vocab.RESIDENTIAL_COMMON),
+        "_two_sided": upper.contains("/") | upper.rlike(vocab.ASSEMBLY),
+        "_womens": upper.rlike(vocab.WOMENS),
+        "_mens": upper.rlike(vocab.MENS),
+        "_capacity": F.lower(name).rlike(vocab.CAPACITY),
+        "_lobby": F.upper(F.trim(name)).rlike(r"\bLOBBY\b") & ~F.upper(F.trim(name)).rlike("CORRIDOR|HALL|VEST|OFFICE|JAN"),
+        "_lobby_first": F.upper(F.trim(name)).rlike(r"^LOBBY\b"),
+        "_schedule_row": text.is_schedule_row_name(name),
+        "_anchor": upper.rlike(vocab.EDUCATION_ANCHOR),
+        "_cluster": upper.rlike(vocab.EXIT_CLUSTER),
+    }
+
+
+def _patterned(rooms: DataFrame) -> DataFrame:
+    return rooms if "_cluster" in rooms.columns else looked_up(rooms, "room_name", _name_patterns)
 
 
 def detect_building_type(rooms: DataFrame, jobs: DataFrame) -> DataFrame:
     """(tenant_id, job_id, detected): a job's known type, else the type that its room names point to."""
-    n = F.upper(F.coalesce("room_name", F.lit("")))
-    some = lambda p: F.bool_or(n.rlike(p))
-    facts = rooms.groupBy(*JOB).agg(
-        F.avg(n.rlike(vocab.UNIT_NAMED).cast("double")).alias("units"),
-        (some(vocab.HOTEL_ROOM) & some(vocab.HOTEL_LOBBY) & some(vocab.HOTEL_DESK)).alias("hotel"),
-        *(some(p).alias(f"by_{k}") for k, p in vocab.TYPE_WORDS),
+    facts = _patterned(rooms).groupBy(*JOB).agg(
+        F.avg(F.col("_units").cast("double")).alias("units"),
+        (F.bool_or("_hotel_room") & F.bool_or("_hotel_lobby") & F.bool_or("_hotel_desk")).alias("hotel"),
+        *(F.bool_or(f"_by_{k}").alias(f"by_{k}") for k, _ in vocab.TYPE_WORDS),
     )
     by_rooms = text.first_of((F.col("units") > 0.3, "residential"), (F.col("hotel"), "hotel"), *((F.col(f"by_{k}"), k) for k, _ in vocab.TYPE_WORDS), (F.lit(True), "commercial"))
     given = F.lower(F.trim("building_type"))
@@ -46,23 +87,25 @@ def _unit_by_number(number: Column, kind: Column) -> Column:
 
 def job_facts(rooms: DataFrame) -> DataFrame:
     """One row a job: floors, directory eligibility, unit dominance, residential scope. rooms: classified, with traits."""
-    name = F.upper(F.trim(F.coalesce("room_name", F.lit(""))))
     unit = F.col("is_unit") | _unit_by_number(F.col("room_number"), F.col("detected"))
     count = lambda c: F.count_if(c)
     many = lambda c: (F.count_if(c) >= 5) & (F.count_if(c) / F.count(F.lit(1)) >= 0.3)
     return rooms.groupBy(*JOB).agg(
         F.greatest(F.count_distinct(F.when(F.trim("level") != "", F.col("level"))), F.lit(1)).alias("floors"),
         F.count(F.lit(1)).alias("n_rooms"),
-        (F.first("has_directory") & ((count(name.rlike(vocab.SUITE)) >= 3) | ((count(~F.col("is_mep") & ~F.col("is_door_schedule_entry")) > 30) & F.bool_or(name.rlike(vocab.LOBBY_OR_ENTRY))))).alias("directory_eligible"),
-        many(name.rlike(vocab.UNIT_OR_APT)).alias("unit_dominant"),
+        (F.first("has_directory") & ((count(F.col("_suite")) >= 3) | ((count(~F.col("is_mep") & ~F.col("is_door_schedule_entry")) > 30) & F.bool_or("_lobby_or_entry")))).alias("directory_eligible"),
+        many(F.col("_unit_or_apt")).alias("unit_dominant"),
         (F.first("detected").isin(*vocab.RESIDENTIAL_TYPES) & many(unit)).alias("residential_scope"),
     )
 
 
 def prepared(rooms: DataFrame, jobs: DataFrame) -> DataFrame:
     """Classified rooms with building type, traits and the job's facts."""
-    typed = with_traits(classify_rooms(rooms).join(detect_building_type(rooms, jobs), JOB))
-    return typed.join(job_facts(typed), JOB)
+    classified = looked_up(rooms, "room_name", lambda c: text.room_flags(c) | _name_patterns(c))
+    classified = looked_up(classified, "level", lambda c: {"_level": text.normalize_level(c)}).withColumn("level", F.col("_level")).drop("_level")
+    # one row a job each, written so that their size decides whether rooms are shuffled at all
+    typed = with_traits(classified.join(kept(detect_building_type(classified, jobs), "detected"), JOB))
+    return typed.join(kept(job_facts(typed), "facts"), JOB)
 
 
 def _sign(sign_type, qty, rule: str, confidence: float) -> Column:
@@ -84,14 +127,14 @@ def _signs(*cases: tuple[Column, list[Column]]) -> Column:
 
 def room_id_signs() -> Column:
     """R1 to R7 and R16: the room's own identification."""
-    name, kind = F.upper("room_name"), F.col("detected")
+    kind = F.col("detected")
     unit = F.col("is_unit") | _unit_by_number(F.col("room_number"), kind)
-    doors = F.when(name.rlike(vocab.MULTI_ENTRY), 3).otherwise(1)
-    mep, load, dorm = F.col("is_mep"), F.coalesce("occupant_load", F.lit(0)), name.rlike(vocab.DORM)
-    insert = F.when(name.contains("/") | name.rlike(vocab.ASSEMBLY), 2).otherwise(1)
+    doors = F.when(F.col("_multi_entry"), 3).otherwise(1)
+    mep, load, dorm = F.col("is_mep"), F.coalesce("occupant_load", F.lit(0)), F.col("_dorm")
+    insert = F.when(F.col("_two_sided"), 2).otherwise(1)
     return _signs(
         (F.col("is_corridor"), []),
-        (F.col("residential_scope") & ~unit & ~name.rlike(vocab.RESIDENTIAL_COMMON) & ~mep, []),
+        (F.col("residential_scope") & ~unit & ~F.col("_residential_common") & ~mep, []),
         (F.col("is_vehicle_bay") & (doors >= 3), [_sign("Room ID", doors, "R3", 0.60)]),
         (F.col("is_vehicle_bay"), []),
         (mep & ((F.col("mep_policy") == "minimal") | ((F.col("mep_policy") == "occupied_only") & (load == 0))), []),
@@ -104,8 +147,8 @@ def room_id_signs() -> Column:
 
 
 def restroom_signs() -> Column:
-    name, is_one = F.upper("room_name"), F.col("is_restroom") & ~F.col("is_corridor")
-    kind = F.when(name.rlike(vocab.WOMENS), "Restroom(Women)").when(name.rlike(vocab.MENS), "Restroom(Men)").otherwise("Restroom")
+    is_one = F.col("is_restroom") & ~F.col("is_corridor")
+    kind = F.when(F.col("_womens"), "Restroom(Women)").when(F.col("_mens"), "Restroom(Men)").otherwise("Restroom")
     return _signs((is_one, [_sign(kind, 1, "R8", 0.9)]))
 
 
@@ -123,13 +166,13 @@ def capacity_signs() -> Column:
     group = F.col("occupancy_group")
     full = F.coalesce(F.upper(group).rlike("^A-?[23]"), F.lit(False)) | (F.coalesce("occupant_load", F.lit(0)) >= 50)
     qty = F.when(F.col("is_variable_use"), 2).otherwise(1)
-    return _signs((F.col("assembly_rules") & F.col("is_assembly") & F.lower("room_name").rlike(vocab.CAPACITY) & full, [_sign("Room ID w/insert", qty, "R2", 0.80), _sign("Max Occupancy", qty, "R10", 0.8)]))
+    return _signs((F.col("assembly_rules") & F.col("is_assembly") & F.col("_capacity") & full, [_sign("Room ID w/insert", qty, "R2", 0.80), _sign("Max Occupancy", qty, "R10", 0.8)]))
 
 
 def directory_signs() -> Column:
     name = F.upper(F.trim("room_name"))
-    place = F.col("directory_eligible") & name.rlike(r"\bLOBBY\b") & ~name.rlike("CORRIDOR|HALL|VEST|OFFICE|JAN")
-    main = (name == "LOBBY") | (F.col("is_public") & name.rlike(r"^LOBBY\b"))
+    place = F.col("directory_eligible") & F.col("_lobby")
+    main = (name == "LOBBY") | (F.col("is_public") & F.col("_lobby_first"))
     sign = lambda t: _sign(t, 1, "R14", 0.75)
     return _signs((place & main, [sign("Office Directory"), sign("Building ID"), sign("Accessible Entrance")]), (place, [sign("Office Directory")]))
 
@@ -142,9 +185,9 @@ def room_signs(rooms: DataFrame) -> DataFrame:
     """(tenant_id, job_id, seq, sign_type, qty, rule_ref, confidence, status, ada_required) of prepared rooms."""
     if "occupancy_group" not in rooms.columns:
         rooms = rooms.withColumn("occupancy_group", F.lit(None).cast("string"))
-    name, kind = F.upper(F.trim("room_name")), F.col("detected")
+    kind = F.col("detected")
     allowed = kind.isin(*vocab.UNIT_SIGN_TYPES) | text.building_type_group(kind).isin(*vocab.UNIT_SIGN_TYPES)
-    skipped = F.col("is_door_schedule_entry") | text.is_schedule_row_name(F.col("room_name")) | (F.upper("level").rlike(vocab.MEZZANINE) & F.col("is_mep")) | (name.rlike(vocab.UNIT_OR_APT) & ~allowed & ~F.col("unit_dominant"))
+    skipped = F.col("is_door_schedule_entry") | F.col("_schedule_row") | (F.upper("level").rlike(vocab.MEZZANINE) & F.col("is_mep")) | (F.col("_unit_or_apt") & ~allowed & ~F.col("unit_dominant"))
     every = F.concat(room_id_signs(), restroom_signs(), exit_signs(), capacity_signs(), directory_signs())
     found = rooms.filter(~skipped).select(*JOB, "seq", every.alias("signs"))
     # an insert takes the plain sign's place, and only the first insert stays
@@ -179,8 +222,8 @@ def elevator_signs(rooms: DataFrame) -> DataFrame:
 
 def evacuation_maps(rooms: DataFrame) -> DataFrame:
     """R13: (tenant_id, job_id, maps) of jobs that get any: one a floor with an exit cluster, up to the type's cap."""
-    name, kind = F.upper("room_name"), F.col("detected")
-    anchor, cluster = name.rlike(vocab.EDUCATION_ANCHOR) | F.col("is_corridor"), name.rlike(vocab.EXIT_CLUSTER)
+    kind = F.col("detected")
+    anchor, cluster = F.col("_anchor") | F.col("is_corridor"), F.col("_cluster")
     jobs = rooms.groupBy(*JOB, "detected", "floors", "n_rooms").agg(F.count_distinct(F.when(anchor, F.col("level"))).alias("anchored"), F.count_distinct(F.when(cluster, F.col("level"))).alias("clustered"), F.bool_or(anchor).alias("any_anchor"))
     education = kind.isin(*vocab.EDUCATION_TYPES)
     per_floor = F.coalesce(text.by_type(text.building_type_group(kind), vocab.EVAC_MAPS_PER_FLOOR, None), F.when(F.col("floors") >= 6, 2).otherwise(1))
