@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfind.sources.kept import discard, kept, shared_folder
+
+__all__ = ["all_columns", "batch_rows", "column", "discard", "documents", "fold", "kept", "labelled_sample", "new_name", "sampled", "shared_folder", "shuffle_partitions", "small_batches", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,40 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Where the session names none, one process gets a temporary one (tests);
-    a cluster is refused, for its executors would not see each other's files."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="wayfind-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later steps read files, not the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _places[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``kept`` of which nothing more will be read."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_places.pop(df))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def new_name(columns: list[str], name: str) -> str:
     """name, or it with underscores, so that no column is called so (Spark tells no upper from lower case)."""
     taken = {c.lower() for c in columns}
