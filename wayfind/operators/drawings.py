@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind import vocab
 from wayfind.functions import text
 from wayfind.operators.rules import JOB
 from wayfind.operators.schedules import is_type_code
-from wayfind.operators.sheets import sheet_excluded
+from wayfind.operators.sheets import level_from_title, sheet_excluded
 
 
 def _has(c: Column, words) -> Column:
@@ -41,6 +41,28 @@ def detect_sheet_type(sheet_no: Column, title: Column) -> Column:
     )
 
 
+def sheets_from_index(lines: DataFrame, page_ids: DataFrame, files: DataFrame) -> DataFrame:
+    """Sheets that a drawing index lists: (tenant_id, job_id, file_id, sheet_no, title, page, page_source, sheet_type,
+    level).
+
+    lines: tenant_id, job_id, file_id, index_page, line_no, line; page_ids: file_id, page, sheet_no of title blocks;
+    files: page_count. A line's first sheet number counts, and its first line; the title is the text after it, else
+    before it, else the number. The page is the first other one with the number, else as many pages after the index
+    as the sheet's place in it. A file's index has some hundred lines, so places are counted within a file.
+    """
+    file = [*JOB, "file_id"]
+    part = lambda i: F.regexp_extract(F.trim("line"), vocab.INDEX_LINE, i)
+    told = lambda c: F.nullif(F.regexp_replace(c, r"^[ .|-]+|[ .|-]+$", ""), F.lit(""))
+    named = lines.select(*file, "index_page", "line_no", part(2).alias("sheet_no"), F.upper(F.coalesce(told(part(3)), told(part(1)), part(2))).alias("title")).filter("sheet_no <> ''")
+    first = named.groupBy(*file, "index_page", "sheet_no").agg(F.min("line_no").alias("line_no"), F.min_by("title", "line_no").alias("title"))
+    placed = first.withColumn("_place", F.row_number().over(Window.partitionBy(*file, "index_page").orderBy("line_no")))
+    seen = page_ids.select(*file, "sheet_no", "page").join(first.select(*file, "sheet_no", "index_page"), [*file, "sheet_no"]).filter("page <> index_page").groupBy(*file, "index_page", "sheet_no").agg(F.min("page").alias("_found"))
+    joined = placed.join(seen, [*file, "index_page", "sheet_no"], "left").join(files.select(*file, "page_count"), file, "left")
+    page = F.coalesce("_found", F.least(F.col("index_page") + F.col("_place"), "page_count"))
+    source = F.when(F.col("_found").isNotNull(), "scanned").otherwise("estimated")
+    return joined.select(*file, "sheet_no", "title", page.cast("int").alias("page"), source.alias("page_source"), detect_sheet_type(F.col("sheet_no"), F.col("title")).alias("sheet_type"), level_from_title(F.col("title")).alias("level"))
+
+
 def sheet_category(sheet_no: Column, title: Column, sheet_type: Column) -> Column:
     """interior, sign_docs, sign_details, exterior, room_schedule or skip, with the kind of reason: struct."""
     n, t = F.upper(F.trim(F.coalesce(sheet_no, F.lit("")))), F.upper(F.trim(F.coalesce(title, F.lit(""))))

@@ -110,6 +110,53 @@ def list_corrections(corrections: DataFrame, since, until, limit: int, offset: i
     return corrections.filter(F.col("created_at").between(F.lit(since), F.lit(until))).orderBy(F.desc("created_at"), "seq").offset(offset).limit(limit)
 
 
+# ---- imports of diffs with human takeoffs: tenant_id, seq, room_name, human_sign_type, skip_overwrite ----
+
+
+def import_decisions(diffs: DataFrame, corrections: DataFrame, update: bool) -> DataFrame:
+    """(tenant_id, room_name_pattern, sign_type, seq, outcome) for the first diff of each pattern and type.
+
+    A stored pair is refreshed or skipped; a stored pattern with another type is a conflict, overwritten or kept; else
+    the pair is inserted. Without update stored corrections stay; diffs without name or type go.
+    """
+    cut = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    key = ["tenant_id", "room_name_pattern", "sign_type"]
+    named = diffs.select("tenant_id", cut("room_name").alias("room_name_pattern"), cut("human_sign_type").alias("sign_type"), "seq", F.coalesce("skip_overwrite", F.lit(False)).alias("_skip"))
+    first = named.filter("room_name_pattern <> '' and sign_type <> ''").groupBy(*key).agg(F.min("seq").alias("seq"), F.min_by("_skip", "seq").alias("_skip"))
+    stored = corrections.filter("room_name_pattern <> ''")
+    pairs = stored.filter("sign_type <> ''").select(*key).distinct().withColumn("_pair", F.lit(True))
+    names = stored.select(*key[:2]).distinct().withColumn("_name", F.lit(True))
+    outcome = text.first_of(
+        (F.col("_pair").isNotNull(), F.when(F.lit(update) & ~F.col("_skip"), "refreshed").otherwise("skipped")),
+        (F.col("_name").isNotNull(), F.lit("conflict_updated" if update else "conflict_kept")),
+        (F.lit(True), F.lit("inserted")),
+    )
+    return first.join(pairs, key, "left").join(names, key[:2], "left").select(*key, "seq", outcome.alias("outcome"))
+
+
+def import_counts(decisions: DataFrame) -> DataFrame:
+    """Per tenant: how many decisions of each outcome."""
+    return decisions.groupBy("tenant_id").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("inserted", "refreshed", "skipped", "conflict_updated", "conflict_kept")))
+
+
+def confirm_import(decisions: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(tenant_id, seq, room_name_pattern, sign_type, is_active, outcome): corrections after the import.
+
+    Stored corrections of a pattern that is written anew go inactive, but the last of a refreshed pair is active
+    again; inserted ones follow with the number of their diff.
+    """
+    key = ["tenant_id", "room_name_pattern", "sign_type"]
+    written = decisions.filter(F.col("outcome").isin("refreshed", "conflict_updated", "inserted"))
+    names = written.select(*key[:2]).distinct().withColumn("_off", F.lit(True))
+    refreshed = written.filter("outcome = 'refreshed'").select(*key)
+    last = corrections.join(refreshed, key).groupBy(*key).agg(F.max("seq").alias("seq")).withColumn("_on", F.lit(True))
+    stored = corrections.select(*key, "seq", "is_active").join(names, key[:2], "left").join(last, [*key, "seq"], "left")
+    outcome = F.when(F.col("_on").isNotNull(), "refreshed").when(F.col("_off").isNotNull() & F.col("is_active"), "deactivated").otherwise("kept")
+    old = stored.select(*key, "seq", F.when(F.col("_on").isNotNull(), True).when(F.col("_off").isNotNull(), False).otherwise(F.col("is_active")).alias("is_active"), outcome.alias("outcome"))
+    new = written.filter("outcome <> 'refreshed'").select(*key, "seq", F.lit(True).alias("is_active"), F.lit("inserted").alias("outcome"))
+    return old.unionByName(new)
+
+
 # ---- snapshots of imports: tenant_id, job_id, seq, snapshot_date, confidence, accuracy ----
 
 

@@ -67,7 +67,58 @@ def type_summary(signs: DataFrame) -> DataFrame:
 def pricing_tab(signs: DataFrame) -> DataFrame:
     """Per job and type: unit and extended price, installation."""
     out = type_summary(signs).withColumn("unit_price", unit_price(F.col("sign_type"), F.col("size")))
-    return out.withColumn("extended", F.round(F.col("unit_price") * F.col("qty"), 2)).withColumn("installation", F.round(F.col("qty") * vocab.INSTALL_PRICE, 2))
+    return out.withColumn("extended", F.round(F.col("unit_price") * F.col("qty"), 2)).withColumn("installation", F.round(F.col("qty") * install_price(F.col("sign_type")), 2))
+
+
+def install_price(sign_type: Column, own_default: Column | None = None, own: Column | None = None) -> Column:
+    """Installation of one sign: that of its type in the tenant's list (a map), or in the built-in one where the tenant
+    has none; else the tenant's default, or the built-in one."""
+    built_in = text.by_type(sign_type, {k: F.lit(v) for k, v in vocab.INSTALL_OVERRIDES.items()}, None)
+    default = F.lit(vocab.INSTALL_PRICE) if own_default is None else F.coalesce(own_default, F.lit(vocab.INSTALL_PRICE))
+    listed = built_in if own is None else F.when(own.isNull(), built_in).otherwise(F.try_element_at(own, sign_type))
+    return F.coalesce(listed, default)
+
+
+def tenant_rates(materials: DataFrame, finishings: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(tenant_id, slug, rate, width, height, least): a tenant's own prices by type, from its price list.
+
+    materials: tenant_id, id, bid_price, msrp; finishings: tenant_id, id, unit, bid_price; defaults: tenant_id, seq,
+    sign_type, material_id, finishing_ids, width, height, min_price. The first default of a type counts; finishings
+    priced by another unit than the square inch add nothing; a tenant without materials has no list.
+    """
+    first = defaults.withColumn("slug", text.sign_type_slug(F.col("sign_type"))).groupBy("tenant_id", "slug").agg(F.min_by(F.struct("material_id", "finishing_ids", "width", "height", "min_price"), "seq").alias("d")).select("tenant_id", "slug", "d.*")
+    listed = first.join(materials.select("tenant_id").distinct(), "tenant_id", "left_semi")
+    of_material = materials.select("tenant_id", F.col("id").alias("material_id"), F.coalesce("bid_price", "msrp", F.lit(0.0)).alias("_material"))
+    by_area = finishings.filter(F.coalesce("unit", F.lit("")).isin("", "sqin")).select("tenant_id", F.col("id").alias("_id"), F.coalesce("bid_price", F.lit(0.0)).alias("_bid"))
+    used = listed.select("tenant_id", "slug", F.explode(F.array_distinct("finishing_ids")).alias("_id")).join(by_area, ["tenant_id", "_id"]).groupBy("tenant_id", "slug").agg(F.sum("_bid").alias("_finishing"))
+    rates = listed.join(of_material, ["tenant_id", "material_id"], "left").join(used, ["tenant_id", "slug"], "left")
+    return rates.select("tenant_id", "slug", (F.coalesce("_material", F.lit(0.0)) + F.coalesce("_finishing", F.lit(0.0))).alias("rate"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.coalesce("min_price", F.lit(0)).cast("double").alias("least"))
+
+
+def tenant_pricing_tab(signs: DataFrame, rates: DataFrame, dictionary: DataFrame, installs: DataFrame) -> DataFrame:
+    """pricing_tab by the tenants' own lists: unit and extended price, installation.
+
+    rates: as ``tenant_rates`` makes them; dictionary: tenant_id, code, size (the size of a type, before all others);
+    installs: tenant_id, default_per_sign, overrides. Everything meets on tenant and type after signs are summed up.
+    """
+    types = type_summary(signs).withColumns({"slug": text.sign_type_slug(F.col("sign_type")), "code": F.upper("sign_type")})
+    sizes = dictionary.groupBy("tenant_id", F.upper("code").alias("code")).agg(F.max("size").alias("_dictionary"))
+    own = types.join(rates, ["tenant_id", "slug"], "left").join(sizes, ["tenant_id", "code"], "left").join(installs, "tenant_id", "left")
+
+    def side(told: Column, i: int) -> Column:
+        return F.nullif(F.regexp_extract(F.coalesce(told, F.lit("")), _SIZE, i), F.lit("")).cast("double")
+
+    def length(i: int, column: str, default: int) -> Column:
+        by_type = F.when(F.coalesce("width", F.lit(0.0)) == 0, side(F.col("size"), i))
+        return F.coalesce(side(F.col("_dictionary"), i), by_type, column, F.lit(float(default)))
+
+    flat = text.by_type(F.col("slug"), {k: F.lit(v) for k, v in vocab.FLAT_PRICES.items()}, None)
+    by_rate = rounded(F.greatest("least", F.col("rate") * length(1, "width", 6) * length(2, "height", 8)))
+    listed = unit_price(F.col("sign_type"), F.when(side(F.col("_dictionary"), 1).isNotNull(), F.col("_dictionary")).otherwise(F.col("size")))
+    price = F.coalesce(flat, F.when(F.col("rate").isNotNull(), by_rate).otherwise(listed))
+    each = install_price(F.col("sign_type"), F.col("default_per_sign"), F.col("overrides"))
+    out = own.withColumn("unit_price", price)
+    return out.select(*JOB, "sign_type", "qty", "unit_price", F.round(F.col("unit_price") * F.col("qty"), 2).alias("extended"), F.round(F.col("qty") * each, 2).alias("installation"))
 
 
 def job_totals(signs: DataFrame) -> DataFrame:
@@ -87,10 +138,14 @@ def legend(signs: DataFrame) -> DataFrame:
     return signs.filter(~F.col("is_deleted")).groupBy(*JOB, "sign_type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("qty").alias("qty"), F.sum(F.when(sure, F.col("qty")).otherwise(0)).alias("sure_qty"))
 
 
-def flat_price(sign_type: Column) -> Column:
-    """Estimation price: that of the first key, in list order, which the type contains."""
+def flat_price(sign_type: Column, own: Column | None = None) -> Column:
+    """Estimation price: that of the first key, in list order, which the type contains. own: a job's map of prices,
+    which replace those of the list; its further keys come after the list's, ``default`` is the price of the rest."""
     low = F.lower(sign_type)
-    out = None
-    for k, v in vocab.ESTIMATES.items():
-        out = F.when(F.contains(low, F.lit(k.lower())), v) if out is None else out.when(F.contains(low, F.lit(k.lower())), v)
-    return out.otherwise(vocab.OTHER_ESTIMATE)
+    of = lambda k, v: F.lit(v) if own is None else F.coalesce(F.try_element_at(own, F.lit(k)), F.lit(v))
+    found = text.first_of(*((F.contains(low, F.lit(k.lower())), of(k, v)) for k, v in vocab.ESTIMATES.items()))
+    other = of("default", vocab.OTHER_ESTIMATE)
+    if own is None:
+        return F.coalesce(found, other)
+    more = F.filter(F.map_entries(own), lambda e: (e["key"] != "default") & ~e["key"].isin(*vocab.ESTIMATES) & F.contains(low, F.lower(e["key"])))
+    return F.coalesce(found, F.get(more, F.lit(0))["value"], other)

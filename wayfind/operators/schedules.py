@@ -185,6 +185,35 @@ def room_classes(name: Column) -> Column:
     return F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())))
 
 
+def _base_unit(number: Column) -> Column:
+    """A unit's number without its floor (A307: A07); other numbers as they are."""
+    return F.regexp_replace(number, r"^([A-Z])\d(\d{2,})$", "$1$2")
+
+
+def match_type_code_rows(schedule: DataFrame, rooms: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Signs of schedule rows that give a type's code and a room number: (tenant_id, job_id, schedule_seq, room_seq,
+    sign_type, qty, rule_ref, message).
+
+    The number's last room counts, leading zeros aside; a row of a residential job (jobs: building_type) whose number
+    no room has goes to all rooms of the same unit on any floor. The type is the code's last description, else the code.
+    """
+    upper = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    bare = lambda c: F.regexp_replace(upper(c), "^0+", "")
+    has_number = F.coalesce("room_number", F.lit("")) != ""
+    coded = schedule.filter(F.trim("sign_type").rlike(vocab.DEFINITION_CODE)).withColumn("_code", upper("sign_type"))
+    told = coded.filter(~has_number & (F.coalesce("room_name", F.lit("")) != "")).groupBy(*JOB, "_code").agg(F.max_by("room_name", "seq").alias("_told"))
+    numbered = rooms.filter(has_number)
+    last = numbered.groupBy(*JOB, bare("room_number").alias("_bare")).agg(F.max("seq").alias("room_seq"))
+    rows = coded.filter(has_number).withColumns({"_bare": bare("room_number"), "_base": _base_unit(upper("room_number"))}).join(told, [*JOB, "_code"], "left").join(last, [*JOB, "_bare"], "left")
+    residential = jobs.filter(F.lower(F.trim("building_type")) == "residential").select(*JOB)
+    units = numbered.withColumn("_base", _base_unit(upper("room_number"))).filter(F.col("_base") != upper("room_number")).join(residential, JOB, "left_semi").select(*JOB, "_base", F.col("seq").alias("room_seq"), F.col("room_number").alias("_unit"))
+    direct = rows.filter("room_seq is not null").withColumn("_unit", F.lit(None).cast("string"))
+    spread = rows.filter("room_seq is null").drop("room_seq").join(units, [*JOB, "_base"])
+    message = F.trim(F.concat(F.lit("Type "), F.concat_ws(" ", "sign_type", F.lit("|"), "room_number", "_unit", "room_name")))
+    qty = F.coalesce(F.nullif("quantity", F.lit(0)), F.lit(1))
+    return direct.unionByName(spread).select(*JOB, F.col("seq").alias("schedule_seq"), "room_seq", F.coalesce("_told", "sign_type").alias("sign_type"), qty.alias("qty"), F.concat(F.lit("schedule_room_match:"), "sign_type").alias("rule_ref"), message.alias("message"))
+
+
 def expand_type_definitions(schedule: DataFrame, rooms: DataFrame) -> DataFrame:
     """Signs of type definitions (a short code, no room number): one in every room of the job that the description
     means. Rooms and definitions meet on the class of rooms, so no room is paired with definitions of another."""

@@ -31,7 +31,7 @@ _SIDES = f"(CASE WHEN sign_type IN {sql_in(vocab.LARGE_SIGNS)} THEN 18.0 * 24.0
 _UNIT = f"(floor(CASE WHEN {_SLUG} = 'evacuation_map' THEN CAST(45 AS DOUBLE) ELSE greatest({_list(4)}, ({_list(0)} + {_list(1)}) * CAST({_SIDES} AS DOUBLE)) END * 100 + CAST(0.5 AS DOUBLE)) / 100)"
 _LINES = f"lines AS (SELECT tenant_id, job_id, seq, sign_type, qty, {_SHOWN.replace('level', 'floor_label')} AS level, {_FLOORKEY.replace('level', 'floor_label')} AS floor_key, {_WING} AS room_key, {_UNIT} AS unit_price, floor({_UNIT} * qty * 100 + CAST(0.5 AS DOUBLE)) / 100 AS extended FROM signs WHERE NOT is_deleted)"
 _TYPES = f"types AS (SELECT tenant_id, job_id, sign_type, CAST(sum(qty) AS BIGINT) AS qty, any_value({_SIZE}) AS size, sign_type IN {sql_in(vocab.ADA_REQUIRED)} AS ada FROM signs WHERE NOT is_deleted GROUP BY 1, 2, 3)"
-_TAB = f"tab AS (SELECT *, {_UNIT} AS unit_price, round({_UNIT} * qty, 2) AS extended, round(qty * CAST(18 AS DOUBLE), 2) AS installation FROM types)"
+_TAB = f"tab AS (SELECT *, {_UNIT} AS unit_price, round({_UNIT} * qty, 2) AS extended, round(qty * CAST(CASE WHEN sign_type IN ('Elevator', 'Evacuation Map') THEN 25 ELSE 18 END AS DOUBLE), 2) AS installation FROM types)"
 _COST = "(input_tokens / 1000000 * CAST(1.25 AS DOUBLE) + output_tokens / 1000000 * CAST(5.0 AS DOUBLE))"
 
 
