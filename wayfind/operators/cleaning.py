@@ -78,6 +78,26 @@ def suppress_undefined(signs: DataFrame, definitions: DataFrame) -> DataFrame:
     return joined.filter(~gone).select(*signs.columns)
 
 
+def canonical_guard(signs: DataFrame) -> DataFrame:
+    """signs (sign_type; detected and is_assembly of the room) without types outside the canonical list, unit signs where
+    the building has no units, and occupancy limits of rooms that are no assembly rooms."""
+    kind, sign = F.col("detected"), F.col("sign_type")
+    units = kind.isin(*vocab.UNIT_SIGN_TYPES) | text.building_type_group(kind).isin(*vocab.UNIT_SIGN_TYPES)
+    wrong = ((sign == "Unit ID") & ~F.coalesce(units, F.lit(False))) | ((sign == "Max Occupancy") & ~F.coalesce("is_assembly", F.lit(False)))
+    return signs.filter(sign.isin(*vocab.CANONICAL) & ~wrong)
+
+
+def alias_types(signs: DataFrame, definitions: DataFrame) -> DataFrame:
+    """signs whose Room ID is called as the job's definitions call it: the last one (by position) that describes it.
+
+    definitions: tenant_id, job_id, position, type_code, description. To be applied after ``canonical_guard``.
+    """
+    told = definitions.filter(F.lower(F.trim("description")).rlike(vocab.ROOM_ID_DESCRIPTION))
+    named = told.groupBy(*JOB).agg(F.max_by(F.concat(F.lit("Type "), "type_code"), "position").alias("_alias"))
+    own = F.when(F.col("sign_type") == "Room ID", F.col("_alias"))
+    return signs.join(named, JOB, "left").withColumn("sign_type", F.coalesce(own, "sign_type")).drop("_alias")
+
+
 def rerule(stored: DataFrame, made: DataFrame) -> DataFrame:
     """Stored signs with those of the rules engine replaced by freshly made ones (same columns, source added)."""
     rest = stored.filter(F.coalesce("source", F.lit("")) != "rules_engine")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind import vocab
@@ -138,6 +138,19 @@ def legend(signs: DataFrame) -> DataFrame:
     return signs.filter(~F.col("is_deleted")).groupBy(*JOB, "sign_type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("qty").alias("qty"), F.sum(F.when(sure, F.col("qty")).otherwise(0)).alias("sure_qty"))
 
 
+def legend_levels(signs: DataFrame) -> DataFrame:
+    """Per job and level, in the legend's order (``position``): rows, quantity, and quantity without signs of rooms that were
+    seen on an image and await review (room_source, review_status). Levels that no word orders come last, by name.
+    """
+    low = F.lower("level")
+    place = F.coalesce(*(F.when(low.contains(w), F.lit(i)) for i, w in enumerate(vocab.LEGEND_LEVELS)))
+    waits = F.coalesce((F.col("room_source") == "ai_vision") & (F.col("review_status") == "pending"), F.lit(False))
+    qty = F.coalesce("qty", F.lit(1))
+    levels = signs.filter(~F.col("is_deleted")).withColumn("level", F.coalesce("floor_label", F.lit("Unassigned"))).groupBy(*JOB, "level").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(qty).alias("qty"), F.sum(F.when(waits, 0).otherwise(qty)).alias("sure_qty"))
+    order = Window.partitionBy(*JOB).orderBy(place.asc_nulls_last(), "level")
+    return levels.withColumn("position", F.row_number().over(order))
+
+
 def flat_price(sign_type: Column, own: Column | None = None) -> Column:
     """Estimation price: that of the first key, in list order, which the type contains. own: a job's map of prices,
     which replace those of the list; its further keys come after the list's, ``default`` is the price of the rest."""

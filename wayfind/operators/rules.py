@@ -99,10 +99,35 @@ def job_facts(rooms: DataFrame) -> DataFrame:
     )
 
 
-def prepared(rooms: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Classified rooms with building type, traits and the job's facts."""
+def door_counts(rooms: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """rooms with ``_doors``: the stated public_door_count if it is above 0, else 3 for rooms that names or a tenant's own
+    keywords tell to have several entries, else 1.
+
+    keywords: (tenant_id, keyword), literal words that an administrator lists; blank ones count for nothing. Those of a
+    tenant become one pattern, which is looked for in its distinct room names.
+    """
+    several = F.col("_multi_entry") if "_multi_entry" in rooms.columns else F.upper("room_name").rlike(vocab.MULTI_ENTRY)
+    several = F.coalesce(several, F.lit(False))
+    out = rooms
+    if keywords is not None:
+        word = F.upper(F.trim("keyword"))
+        escaped = F.regexp_replace(word, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+        edge = lambda end: F.when(word.rlike(end), r"\b").otherwise("")
+        own = keywords.filter(F.trim("keyword") != "").select("tenant_id", F.concat(edge(r"^\w"), escaped, edge(r"\w$")).alias("_p")).distinct()
+        patterns = own.groupBy("tenant_id").agg(F.array_join(F.sort_array(F.collect_list("_p")), "|").alias("_p"))
+        names = rooms.select("tenant_id", "room_name").distinct().join(patterns, "tenant_id").filter(F.rlike(F.upper("room_name"), F.col("_p")))
+        out = rooms.join(names.select("tenant_id", "room_name", F.lit(True).alias("_own")), ["tenant_id", "room_name"], "left")
+        several = several | F.coalesce("_own", F.lit(False))
+    stated = F.col("public_door_count") if "public_door_count" in rooms.columns else F.lit(None).cast("int")
+    doors = F.when(stated > 0, stated.cast("int")).when(several, 3).otherwise(1)
+    return out.withColumn("_doors", doors).select(*rooms.columns, "_doors")
+
+
+def prepared(rooms: DataFrame, jobs: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """Classified rooms with building type, traits, doors and the job's facts. keywords: see ``door_counts``."""
     classified = looked_up(rooms, "room_name", lambda c: text.room_flags(c) | _name_patterns(c))
     classified = looked_up(classified, "level", lambda c: {"_level": text.normalize_level(c)}).withColumn("level", F.col("_level")).drop("_level")
+    classified = door_counts(classified, keywords)
     # one row a job each, written so that their size decides whether rooms are shuffled at all
     typed = with_traits(classified.join(kept(detect_building_type(classified, jobs), "detected"), JOB))
     return typed.join(kept(job_facts(typed), "facts"), JOB)
@@ -129,7 +154,7 @@ def room_id_signs() -> Column:
     """R1 to R7 and R16: the room's own identification."""
     kind = F.col("detected")
     unit = F.col("is_unit") | _unit_by_number(F.col("room_number"), kind)
-    doors = F.when(F.col("_multi_entry"), 3).otherwise(1)
+    doors = F.col("_doors")
     mep, load, dorm = F.col("is_mep"), F.coalesce("occupant_load", F.lit(0)), F.col("_dorm")
     insert = F.when(F.col("_two_sided"), 2).otherwise(1)
     return _signs(

@@ -87,6 +87,31 @@ def synthesize_missing_sheets(files: DataFrame, sheets: DataFrame) -> DataFrame:
     return pages.join(sheets.select(*JOB, "file_id", F.col("page").cast("int").alias("page")).distinct(), [*JOB, "file_id", "page"], "left_anti")
 
 
+def synthesize_sheets(files: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(tenant_id, job_id, file_id, page, title, level): sheets for pages that no index told.
+
+    files: file_id, filename, page_count, size_bytes. A PDF without any sheet gets one a page, 30 at most, named after the
+    file; where the whole job has no sheet it gets 3 pages at least, and an unknown number counts as 15, 8 or 5 by the
+    size of the job's largest file. Then every page of a file of several pages that is still missing gets its own.
+    """
+    pdf = files.filter(F.lower("filename").endswith(".pdf"))
+    has_sheet = sheets.select(*JOB, "file_id").distinct()
+    bare = pdf.join(has_sheet, [*JOB, "file_id"], "left_anti")
+    some = sheets.select(*JOB, F.lit(True).alias("_some")).distinct()
+    largest = files.groupBy(*JOB).agg((F.max(F.coalesce("size_bytes", F.lit(0))) / (1024 * 1024)).alias("_mb"))
+    known = bare.join(some, JOB, "left").join(largest, JOB).withColumn("_some", F.coalesce("_some", F.lit(False)))
+    guess = F.when(F.col("_mb") > 100, 15).when(F.col("_mb") > 20, 8).otherwise(5)
+    pages = F.when(F.col("_some"), F.greatest(F.lit(1), F.least(F.coalesce("page_count", F.lit(1)), F.lit(30)))).otherwise(F.greatest(F.lit(3), F.least(F.coalesce("page_count", guess), F.lit(30)))).cast("int")
+    base, number = F.regexp_replace("filename", r"(?i)\.pdf$", ""), F.col("page").cast("string")
+    level = F.concat(F.lit("LEVEL "), number)
+    each = known.withColumn("_pages", pages).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("_pages"))))
+    title = F.when(~F.col("_some"), F.concat(F.lit("FLOOR PLAN LEVEL "), number)).when(F.col("_pages") > 1, F.concat(base, F.lit(" \u2014 Page "), number)).otherwise(base)
+    made = each.select(*JOB, "file_id", "page", title.alias("title"), F.when(F.col("_some"), F.coalesce(level_from_title(base), level)).otherwise(level).alias("level"))
+    covered = sheets.select(*JOB, "file_id", F.col("page").cast("int").alias("page")).unionByName(made.select(*JOB, "file_id", "page"))
+    missing = synthesize_missing_sheets(files, covered)
+    return made.unionByName(missing.select(*JOB, "file_id", "page", F.concat(F.lit("Floor Plan Level "), number).alias("title"), level.alias("level")))
+
+
 def apply_lexicon(rooms: DataFrame, jobs: DataFrame, lexicon: list[tuple[str, str, str]]) -> DataFrame:
     """(tenant_id, job_id, seq, flag columns): flags that a building type's active keywords set.
 

@@ -55,6 +55,17 @@ def _suppressed(v):
     return cleaning.suppress_undefined(v.signs.select(*rules.JOB, "seq", "sign_type"), _definitions(v)).select("seq")
 
 
+def _guarded(spark, sf_dir):
+    """Signs of all rooms, some of types that a building or room may not have, under the names of the job's definitions."""
+    v, seq, job = Views(spark, sf_dir), F.col("seq"), F.substring("job_id", 2, 20).cast("long")
+    given = v.signs.select("seq", F.when(seq % 7 == 0, "Unit ID").when(seq % 7 == 1, "Plaque").otherwise(F.col("sign_type")).alias("sign_type"))
+    signs = ready(spark, sf_dir).select(*rules.JOB, "seq", "detected", "is_assembly").join(given, "seq")
+    line = lambda n, code, told, when: F.when(when, F.struct(F.lit(n).alias("position"), F.lit(code).alias("type_code"), F.lit(told).alias("description")))
+    lines = F.array(line(2, "B.2", "ROOM-ID plaque", job % 4 == 0), line(1, "A", " Room Identification", job % 2 == 0), line(3, "C", "Exit", job >= 0))
+    definitions = v.jobs.select(*rules.JOB, F.explode(lines).alias("d")).filter("d is not null").select(*rules.JOB, "d.*")
+    return cleaning.alias_types(cleaning.canonical_guard(signs), definitions).select("seq", "sign_type")
+
+
 def _assembled(spark, sf_dir):
     r = ready(spark, sf_dir)
     made = rules.room_signs(r).select(*rules.JOB, F.col("seq").alias("room_seq"), "sign_type", "qty")
@@ -98,6 +109,12 @@ SELECT j.tenant_id, j.job_id, CASE WHEN coalesce(page_count = 5, false) OR coale
 SELECT j.tenant_id, j.job_id, CASE WHEN coalesce(page_count = 5, false) OR coalesce(n, 0) >= 100 THEN 'schedule_primary' WHEN coalesce(page_count, 0) % 3 <> 0 OR page_count IS NULL THEN 'egress_only' WHEN coalesce(n, 0) > 0 THEN 'hybrid' ELSE 'floor_plan_primary' END AS strategy FROM jobs j LEFT JOIN r USING (tenant_id, job_id) LEFT JOIN files USING (tenant_id, job_id)""",
     ),
     "e11_suppressed": (_run(_suppressed), f"WITH {views.SQL} SELECT seq FROM signs LEFT JOIN jobs USING (tenant_id, job_id) WHERE NOT (status IS NOT NULL AND (sign_type = 'Exit' AND status <> 'pending' OR sign_type = 'Evacuation Map'))"),
+    "e11_guarded": (
+        _guarded,
+        f"""WITH {ALL}, g AS (SELECT s.seq, CASE s.seq % 7 WHEN 0 THEN 'Unit ID' WHEN 1 THEN 'Plaque' ELSE s.sign_type END AS sign_type, r.detected, r.type_group, r.is_assembly, CAST(substring(r.job_id, 2) AS BIGINT) AS job FROM signs s JOIN ready r USING (seq))
+SELECT seq, CASE WHEN sign_type = 'Room ID' AND job % 4 = 0 THEN 'Type B.2' WHEN sign_type = 'Room ID' AND job % 2 = 0 THEN 'Type A' ELSE sign_type END AS sign_type FROM g
+WHERE sign_type IN {sql_in(vocab.CANONICAL)} AND NOT (sign_type = 'Unit ID' AND NOT (detected IN {sql_in(vocab.UNIT_SIGN_TYPES)} OR type_group IN {sql_in(vocab.UNIT_SIGN_TYPES)})) AND NOT (sign_type = 'Max Occupancy' AND NOT is_assembly)""",
+    ),
     "e22_rerule": (_run(_reruled), None),
     "e23_assembly": (
         _assembled,

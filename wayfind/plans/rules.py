@@ -124,10 +124,23 @@ def _quantities(spark, sf_dir):
     return rules.sign_quantities(rules.apply_rules(v.rooms, v.jobs))
 
 
+def _doors(spark, sf_dir):
+    """Every thirteenth room states its doors; tenants list a few words of their own."""
+    v, seq = Views(spark, sf_dir), F.col("seq")
+    rooms = v.rooms.withColumn("public_door_count", F.when(seq % 13 == 0, 2).when(seq % 13 == 1, 1).when(seq % 13 == 2, 0))
+    words = v.jobs.select("tenant_id", F.explode(F.when(F.col("tenant_id") < "t3", F.array(F.lit(" office "), F.lit("/ Comm"))).otherwise(F.array(F.lit(""), F.lit("X2")))).alias("keyword"))
+    return rules.door_counts(rooms, words).select("seq", F.col("_doors").alias("doors"))
+
+
 QUERIES = {
     "b1_room_flags": (lambda s, d: rules.classify_rooms(Views(s, d).rooms).select("seq", "level", *FLAG_NAMES), f"WITH {views.SQL}, {FLAGS} SELECT seq, level, {', '.join(FLAG_NAMES)} FROM flagged"),
     "d8_building_type": (lambda s, d: rules.detect_building_type(Views(s, d).rooms, Views(s, d).jobs), f"WITH {views.SQL}, {DETECTED} SELECT * FROM detected"),
     "e2_e9_room_signs": (lambda s, d: rules.room_signs(_ready(s, d)), f"WITH {ALL}, {ROOM_SIGNS} SELECT tenant_id, job_id, seq, sign_type, CAST(qty AS INT) AS qty, rule_ref, CAST(confidence AS DOUBLE) AS confidence, {_STATUS} FROM room_signs"),
+    "e3_doors": (
+        _doors,
+        f"""WITH {views.SQL} SELECT seq, CAST(CASE WHEN seq % 13 = 0 THEN 2 WHEN seq % 13 = 1 THEN 1 WHEN {has(NAME, vocab.MULTI_ENTRY)} THEN 3
+ WHEN tenant_id < 't3' AND {has(NAME, chr(92) + 'bOFFICE' + chr(92) + 'b|/ COMM' + chr(92) + 'b')} THEN 3 ELSE 1 END AS INT) AS doors FROM rooms""",
+    ),
     "e12_stair_signs": (lambda s, d: rules.stair_signs(_ready(s, d)), f"WITH {ALL}, {STAIRS} SELECT tenant_id, job_id, core, sign_type, CAST(qty AS INT) AS qty, rule_ref, CAST(confidence AS DOUBLE) AS confidence, {_STATUS} FROM stair_signs"),
     "e13_elevator_signs": (lambda s, d: rules.elevator_signs(_ready(s, d)), f"WITH {ALL}, {ELEVATORS} SELECT tenant_id, job_id, cab, sign_type, qty, rule_ref, CAST(confidence AS DOUBLE) AS confidence, floor_label, {_STATUS} FROM elevator_signs"),
     "e14_evacuation_maps": (lambda s, d: rules.evacuation_maps(_ready(s, d)), f"WITH {ALL}, {MAPS} SELECT * FROM maps WHERE maps > 0"),

@@ -35,6 +35,19 @@ def _files(v):
     return keys.select(*rules.JOB, F.concat(F.lit("f"), F.col("job").cast("string")).alias("file_id"), F.get(F.array(*map(F.lit, FILENAMES)), (F.col("job") % 5).cast("int")).alias("filename"), (F.col("job") % 6 + 1).alias("page_count"))
 
 
+#: Second files of jobs: name, pages, bytes. Every third one belongs to a job that has no sheet.
+MORE_FILES = [("2nd Floor Plans.pdf", 1, 1000), ("set.PDF", 40, None), ("notes.txt", 9, 5_000_000), ("addendum.pdf", None, 30_000_000), ("site.pdf", None, None), ("annex.pdf", 2, 200_000_000), ("garage.pdf", None, 110_000_000)]
+
+
+def _more_files(v):
+    job = F.col("job")
+    of = lambda i, kind: F.get(F.array(*(F.lit(f[i]).cast(kind) for f in MORE_FILES)), (job % 7).cast("int"))
+    first = _files(v).withColumn("size_bytes", F.lit(None).cast("long"))
+    more = v.rooms.select(*rules.JOB).distinct().withColumn("job", F.substring("job_id", 2, 20).cast("long"))
+    more = more.select("tenant_id", F.when(job % 3 == 0, F.concat("job_id", F.lit("x"))).otherwise(F.col("job_id")).alias("job_id"), F.concat(F.lit("g"), job.cast("string")).alias("file_id"), of(0, "string").alias("filename"), of(1, "long").alias("page_count"), of(2, "long").alias("size_bytes"))
+    return first.unionByName(more)
+
+
 def _run(f):
     return lambda s, d: f(Views(s, d))
 
@@ -74,6 +87,19 @@ QUERIES = {
 SELECT seq, CASE WHEN n IS NULL THEN level ELSE concat('LEVEL ', n) END AS level, CASE WHEN n IS NULL OR n IN (1, 3) AND n = {_FIRST} THEN coord_x END AS coord_x, CASE WHEN n IS NULL OR n IN (1, 3) AND n = {_FIRST} THEN coord_y END AS coord_y FROM rooms JOIN files USING (tenant_id, job_id) LEFT JOIN lv USING (filename)""",
     ),
     "c23_missing_sheets": (_run(lambda v: sheets.synthesize_missing_sheets(_files(v), _sheets(v))), f"WITH {views.SQL}, {SHEETS_SQL}, p AS (SELECT tenant_id, job_id, file_id, CAST(unnest(range(1, page_count + 1)) AS INT) AS page FROM files WHERE page_count > 1) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM sheets s WHERE s.tenant_id = p.tenant_id AND s.job_id = p.job_id AND s.page = p.page)"),
+    "c23_synthesized": (
+        _run(lambda v: sheets.synthesize_sheets(_more_files(v), _sheets(v))),
+        f"""WITH {views.SQL}, {SHEETS_SQL}, more AS (SELECT * FROM (VALUES {", ".join(f"({i}, {quoted(n)}, {'NULL' if p is None else p}, {'NULL' if b is None else b})" for i, (n, p, b) in enumerate(MORE_FILES))}) AS t(i, filename, page_count, size_bytes)),
+f AS (SELECT tenant_id, job_id, file_id, filename, page_count, NULL AS size_bytes FROM files UNION ALL
+ SELECT tenant_id, CASE WHEN job % 3 = 0 THEN concat(job_id, 'x') ELSE job_id END, concat('g', job), filename, page_count, size_bytes FROM (SELECT DISTINCT tenant_id, job_id, job FROM job_keys) JOIN more ON i = job % 7),
+bare AS (SELECT *, EXISTS (SELECT 1 FROM sheets s WHERE s.tenant_id = f.tenant_id AND s.job_id = f.job_id) AS listed, max(coalesce(size_bytes, 0)) OVER (PARTITION BY tenant_id, job_id) / 1048576.0 AS mb FROM f),
+sized AS (SELECT *, CASE WHEN listed THEN greatest(1, least(coalesce(page_count, 1), 30)) ELSE greatest(3, least(coalesce(page_count, CASE WHEN mb > 100 THEN 15 WHEN mb > 20 THEN 8 ELSE 5 END), 30)) END AS pages, regexp_replace(filename, '[.][Pp][Dd][Ff]$', '') AS title FROM bare
+ WHERE lower(filename) LIKE '%.pdf' AND NOT EXISTS (SELECT 1 FROM sheets s WHERE s.tenant_id = bare.tenant_id AND s.job_id = bare.job_id AND s.file_id = bare.file_id)),
+made AS (SELECT tenant_id, job_id, file_id, page, CASE WHEN NOT listed THEN concat('FLOOR PLAN LEVEL ', page) WHEN pages > 1 THEN concat(title, ' — Page ', page) ELSE title END AS title, CASE WHEN listed THEN coalesce({_TITLE_LEVEL}, concat('LEVEL ', page)) ELSE concat('LEVEL ', page) END AS level FROM (SELECT *, unnest(range(1, pages + 1)) AS page FROM sized)),
+rest AS (SELECT tenant_id, job_id, file_id, unnest(range(1, page_count + 1)) AS page FROM f WHERE page_count > 1)
+SELECT tenant_id, job_id, file_id, CAST(page AS INT) AS page, title, level FROM made UNION ALL SELECT tenant_id, job_id, file_id, CAST(page AS INT), concat('Floor Plan Level ', page), concat('LEVEL ', page) FROM rest r
+WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.tenant_id = r.tenant_id AND m.job_id = r.job_id AND m.file_id = r.file_id AND m.page = r.page) AND NOT EXISTS (SELECT 1 FROM sheets s WHERE s.tenant_id = r.tenant_id AND s.job_id = r.job_id AND s.file_id = r.file_id AND s.page = r.page)""",
+    ),
     "c11_fuzzy_rooms": (_run(lambda v: sheets.fuzzy_match_rooms(v.schedule.filter("room_number <> ''"), v.rooms.filter("room_number = ''"))), None),
     "d19_validation": (
         _checks,

@@ -114,6 +114,12 @@ SELECT c.*, CAST(coalesce(signs, 0) AS BIGINT) AS signs, CAST(coalesce(nr, 0) AS
     ),
     "f7_handoff": (_run(lambda v: pricing.handoff_pricing(v.signs)), f"WITH {views.SQL}, {_TYPES} SELECT tenant_id, job_id, sign_type, size, qty, floor({_UNIT} * qty * 100 + CAST(0.5 AS DOUBLE)) / 100 AS price FROM types"),
     "f8_legend": (_run(lambda v: pricing.legend(v.signs)), f"WITH {views.SQL} SELECT tenant_id, job_id, sign_type, count(*) AS n_rows, CAST(sum(qty) AS BIGINT) AS qty, CAST(sum(CASE WHEN confidence >= 0.75 AND review_status <> 'pending' THEN qty ELSE 0 END) AS BIGINT) AS sure_qty FROM signs WHERE NOT is_deleted GROUP BY 1, 2, 3"),
+    "f8_legend_levels": (
+        _run(lambda v: pricing.legend_levels(v.signs.drop("review_status").join(v.rooms.select(F.col("seq").alias("room_seq"), F.col("source").alias("room_source"), "review_status"), "room_seq", "left"))),
+        f"""WITH {views.SQL}, l AS (SELECT s.tenant_id, s.job_id, coalesce(s.floor_label, 'Unassigned') AS level, count(*) AS n_rows, CAST(sum(s.qty) AS BIGINT) AS qty, CAST(sum(CASE WHEN r.source = 'ai_vision' AND r.review_status = 'pending' THEN 0 ELSE s.qty END) AS BIGINT) AS sure_qty
+ FROM signs s LEFT JOIN rooms r ON r.seq = s.room_seq WHERE NOT s.is_deleted GROUP BY 1, 2, 3)
+SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY CASE {" ".join(f"WHEN contains(lower(level), '{w}') THEN {i}" for i, w in enumerate(vocab.LEGEND_LEVELS))} END NULLS LAST, level) AS INT) AS position FROM l""",
+    ),
     "g1_mine_patterns": (
         _run(lambda v: learning.mine_patterns(v.corrections)),
         f"""WITH {views.SQL}, r AS (SELECT *, upper(trim(room_name_pattern)) AS pattern FROM corrections WHERE is_active AND length(trim(room_name_pattern)) >= 3 AND NOT {has("upper(room_name_pattern)", vocab.SCHEDULE_ROW)})

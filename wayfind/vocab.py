@@ -328,3 +328,7 @@ TITLE_NEVER_PLAN = ("notes", "symbols", "schedule", "specification", "cover shee
 TITLE_OTHER_PLAN = ("plumbing", "mechanical", "electrical", "hvac", "structural", "civil", "landscape", "demolition", "reflected ceiling", "foundation", "framing", "site plan", "roof plan", "legends", "plan notes", "finish schedule", "parking", "garage", "drain", "basement podium")
 TITLE_PLAN = ("floor plan", "floorplan", "construction plan", "first floor", "second floor", "third floor", "level 1", "level 2", "level 3", "level 4", "level 5", "basement plan", "ground floor plan", "partial plan", "overall plan", "signage plan", "sign plan", "partial signage plan", "overall signage plan", "plan - level", "plan - area", "interior plan", "interior signage")
 NUMBER_SKIPPED = r"^(?:[pm][-012]|e[-012]|s[-0123]|c[-01]|l[-01]|fd-|fp-|d[-012]|t[-01]|g[-01]|nr-|n-)"
+
+# Words that order levels in a legend, and descriptions that rename the sign of a room: fixed values.
+LEGEND_LEVELS = ["ground", "l1", "1", "first", "1st", "l2", "2", "second", "2nd", "l3", "3", "third", "3rd", "l4", "4", "fourth", "4th"]
+ROOM_ID_DESCRIPTION = r"\broom[\s-]?id\b|\broom[\s-]?identification\b|\broom[\s-]?number\b"
