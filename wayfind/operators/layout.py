@@ -1,7 +1,8 @@
-"""Rooms from the words of a page: the one part whose steps depend on each other within a page.
+"""Rooms from the words of a page.
 
-A page has a few thousand words at most, so a page is one group; numpy works on its coordinates. Pages of all
-files are dealt out by tenant, job and sheet.
+Pairing numbers with names depends on what is taken already, so there a page (a few thousand words at most) is one
+group and numpy works on its coordinates. Looking for words near a number or tag does not: that is a join of cells.
+Pages of all files are dealt out by tenant, job and sheet.
 """
 
 from __future__ import annotations
@@ -10,15 +11,29 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from wayfind import vocab
+from wayfind.functions import text
+from wayfind.operators.cleaning import is_junk_room_name
+from wayfind.operators.sheets import expand_synonyms
+from wayfind.sources.kept import kept
 
 #: How far, in points, a name may lie from its number: beside and below.
 REACH_X, REACH_Y = 120.0, 60.0
 #: Words of one line differ in height by at most so much; a wider gap ends a segment.
 LINE_Y, GAP_X = 4.0, 40.0
-_NUMBER = re.compile(r"^(?:[A-Z]{1,3})?\d{3,4}[A-Z]?$")
+_NUMBER = re.compile(rf"(?!{vocab.YEAR})(?:{vocab.ROOM_NUMBER}|^\d{{2,4}}$|^[A-Z]-?\d{{2,4}}[A-Z]?$|^[A-Z]\d[A-Z]?$)")
 _PREFIX, _DIGITS = re.compile(r"^[A-Z]{1,2}$"), re.compile(r"^\d{3,4}[A-Z]?$")
 _NAME = re.compile(r"[A-Z]{2}")
+#: Left and above of these parts of a page lies the drawing; beyond is the title block, for tags the legend.
+TITLE_X, TITLE_Y, LEGEND_X, LEGEND_Y = 0.78, 0.88, 0.80, 0.90
+#: A name's words lie so near to a number or tag, or on its line; words of restrooms may lie lower or higher.
+NEAR_X, NEAR_Y, LINE_X, SAME_Y, RESTROOM_Y = 80.0, 40.0, 200.0, 15.0, 80.0
+#: Words with more codes of signs than this share among those around them belong to a legend of signs.
+CODES_X, CODES_Y, CODES_LEAST, CODES_SHARE = 120.0, 40.0, 3, 0.30
+PAGE = ["tenant_id", "job_id", "sheet_id"]
 OUT = "tenant_id string, job_id string, sheet_id string, room_number string, room_name string, coord_x long, coord_y long"
 
 
@@ -72,10 +87,109 @@ def _page(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
 
 
+def _usable(words: DataFrame) -> DataFrame:
+    """Words with a text and a place, repeated ones once."""
+    return words.filter("text <> '' and x0 is not null and y0 is not null and x1 is not null and y1 is not null").dropDuplicates([*PAGE, "text", "x0", "y0", "x1", "y1"])
+
+
 def rooms_from_words(words: DataFrame) -> DataFrame:
     """Rooms of every page: number, name, place on a scale of 0 to 100,000.
 
     words: tenant_id, job_id, sheet_id, text, x0, y0, x1, y1, page_width, page_height. Null or empty words are
-    skipped; the result does not depend on the order of the words.
+    skipped, as are those of the title block (right 22 %, bottom 12 %); the result does not depend on the order of the
+    words. Addresses, finish codes and junk are no names. A page on which this finds nothing gets its rooms from
+    ``proximity_rooms``.
+    """
+    drawn = words.filter((F.col("x0") <= F.col("page_width") * TITLE_X) & (F.col("y0") <= F.col("page_height") * TITLE_Y))
+    paired = _named(drawn.groupBy(*PAGE).applyInArrow(_page, OUT)).select(*(c.split()[0] for c in OUT.split(", ")))
+    paired = kept(paired, "paired")
+    bare = words.join(paired.select(*PAGE).distinct(), PAGE, "left_anti")
+    return paired.unionByName(proximity_rooms(bare))
+
+
+def _named(rooms: DataFrame) -> DataFrame:
+    """rooms (room_number, room_name as found, maybe empty) with final names, without those that are none."""
+    raw, number = F.coalesce("room_name", F.lit("")), F.col("room_number")
+    unit, words = number.rlike(vocab.NUMBER_OF_UNIT), F.size(F.split(raw, r"\s+"))
+    codes = raw.rlike(vocab.FINISH_CODES) & (F.length(raw) < 25)
+    long_unit = unit & (words > 4)
+    as_unit = F.concat(F.lit("UNIT "), number)
+    own = F.when(raw != "", expand_synonyms(raw)).when(unit, as_unit).otherwise(F.concat(F.lit("ROOM "), number))
+    name = text.first_of((raw.rlike(vocab.ADDRESS), F.lit(None).cast("string")), (codes | long_unit, F.when(unit, as_unit)), (~is_junk_room_name(own), own))
+    return rooms.withColumn("room_name", name).filter("room_name is not null")
+
+
+def _may_name(word: Column) -> Column:
+    """Whether a word can be part of a name: no grid letter, axis, small count, dimension or filler."""
+    up = F.upper(word)
+    return ~(up.rlike(r"^[A-Z]$|^\d+\.\d+$|^\d{1,2}$") | word.rlike(r"^\d+['\"\-/]") | up.isin(*vocab.IGNORED_WORDS) | (F.length(word) > 30))
+
+
+def _near(left: DataFrame, right: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Pairs of left (x, y) and right (x2, y2) of one page less than dx and dy apart: an equi-join on cells of that
+    size, where each left row looks into its own cell and the eight around it."""
+    cell = lambda x, y: (F.floor(F.col(x) / dx), F.floor(F.col(y) / dy))
+    cx, cy = cell("x", "y")
+    nine = F.explode(F.array(*(F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    l = left.select("*", nine.alias("_c")).select(*left.columns, "_c.cx", "_c.cy")  # noqa: E741
+    rx, ry = cell("x2", "y2")
+    r = right.withColumns({"cx": rx, "cy": ry})
+    close = (F.abs(F.col("x") - F.col("x2")) < dx) & (F.abs(F.col("y") - F.col("y2")) < dy)
+    return l.join(r, [*PAGE, "cx", "cy"]).filter(close).drop("cx", "cy")
+
+
+def _by_place(found: str) -> Column:
+    """The first five words of an array of (x, y, word), from left to right."""
+    return F.array_join(F.transform(F.slice(F.array_sort(found), 1, 5), lambda w: w["word"]), " ")
+
+
+def proximity_rooms(words: DataFrame) -> DataFrame:
+    """Rooms of pages where each number takes the words near it for its name: the five leftmost.
+
+    Same columns in and out as ``rooms_from_words``. A word may serve several numbers. The place is the middle of number
+    and words, lowered by 35 % of their height (2.5 % of the page's if that is 0), within 1,000 to 99,000.
+    """
+    w = _usable(words).withColumns({"is_number": F.col("text").rlike(vocab.ROOM_NUMBER), "is_year": F.col("text").rlike(vocab.YEAR)})
+    numbers = w.filter(F.col("is_number") & ~F.col("is_year") & (F.col("x0") <= F.col("page_width") * TITLE_X) & (F.col("y0") <= F.col("page_height") * TITLE_Y))
+    numbers = numbers.select(*PAGE, F.col("text").alias("room_number"), F.col("x0").alias("x"), F.col("y0").alias("y"), "x1", "y1", "page_width", "page_height")
+    names = w.filter(~F.col("is_number") & ~F.col("is_year") & _may_name(F.col("text")) & ~F.upper("text").isin(*vocab.IGNORED_UNITS))
+    names = names.select(*PAGE, F.upper("text").alias("word"), F.upper("text").rlike(vocab.RESTROOM_LABEL).alias("restroom"), F.col("x0").alias("x2"), F.col("y0").alias("y2"), F.col("x1").alias("x3"), F.col("y1").alias("y3"))
+    dx, dy = F.abs(F.col("x") - F.col("x2")), F.abs(F.col("y") - F.col("y2"))
+    tight = (dx < NEAR_X) & (dy < F.when(F.col("restroom"), RESTROOM_Y).otherwise(NEAR_Y))
+    key = [*PAGE, "room_number", "x", "y", "x1", "y1"]
+    pairs = _near(numbers.select(*key), names, LINE_X, RESTROOM_Y).filter(tight | ((dy < SAME_Y) & (dx < LINE_X)))
+    found = pairs.groupBy(*key).agg(
+        F.collect_list(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"), "word")).alias("found"),
+        *(f(c).alias(n) for f, c, n in ((F.min, "x2", "left"), (F.max, "x3", "right"), (F.min, "y2", "top"), (F.max, "y3", "bottom"))),
+    )
+    all_of = numbers.join(found, key, "left")
+    low, high = F.least("y", "top"), F.greatest("y1", "bottom")
+    x = (F.least("x", "left") + F.greatest("x1", "right")) / 2
+    y = (low + high) / 2 + F.when(high > low, (high - low) * 0.35).otherwise(F.col("page_height") * 0.025)
+    scaled = lambda v, of: F.greatest(F.lit(1000), F.least(F.lit(99000), F.floor(v / F.col(of) * 100_000 + 0.5))).cast("long")
+    placed = all_of.select(*PAGE, "room_number", F.coalesce(_by_place("found"), F.lit("")).alias("room_name"), scaled(x, "page_width").alias("coord_x"), scaled(y, "page_height").alias("coord_y"))
+    return _named(placed)
+
+
+def tag_rooms(tags: DataFrame, words: DataFrame) -> DataFrame:
+    """Room tags with names from the words around them: (page, room_number, room_name, x, y), one row a tag.
+
+    tags: tenant_id, job_id, sheet_id, tag, x, y, page_width, page_height; a tag that repeats on a page counts at its
+    topmost, leftmost place. Tags and words in the legend's zone (right 20 %, bottom 10 %) are left out, as are words
+    amid codes of signs. A tag without words is called a unit or a room by its number.
     """
-    return words.groupBy("tenant_id", "job_id", "sheet_id").applyInArrow(_page, OUT)
+    inside = (F.col("x") <= F.col("page_width") * LEGEND_X) & (F.col("y") <= F.col("page_height") * LEGEND_Y)
+    once = tags.groupBy(*PAGE, "tag").agg(F.min(F.struct("y", "x", "page_width", "page_height")).alias("_t")).select(*PAGE, "tag", "_t.*").filter(inside)
+    centred = _usable(words).withColumns({"x": (F.col("x0") + F.col("x1")) / 2, "y": (F.col("y0") + F.col("y1")) / 2, "word": F.upper(F.trim("text"))}).filter(inside)
+    centred = centred.select(*PAGE, "word", "x", "y", F.col("word").rlike(vocab.SIGN_CODE).alias("code"))
+    around = _near(centred.select(*PAGE, "x", "y").distinct(), centred.select(*PAGE, F.col("x").alias("x2"), F.col("y").alias("y2"), "code"), CODES_X, CODES_Y)
+    legend = around.groupBy(*PAGE, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.count_if("code").alias("codes")).filter((F.col("n") >= CODES_LEAST) & (F.col("codes") / F.col("n") > CODES_SHARE))
+    clean = centred.join(legend.select(*PAGE, "x", "y"), [*PAGE, "x", "y"], "left_anti").filter(_may_name(F.col("word")))
+    clean = clean.select(*PAGE, "word", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    dx, dy = F.abs(F.col("x") - F.col("x2")), F.abs(F.col("y") - F.col("y2"))
+    reach = ((dx < NEAR_X) & (dy < NEAR_Y)) | ((dx < LINE_X) & (dy < SAME_Y))
+    pairs = _near(once.select(*PAGE, "tag", "x", "y"), clean, LINE_X, NEAR_Y).filter(reach & (F.col("word") != F.col("tag")))
+    named = pairs.groupBy(*PAGE, "tag").agg(F.collect_list(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"), "word")).alias("found"))
+    raw = F.when(~_by_place("found").rlike(vocab.TAG_ADDRESS), _by_place("found"))
+    own = F.concat(F.when(F.col("tag").rlike(vocab.NUMBER_OF_UNIT), "UNIT ").otherwise("ROOM "), "tag")
+    return once.join(named, [*PAGE, "tag"], "left").select(*PAGE, F.col("tag").alias("room_number"), F.coalesce(raw, own).alias("room_name"), "x", "y")

@@ -1,10 +1,15 @@
-"""The registered query of page layout: rows only, literal tests hold its values."""
+"""Registered queries of page layout. The pairing of numbers and names has no SQL; literal tests hold its values."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayfind import vocab
 from wayfind.operators import layout
+from wayfind.plans.cleaning import _JUNK
+from wayfind.plans.rules import has, quoted, sql_in
+from wayfind.plans.sheets import _SYN
+from wayfind.sources import views
 from wayfind.sources.views import Views
 
 
@@ -16,4 +21,61 @@ def _words(v):
     return r.select("tenant_id", "job_id", "sheet_id", each.alias("w")).select("tenant_id", "job_id", "sheet_id", "w.*", F.lit(10_000.0).alias("page_width"), F.lit(10_000.0).alias("page_height"))
 
 
-QUERIES = {"h1_h2_rooms_from_words": (lambda s, d: layout.rooms_from_words(_words(Views(s, d))), None)}
+_TEXTS = ["MB", "19A", "8'-4", "2.5", "N", "MAIN ST", "2024", "DRAWING", "C4", "12"]
+
+
+def _dense_words(v):
+    """Rooms on pages of 1,000 by 800 points: number, the words of the name below it, and for some a code or note beside."""
+    r = v.rooms.withColumns({"x": F.col("coord_x").cast("double") / 100, "y": F.col("coord_y").cast("double") / 125})
+    word = lambda t, dx, dy: F.struct(t.alias("text"), (F.col("x") + dx).alias("x0"), (F.col("y") + dy).alias("y0"), (F.col("x") + dx + 20).alias("x1"), (F.col("y") + dy + 8).alias("y1"))
+    name = F.transform(F.split("room_name", " "), lambda t, i: word(t, 25 * i, F.lit(12)))
+    extra = F.when(F.col("seq") % 3 == 0, F.get(F.array(*map(F.lit, _TEXTS)), (F.col("seq") % 10).cast("int")))
+    every = F.concat(F.array(word(F.col("room_number"), F.lit(0), F.lit(0))), name, F.array(word(extra, F.lit(30), F.lit(0))))
+    return r.select(*layout.PAGE, F.explode(every).alias("w")).select(*layout.PAGE, "w.*", F.lit(1000.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+
+
+def _tags(spark, sf_dir):
+    words = _dense_words(Views(spark, sf_dir))
+    tags = words.filter(F.col("text").rlike(vocab.ROOM_NUMBER)).select(*layout.PAGE, F.col("text").alias("tag"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), "page_width", "page_height")
+    return layout.tag_rooms(tags, words)
+
+
+_P = "tenant_id, job_id, sheet_id"
+_WORDS = f"""placed AS (SELECT *, CAST(coord_x AS DOUBLE) / 100 AS x, CAST(coord_y AS DOUBLE) / 125 AS y FROM rooms),
+parts AS (SELECT {_P}, x, y, unnest(string_split(room_name, ' ')) AS text, unnest(range(len(string_split(room_name, ' ')))) AS i FROM placed),
+raw AS (SELECT {_P}, room_number AS text, x AS x0, y AS y0 FROM placed UNION ALL SELECT {_P}, text, x + 25 * i, y + 12 FROM parts
+ UNION ALL SELECT {_P}, CASE seq % 10 {" ".join(f"WHEN {i} THEN {quoted(t)}" for i, t in enumerate(_TEXTS))} END, x + 30, y FROM placed WHERE seq % 3 = 0),
+words AS (SELECT DISTINCT {_P}, text, x0, y0, x0 + 20 AS x1, y0 + 8 AS y1 FROM raw WHERE text <> '')"""
+_MAY = lambda t: f"""NOT ({has(f"upper({t})", r"^[A-Z]$|^[0-9]+[.][0-9]+$|^[0-9]{1,2}$")} OR {has(t, "^[0-9]+['" + chr(34) + "/-]")} OR upper({t}) IN {sql_in(vocab.IGNORED_WORDS)} OR length({t}) > 30)"""
+_SAME = lambda a, b: f"{a}.tenant_id = {b}.tenant_id AND {a}.job_id = {b}.job_id AND {a}.sheet_id = {b}.sheet_id"
+_LIST = "array_to_string(list_transform(list_sort(list({{'x': {x}, 'y': {y}, 'word': {w}}}))[1:5], lambda e: e.word), ' ')"
+
+QUERIES = {
+    "h1_h2_rooms_from_words": (lambda s, d: layout.rooms_from_words(_words(Views(s, d))), None),
+    "h3_proximity_rooms": (
+        lambda s, d: layout.proximity_rooms(_dense_words(Views(s, d))),
+        f"""WITH {views.SQL}, {_WORDS},
+numbers AS (SELECT * FROM words WHERE {has("text", vocab.ROOM_NUMBER)} AND NOT {has("text", vocab.YEAR)} AND x0 <= 780 AND y0 <= 704),
+names AS (SELECT *, {has("upper(text)", vocab.RESTROOM_LABEL)} AS restroom FROM words WHERE NOT {has("text", vocab.ROOM_NUMBER)} AND NOT {has("text", vocab.YEAR)} AND {_MAY("text")} AND upper(text) NOT IN {sql_in(vocab.IGNORED_UNITS)}),
+found AS (SELECT n.tenant_id, n.job_id, n.sheet_id, n.text AS room_number, n.x0, n.y0, n.x1, n.y1, count(w.text) AS k, {_LIST.format(x="w.x0", y="w.y0", w="upper(w.text)")} AS told,
+  min(least(n.x0, w.x0)) AS l, max(greatest(n.x1, w.x1)) AS r, min(least(n.y0, w.y0)) AS t, max(greatest(n.y1, w.y1)) AS b
+  FROM numbers n LEFT JOIN names w ON {_SAME("n", "w")} AND (abs(n.x0 - w.x0) < 80 AND abs(n.y0 - w.y0) < CASE WHEN w.restroom THEN 80 ELSE 40 END OR abs(n.x0 - w.x0) < 200 AND abs(n.y0 - w.y0) < 15) GROUP BY ALL),
+raws AS (SELECT *, CASE WHEN k = 0 THEN '' ELSE told END AS rawname, {has("room_number", vocab.NUMBER_OF_UNIT)} AS u FROM found),
+own AS (SELECT *, CASE WHEN rawname <> '' THEN array_to_string(list_transform(string_split_regex(rawname, '\\s+'), lambda t: CASE t {_SYN} ELSE t END), ' ') WHEN u THEN concat('UNIT ', room_number) ELSE concat('ROOM ', room_number) END AS nm FROM raws),
+final AS (SELECT *, CASE WHEN {has("rawname", vocab.ADDRESS)} THEN NULL WHEN {has("rawname", vocab.FINISH_CODES)} AND length(rawname) < 25 OR u AND len(string_split_regex(rawname, '\\s+')) > 4 THEN CASE WHEN u THEN concat('UNIT ', room_number) END WHEN NOT ({_JUNK}) THEN nm END AS room_name FROM own)
+SELECT {_P}, room_number, room_name, CAST(greatest(1000, least(99000, floor((l + r) / 2 / 1000 * 100000 + 0.5))) AS BIGINT) AS coord_x,
+ CAST(greatest(1000, least(99000, floor(((t + b) / 2 + CASE WHEN b > t THEN (b - t) * CAST(0.35 AS DOUBLE) ELSE 20 END) / 800 * 100000 + 0.5))) AS BIGINT) AS coord_y FROM final WHERE room_name IS NOT NULL""",
+    ),
+    "h4_tag_rooms": (
+        _tags,
+        f"""WITH {views.SQL}, {_WORDS}, mid AS (SELECT {_P}, text, upper(trim(text)) AS word, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM words WHERE (x0 + x1) / 2 <= 800 AND (y0 + y1) / 2 <= 720),
+first_tags AS (SELECT {_P}, text AS tag, arg_min((x0 + x1) / 2, {{'y': y0, 'x': x0}}) AS x, arg_min((y0 + y1) / 2, {{'y': y0, 'x': x0}}) AS y FROM words WHERE {has("text", vocab.ROOM_NUMBER)} GROUP BY ALL),
+tags AS (SELECT * FROM first_tags WHERE x <= 800 AND y <= 720),
+legends AS (SELECT a.tenant_id, a.job_id, a.sheet_id, a.x, a.y FROM (SELECT DISTINCT {_P}, x, y FROM mid) a JOIN mid b ON {_SAME("a", "b")} AND abs(a.x - b.x) < 120 AND abs(a.y - b.y) < 40
+ GROUP BY ALL HAVING count(*) >= 3 AND count(CASE WHEN {has("b.word", vocab.SIGN_CODE)} THEN 1 END) / count(*) > 0.3),
+clean AS (SELECT * FROM mid m WHERE {_MAY("word")} AND NOT EXISTS (SELECT 1 FROM legends l WHERE {_SAME("l", "m")} AND l.x = m.x AND l.y = m.y)),
+named AS (SELECT t.tenant_id, t.job_id, t.sheet_id, t.tag, t.x, t.y, count(w.word) AS k, {_LIST.format(x="w.x", y="w.y", w="w.word")} AS told FROM tags t LEFT JOIN clean w ON {_SAME("t", "w")} AND w.word <> t.tag
+ AND (abs(t.x - w.x) < 80 AND abs(t.y - w.y) < 40 OR abs(t.x - w.x) < 200 AND abs(t.y - w.y) < 15) GROUP BY ALL)
+SELECT {_P}, tag AS room_number, CASE WHEN k > 0 AND NOT {has("told", vocab.TAG_ADDRESS)} THEN told WHEN {has("tag", vocab.NUMBER_OF_UNIT)} THEN concat('UNIT ', tag) ELSE concat('ROOM ', tag) END AS room_name, x, y FROM named""",
+    ),
+}

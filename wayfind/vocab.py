@@ -332,3 +332,15 @@ NUMBER_SKIPPED = r"^(?:[pm][-012]|e[-012]|s[-0123]|c[-01]|l[-01]|fd-|fp-|d[-012]
 # Words that order levels in a legend, and descriptions that rename the sign of a room: fixed values.
 LEGEND_LEVELS = ["ground", "l1", "1", "first", "1st", "l2", "2", "second", "2nd", "l3", "3", "third", "3rd", "l4", "4", "fourth", "4th"]
 ROOM_ID_DESCRIPTION = r"\broom[\s-]?id\b|\broom[\s-]?identification\b|\broom[\s-]?number\b"
+
+# Words of a page: numbers of rooms, years, words that are no names, addresses, finish codes, sign codes: fixed values.
+ROOM_NUMBER = r"^(?:\d{3}[A-Z]?|1[0-4]\d{2}[A-Z]?(?:\.\d)?|2[0-4]\d{2}[A-Z]?(?:\.\d)?|[A-Z]{1,2}P?\d?-\d{3}[A-Z]?|[A-Z]\d{3}[A-Z]?)$"
+YEAR = r"^(?:19|20)\d{2}$"
+IGNORED_WORDS = ["THE", "AND", "OR", "OF", "A", "AN", "IN", "AT", "BY", "FOR", "N", "S", "E", "W", "NE", "NW", "SE", "SW", "FT", "SF", "SQ", "FF", "EQ", "TYP", "SIM", "REF"]
+IGNORED_UNITS = ["FT²", "M²"]
+RESTROOM_LABEL = r"\b(?:TOILET|RESTROOM|RR|BATHROOM|LAVATORY|WC|UNISEX|STAFF|NURSES|CUSTODIAN|PRINCIPALS?)\b"
+ADDRESS = r",|\b(?:AVE|BLVD|ST\b|RD\b|DR\b|MA\b|NY\b|CA\b|COPYRIGHT|DRAWING|PROJECT|JACOBS|CORPS)\b"
+TAG_ADDRESS = r",|\b(?:AVE|BLVD|ST\b|RD\b|DR\b|MA\b|NY\b|CA\b|COPYRIGHT|DRAWING|PROJECT)\b"
+FINISH_CODES = r"^(?:(?:[A-Z]{1,3}-?\d\S*|\d+)(?:\s+|$))+$"
+SIGN_CODE = r"^(?:MB|TB|CB|SA|SB|SC|SD|19[A-Z]|\d+[AB]?)$"
+NUMBER_OF_UNIT = r"^\d{3}[A-Z]?$"
