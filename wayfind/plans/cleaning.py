@@ -8,7 +8,7 @@ from wayfind import vocab
 from wayfind.operators import cleaning, egress, rules
 from wayfind.plans.buildings import _CORES, _EGRESS, _EVAC, _FLOORS
 from wayfind.plans.matching import _BY_NUMBER
-from wayfind.plans.rules import ALL, ROOM_SIGNS, has, sql_in
+from wayfind.plans.rules import ALL, ELEVATORS, EXITS, MAPS, ROOM_SIGNS, STAIRS, has, sql_in
 from wayfind.plans.rules import _ready as ready
 from wayfind.plans.sheets import SHEETS_SQL, _files, _sheets
 from wayfind.sources import views
@@ -115,7 +115,13 @@ SELECT j.tenant_id, j.job_id, CASE WHEN coalesce(page_count = 5, false) OR coale
 SELECT seq, CASE WHEN sign_type = 'Room ID' AND job % 4 = 0 THEN 'Type B.2' WHEN sign_type = 'Room ID' AND job % 2 = 0 THEN 'Type A' ELSE sign_type END AS sign_type FROM g
 WHERE sign_type IN {sql_in(vocab.CANONICAL)} AND NOT (sign_type = 'Unit ID' AND NOT (detected IN {sql_in(vocab.UNIT_SIGN_TYPES)} OR type_group IN {sql_in(vocab.UNIT_SIGN_TYPES)})) AND NOT (sign_type = 'Max Occupancy' AND NOT is_assembly)""",
     ),
-    "e22_rerule": (_run(_reruled), None),
+    "e22_rerule": (
+        _run(_reruled),
+        f"""WITH {ALL}, {ROOM_SIGNS}, {STAIRS}, {ELEVATORS}, {MAPS}, {EXITS},
+every AS (SELECT tenant_id, qty, source FROM signs WHERE source <> 'rules_engine' UNION ALL SELECT tenant_id, qty, 'rules_engine' FROM room_signs UNION ALL SELECT tenant_id, qty, 'rules_engine' FROM stair_signs
+ UNION ALL SELECT tenant_id, qty, 'rules_engine' FROM elevator_signs UNION ALL SELECT tenant_id, 1, 'rules_engine' FROM (SELECT tenant_id, unnest(range(1, maps + 1)) FROM maps WHERE maps > 0) UNION ALL SELECT tenant_id, qty, 'rules_engine' FROM exit_signs)
+SELECT tenant_id, source, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n FROM every GROUP BY 1, 2""",
+    ),
     "e23_assembly": (
         _assembled,
         f"""WITH {ALL}, {ROOM_SIGNS}, {_FLOORS}, {_CORES}, {_EVAC}, {_EGRESS},

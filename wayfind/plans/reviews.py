@@ -6,8 +6,10 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from wayfind import vocab
 from wayfind.operators import egress, learning, matching, rules
 from wayfind.plans.matching import _PREDICT
+from wayfind.plans.rules import ALL, sql_in
 from wayfind.sources import views
 from wayfind.sources.views import Views
 
@@ -63,6 +65,8 @@ _DIFFS = f"""{_HUMAN}, known AS (SELECT tenant_id, room_name_pattern AS room_nam
 diffs AS (SELECT h.tenant_id, h.job_id, h.seq, room_name, sign_type, {_PREDICT} AS suggested, known_type, CASE WHEN known_type IS NULL THEN 'new' WHEN known_type = sign_type THEN 'duplicate' ELSE 'conflict' END AS category FROM human h LEFT JOIN known USING (tenant_id, room_name) WHERE {_PREDICT} <> sign_type)"""
 _MINED = "SELECT tenant_id, correction_type, upper(room_name_pattern) AS pattern, sign_type, count(*) AS evidence, CASE WHEN count(*) >= 3 THEN 'approved' ELSE 'pending' END AS status FROM corrections WHERE is_active AND length(room_name_pattern) >= 3 AND NOT regexp_matches(room_name_pattern, 'FINISH.?SCHEDULE') AND {} GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2"
 
+_VALID = f"(x.sign_type IN {sql_in(vocab.CANONICAL)} AND (x.sign_type <> 'Max Occupancy' OR f.is_assembly))"
+
 QUERIES = {
     "c2_takeoff_diffs": (_run(lambda v: matching.takeoff_diffs(_human(v), v.corrections)), f"WITH {views.SQL}, {_DIFFS} SELECT * FROM diffs"),
     "c2_collisions": (_run(lambda v: matching.diff_collisions(matching.takeoff_diffs(_human(v), v.corrections), v.corrections)), f"WITH {views.SQL}, {_DIFFS} SELECT DISTINCT d.tenant_id, d.room_name, d.sign_type FROM diffs d JOIN corrections c ON c.tenant_id = d.tenant_id AND c.room_name_pattern = d.room_name AND c.sign_type = d.sign_type"),
@@ -89,7 +93,24 @@ SELECT s.tenant_id, s.job_id, s.seq, s.room_seq, CASE WHEN d.seq IS NOT NULL THE
 SELECT s.tenant_id, s.job_id, s.seq, s.sign_type, s.quantity AS qty, coalesce(lv, s.floor) AS floor_label, concat_ws(' | ', nullif(trim(s.sign_type), ''), nullif(trim(s.room_number), ''), nullif(trim(s.room_name), '')) AS message, CASE WHEN type_mark IS NOT NULL THEN concat('Type Mark: ', type_mark) END AS notes
 FROM schedule s LEFT JOIN f ON f.tenant_id = s.tenant_id AND f.job_id = s.job_id AND f.n = upper(trim(s.room_number))""",
     ),
-    "e10_overrides": (_run(_overridden), None),
+    "e10_overrides": (
+        _run(_overridden),
+        f"""WITH RECURSIVE {ALL},
+learned AS (SELECT tenant_id, lower(trim(room_name_pattern)) AS p, sign_type, CASE correction_type WHEN 'ai_missed' THEN 'add' WHEN 'ai_extra' THEN 'exclude' WHEN 'edit' THEN 'modify_qty' ELSE 'sign_type' END AS kind, min(seq) AS o, least(CAST(0.99 AS DOUBLE), CAST(0.75 AS DOUBLE) + count(*) * CAST(0.05 AS DOUBLE)) AS confidence
+ FROM corrections GROUP BY tenant_id, room_name_pattern, sign_type, correction_type),
+kinds AS (SELECT DISTINCT tenant_id, room_name, is_assembly FROM ready),
+met AS (SELECT k.tenant_id, k.room_name, l.sign_type, l.kind, l.o, CASE l.kind WHEN 'modify_qty' THEN l.o % 3 + 1 ELSE 1 END AS qty, row_number() OVER (PARTITION BY k.tenant_id, k.room_name, l.kind IN ('add', 'sign_type') ORDER BY l.confidence DESC, l.o) AS place
+ FROM kinds k JOIN learned l ON l.tenant_id = k.tenant_id AND l.p <> '' AND (lower(trim(k.room_name)) = l.p OR length(l.p) >= 3 AND contains(lower(trim(k.room_name)), l.p)
+  OR len(list_filter(string_split_regex(l.p, '\\s+'), lambda w: length(w) > 2)) > 0 AND len(list_filter(string_split_regex(l.p, '\\s+'), lambda w: length(w) > 2 AND NOT contains(lower(trim(k.room_name)), w))) = 0)),
+steps AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, room_name ORDER BY o) AS k FROM met WHERE kind NOT IN ('add', 'sign_type') OR place <= 2),
+fold AS (SELECT tenant_id, room_name, is_assembly, CAST(0 AS BIGINT) AS k, [{{'t': 'Room ID', 'q': CAST(1 AS BIGINT)}}] AS s, false AS done FROM kinds
+ UNION ALL SELECT f.tenant_id, f.room_name, f.is_assembly, x.k, CASE WHEN f.done THEN f.s WHEN x.kind = 'add' THEN list_append(f.s, {{'t': x.sign_type, 'q': x.qty}}) WHEN x.kind = 'exclude' THEN list_filter(f.s, lambda e: e.t <> x.sign_type)
+  WHEN x.kind = 'modify_qty' THEN list_transform(f.s, lambda e: {{'t': e.t, 'q': CASE WHEN e.t = x.sign_type THEN x.qty ELSE e.q END}}) WHEN {_VALID} THEN [{{'t': x.sign_type, 'q': x.qty}}] ELSE f.s END, f.done OR x.kind = 'sign_type' AND {_VALID}
+  FROM fold f JOIN steps x ON x.tenant_id = f.tenant_id AND x.room_name = f.room_name AND x.k = f.k + 1),
+last AS (SELECT tenant_id, room_name, arg_max(s, k) AS s FROM fold GROUP BY 1, 2),
+lines AS (SELECT r.tenant_id, r.job_id, unnest(l.s) AS e FROM rooms r JOIN last l ON l.tenant_id = r.tenant_id AND l.room_name = r.room_name)
+SELECT tenant_id, job_id, e.t AS sign_type, CAST(sum(e.q) AS BIGINT) AS qty FROM lines GROUP BY 1, 2, 3""",
+    ),
     "g2_upsert_patterns": (
         _run(lambda v: learning.upsert_patterns(*_patterns(v))),
         f"""WITH {views.SQL}, m AS ({_MINED.format("true")}), o AS (SELECT * REPLACE (concat(pattern, CASE WHEN evidence % 2 = 0 THEN '' ELSE ' OLD' END) AS pattern) FROM ({_MINED.format("seq % 2 = 0")}))

@@ -65,6 +65,15 @@ def _checks(spark, sf_dir):
     return sheets.validate_jobs(r, rules.room_signs(r), rules.stair_signs(r), rules.elevator_signs(r), rules.evacuation_maps(r))
 
 
+_TOKENS = "list_distinct(list_filter(string_split_regex(regexp_replace(upper(room_name), '[^A-Z0-9 ]', ' ', 'g'), ' +'), lambda t: t <> ''))"
+_FREE = "list_filter(c.found, lambda x: NOT list_contains(h.used, x.r))[1:1]"
+_GREEDY = f"""WITH RECURSIVE {views.SQL}, s AS (SELECT tenant_id, job_id, seq, {_TOKENS} AS a FROM schedule WHERE room_number <> ''), r AS (SELECT tenant_id, job_id, seq, {_TOKENS} AS b FROM rooms WHERE room_number = ''),
+scored AS (SELECT s.tenant_id, s.job_id, s.seq AS s_seq, r.seq AS r_seq, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS score FROM s JOIN r USING (tenant_id, job_id) WHERE len(list_intersect(a, b)) > 0),
+c AS (SELECT tenant_id, job_id, s_seq, row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY s_seq) AS k, list({{'score': score, 'r': r_seq}} ORDER BY score DESC, r_seq) AS found FROM scored WHERE score >= 0.25 GROUP BY 1, 2, 3),
+chosen AS (SELECT tenant_id, job_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS s_seq, CAST([] AS BIGINT[]) AS used, CAST(NULL AS STRUCT(score DOUBLE, r BIGINT)) AS pick FROM c GROUP BY 1, 2
+ UNION ALL SELECT h.tenant_id, h.job_id, c.k, c.s_seq, list_concat(h.used, list_transform({_FREE}, lambda x: x.r)), {_FREE}[1] FROM chosen h JOIN c ON c.tenant_id = h.tenant_id AND c.job_id = h.job_id AND c.k = h.k + 1)
+SELECT tenant_id, job_id, s_seq, pick.r AS r_seq, pick.score AS score FROM chosen WHERE pick IS NOT NULL"""
+
 QUERIES = {
     "b4_synonyms": (_run(lambda v: v.rooms.select("seq", sheets.expand_synonyms(F.col("room_name")).alias("name"))), f"WITH {views.SQL} SELECT seq, array_to_string(list_transform(string_split_regex(upper(room_name), '\\s+'), lambda t: CASE t {_SYN} ELSE t END), ' ') AS name FROM rooms"),
     "b2_lexicon": (
@@ -100,7 +109,7 @@ rest AS (SELECT tenant_id, job_id, file_id, unnest(range(1, page_count + 1)) AS
 SELECT tenant_id, job_id, file_id, CAST(page AS INT) AS page, title, level FROM made UNION ALL SELECT tenant_id, job_id, file_id, CAST(page AS INT), concat('Floor Plan Level ', page), concat('LEVEL ', page) FROM rest r
 WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.tenant_id = r.tenant_id AND m.job_id = r.job_id AND m.file_id = r.file_id AND m.page = r.page) AND NOT EXISTS (SELECT 1 FROM sheets s WHERE s.tenant_id = r.tenant_id AND s.job_id = r.job_id AND s.file_id = r.file_id AND s.page = r.page)""",
     ),
-    "c11_fuzzy_rooms": (_run(lambda v: sheets.fuzzy_match_rooms(v.schedule.filter("room_number <> ''"), v.rooms.filter("room_number = ''"))), None),
+    "c11_fuzzy_rooms": (_run(lambda v: sheets.fuzzy_match_rooms(v.schedule.filter("room_number <> ''"), v.rooms.filter("room_number = ''"))), _GREEDY),
     "d19_validation": (
         _checks,
         f"""WITH {ALL}, {ROOM_SIGNS}, {STAIRS}, {ELEVATORS}, {MAPS},
