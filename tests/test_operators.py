@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfind.functions import text
-from wayfind.operators import cells, dedup, egress, jobs, learning, matching, pricing, rules
+from wayfind.operators import cells, cleaning, dedup, egress, jobs, learning, matching, pricing, rules, sheets
 
 ROOM = "tenant_id string, job_id string, seq long, sheet_id string, room_number string, room_name string, level string, coord_x long, coord_y long, occupant_load int, confidence double, source string, review_status string"
 
@@ -201,3 +201,42 @@ def test_scope_reads_the_whole_schedule(spark):
     v = SimpleNamespace(schedule=spark.createDataFrame([("t", "j4", 211, "Exit"), ("t", "j4", 212, "Exit"), ("t", "j5", 211, "Restroom"), ("t", "j5", 212, "Exit")], schema))
     sheets = spark.createDataFrame([], "tenant_id string, job_id string, sheet_no string, title string")
     assert [r["job_id"] for r in plans.cleaning.job_scope(plans._typed_by_job(v), sheets).collect()] == ["j4"]
+
+
+def test_doors_are_stated_or_told_by_names_and_keywords(spark):
+    rows = rooms(spark, ("1", "Great Room"), ("2", "GYMNASIUM"), ("3", "BREAK (A+B)"), ("4", "GREATROOM"), ("5", None), ("6", "GYMNASIUM"), ("7", "GYMNASIUM"), ("8", "OFFICE"))
+    rows = rows.withColumn("public_door_count", F.when(F.col("seq") == 6, 1).when(F.col("seq") == 7, 0).when(F.col("seq") == 8, 5))
+    words = spark.createDataFrame([("t", " great room "), ("t", "(a+b)"), ("t", ""), ("t", None), ("u", "OFFICE")], "tenant_id string, keyword string")
+    told = lambda w: [r["_doors"] for r in rules.door_counts(rows, w).orderBy("seq").collect()]
+    assert told(words) == [3, 3, 3, 1, 1, 1, 3, 5]
+    assert told(None) == told(words.limit(0)) == [1, 3, 1, 1, 1, 1, 3, 5]
+    assert signs_of(spark, "commercial", ("1", "APPARATUS BAY")) == [(1, "Room ID", 3, "R3")]
+
+
+def test_guards_and_aliases(spark):
+    kinds = [("Unit ID", "hotel", False), ("Unit ID", "commercial", False), ("Max Occupancy", "commercial", True), ("Max Occupancy", "commercial", None), ("Plaque", "hotel", True), ("Room ID", None, False), (None, "hotel", False)]
+    df = spark.createDataFrame([("t", "j", i, *k) for i, k in enumerate(kinds)], "tenant_id string, job_id string, seq long, sign_type string, detected string, is_assembly boolean")
+    assert sorted(r["seq"] for r in cleaning.canonical_guard(df).collect()) == [0, 2, 5]
+    told = spark.createDataFrame([("t", "j", 2, "B", "room-id, wall"), ("t", "j", 1, "A", "Room Number"), ("t", "j", 3, "C", "bedroom identity"), ("t", "k", 1, "D", None)], "tenant_id string, job_id string, position int, type_code string, description string")
+    assert [r["sign_type"] for r in cleaning.alias_types(df, told).orderBy("seq").collect()][4:] == ["Plaque", "Type B", None]
+    assert cleaning.alias_types(df, told.limit(0)).filter("sign_type = 'Room ID'").count() == 1
+
+
+def test_legend_orders_levels(spark):
+    rows = [("t", "j", level, qty, gone, source, status) for level, qty, gone, source, status in (("ROOF", 1, False, "pdf", "pending"), ("LEVEL 2", 2, False, "ai_vision", "pending"), ("LEVEL 2", 3, False, "ai_vision", "confirmed"), ("Ground", None, False, None, None), (None, 4, False, "pdf", "pending"), ("ATTIC", 9, True, "pdf", "pending"), ("LEVEL 12", 1, False, "pdf", "pending"))]
+    df = spark.createDataFrame(rows, "tenant_id string, job_id string, floor_label string, qty int, is_deleted boolean, room_source string, review_status string")
+    got = [tuple(r)[2:] for r in pricing.legend_levels(df).orderBy("position").select("tenant_id", "job_id", "level", "n_rows", "qty", "sure_qty", "position").collect()]
+    assert got == [("Ground", 1, 1, 1, 1), ("LEVEL 12", 1, 1, 1, 2), ("LEVEL 2", 2, 5, 3, 3), ("ROOF", 1, 1, 1, 4), ("Unassigned", 1, 4, 4, 5)]
+
+
+def test_sheets_are_made_for_pages_that_no_index_told(spark):
+    files = spark.createDataFrame([("t", "j", "a", "a.pdf", 3, None), ("t", "j", "b", "2nd Floor.PDF", None, None), ("t", "j", "c", "c.txt", None, None), ("t", "k", "d", "d.pdf", None, 30 << 20), ("t", "k", "e", "e.pdf", 2, None), ("t", "l", "f", "f.pdf", 35, None)], "tenant_id string, job_id string, file_id string, filename string, page_count int, size_bytes long")
+    told = spark.createDataFrame([("t", "j", "a", 2), ("t", "j", "a", 2)], "tenant_id string, job_id string, file_id string, page int")
+    out = sheets.synthesize_sheets(files, told)
+    pages = {}
+    for r in out.collect():
+        pages.setdefault(r["file_id"], []).append((r["page"], r["title"], r["level"]))
+    assert sorted(pages["a"]) == [(1, "Floor Plan Level 1", "LEVEL 1"), (3, "Floor Plan Level 3", "LEVEL 3")]
+    assert pages["b"] == [(1, "2nd Floor", "LEVEL 2")]
+    assert {k: len(v) for k, v in pages.items()} == {"a": 2, "b": 1, "d": 8, "e": 3, "f": 35}
+    assert sorted(pages["e"])[2] == (3, "FLOOR PLAN LEVEL 3", "LEVEL 3")

@@ -39,7 +39,7 @@ def _categories(v):
 
 
 def _strategy(v):
-    return cleaning.job_strategy(v.jobs, v.schedule.filter("type_mark is null and seq % 5 = 0"), _categories(v))
+    return cleaning.job_strategy(v.jobs, v.schedule, _categories(v))
 
 
 def _typed_by_job(v):
@@ -88,8 +88,8 @@ QUERIES = {
         f"WITH {views.SQL}, {SHEETS_SQL} SELECT seq, coalesce({_BY_NUMBER}, CASE WHEN page % 2 = 0 THEN concat('LEVEL ', page) END, level) AS level FROM rooms JOIN (SELECT sheet_id, page FROM sheets) USING (sheet_id)",
     ),
     "d13_scope": (
-        _run(lambda v: cleaning.job_scope(v.schedule.filter("seq % 211 = 0"), _sheets(v))),
-        f"""WITH {views.SQL}, {SHEETS_SQL} SELECT tenant_id, job_id FROM schedule WHERE seq % 211 = 0 GROUP BY 1, 2 HAVING bool_and({has("upper(sign_type)", vocab.RESTROOM_SCOPE)})
+        _run(lambda v: cleaning.job_scope(v.schedule, _sheets(v))),
+        f"""WITH {views.SQL}, {SHEETS_SQL} SELECT tenant_id, job_id FROM schedule GROUP BY 1, 2 HAVING bool_and({has("upper(sign_type)", vocab.RESTROOM_SCOPE)})
 UNION SELECT tenant_id, job_id FROM sheets GROUP BY 1, 2 HAVING count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) > 0 AND NOT bool_or({has("title", vocab.GENERAL_TITLE)}) AND count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} AND {has("title", vocab.RESTROOM_TITLE)} THEN 1 END) / count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) >= 0.8""",
     ),
     "d13_scope_whole": (
@@ -100,7 +100,7 @@ UNION SELECT tenant_id, job_id FROM sheets GROUP BY 1, 2 HAVING count(CASE WHEN
     ),
     "d13_strategy": (
         _run(_strategy),
-        f"""WITH {views.SQL}, {SHEETS_SQL}, r AS (SELECT tenant_id, job_id, count(*) AS n FROM schedule WHERE type_mark IS NULL AND seq % 5 = 0 GROUP BY 1, 2)
+        f"""WITH {views.SQL}, {SHEETS_SQL}, r AS (SELECT tenant_id, job_id, count(*) AS n FROM schedule GROUP BY 1, 2)
 SELECT j.tenant_id, j.job_id, CASE WHEN coalesce(page_count = 5, false) OR coalesce(n, 0) >= 100 THEN 'schedule_primary' WHEN coalesce(page_count, 0) % 3 <> 0 OR page_count IS NULL THEN 'egress_only' WHEN coalesce(n, 0) > 0 THEN 'hybrid' ELSE 'floor_plan_primary' END AS strategy FROM jobs j LEFT JOIN r USING (tenant_id, job_id) LEFT JOIN files USING (tenant_id, job_id)""",
     ),
     "d13_strategy_whole": (

@@ -55,6 +55,13 @@ def _overrides(v, new):
     return learning.upsert_overrides(new, old.withColumns({"confidence": F.lit(0.96), "source_corrections": F.lit(1)}))
 
 
+def _kept_overrides(v):
+    """All corrections over overrides that exist for every correction, under another name where its length is odd."""
+    rule = F.concat(F.lit("learned:"), F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws("_", "sign_type", "room_name_pattern")), "[^a-z0-9]+", "_"), "^_|_$", ""))
+    old = v.corrections.select("tenant_id", F.when(F.length(rule) % 2 == 0, rule).otherwise(F.concat(rule, F.lit("_old"))).alias("rule_ref")).distinct()
+    return learning.upsert_overrides(v.corrections, old.withColumns({"confidence": F.lit(0.96), "source_corrections": F.lit(1)}))
+
+
 _RULE = "concat('learned:', regexp_replace(regexp_replace(lower(concat(sign_type, '_', room_name_pattern)), '[^a-z0-9]+', '_', 'g'), '^_|_$', ''))"
 
 QUERIES = {
@@ -126,8 +133,8 @@ SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY CASE {
 SELECT tenant_id, correction_type, pattern, sign_type, count(*) AS evidence, list_sort(list(DISTINCT job_id))[1:5] AS example_jobs, CASE WHEN count(*) >= 3 THEN 'approved' ELSE 'pending' END AS status FROM r GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2""",
     ),
     "g4_overrides": (
-        _run(lambda v: _overrides(v, v.corrections.filter("seq % 2 = 0"))),
-        f"""WITH {views.SQL}, n AS (SELECT tenant_id, {_RULE} AS rule_ref, count(*) AS n FROM corrections WHERE is_active AND seq % 2 = 0 GROUP BY 1, 2), e AS (SELECT DISTINCT tenant_id, {_RULE} AS rule_ref, 1 AS e FROM corrections WHERE is_active AND seq % 3 = 0)
+        _run(_kept_overrides),
+        f"""WITH {views.SQL}, n AS (SELECT tenant_id, {_RULE} AS rule_ref, count(*) AS n FROM corrections WHERE is_active GROUP BY 1, 2), e AS (SELECT DISTINCT tenant_id, {_RULE} || CASE WHEN length({_RULE}) % 2 = 0 THEN '' ELSE '_old' END AS rule_ref, 1 AS e FROM corrections)
 SELECT tenant_id, rule_ref, CAST(CASE WHEN e IS NULL THEN 0.8 WHEN n IS NULL THEN 0.96 ELSE 0.99 END AS DOUBLE) AS confidence, coalesce(e, 0) + coalesce(n, 0) AS source_corrections FROM e FULL JOIN n USING (tenant_id, rule_ref)""",
     ),
     "g4_overrides_whole": (
