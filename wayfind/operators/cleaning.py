@@ -104,6 +104,22 @@ def rerule(stored: DataFrame, made: DataFrame) -> DataFrame:
     return rest.select(*JOB, "room_seq", "sign_type", "qty", "source").unionByName(made.select(*JOB, "room_seq", "sign_type", "qty", F.lit("rules_engine").alias("source")))
 
 
+def place_on_sheets(signs: DataFrame, rooms: DataFrame) -> DataFrame:
+    """signs (room_seq) with sheet_id: the room's, else the first of the room's level, else the job's first, in the order of
+    the rooms (seq, sheet_id, level). A sign without a known room gets the job's first sheet; a job without any has none."""
+    sheet = F.when(F.trim("sheet_id") != "", F.col("sheet_id"))
+    r = rooms.select(*JOB, "seq", sheet.alias("_own"), F.col("level").alias("_level"))
+    told = r.filter("_own is not null")
+    by_level = told.groupBy(*JOB, "_level").agg(F.min_by("_own", "seq").alias("_of_level")).withColumnsRenamed({c: f"_{c}" for c in JOB} | {"_level": "_at"})
+    first = told.groupBy(*JOB).agg(F.min_by("_own", "seq").alias("_first"))
+    same = F.col("_level").eqNullSafe(F.col("_at"))
+    for c in JOB:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    placed = r.join(by_level, same, "left").select(*JOB, F.col("seq").alias("room_seq"), F.coalesce("_own", "_of_level").alias("_sheet"))
+    joined = signs.join(placed, [*JOB, "room_seq"], "left").join(first, JOB, "left")
+    return joined.withColumn("sheet_id", F.coalesce("_sheet", "_first")).drop("_sheet", "_first")
+
+
 def assemble_signs(made: DataFrame, rooms: DataFrame, egress: DataFrame) -> DataFrame:
     """Per-room signs without what the egress generator makes (stairs, maps, areas of rescue, exits of stair rooms),
     and the egress signs: (tenant_id, job_id, sign_type, qty)."""

@@ -121,6 +121,13 @@ WHERE sign_type IN {sql_in(vocab.CANONICAL)} AND NOT (sign_type = 'Unit ID' AND
 every AS (SELECT tenant_id, qty, source FROM signs WHERE source <> 'rules_engine' UNION ALL SELECT tenant_id, qty, 'rules_engine' FROM room_signs UNION ALL SELECT tenant_id, qty, 'rules_engine' FROM stair_signs
  UNION ALL SELECT tenant_id, qty, 'rules_engine' FROM elevator_signs UNION ALL SELECT tenant_id, 1, 'rules_engine' FROM (SELECT tenant_id, unnest(range(1, maps + 1)) FROM maps WHERE maps > 0) UNION ALL SELECT tenant_id, qty, 'rules_engine' FROM exit_signs)
 SELECT tenant_id, source, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n FROM every GROUP BY 1, 2""",
+    ),
+    "e22_sign_sheets": (
+        _run(lambda v: cleaning.place_on_sheets(v.signs.select(*rules.JOB, "seq", "room_seq"), v.rooms.withColumn("sheet_id", F.when(F.col("seq") % 3 == 0, F.col("sheet_id")))).select("seq", "sheet_id")),
+        f"""WITH {views.SQL}, r AS (SELECT tenant_id, job_id, seq, level, CASE WHEN seq % 3 = 0 THEN sheet_id END AS own FROM rooms),
+l AS (SELECT tenant_id, job_id, level, arg_min(own, seq) AS s FROM r WHERE own IS NOT NULL GROUP BY ALL), f AS (SELECT tenant_id, job_id, arg_min(own, seq) AS s FROM r WHERE own IS NOT NULL GROUP BY ALL)
+SELECT g.seq, coalesce(r.own, l.s, f.s) AS sheet_id FROM signs g LEFT JOIN r ON r.seq = g.room_seq LEFT JOIN l ON r.seq IS NOT NULL AND l.tenant_id = r.tenant_id AND l.job_id = r.job_id AND l.level IS NOT DISTINCT FROM r.level
+ LEFT JOIN f ON f.tenant_id = g.tenant_id AND f.job_id = g.job_id""",
     ),
     "e23_assembly": (
         _assembled,
