@@ -181,7 +181,7 @@ def tag_rooms(tags: DataFrame, words: DataFrame) -> DataFrame:
     inside = (F.col("x") <= F.col("page_width") * LEGEND_X) & (F.col("y") <= F.col("page_height") * LEGEND_Y)
     once = tags.groupBy(*PAGE, "tag").agg(F.min(F.struct("y", "x", "page_width", "page_height")).alias("_t")).select(*PAGE, "tag", "_t.*").filter(inside)
     centred = _usable(words).withColumns({"x": (F.col("x0") + F.col("x1")) / 2, "y": (F.col("y0") + F.col("y1")) / 2, "word": F.upper(F.trim("text"))}).filter(inside)
-    centred = centred.select(*PAGE, "word", "x", "y", F.col("word").rlike(vocab.SIGN_CODE).alias("code"))
+    centred = centred.select(*PAGE, "word", "x", "y", F.col("word").rlike(vocab.LEGEND_CODE).alias("code"))
     around = _near(centred.select(*PAGE, "x", "y").distinct(), centred.select(*PAGE, F.col("x").alias("x2"), F.col("y").alias("y2"), "code"), CODES_X, CODES_Y)
     legend = around.groupBy(*PAGE, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.count_if("code").alias("codes")).filter((F.col("n") >= CODES_LEAST) & (F.col("codes") / F.col("n") > CODES_SHARE))
     clean = centred.join(legend.select(*PAGE, "x", "y"), [*PAGE, "x", "y"], "left_anti").filter(_may_name(F.col("word")))

@@ -72,7 +72,7 @@ SELECT {_P}, room_number, room_name, CAST(greatest(1000, least(99000, floor((l +
 first_tags AS (SELECT {_P}, text AS tag, arg_min((x0 + x1) / 2, {{'y': y0, 'x': x0}}) AS x, arg_min((y0 + y1) / 2, {{'y': y0, 'x': x0}}) AS y FROM words WHERE {has("text", vocab.ROOM_NUMBER)} GROUP BY ALL),
 tags AS (SELECT * FROM first_tags WHERE x <= 800 AND y <= 720),
 legends AS (SELECT a.tenant_id, a.job_id, a.sheet_id, a.x, a.y FROM (SELECT DISTINCT {_P}, x, y FROM mid) a JOIN mid b ON {_SAME("a", "b")} AND abs(a.x - b.x) < 120 AND abs(a.y - b.y) < 40
- GROUP BY ALL HAVING count(*) >= 3 AND count(CASE WHEN {has("b.word", vocab.SIGN_CODE)} THEN 1 END) / count(*) > 0.3),
+ GROUP BY ALL HAVING count(*) >= 3 AND count(CASE WHEN {has("b.word", vocab.LEGEND_CODE)} THEN 1 END) / count(*) > 0.3),
 clean AS (SELECT * FROM mid m WHERE {_MAY("word")} AND NOT EXISTS (SELECT 1 FROM legends l WHERE {_SAME("l", "m")} AND l.x = m.x AND l.y = m.y)),
 named AS (SELECT t.tenant_id, t.job_id, t.sheet_id, t.tag, t.x, t.y, count(w.word) AS k, {_LIST.format(x="w.x", y="w.y", w="w.word")} AS told FROM tags t LEFT JOIN clean w ON {_SAME("t", "w")} AND w.word <> t.tag
  AND (abs(t.x - w.x) < 80 AND abs(t.y - w.y) < 40 OR abs(t.x - w.x) < 200 AND abs(t.y - w.y) < 15) GROUP BY ALL)

@@ -342,5 +342,5 @@ RESTROOM_LABEL = r"\b(?:TOILET|RESTROOM|RR|BATHROOM|LAVATORY|WC|UNISEX|STAFF|NUR
 ADDRESS = r",|\b(?:AVE|BLVD|ST\b|RD\b|DR\b|MA\b|NY\b|CA\b|COPYRIGHT|DRAWING|PROJECT|JACOBS|CORPS)\b"
 TAG_ADDRESS = r",|\b(?:AVE|BLVD|ST\b|RD\b|DR\b|MA\b|NY\b|CA\b|COPYRIGHT|DRAWING|PROJECT)\b"
 FINISH_CODES = r"^(?:(?:[A-Z]{1,3}-?\d\S*|\d+)(?:\s+|$))+$"
-SIGN_CODE = r"^(?:MB|TB|CB|SA|SB|SC|SD|19[A-Z]|\d+[AB]?)$"
+LEGEND_CODE = r"^(?:MB|TB|CB|SA|SB|SC|SD|19[A-Z]|\d+[AB]?)$"
 NUMBER_OF_UNIT = r"^\d{3}[A-Z]?$"
