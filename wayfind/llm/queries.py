@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontaminate, gif, jaccard_join, language, licenses, packing, pii, quality, sharding, toxicity
+from wayfind.llm import alignment, chat, codebooks, decontaminate, gif, jaccard_join, language, licenses, packing, pii, quality, sharding, toxicity
 from wayfind.llm.common import documents, fold, labelled_sample, table
 
 
@@ -83,10 +83,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(documents(spark, sf_dir))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.read_back(chat.kept_format(chat.with_probe(turns)))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(documents(spark, sf_dir))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     more = {"pages_quality": pages_quality, "conversations_packing": conversations_packing, "media_frames": media_frames, "license_families": license_families}
-    return more | {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing}
+    return more | {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_gif": op3_gif, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_packing": op10_packing, "op11_chat": op11_chat, "op12_alignment": op12_alignment, "op13_codes": op13_codes}
 
 
 def oracle_sql():
-    return {"op8_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op8_decontaminate": decontaminate.ORACLE_SQL, "op13_codes": codebooks.ORACLE_SQL}
