@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfind.llm import gif, language, licenses, packing, pii, quality, queries, textnum, toxicity
+from wayfind.llm.common import byte_size, restore_batches, small_batches
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, kind string, id int, score string, bucket string"
@@ -314,13 +316,46 @@ def test_bytes_that_are_no_utf8(spark):
         assert one.count() == len(raw)
 
 
-def test_many_languages_share_buckets(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_ENTRIES", 1 << 12)
+def test_buckets_are_a_parameter(spark):
+    """Many languages change no prediction: the number of buckets is the caller's."""
     texts = [("en", "the cat sat on the mat"), ("de", "die katze sass auf der matte"), ("fr", "le chat dormait sur la table")]
+    texts += [(f"x{i}", f"{i:05d} " * 3) for i in range(1500)]
     docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
-    model = language.fit(docs)
-    assert model.matrix.size <= 1 << 12
-    assert {r["id"]: r["lang_pred"] for r in language.predict(docs, model).collect()} == {0: "en", 1: "de", 2: "fr"}
+    model = language.fit(docs, buckets=1 << 10)
+    assert model.matrix.shape == (1 << 10, 1503)
+    own = docs.filter("doc_id < 3")
+    assert {r["id"]: r["lang_pred"] for r in language.predict(own, model).collect()} == {0: "en", 1: "de", 2: "fr"}
+    assert len(language.fit(own).matrix) == language.BUCKETS
+
+
+def test_ftrl_against_a_plain_loop():
+    """Weights of the arrays' form against dictionaries and one coordinate at a time, in the same order of rows."""
+    rng = np.random.default_rng(2)
+    rows = [sorted(rng.choice(40, rng.integers(0, 9), replace=False).tolist()) for _ in range(150)]
+    y = np.array([float(rng.random() < (0.9 if 3 in r else 0.2)) for r in rows])
+    at = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    index, weight = toxicity.ftrl(np.array([k for r in rows for k in r], np.int64), at, y)
+    z, n, order = {}, {}, np.random.default_rng(11)
+
+    def w(k):
+        if abs(z.get(k, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[k] > 0 else -1
+        return -(z[k] - sign * toxicity.L1) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for i in order.permutation(len(y)):
+            own = [*rows[i], toxicity.COORDINATES]
+            old = {k: w(k) for k in own}
+            g = 1 / (1 + np.exp(-sum(old.values()))) - y[i]
+            for k in own:
+                before = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / toxicity.ALPHA * old[k]
+                n[k] = before + g * g
+    want = {k: w(k) for k in n if w(k)}
+    assert index.tolist() == sorted(want)
+    assert np.allclose(weight, [want[k] for k in sorted(want)])
+    assert max(want, key=want.get) == 3
 
 
 def test_toxicity(spark, odd, empty):
@@ -476,6 +511,48 @@ def test_conversations_are_packed_whole(spark):
         assert len(rows) == 1 or sum(r["n_tokens"] for r in rows) <= 1024 and sum(r["n_loss"] for r in rows) <= 768 and len(rows) <= 16
 
 
+def test_conversations_without_id_are_packed(spark):
+    rows = [(None, "user", "a b"), (None, "assistant", "c"), (1, "assistant", None), (1, None, "x y z")]
+    out = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, role string, text string")).collect()
+    assert sorted((r["conv_id"] or 0, r["n_tokens"], r["n_loss"], r["offset"]) for r in out) == [(0, 5, 2, 0), (1, 5, 1, 5)] or sorted((r["conv_id"] or 0, r["n_tokens"], r["n_loss"]) for r in out) == [(0, 5, 2), (1, 5, 1)]
+    assert sum(r["n_tokens"] for r in out) == max(r["offset"] + r["n_tokens"] for r in out)
+
+
+def test_sizes_of_batches(spark):
+    assert [byte_size(x) for x in ("64m", "4194304b", "12", " 1 GB ", "-1", "5kb")] == [64 << 20, 4 << 20, 12, 1 << 30, -1, 5 << 10]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    first = spark.conf.get(key)
+    for given, want in (("64m", 4 << 20), ("1k", 1024)):
+        spark.conf.set(key, given)
+        before = small_batches(spark)
+        assert byte_size(spark.conf.get(key)) == want
+        restore_batches(spark, before)
+        assert spark.conf.get(key) == given
+    spark.conf.set(key, first)
+
+
+def test_traits_of_long_spans_read_all_of_them():
+    text = "a" * 5000 + "1" * 5000 + "@x.yz"
+    whole = pii.traits(text, "email", 0, len(text))
+    digits = whole[list(pii.TRAITS).index("digits")] - pii._FIRST["digits"]
+    assert digits == 1  # a half of the span, not of its first 4,096 characters
+
+
+def test_long_paragraphs_of_notices(spark):
+    """A paragraph of a megabyte with all notices and clauses in it: same families as its notices give, in seconds."""
+    own = [t for f in licenses.FAMILIES for t in (*licenses.TEMPLATES[f], *licenses.CLAUSES[f])]
+    filler = [f"component{i} part{i % 97}" for i in range(30)]
+    text = "\n".join(" ".join([own[i % len(own)], *filler]) for i in range(2500))
+    assert len(text) > 1_000_000
+    docs = spark.createDataFrame([(1, text), (2, "Released under the MIT License")], "doc_id long, text string")
+    model = licenses.fit(docs)
+    start = time.time()
+    found = licenses.classify(licenses.with_cue(licenses.paragraphs(docs), model.cues), model).collect()
+    assert time.time() - start < 60
+    assert {r["family"] for r in found if r["doc_id"] == 1 and r["confirmed"]} >= set(licenses.FAMILIES)
+    assert [(r["family"], r["confirmed"]) for r in found if r["doc_id"] == 2] == [("mit", True)]
+
+
 def test_vector_limits_hold(spark):
     r = random.Random(8)
     rows = [(i, r.randrange(1, 900), None) for i in range(2000)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from wayfind.sources.kept import discard, kept, shared_folder
 
-__all__ = ["all_columns", "batch_rows", "column", "discard", "documents", "fold", "kept", "labelled_sample", "new_name", "sampled", "shared_folder", "shuffle_partitions", "small_batches", "table"]
+__all__ = ["all_columns", "batch_rows", "column", "discard", "documents", "fold", "kept", "labelled_sample", "new_name", "restore_batches", "sampled", "shared_folder", "shuffle_partitions", "small_batches", "table"]
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +66,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(labels), "doc_id")
 
 
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40, "p": 1 << 50, "pb": 1 << 50}
+
+
+def byte_size(text: str) -> int:
+    """Bytes of a size as Spark writes them: ``64m``, ``4194304b``, ``1 GB``."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", text.strip().lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> str:
     """From now on the session passes at most so many bytes at a time to Python, so that long texts or many of
-    them do not add up in the executors' memory."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark.conf.set(key, str(min(size, int(spark.conf.get(key).rstrip("b")))))
+    them do not add up in the executors' memory. Returns the setting as it was, for ``restore_batches``: results that
+    are still to be evaluated need the small one until then. No limit (-1) counts as a large one."""
+    before = spark.conf.get(_BATCH)
+    old = byte_size(before)
+    spark.conf.set(_BATCH, str(min(size, old) if old > 0 else size))
+    return before
+
+
+def restore_batches(spark: SparkSession, before: str) -> None:
+    spark.conf.set(_BATCH, before)
 
 
 @contextmanager

@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 from wayfind.llm import textnum
 from wayfind.llm.common import column
 
+#: The model has so many rows of one float for each language; the number never depends on the data.
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
-#: Entries of the matrix; with more languages than fit, neighbouring buckets are added up until it has no more.
-MAX_ENTRIES = 1 << 25
 #: A text's evidence counts as that of at most this many n-grams in its score, not in its prediction.
 EVIDENCE = 40
 _FOLDED = 0x250
@@ -85,8 +84,9 @@ def grams(raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(buckets), np.concatenate(docs), letter
 
 
-def fit(docs: DataFrame, keep: Column | None = None, text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Counts over all rows that ``keep`` admits and that have a language."""
+def fit(docs: DataFrame, keep: Column | None = None, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS) -> Model | None:
+    """Counts over all rows that ``keep`` admits and that have a language. buckets: a power of two, BUCKETS at most; the
+    broadcast matrix takes 4 bytes for each bucket and language, 134 MB for a thousand languages at the default."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -111,9 +111,6 @@ def fit(docs: DataFrame, keep: Column | None = None, text_col: str = "text", lan
     if not len(found):
         return None
     names, code = np.unique(found["lang"].to_numpy().astype(str), return_inverse=True)
-    buckets = BUCKETS
-    while buckets > 1 and buckets * len(names) > MAX_ENTRIES:
-        buckets //= 2
     counts, rows = np.zeros((buckets, len(names)), np.float32), np.zeros(len(names))
     bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy().astype(float)
     rows[code[bucket < 0]] = n[bucket < 0]

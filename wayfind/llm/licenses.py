@@ -239,13 +239,18 @@ def _share(words: Column, family: Column) -> Column:
 
 
 def classify(near: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, paragraph, family, probability, template_share, confirmed) of every paragraph with a feature."""
+    """(doc_id, paragraph, family, probability, template_share, confirmed) of every paragraph with a feature.
+
+    near: paragraphs with their words. They are written with a number of their own; n-grams carry that number alone and the
+    words join again where a paragraph has a feature, so a long paragraph is not copied for each of its n-grams.
+    """
     spark = near.sparkSession
+    near = kept(near.withColumn("row", F.monotonically_increasing_id()), "licence-blocks")
     n = len(model.classes)
     weights = F.broadcast(spark.createDataFrame([(f, [float(v) for v in model.weights[k]]) for k, f in enumerate(model.features)], "gram string, w array<double>"))
-    hits = near.dropDuplicates(["doc_id", "paragraph", "block"]).select("doc_id", "paragraph", "block", "words", F.explode(_grams(F.col("words"))).alias("gram")).join(weights, "gram")
-    key = ["doc_id", "paragraph", "block"]
-    sums = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("hits"), F.max("words").alias("words"), *(F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)))
+    hits = near.select("row", F.explode(_grams(F.col("words"))).alias("gram")).join(weights, "gram")
+    sums = hits.groupBy("row").agg(F.count(F.lit(1)).alias("hits"), *(F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)))
+    sums = sums.join(near.select("row", "doc_id", "paragraph", "words", F.xxhash64("block").alias("h")), "row")
     logit = [(F.col(f"s{k}") / F.sqrt("hits") + float(model.constant[k])) / model.temperature for k in range(n)]
     scored = sums.withColumn("z", F.array(*logit))
     top = F.array_max("z")
@@ -259,7 +264,9 @@ def classify(near: DataFrame, model: Model) -> DataFrame:
     out = named.withColumn("family", F.explode(each))
     z = F.element_at("z", F.array_position(F.array(*map(F.lit, model.classes)), F.col("family")).cast("int"))
     out = out.withColumn("probability", F.exp(z - top) / F.col("total")).withColumn("template_share", _share(F.col("words"), F.col("family")))
-    return out.select("doc_id", "paragraph", "family", "probability", "template_share", ((F.col("family") != UNKNOWN) & (F.col("template_share") >= CONFIRM_FROM)).alias("confirmed"))
+    out = out.select("doc_id", "paragraph", "family", "probability", "template_share", ((F.col("family") != UNKNOWN) & (F.col("template_share") >= CONFIRM_FROM)).alias("confirmed"), "h")
+    # paragraphs that repeat with id and number count once
+    return out.dropDuplicates(["doc_id", "paragraph", "h", "family"]).drop("h")
 
 
 def families(found: DataFrame) -> DataFrame:
@@ -269,4 +276,4 @@ def families(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     model = fit(docs, id_col, text_col)
-    return classify(kept(with_cue(paragraphs(docs, id_col, text_col), model.cues), "licence-blocks"), model)
+    return classify(with_cue(paragraphs(docs, id_col, text_col), model.cues), model)

@@ -226,14 +226,14 @@ def pack_conversations(turns: DataFrame, tokens: int = 1024, segments: int = 16,
     """Instruction data: whole conversations into sequences under limits on tokens, conversations and the tokens
     that bear loss, which are those of the assistant's turns. turns: conv_id, role, text.
 
-    (conv_id, n_tokens, n_loss, sequence_id, offset, segment); a turn ends in one more token.
+    (conv_id, n_tokens, n_loss, sequence_id, offset, segment); a turn ends in one more token. Turns without a conv_id are one
+    conversation; null texts count as the end token alone.
     """
     counted = token_counts(turns, ["conv_id", "role"])
     size = F.col("n_tokens") + 1
     sums = counted.groupBy("conv_id").agg(F.sum(size).alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", size).otherwise(0)).alias("n_loss"))
-    sums = kept(sums, "conversations")
     placed = pack_lengths(sums, "conv_id", "n_tokens", "n_loss", tokens, segments, loss)
-    return placed.withColumnRenamed("id", "conv_id").join(sums, "conv_id").select("conv_id", "n_tokens", "n_loss", "sequence_id", "offset", "segment")
+    return placed.withColumnRenamed("id", "conv_id")
 
 
 def pack_texts(
@@ -303,7 +303,7 @@ def pack_texts(
 
 
 def pack_lengths(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, tokens: int, segments: int, loss: int, pool: int = 256) -> DataFrame:
-    """Place instruction examples whole (no cuts): rows (id, sequence_id, offset, segment).
+    """Place instruction examples whole (no cuts): rows (id, n_tokens, n_loss, sequence_id, offset, segment).
 
     An example over a limit on its own stands alone in a sequence; null lengths count as 0.
     """
@@ -317,8 +317,8 @@ def pack_lengths(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, tok
         def close(filled: list) -> None:
             nonlocal sequence
             at = 0
-            for k, (example, take, _) in enumerate(filled):
-                rows.append((example, sequence, at, k))
+            for k, (example, take, bearing) in enumerate(filled):
+                rows.append((example, take, bearing, sequence, at, k))
                 at += take
             sequence += 1
 
@@ -337,9 +337,9 @@ def pack_lengths(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, tok
         if rows:
             yield _placed(rows, batch.schema.field(0).type)
 
-    return df.select(column(id_col).alias("id"), column(tokens_col).cast("long"), column(loss_col).cast("long")).mapInArrow(run, f"id {name}, sequence_id long, offset long, segment int")
+    return df.select(column(id_col).alias("id"), column(tokens_col).cast("long"), column(loss_col).cast("long")).mapInArrow(run, f"id {name}, n_tokens long, n_loss long, sequence_id long, offset long, segment int")
 
 
 def _placed(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = (kind, pa.int64(), pa.int64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["id", "sequence_id", "offset", "segment"])
+    types = (kind, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["id", "n_tokens", "n_loss", "sequence_id", "offset", "segment"])

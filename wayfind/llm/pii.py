@@ -175,7 +175,7 @@ def _side(c: str) -> int:
 
 def traits(text: str, kind: str, start: int, end: int) -> list[int]:
     """What the classifier knows of a candidate: one place of its weights for each trait group."""
-    span, n = text[start : min(end, start + 4096)], min(end - start, 4096)
+    span, n = text[start:end], end - start
     sort = [2 if c.isdigit() else 1 if c.isalpha() else 0 for c in span]
     word = re.findall(r"[^\W\d_]+", text[max(0, start - WINDOW) : start])
     found = {
