@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.llm import decontaminate, jaccard_join, packing, pii, quality
-from wayfind.llm.common import all_columns, discard, kept, labelled_sample, small_batches, table
+from wayfind.llm.common import all_columns, discard, kept, labelled_sample, restore_batches, small_batches, table
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -59,7 +59,6 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    small_batches(spark)
     return packing.pack_texts(docs)
 
 
@@ -76,9 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, setting = table(spark, sf_dir, "documents"), small_batches(spark)
     for k, (name, stage) in enumerate(STAGES[:-1]):
         before, docs = docs, kept(stage(spark, docs, sf_dir), f"stage-{name}")
         if k:
             discard(before)
+    restore_batches(spark, setting)
     return STAGES[-1][1](spark, docs, sf_dir)
