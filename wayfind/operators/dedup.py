@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.operators.rules import JOB
+from wayfind.sources.kept import kept
 
 
 def first_per_key(df: DataFrame, key: list[Column | str], *order: Column) -> DataFrame:
@@ -67,6 +68,26 @@ LEAST_NAME = 4
 RESTROOM_WORDS = "restroom|bathroom|washroom|lavatory|toilet|shower"
 
 
+def _threes(name: Column) -> Column:
+    """The distinct runs of three characters of a name of at least three."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substring(name, i, F.lit(3))))
+
+
+def _inside(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """Pairs (job, part, whole) of distinct names of at least four characters where whole contains part.
+
+    A whole that contains part has all of part's runs of three characters: wholes are listed by each of theirs, and a part
+    is looked up by the one that the fewest wholes of the job have.
+    """
+    listed = wholes.filter(F.length("whole") >= LEAST_NAME).select(*JOB, "whole", F.explode(_threes(F.col("whole"))).alias("three"))
+    asked = parts.filter(F.length("part") >= LEAST_NAME).select(*JOB, "part", F.explode(_threes(F.col("part"))).alias("three"))
+    counts = listed.groupBy(*JOB, "three").agg(F.count(F.lit(1)).alias("n"))
+    # a run of three that no whole has: the part is in none
+    rare = asked.join(counts, [*JOB, "three"], "left").groupBy(*JOB, "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "three")).alias("m"))
+    probe = rare.filter("m.n > 0").select(*JOB, "part", F.col("m.three").alias("three"))
+    return probe.join(listed, [*JOB, "three"]).filter(F.contains("whole", F.col("part"))).select(*JOB, "part", "whole")
+
+
 def dedup_rooms(rooms: DataFrame) -> DataFrame:
     """Across sheets: the first room of each number and level; of the unnumbered ones the first of each name and
     level, without those that a numbered room covers: one of the same name, one whose name contains theirs, one
@@ -74,10 +95,14 @@ def dedup_rooms(rooms: DataFrame) -> DataFrame:
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     base = rooms.withColumns({"_number": low("room_number"), "_name": low("room_name"), "_level": low("level")})
     numbered = first_per_key(base.filter("_number <> ''"), [*JOB, "_number", "_level"])
-    # a job's distinct names are few: names repeat
-    facts = numbered.groupBy(*JOB).agg(F.collect_set("_name").alias("_names"), F.bool_or(F.col("_name").rlike(RESTROOM_WORDS)).alias("_restroom"), F.bool_or(F.col("_name").rlike("corridor|hallway")).alias("_corridor"))
-    plain = first_per_key(base.filter("_number = ''"), [*JOB, "_name", "_level"]).join(facts, JOB, "left")
-    name, long = F.col("_name"), lambda c: F.length(c) >= LEAST_NAME
-    inside = F.exists("_names", lambda n: (n == name) | (long(n) & long(name) & (F.contains(n, name) | (F.contains(n, F.lit(" ")) & F.contains(name, n)))))
-    covered = inside | (F.col("_restroom") & name.rlike(RESTROOM_WORDS)) | (F.col("_corridor") & name.isin("hallway", "hall", "corridor"))
-    return numbered.select(*rooms.columns).unionByName(plain.filter(~F.coalesce(covered, F.lit(False))).select(*rooms.columns))
+    plain = first_per_key(base.filter("_number = ''"), [*JOB, "_name", "_level"])
+    has = kept(numbered.select(*JOB, "_name").distinct(), "numbered-names")
+    asks = kept(plain.select(*JOB, "_name").distinct(), "plain-names")
+    kinds = has.groupBy(*JOB).agg(F.bool_or(F.col("_name").rlike(RESTROOM_WORDS)).alias("_restroom"), F.bool_or(F.col("_name").rlike("corridor|hallway")).alias("_corridor"))
+    within = _inside(asks.withColumnRenamed("_name", "part"), has.withColumnRenamed("_name", "whole")).select(*JOB, F.col("part").alias("_name"))
+    around = _inside(has.filter(F.contains("_name", F.lit(" "))).withColumnRenamed("_name", "part"), asks.withColumnRenamed("_name", "whole")).select(*JOB, F.col("whole").alias("_name"))
+    name = F.col("_name")
+    of_kind = asks.filter(name.rlike(RESTROOM_WORDS) | name.isin("hallway", "hall", "corridor")).join(kinds, JOB)
+    of_kind = of_kind.filter((F.col("_restroom") & name.rlike(RESTROOM_WORDS)) | (F.col("_corridor") & name.isin("hallway", "hall", "corridor"))).select(*JOB, "_name")
+    covered = asks.join(has, [*JOB, "_name"], "left_semi").unionByName(within).unionByName(around).unionByName(of_kind).distinct()
+    return numbered.select(*rooms.columns).unionByName(plain.join(covered, [*JOB, "_name"], "left_anti").select(*rooms.columns))

@@ -77,11 +77,14 @@ def locate_schedule(schedule: DataFrame, rooms: DataFrame) -> DataFrame:
 
 
 def route_schedule_signs(signs: DataFrame, rooms: DataFrame) -> DataFrame:
-    """(tenant_id, job_id, seq, room_seq): the room whose number is the sign's type, else whose name is; leftmost first."""
+    """(tenant_id, job_id, seq, room_seq): the room whose number is the sign's type, else whose name is; leftmost first.
+
+    The first room of each text is found before signs meet it, so a text that many signs and rooms share has one row.
+    """
     by = lambda column, place: rooms.select(*JOB, F.upper(F.trim(column)).alias("_key"), F.lit(place).alias("_pass"), "coord_x", F.col("seq").alias("room_seq")).filter("_key <> ''")
     keyed = signs.select(*JOB, "seq", F.upper(F.trim("sign_type")).alias("_key"))
-    pairs = keyed.join(by("room_number", 1).unionByName(by("room_name", 2)), [*JOB, "_key"])
-    return pairs.groupBy(*JOB, "seq").agg(F.min(F.struct("_pass", "coord_x", "room_seq")).alias("best")).select(*JOB, "seq", F.col("best.room_seq").alias("room_seq"))
+    first = by("room_number", 1).unionByName(by("room_name", 2)).groupBy(*JOB, "_key").agg(F.min(F.struct("_pass", "coord_x", "room_seq")).alias("_best"))
+    return keyed.join(first, [*JOB, "_key"]).select(*JOB, "seq", F.col("_best.room_seq").alias("room_seq"))
 
 
 def join_occupant_load(rooms: DataFrame, loads: DataFrame) -> DataFrame:

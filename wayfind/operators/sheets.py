@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind import vocab
@@ -11,6 +10,7 @@ from wayfind.functions import text
 from wayfind.operators.cleaning import is_junk_room_name
 from wayfind.operators.dedup import first_per_key
 from wayfind.operators.rules import JOB
+from wayfind.sources.kept import discard, kept
 
 
 def expand_synonyms(name: Column) -> Column:
@@ -140,33 +140,81 @@ def _tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(name), "[^A-Z0-9 ]", " "), " +"), lambda t: t != ""))
 
 
-def _greedy(table: pa.Table) -> pa.Table:
-    """Schedule rows in order take their most similar free room, the first of equal ones."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("s_seq", "score", "r_seq", "tenant_id", "job_id"))), key=lambda r: (r[0], -r[1], r[2]))
-    used, done, out = set(), set(), []
-    for s, score, r, tenant, job in rows:
-        if s not in done and r not in used:
-            done.add(s)
-            used.add(r)
-            out.append((tenant, job, s, r, score))
-    names = ("tenant_id", "job_id", "s_seq", "r_seq", "score")
-    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
-    return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(names, types))})
+def _classes(df: DataFrame, side: str) -> DataFrame:
+    """(job, seq, class): rows whose names have the same words are one class; names without words match nothing."""
+    named = df.select(*JOB, F.col("seq").alias(f"{side}_seq"), F.array_join(F.array_sort(_tokens(F.col("room_name"))), " ").alias(f"{side}_class"))
+    return named.filter(F.col(f"{side}_class") != "")
 
 
-def fuzzy_match_rooms(schedule: DataFrame, rooms: DataFrame) -> DataFrame:
-    """(tenant_id, job_id, s_seq, r_seq, score): schedule names to rooms by the Jaccard similarity of their words.
+def _class_edges(s: DataFrame, r: DataFrame) -> DataFrame:
+    """(job, s_class, r_class, score) of classes whose words are similar enough, met by shared words."""
+    words = lambda df, c: df.select(*JOB, c).distinct().withColumn("w", F.explode(F.split(c, " ")))
+    shared = words(s, "s_class").join(words(r, "r_class"), [*JOB, "w"]).groupBy(*JOB, "s_class", "r_class").agg(F.count(F.lit(1)).alias("n"))
+    size = lambda c: F.size(F.split(c, " "))
+    score = F.col("n") / (size("s_class") + size("r_class") - F.col("n"))
+    return shared.select(*JOB, "s_class", "r_class", score.alias("score")).filter(F.col("score") >= LEAST_SIMILARITY)
+
 
-    Candidates share a word, so they come from an equi-join; only the greedy choice, in the schedule's order within
-    a job, is sequential, over one job's candidates of 0.25 and more.
+def _settled(edges: DataFrame, taken: DataFrame, capacity: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: (the edges that can still be chosen, newly settled rows with their class).
+
+    edges: (job, s_seq, r_class, score) of rows that are not settled; taken: (job, s_seq, r_class) of those that are.
+    """
+    at = Window.partitionBy(*JOB, "r_class").orderBy("s_seq")
+    events = edges.select(*JOB, "r_class", "s_seq", "score", F.lit(False).alias("taken")).unionByName(taken.select(*JOB, "r_class", "s_seq", F.lit(None).cast("double").alias("score"), F.lit(True).alias("taken")))
+    events = events.withColumns({"before": F.count_if("taken").over(at), "place": F.count(F.lit(1)).over(at)}).join(capacity, [*JOB, "r_class"])
+    # rows before it have taken the whole class: the edge is gone
+    left = events.filter(~F.col("taken") & (F.col("before") < F.col("capacity"))).drop("taken")
+    top = left.groupBy(*JOB, "s_seq").agg(F.max(F.struct("score")).alias("m")).select(*JOB, "s_seq", F.col("m.score").alias("top"))
+    left = kept(left.join(top, [*JOB, "s_seq"]), "match-edges")
+    best = left.filter("score = top").groupBy(*JOB, "s_seq").agg(F.array_sort(F.collect_list("r_class")).alias("tied"), F.min(F.col("capacity") - F.col("place")).alias("room"))
+    # one best class, and room for all that come before and may want it
+    sure = best.filter("size(tied) = 1 and room >= 0").select(*JOB, "s_seq", F.col("tied")[0].alias("r_class"))
+    # several best classes: the leading rows that want just these, before any other row has a say in one of them
+    wanted = left.select(*JOB, "r_class", "s_seq", "before").join(best.select(*JOB, "s_seq", "tied"), [*JOB, "s_seq"])
+    lead = wanted.groupBy(*JOB, "r_class").agg(F.min_by(F.struct("tied", "before"), "s_seq").alias("lead"))
+    other = wanted.join(lead, [*JOB, "r_class"]).filter((F.col("tied") != F.col("lead.tied")) | (F.col("before") != F.col("lead.before")))
+    limit = other.groupBy(*JOB, "r_class").agg(F.min("s_seq").alias("limit"))
+    bounds = lead.join(limit, [*JOB, "r_class"], "left").select(*JOB, "r_class", F.col("lead.tied").alias("lead_tied"), F.col("lead.before").alias("gone"), "limit")
+    # taken later by rows that come after the leading ones: the leading rows have the first rooms, so these stand
+    each = best.filter("size(tied) > 1").select(*JOB, "s_seq", "tied", F.explode("tied").alias("r_class")).join(bounds, [*JOB, "r_class"])
+    ok = F.bool_and((F.col("lead_tied") == F.col("tied")) & (F.col("limit").isNull() | (F.col("s_seq") < F.col("limit"))))
+    block = each.groupBy(*JOB, "s_seq", "tied").agg(ok.alias("ok")).filter("ok").select(*JOB, "s_seq", "tied")
+    block = kept(block.withColumn("k", F.row_number().over(Window.partitionBy(*JOB, "tied").orderBy("s_seq"))), "match-ties")
+    if block.isEmpty():
+        discard(block)
+        return left, sure
+    groups = block.groupBy(*JOB, "tied").agg(F.max("k").alias("most")).select("*", F.explode("tied").alias("r_class")).join(bounds.select(*JOB, "r_class", "gone"), [*JOB, "r_class"])
+    free = r.join(groups, [*JOB, "r_class"]).filter((F.col("place") > F.col("gone")) & (F.col("place") <= F.col("gone") + F.col("most")))
+    free = free.withColumn("k", F.row_number().over(Window.partitionBy(*JOB, "tied").orderBy("r_seq")))
+    return left, sure.unionByName(block.join(free.select(*JOB, "tied", "k", "r_class"), [*JOB, "tied", "k"]).select(*JOB, "s_seq", "r_class"))
+
+
+def fuzzy_match_rooms(schedule: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(tenant_id, job_id, s_seq, r_seq, score): schedule rows, in their order, take the free room whose name has the most
+    similar words (Jaccard, 0.25 at least), the first of equal ones.
+
+    Names with the same words are one class; classes that share a word meet once. The greedy choice is made in rounds of
+    joins until no edge is left. A row is settled when its best class has room for all rows before it that might want it,
+    whatever those choose; rows with several equally good classes when they lead all of these. The first open row of a
+    job is always settled, so rounds end; rows of one name are settled together. In the end a class's rows take its rooms
+    in order.
     """
-    side = lambda df, p: df.select(*JOB, F.col("seq").alias(f"{p}_seq"), _tokens(F.col("room_name")).alias(f"{p}_words"))
-    s, r = side(schedule, "s"), side(rooms, "r")
-    pairs = s.select("*", F.explode("s_words").alias("w")).join(r.select("*", F.explode("r_words").alias("w")), [*JOB, "w"])
-    pairs = pairs.dropDuplicates([*JOB, "s_seq", "r_seq"])
-    score = F.size(F.array_intersect("s_words", "r_words")) / F.size(F.array_union("s_words", "r_words"))
-    found = pairs.select(*JOB, "s_seq", "r_seq", score.alias("score")).filter(F.col("score") >= LEAST_SIMILARITY)
-    return found.groupBy(*JOB).applyInArrow(_greedy, "tenant_id string, job_id string, s_seq long, r_seq long, score double")
+    s = kept(_classes(schedule, "s"), "match-schedule")
+    own = _classes(rooms, "r").withColumn("place", F.row_number().over(Window.partitionBy(*JOB, "r_class").orderBy("r_seq")))
+    r = kept(own, "match-rooms")
+    capacity = kept(r.groupBy(*JOB, "r_class").agg(F.count(F.lit(1)).alias("capacity")), "match-capacity")
+    scores = kept(_class_edges(s, r), "match-classes")
+    edges = kept(s.join(scores, [*JOB, "s_class"]).select(*JOB, "s_seq", "r_class", "score"), "match-open")
+    taken = kept(edges.limit(0).select(*JOB, "s_seq", "r_class"), "match-taken")
+    while not edges.isEmpty():
+        left, settled = _settled(edges, taken, capacity, r)
+        more = kept(taken.unionByName(settled), "match-taken")
+        still = kept(left.join(more.select(*JOB, "s_seq"), [*JOB, "s_seq"], "left_anti").select(*JOB, "s_seq", "r_class", "score"), "match-open")
+        discard(edges, taken, left)
+        edges, taken = still, more
+    placed = taken.withColumn("place", F.row_number().over(Window.partitionBy(*JOB, "r_class").orderBy("s_seq"))).join(r, [*JOB, "r_class", "place"])
+    return placed.join(s, [*JOB, "s_seq"]).join(scores, [*JOB, "s_class", "r_class"]).select(*JOB, "s_seq", "r_seq", "score")
 
 
 def validate_jobs(ready: DataFrame, signs: DataFrame, stair_signs: DataFrame, elevator_signs: DataFrame, maps: DataFrame) -> DataFrame:
