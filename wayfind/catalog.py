@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfind.plans import buildings, cleaning, drawings, imports, layout, matching, reviews, rules, schedules, sheets, takeoff, trends
+from wayfind.plans import buildings, cleaning, drawings, imports, layout, matching, reviews, rules, ruling, schedules, sheets, takeoff, trends
 
-_AREAS = (rules, matching, takeoff, buildings, sheets, reviews, layout, cleaning, schedules, drawings, trends, imports)
+_AREAS = (rules, ruling, matching, takeoff, buildings, sheets, reviews, layout, cleaning, schedules, drawings, trends, imports)
 
 
 def flagship(spark, sf_dir):

@@ -94,6 +94,14 @@ def _matches() -> Column:
     return out
 
 
+DROPPED = "array<struct<sign_type: string, qty: int, rule_ref: string, confidence: double, reason: string>>"
+
+
+def told(signs: Column, reason: str) -> Column:
+    """The signs with the reason why they are dropped."""
+    return F.transform(signs, lambda x: F.struct(x["sign_type"].alias("sign_type"), x["qty"].alias("qty"), x["rule_ref"].alias("rule_ref"), x["confidence"].alias("confidence"), F.lit(reason).alias("reason"))).cast(DROPPED)
+
+
 _STEPS = "array<struct<o_seq: bigint, override_type: string, sign_type: string, qty: int, rule_ref: string, confidence: double>>"
 
 
@@ -130,6 +138,12 @@ def apply_overrides(rooms: DataFrame, overrides: DataFrame) -> DataFrame:
     overrides that add, the two most confident count. A sign_type override takes the place of all signs and ends
     the list, if its type is a canonical one (Max Occupancy: in assembly rooms only).
     """
+    return overridden(rooms, overrides).select(*JOB, "seq", "signs")
+
+
+def overridden(rooms: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``apply_overrides`` with all columns of rooms and ``dropped``: the signs that overrides took away, each with its reason,
+    ``excluded`` or ``replaced``."""
     o = overrides.withColumnRenamed("seq", "o_seq").withColumnsRenamed({"rule_ref": "o_rule", "sign_type": "o_type", "qty": "o_qty", "confidence": "o_confidence"})
     o = o.filter(F.coalesce("o_type", F.lit("")) != "").withColumn("_key", _override_key())
     o = F.broadcast(o) if o.count() <= MAX_BROADCAST_OVERRIDES else o
@@ -163,7 +177,10 @@ def apply_overrides(rooms: DataFrame, overrides: DataFrame) -> DataFrame:
             .when((kind == "sign_type") & valid, new)
             .otherwise(signs)
         )
-        return F.struct(changed.cast(NONE).alias("signs"), (state["done"] | ((kind == "sign_type") & valid)).alias("done"))
+        replaced = (kind == "sign_type") & valid
+        gone = F.when(~state["done"] & (kind == "exclude"), told(F.filter(signs, lambda x: x["sign_type"] == of_type), "excluded")).when(~state["done"] & replaced, told(signs, "replaced")).otherwise(F.array().cast(DROPPED))
+        return F.struct(changed.cast(NONE).alias("signs"), (state["done"] | replaced).alias("done"), F.concat(state["dropped"], gone).alias("dropped"))
 
-    folded = F.aggregate("steps", F.struct(F.col("signs").cast(NONE).alias("signs"), F.lit(False).alias("done")), fold)
-    return joined.select(*JOB, "seq", folded["signs"].alias("signs"))
+    start = F.struct(F.col("signs").cast(NONE).alias("signs"), F.lit(False).alias("done"), F.array().cast(DROPPED).alias("dropped"))
+    folded = joined.withColumn("_folded", F.aggregate("steps", start, fold))
+    return folded.select(*(c for c in rooms.columns if c != "signs"), F.col("_folded.signs").alias("signs"), F.col("_folded.dropped").alias("dropped"))

@@ -123,13 +123,16 @@ def door_counts(rooms: DataFrame, keywords: DataFrame | None = None) -> DataFram
     return out.withColumn("_doors", doors).select(*rooms.columns, "_doors")
 
 
-def prepared(rooms: DataFrame, jobs: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
-    """Classified rooms with building type, traits, doors and the job's facts. keywords: see ``door_counts``."""
+def prepared(rooms: DataFrame, jobs: DataFrame, keywords: DataFrame | None = None, detect: bool = True) -> DataFrame:
+    """Classified rooms with building type, traits, doors and the job's facts. keywords: see ``door_counts``. Without detect,
+    a job's type is the one it has, or commercial, whatever its rooms are called."""
     classified = looked_up(rooms, "room_name", lambda c: text.room_flags(c) | _name_patterns(c))
     classified = looked_up(classified, "level", lambda c: {"_level": text.normalize_level(c)}).withColumn("level", F.col("_level")).drop("_level")
     classified = door_counts(classified, keywords)
     # one row a job each, written so that their size decides whether rooms are shuffled at all
-    typed = with_traits(classified.join(kept(detect_building_type(classified, jobs), "detected"), JOB))
+    stated = jobs.select(*JOB, F.coalesce(F.nullif("building_type", F.lit("")), F.lit("commercial")).alias("detected"))
+    types = kept(detect_building_type(classified, jobs), "detected") if detect else stated
+    typed = with_traits(classified.join(types, JOB))
     return typed.join(kept(job_facts(typed), "facts"), JOB)
 
 
@@ -206,20 +209,25 @@ def _finished(df: DataFrame) -> DataFrame:
     return df.withColumn("status", F.when(F.col("confidence") >= vocab.AUTO_FROM, "auto").otherwise("needs_review")).withColumn("ada_required", F.col("sign_type").isin(*vocab.ADA_REQUIRED))
 
 
-def room_signs(rooms: DataFrame) -> DataFrame:
-    """(tenant_id, job_id, seq, sign_type, qty, rule_ref, confidence, status, ada_required) of prepared rooms."""
+def signed_rooms(rooms: DataFrame) -> DataFrame:
+    """Prepared rooms that carry signs, with the array of their signs; rooms that rules skip are left out."""
     if "occupancy_group" not in rooms.columns:
         rooms = rooms.withColumn("occupancy_group", F.lit(None).cast("string"))
     kind = F.col("detected")
     allowed = kind.isin(*vocab.UNIT_SIGN_TYPES) | text.building_type_group(kind).isin(*vocab.UNIT_SIGN_TYPES)
     skipped = F.col("is_door_schedule_entry") | F.col("_schedule_row") | (F.upper("level").rlike(vocab.MEZZANINE) & F.col("is_mep")) | (F.col("_unit_or_apt") & ~allowed & ~F.col("unit_dominant"))
     every = F.concat(room_id_signs(), restroom_signs(), exit_signs(), capacity_signs(), directory_signs())
-    found = rooms.filter(~skipped).select(*JOB, "seq", every.alias("signs"))
+    found = rooms.filter(~skipped).withColumn("signs", every)
     # an insert takes the plain sign's place, and only the first insert stays
     inserts = F.filter("signs", lambda s: s["sign_type"] == "Room ID w/insert")
     others = F.filter("signs", lambda s: ~s["sign_type"].isin("Room ID", "Room ID w/insert"))
     merged = F.when(F.size(inserts) > 0, F.concat(F.slice(inserts, 1, 1), others)).otherwise(F.col("signs"))
-    return _finished(found.select(*JOB, "seq", F.inline(merged)))
+    return found.withColumn("signs", merged)
+
+
+def room_signs(rooms: DataFrame) -> DataFrame:
+    """(tenant_id, job_id, seq, sign_type, qty, rule_ref, confidence, status, ada_required) of prepared rooms."""
+    return _finished(signed_rooms(rooms).select(*JOB, "seq", F.inline("signs")))
 
 
 def _stairs(rooms: DataFrame) -> DataFrame:
@@ -267,13 +275,19 @@ def formula_exits(rooms: DataFrame) -> DataFrame:
     return _finished(jobs.select(*JOB, F.inline(every)))
 
 
+def aggregate_signs(ready: DataFrame, exits: bool = True) -> DataFrame:
+    """Signs of stairs, elevators and evacuation maps, and exits by formula: those of no one room. ready: prepared rooms."""
+    cut = lambda df: df.select(*JOB, F.lit(None).cast("long").alias("room_seq"), "sign_type", "qty", "rule_ref", "confidence")
+    maps = evacuation_maps(ready).select(*JOB, F.explode(F.sequence(F.lit(1), "maps")).alias("k")).select(*JOB, F.lit("Evacuation Map").alias("sign_type"), F.lit(1).alias("qty"), F.lit("R13").alias("rule_ref"), F.lit(0.85).alias("confidence"))
+    out = cut(stair_signs(ready)).unionByName(cut(elevator_signs(ready))).unionByName(cut(maps))
+    return out.unionByName(cut(formula_exits(ready))) if exits else out
+
+
 def apply_rules(rooms: DataFrame, jobs: DataFrame) -> DataFrame:
     """All signs of all jobs: (tenant_id, job_id, room_seq, sign_type, qty, rule_ref, confidence)."""
     # written once, classified and with the job's facts; each kind of rule then scans the columns it needs
     ready = kept(prepared(rooms, jobs), "prepared")
-    cut = lambda df, room=None: df.select(*JOB, (F.col(room) if room else F.lit(None).cast("long")).alias("room_seq"), "sign_type", "qty", "rule_ref", "confidence")
-    maps = evacuation_maps(ready).select(*JOB, F.explode(F.sequence(F.lit(1), "maps")).alias("k")).select(*JOB, F.lit("Evacuation Map").alias("sign_type"), F.lit(1).alias("qty"), F.lit("R13").alias("rule_ref"), F.lit(0.85).alias("confidence"))
-    return cut(room_signs(ready), "seq").unionByName(cut(stair_signs(ready))).unionByName(cut(elevator_signs(ready))).unionByName(cut(maps)).unionByName(cut(formula_exits(ready)))
+    return room_signs(ready).select(*JOB, F.col("seq").alias("room_seq"), "sign_type", "qty", "rule_ref", "confidence").unionByName(aggregate_signs(ready))
 
 
 def sign_quantities(signs: DataFrame) -> DataFrame:
