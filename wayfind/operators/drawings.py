@@ -10,6 +10,7 @@ from wayfind.functions import text
 from wayfind.operators.rules import JOB
 from wayfind.operators.schedules import is_type_code
 from wayfind.operators.sheets import level_from_title, sheet_excluded
+from wayfind.sources.kept import kept
 
 
 def _has(c: Column, words) -> Column:
@@ -63,6 +64,58 @@ def sheets_from_index(lines: DataFrame, page_ids: DataFrame, files: DataFrame) -
     return joined.select(*file, "sheet_no", "title", page.cast("int").alias("page"), source.alias("page_source"), detect_sheet_type(F.col("sheet_no"), F.col("title")).alias("sheet_type"), level_from_title(F.col("title")).alias("level"))
 
 
+#: Share of a page's width and height from which on words stand in its title block.
+BLOCK_X, BLOCK_Y = 0.70, 0.75
+_NUMBER = r"(?:[A-Z]{1,3}-?\d{1,4}(?:\.\d{1,3})?[A-Z]?|\d{1,2}\.\d{1,2}\.\d{1,4})"
+
+
+def _numbers_in(token: Column) -> Column:
+    """All sheet numbers in an upper-case token that stand between other characters than letters and digits. A number has
+    three runs of letters and digits at most, so those that begin at each run are tried."""
+    ends = [r"^[A-Z0-9]+", r"^[A-Z0-9]+[-.][A-Z0-9]+", r"^[A-Z0-9]+[-.][A-Z0-9]+[-.][A-Z0-9]+"]
+    starts = F.filter(F.sequence(F.lit(1), F.length(token)), lambda i: F.substring(token, i, F.lit(1)).rlike("[A-Z0-9]") & ((i == 1) | ~F.substring(token, i - 1, F.lit(1)).rlike("[A-Z0-9]")))
+    tried = F.flatten(F.transform(starts, lambda i: F.array(*(F.regexp_extract(F.substring(token, i, F.length(token)), e, 0) for e in ends))))
+    return F.when(F.length(token) > 0, F.array_distinct(F.filter(tried, lambda x: x.rlike(f"^{_NUMBER}$")))).otherwise(F.array().cast("array<string>"))
+
+
+def title_block_numbers(words: DataFrame) -> DataFrame:
+    """(job, file_id, page, sheet_no): the number in each page's title block, its last dotted one, else its first.
+
+    words: tenant_id, job_id, file_id, page, word_no, text, x0, top, page_width, page_height. Read from top, then left.
+    """
+    block = words.filter((F.col("x0") >= F.col("page_width") * BLOCK_X) & (F.col("top") >= F.col("page_height") * BLOCK_Y))
+    page = [*JOB, "file_id", "page"]
+    # a corner of a page has some dozen words
+    told = block.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("top", "x0", "word_no", "text"))).alias("w"))
+    found = F.regexp_extract_all(F.array_join(F.transform("w", lambda w: w["text"]), " "), F.lit(rf"\b({_NUMBER})\b"), F.lit(1))
+    dotted = F.filter("n", lambda n: n.rlike(r"^\d{1,2}\.\d{1,2}\.\d{1,4}$"))
+    read = told.select(*page, found.alias("n")).filter("size(n) > 0")
+    return read.select(*page, F.upper(F.coalesce(F.try_element_at(dotted, F.lit(-1)), F.get("n", F.lit(0)))).alias("sheet_no"))
+
+
+def numbers_on_pages(words: DataFrame, listed: DataFrame) -> DataFrame:
+    """(job, file_id, page, sheet_no): the listed numbers that each page bears: the one of its title block, else, where that
+    is not listed, all of its text. A number that is split at its hyphen counts.
+
+    listed: distinct job, file_id, sheet_no. Numbers and pages meet by equality of numbers, not page by page.
+    """
+    file, page = [*JOB, "file_id"], [*JOB, "file_id", "page"]
+    block = kept(title_block_numbers(words).join(listed, [*file, "sheet_no"], "left_semi"), "title-blocks")
+    after = F.lead(F.upper("text")).over(Window.partitionBy(*page).orderBy("word_no"))
+    read = words.select(*page, F.upper("text").alias("w"), after.alias("after"))
+    pair = F.when(F.col("w").rlike("[A-Z0-9]-$"), F.concat("w", F.coalesce("after", F.lit(""))))
+    tokens = read.select(*page, F.explode(F.array_compact(F.array("w", pair))).alias("token")).filter(F.col("token").rlike(r"\d"))
+    body = tokens.select(*page, F.explode(_numbers_in(F.col("token"))).alias("sheet_no")).distinct()
+    body = body.join(block.select(*page), page, "left_anti").join(listed, [*file, "sheet_no"], "left_semi")
+    return block.select(*page, "sheet_no").unionByName(body.select(*page, "sheet_no"))
+
+
+def sheets_from_pages(lines: DataFrame, words: DataFrame, files: DataFrame) -> DataFrame:
+    """``sheets_from_index`` with the numbers searched on the pages: words as for ``numbers_on_pages``."""
+    listed = lines.select(*JOB, "file_id", F.regexp_extract(F.trim("line"), vocab.INDEX_LINE, 2).alias("sheet_no")).filter("sheet_no <> ''").distinct()
+    return sheets_from_index(lines, numbers_on_pages(words, kept(listed, "listed-numbers")), files)
+
+
 def sheet_category(sheet_no: Column, title: Column, sheet_type: Column) -> Column:
     """interior, sign_docs, sign_details, exterior, room_schedule or skip, with the kind of reason: struct."""
     n, t = F.upper(F.trim(F.coalesce(sheet_no, F.lit("")))), F.upper(F.trim(F.coalesce(title, F.lit(""))))
@@ -131,6 +184,28 @@ def promote_signage_sheets(sheets: DataFrame) -> DataFrame:
 # ---- which signs stand ----
 
 
+def _phrase(c: Column) -> Column:
+    return F.filter(F.split(F.upper(c), "[^A-Z0-9]+"), lambda w: w != "")
+
+
+def types_in_notes(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(tenant_id, job_id, sign_type): the sign types that the notes of a job name: its whitelist for ``filter_signs``.
+
+    lines: tenant_id, job_id, sheet_id, line_no, line; dictionary: sign_type. Words are compared without their case and
+    signs; each word of a line meets the types that begin with it, and what follows is compared. A type inside a longer
+    one that the line names at the same place does not count.
+    """
+    line = [*JOB, "sheet_id", "line_no"]
+    types = dictionary.select("sign_type", _phrase(F.col("sign_type")).alias("p")).filter("size(p) > 0").dropDuplicates(["sign_type"]).withColumn("word", F.col("p")[0])
+    told = lines.select(*line, _phrase(F.col("line")).alias("w"))
+    at = told.select(*line, "w", F.posexplode("w").alias("pos", "word")).join(types, "word")
+    hits = at.filter(F.slice("w", F.col("pos") + 1, F.size("p")) == F.col("p")).select(*line, "sign_type", F.col("pos").alias("a"), (F.col("pos") + F.size("p")).alias("b"))
+    # a line's hits are as many as its words, for each of the dictionary's lengths
+    by_line = hits.groupBy(*line).agg(F.collect_list(F.struct("a", "b", "sign_type")).alias("h"))
+    outer = lambda x: ~F.exists("h", lambda y: (y["a"] <= x["a"]) & (y["b"] >= x["b"]) & (y["b"] - y["a"] > x["b"] - x["a"]))
+    return by_line.select(*JOB, F.explode(F.transform(F.filter("h", outer), lambda x: x["sign_type"])).alias("sign_type")).distinct()
+
+
 def filter_signs(signs: DataFrame, rooms: DataFrame, scopes: DataFrame, whitelist: DataFrame) -> DataFrame:
     """signs that the scope of their job lets stand.
 

@@ -95,7 +95,42 @@ def _judged(v):
     return drawings.filter_signs(signs, flagged, _scopes(v), listed).select("seq")
 
 
+def _notes(v):
+    """A line of notes for each sign of every third job: its type in other letters and marks, or inside a longer word."""
+    seq, kind = F.col("seq"), F.col("sign_type")
+    line = F.when(seq % 5 == 0, F.concat(F.lit("1. provide "), F.lower(kind), F.lit(" signs, see A-101."))).when(seq % 5 == 1, F.concat(F.lit("TYPE: "), F.regexp_replace(kind, "[ (]", "-"))).when(seq % 5 == 2, F.concat(kind, F.lit("S AND MAPS"))).when(seq % 5 == 3, F.concat(kind, F.lit(" (Tactile)"))).otherwise(F.lit(None))
+    return v.signs.filter(F.substring("job_id", 2, 20).cast("long") % 3 == 0).select(*rules.JOB, F.lit("n").alias("sheet_id"), seq.alias("line_no"), line.alias("line"))
+
+
+def _noted(v):
+    dictionary = v.spark.createDataFrame([(t,) for t in vocab.CANONICAL], "sign_type string")
+    return drawings.types_in_notes(_notes(v), dictionary)
+
+
+def _judged_by_notes(v):
+    signs = v.signs.select(*rules.JOB, "seq", "room_seq", F.when(F.col("seq") % 8 == 0, "Type B.1").otherwise(F.col("sign_type")).alias("sign_type"), F.get(F.array(*(F.lit(r) for r in RULES)), (F.col("seq") % 5).cast("int")).alias("rule_ref"))
+    return drawings.filter_signs(signs, rules.classify_rooms(v.rooms), _scopes(v), _noted(v)).select("seq")
+
+
+_PHRASE = lambda c: f"concat(' ', trim(regexp_replace(upper({c}), '[^A-Z0-9]+', ' ', 'g')), ' ')"
+_LONGEST = sorted(vocab.CANONICAL, key=lambda t: -len(t))
+_NOTED = f"""notes AS (SELECT tenant_id, job_id, {_PHRASE("CASE seq % 5 WHEN 0 THEN concat('1. provide ', lower(sign_type), ' signs, see A-101.') WHEN 1 THEN concat('TYPE: ', regexp_replace(sign_type, '[ (]', '-', 'g')) WHEN 2 THEN concat(sign_type, 'S AND MAPS') WHEN 3 THEN concat(sign_type, ' (Tactile)') END")} AS line FROM signs WHERE CAST(substring(job_id, 2) AS BIGINT) % 3 = 0),
+phrases AS (SELECT t, {_PHRASE("t")} AS p FROM (VALUES {", ".join(f"({quoted(t)})" for t in vocab.CANONICAL)}) AS c(t)),
+inside AS (SELECT tenant_id, job_id, line, t, p FROM notes JOIN phrases ON contains(line, p)),
+noted AS (SELECT DISTINCT tenant_id, job_id, t AS sign_type FROM inside i WHERE contains(replace(line, coalesce((SELECT max(o.p) FROM phrases o WHERE length(o.p) > length(i.p) AND contains(o.p, i.p) AND contains(i.line, o.p)), '#'), ' # '), p))"""
+
 QUERIES = {
+    "d7_note_types": (_run(_noted), f"WITH {views.SQL}, {_NOTED} SELECT * FROM noted"),
+    "d7_noted_scope": (
+        _run(_judged_by_notes),
+        f"""WITH {views.SQL}, {_NOTED}, s AS (SELECT tenant_id, job_id, seq, room_seq, CAST(substring(job_id, 2) AS BIGINT) AS job, CASE WHEN seq % 8 = 0 THEN 'Type B.1' ELSE sign_type END AS sign_type, CASE seq % 5 WHEN 0 THEN 'R1' WHEN 1 THEN 'R9' WHEN 2 THEN 'R16' WHEN 3 THEN 'training_correction:7' ELSE '' END AS rule_ref FROM signs),
+j AS (SELECT s.*, upper(r.room_name) AS room, {has("upper(r.room_name)", vocab.ELEVATOR)} AS is_elevator, jobs.job_id IS NOT NULL AS known, EXISTS (SELECT 1 FROM noted n WHERE n.tenant_id = s.tenant_id AND n.job_id = s.job_id) AS bound, EXISTS (SELECT 1 FROM noted n WHERE n.tenant_id = s.tenant_id AND n.job_id = s.job_id AND n.sign_type = s.sign_type) AS listed
+ FROM s LEFT JOIN rooms r ON r.seq = s.room_seq LEFT JOIN jobs ON jobs.tenant_id = s.tenant_id AND jobs.job_id = s.job_id)
+SELECT seq FROM j WHERE NOT (known AND job % 4 = 0 AND (sign_type IN ('Room ID', 'Exit', 'Evacuation Map', 'Elevator') OR coalesce({has("room", vocab.NOT_RESTROOM_ROOMS)}, false)))
+ AND NOT (sign_type = 'Evacuation Map' AND coalesce({has("room", vocab.NO_EVAC_ROOMS)}, false)) AND NOT (bound AND rule_ref NOT LIKE 'training%' AND sign_type <> 'Type B.1' AND NOT listed)
+ AND NOT (known AND job % 5 = 0 AND NOT CASE WHEN rule_ref LIKE 'training%' THEN job % 10 <> 0 OR sign_type IN ('Exit', 'Evacuation Map') ELSE rule_ref = 'R9' OR job % 10 <> 0 AND rule_ref = 'R16' END)
+ AND NOT (sign_type = 'Exit' AND room_seq IS NOT NULL) AND NOT (sign_type = 'Elevator' AND coalesce(NOT is_elevator, false))""",
+    ),
     "b18_sheet_types": (_run(lambda v: _drawn(v).select("sheet_id", drawings.detect_sheet_type(F.col("sheet_no"), F.col("title")).alias("sheet_type"))), f"WITH {views.SQL}, {SHEETS_SQL}, {_DRAWN} SELECT sheet_id, {_TYPE} AS sheet_type FROM drawn"),
     "b17_b19_sheet_categories": (_run(lambda v: _classified(v).select("sheet_id", "category", "reason")), f"WITH {views.SQL}, {SHEETS_SQL}, {_DRAWN}, {_CLASSIFIED} SELECT sheet_id, category, reason FROM categories"),
     "d22_restroom_rescue": (

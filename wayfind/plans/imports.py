@@ -76,16 +76,43 @@ decisions AS (SELECT tenant_id, room_name_pattern, sign_type, seq, CASE WHEN pai
 # ---- drawing indexes and type-code rows ----
 
 
-def _index(v):
-    d, job = _drawn(v), F.substring("job_id", 2, 20).cast("long")
+def _index_lines(v):
+    d = _drawn(v)
     key = [*rules.JOB, "file_id", F.lit(1).alias("index_page")]
     line = F.when(F.col("page") % 3 == 0, F.concat("sheet_no", F.lit(" - "), "title")).when(F.col("page") % 3 == 1, F.concat("title", F.lit(" | "), "sheet_no")).otherwise(F.concat(F.lit(" "), "sheet_no", F.lit(" ")))
-    lines = d.select(*key, F.col("page").alias("line_no"), line.alias("line")).unionByName(d.select(*key, (F.col("page") + 10).alias("line_no"), F.concat("sheet_no", F.lit(" AGAIN")).alias("line")))
+    return d.select(*key, F.col("page").alias("line_no"), line.alias("line")).unionByName(d.select(*key, (F.col("page") + 10).alias("line_no"), F.concat("sheet_no", F.lit(" AGAIN")).alias("line")))
+
+
+def _index(v):
+    d, job, lines = _drawn(v), F.substring("job_id", 2, 20).cast("long"), _index_lines(v)
     # the index page itself bears every number
     found = d.filter((F.col("page") + job) % 2 == 0).select(*rules.JOB, "file_id", "sheet_no", F.explode(F.array(F.lit(1), F.col("page") + 3, F.col("page") + 4)).alias("page"))
     return drawings.sheets_from_index(lines, found, _files(v).withColumn("page_count", F.col("page_count") + 2)).select(*rules.JOB, "sheet_no", "title", "page", "page_source")
 
 
+def _page_words(v):
+    """Words of a sheet's page, three after it: its number in the title block, or in the text beside another number there,
+    or split at its hyphen, or after a number that no index lists. The index page bears all numbers."""
+    d, case = _drawn(v), (F.col("page") + F.substring("job_id", 2, 20).cast("long")) % 4
+    word = lambda t, x, y: F.struct(t.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("top"))
+    n, lit = F.col("sheet_no"), F.lit
+    split = F.array(word(F.regexp_replace(n, "-.*", "-"), 100, 100), word(F.when(n.contains("-"), F.regexp_replace(n, ".*-", "")).otherwise(F.concat(lit("x"), n)), 120, 100))
+    words = (
+        F.when(case == 0, F.array(word(lit("SCALE"), 720, 760), word(n, 900, 800), word(lit("ROOM"), 10, 10)))
+        .when(case == 1, F.array(word(F.concat(lit("(see:"), F.lower(n), lit(")")), 200, 300), word(lit("Z-999"), 900, 800)))
+        .when(case == 2, F.when(n.contains("-"), split).otherwise(F.array(word(F.concat(lit("x"), n), 120, 100))))
+        .otherwise(F.array(word(n, 900, 800), word(lit("QQ9"), 950, 770)))
+    )
+    body = d.select(*rules.JOB, "file_id", (F.col("page") + 3).alias("page"), F.posexplode(words).alias("word_no", "w"))
+    head = d.select(*rules.JOB, "file_id", F.lit(1).cast("long").alias("page"), F.col("page").cast("int").alias("word_no"), word(n, 10, 10).alias("w"))
+    return body.unionByName(head).select(*rules.JOB, "file_id", "page", "word_no", "w.*", F.lit(1000.0).alias("page_width"), F.lit(1000.0).alias("page_height"))
+
+
+def _searched(v):
+    found = drawings.sheets_from_pages(_index_lines(v), _page_words(v), _files(v).withColumn("page_count", F.col("page_count") + 2))
+    return found.select(*rules.JOB, "sheet_no", "title", "page", "page_source")
+
+
 _EDGE = lambda c: f"nullif(regexp_replace({c}, '^[ .|-]+|[ .|-]+$', '', 'g'), '')"
 _PART = lambda i: f"regexp_extract(trim(line), {quoted(vocab.INDEX_LINE)}, {i})"
 
@@ -124,6 +151,15 @@ l AS (SELECT tenant_id, room_name_pattern, sign_type, max(c.seq) AS seq, 1 AS ba
 SELECT tenant_id, room_name_pattern, sign_type, seq, CASE WHEN back = 1 THEN true WHEN off = 1 THEN false ELSE is_active END AS is_active, CASE WHEN back = 1 THEN 'refreshed' WHEN off = 1 AND is_active THEN 'deactivated' ELSE 'kept' END AS outcome
 FROM corrections LEFT JOIN n USING (tenant_id, room_name_pattern) LEFT JOIN l USING (tenant_id, room_name_pattern, sign_type, seq)
 UNION ALL SELECT tenant_id, room_name_pattern, sign_type, seq, true, 'inserted' FROM w WHERE outcome <> 'refreshed'""",
+    ),
+    "a12_index_pages": (
+        _run(_searched),
+        f"""WITH {views.SQL}, {SHEETS_SQL}, {_DRAWN}, l AS (SELECT tenant_id, job_id, file_id, page AS line_no, CASE page % 3 WHEN 0 THEN concat(sheet_no, ' - ', title) WHEN 1 THEN concat(title, ' | ', sheet_no) ELSE sheet_no END AS line FROM drawn UNION ALL SELECT tenant_id, job_id, file_id, page + 10, concat(sheet_no, ' AGAIN') FROM drawn),
+p AS (SELECT *, {_PART(2)} AS sheet_no, upper(coalesce({_EDGE(_PART(3))}, {_EDGE(_PART(1))}, {_PART(2)})) AS title FROM l),
+f AS (SELECT tenant_id, job_id, file_id, sheet_no, min(line_no) AS line_no, arg_min(title, line_no) AS title FROM p WHERE sheet_no <> '' GROUP BY 1, 2, 3, 4),
+n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, job_id, file_id ORDER BY line_no) AS place FROM f),
+s AS (SELECT tenant_id, job_id, sheet_no, min(page) + 3 AS found FROM drawn WHERE (page + CAST(substring(job_id, 2) AS BIGINT)) % 4 <> 2 OR contains(sheet_no, '-') GROUP BY 1, 2, 3)
+SELECT tenant_id, job_id, sheet_no, title, CAST(coalesce(found, least(1 + place, page_count + 2)) AS INT) AS page, CASE WHEN found IS NULL THEN 'estimated' ELSE 'scanned' END AS page_source FROM n LEFT JOIN s USING (tenant_id, job_id, sheet_no) JOIN files USING (tenant_id, job_id, file_id)""",
     ),
     "a12_drawing_index": (
         _run(_index),
