@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text
-from wayfind.sources.kept import numbered
+from wayfind.sources.kept import kept, numbered
 
 
 def mine_patterns(corrections: DataFrame, least: int = 2, approve_from: int = 3, examples: int = 5) -> DataFrame:
@@ -25,6 +25,23 @@ def mine_patterns(corrections: DataFrame, least: int = 2, approve_from: int = 3,
     return found.filter(F.col("evidence") >= least).withColumn("status", F.when(F.col("evidence") >= approve_from, "approved").otherwise("pending"))
 
 
+def pattern_texts(mined: DataFrame) -> DataFrame:
+    """Mined patterns with a description and what to do about them, for one room name or, where there is none, all rooms."""
+    room, sign, kind = F.trim(F.coalesce("pattern", F.lit(""))), F.col("sign_type"), F.col("correction_type")
+    times = F.concat(F.col("evidence").cast("string"), F.when(F.col("evidence") == 1, " occurrence").otherwise(" occurrences"))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    p = F.col("pattern")
+    described = F.when(room != "", say("'", p, "' \u2192 ", sign, " (", times, ")")).otherwise(say(sign, " \u2014 ", times, " across all rooms"))
+    fixes = [
+        (kind.isin("sign_type_mismatch", "edit"), say("When room name is '", p, "', assign '", sign, "' instead of pipeline default"), say("'", sign, "' sign type is frequently corrected \u2014 review pipeline default assignment")),
+        (kind.isin("ai_missed", "add"), say("Room pattern '", p, "' requires a '", sign, "' sign \u2014 add to extraction rules"), say("'", sign, "' signs are frequently added manually \u2014 verify AI extraction covers this type")),
+        (kind.isin("ai_extra", "delete"), say("Room pattern '", p, "' is being over-detected \u2014 exclude from '", sign, "' assignment"), say("'", sign, "' signs are frequently removed \u2014 AI may be over-generating this type")),
+        (kind == "sign_type_override", say("When room name is '", p, "', assign '", sign, "' instead of pipeline default"), say("'", sign, "' sign type is frequently overridden \u2014 review pipeline rules")),
+        (F.lit(True), say("Review '", p, "' \u2192 '", sign, "' pattern (", kind, ")"), say("'", sign, "' correction pattern (", kind, ") \u2014 review pipeline rules")),
+    ]
+    return mined.withColumns({"description": described, "suggested_fix": text.first_of(*((when, F.when(room != "", one).otherwise(every)) for when, one, every in fixes))})
+
+
 def upsert_overrides(corrections: DataFrame, existing: DataFrame) -> DataFrame:
     """Overrides after corrections: a new one starts at 0.8, an existing one gains 0.05 up to 0.99.
 
@@ -173,6 +190,53 @@ def with_previous(snapshots: DataFrame) -> DataFrame:
     return joined.withColumn("previous", previous).withColumn("change", F.round(F.col("confidence") - F.col("previous"), 6)).select(*snapshots.columns, "previous", "change")
 
 
+def _changes(history: DataFrame) -> DataFrame:
+    """(tenant_id, at, active, millionths): by how much each change of an override moves the number of active ones and the
+    sum of their confidences. The state before is that of the row before by a running number, so no rule is one task."""
+    on = F.when(F.col("is_active"), F.round(F.col("confidence") * 1_000_000).cast("long"))
+    ordered = numbered(history.select("tenant_id", "rule_ref", "at", "seq", on.alias("_on")), ["tenant_id", "rule_ref", "at", "seq"], "_n")
+    before = ordered.select((F.col("_n") + 1).alias("_n"), F.col("tenant_id").alias("_tenant"), F.col("rule_ref").alias("_rule"), F.col("_on").alias("_was"))
+    joined = ordered.join(before, "_n", "left").withColumn("_was", F.when((F.col("_tenant") == F.col("tenant_id")) & (F.col("_rule") == F.col("rule_ref")), F.col("_was")))
+    one = lambda c: F.col(c).isNotNull().cast("long")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select("tenant_id", "at", (one("_on") - one("_was")).alias("active"), (zero("_on") - zero("_was")).alias("millionths"))
+
+
+def snapshots_as_of(snapshots: DataFrame, history: DataFrame) -> DataFrame:
+    """snapshots with active_overrides and avg_confidence: how many overrides of the tenant were active at that moment, and
+    their mean confidence (0 without any).
+
+    snapshots: tenant_id, seq, at, and more; history: (tenant_id, rule_ref, at, seq, confidence, is_active), an override's
+    state from a moment on. Both are dealt by ranges of tenant and time; what a range adds up is passed on to the later
+    ranges of the tenant, so a tenant with very many changes is spread over tasks.
+    """
+    events = _changes(history).select("tenant_id", "at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), "active", "millionths")
+    every = events.unionByName(snapshots.select("tenant_id", "at", F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), F.lit(0).cast("long").alias("active"), F.lit(0).cast("long").alias("millionths")))
+    order = ["tenant_id", "at", "kind", "seq"]
+    n = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = kept(every.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "as-of")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sums = placed.groupBy("tenant_id", "_part").agg(F.sum("active").alias("a"), F.sum("millionths").alias("m"))
+    # a tenant has as many rows here as ranges
+    earlier = Window.partitionBy("tenant_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select("tenant_id", "_part", F.coalesce(F.sum("a").over(earlier), F.lit(0)).alias("_a"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("_m"))
+    within = Window.partitionBy("tenant_id", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumns({"_run": F.sum("active").over(within), "_sum": F.sum("millionths").over(within)}).filter("kind = 1")
+    total = run.join(ahead, ["tenant_id", "_part"]).select("tenant_id", "seq", (F.col("_run") + F.col("_a")).alias("active_overrides"), (F.col("_sum") + F.col("_m")).alias("_total"))
+    mean = F.when(F.col("active_overrides") > 0, F.round(F.col("_total") / F.col("active_overrides") / 1_000_000, 4)).otherwise(0.0)
+    return snapshots.join(total.select("tenant_id", "seq", "active_overrides", mean.alias("avg_confidence")), ["tenant_id", "seq"])
+
+
+def snapshots_with_weeks(snapshots: DataFrame, corrections: DataFrame, since, until) -> DataFrame:
+    """Snapshots between two moments that have a confidence, with the number of corrections in the same week (Monday on) and
+    the same span. snapshots: tenant_id, seq, at, avg_confidence; corrections: tenant_id, created_at."""
+    week = lambda c: F.date_trunc("week", c).cast("date")
+    inside = lambda c: F.col(c).between(F.lit(since), F.lit(until))
+    weeks = corrections.filter(inside("created_at")).groupBy("tenant_id", week("created_at").alias("_week")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = snapshots.filter(inside("at") & (F.col("avg_confidence") > 0)).withColumn("_week", week("at"))
+    return rows.join(weeks, ["tenant_id", "_week"], "left").withColumn("correction_count", F.coalesce("_n", F.lit(0))).drop("_week", "_n")
+
+
 def confidence_trend(snapshots: DataFrame, jobs: DataFrame, since, until) -> DataFrame:
     """Snapshots between two days that have a confidence, with the building type of their job."""
     own = jobs.select("tenant_id", "job_id", "building_type")

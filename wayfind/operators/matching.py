@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text
@@ -52,6 +52,18 @@ def score_quantities(expected: DataFrame, actual: DataFrame, key: list[str]) ->
     return both.groupBy(*JOB).agg(F.count_if(F.col("e") == F.col("a")).alias("exact"), F.count_if(F.col("e") != F.col("a")).alias("off"), F.sum("e").alias("expected_qty"), F.sum("a").alias("actual_qty"), F.sum(F.abs(F.col("a") - F.col("e"))).alias("abs_delta"))
 
 
+def quantity_mismatches(expected: DataFrame, actual: DataFrame, key: list[str], k: int = 20) -> DataFrame:
+    """(tenant_id, job_id, n_mismatches, mismatches): keys of both sides with other quantities, as text, the largest
+    difference first, then by key. Only the first k of a job are ever gathered: Spark keeps k of each task."""
+    total = lambda df, name: df.groupBy(*JOB, *key).agg(F.sum("qty").alias(name))
+    off = total(expected, "e").join(total(actual, "a"), [*JOB, *key]).filter("a <> e").withColumn("d", F.col("a") - F.col("e"))
+    off = off.withColumn("line", F.concat(F.concat_ws("|", *(F.upper(F.trim(c)) for c in key)), F.lit(" expected "), F.col("e").cast("string"), F.lit(", got "), F.col("a").cast("string"), F.lit(" ("), F.when(F.col("d") >= 0, "+").otherwise(""), F.col("d").cast("string"), F.lit(")")))
+    place = F.row_number().over(Window.partitionBy(*JOB).orderBy(F.desc(F.abs("d")), *key))
+    first = off.withColumn("place", place).filter(F.col("place") <= k).groupBy(*JOB).agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("m"))
+    counts = off.groupBy(*JOB).agg(F.count(F.lit(1)).alias("n_mismatches"))
+    return counts.join(first, JOB).select(*JOB, "n_mismatches", F.transform("m", lambda x: x["line"]).alias("mismatches"))
+
+
 def score_by_type(expected: DataFrame, actual: DataFrame) -> DataFrame:
     total = lambda df, name: df.groupBy(*JOB, "sign_type").agg(F.sum("qty").alias(name))
     both = total(expected, "expected").join(total(actual, "got"), [*JOB, "sign_type"], "full_outer").fillna(0, ["expected", "got"])
@@ -158,9 +170,20 @@ def fill_markers(signs: DataFrame, rooms: DataFrame) -> DataFrame:
 
 def restore_placements(rooms: DataFrame, placements: DataFrame) -> DataFrame:
     """rooms (keyed by number and level) with the coordinates of the first manual placement of their key."""
-    first = first_per_key(placements, [*JOB, "room_number", "level"]).select(*JOB, "room_number", "level", F.col("coord_x").alias("_x"), F.col("coord_y").alias("_y"))
-    joined = rooms.join(first, [*JOB, "room_number", "level"], "left")
-    return joined.withColumns({"coord_x": F.coalesce("_x", "coord_x"), "coord_y": F.coalesce("_y", "coord_y")}).select(*rooms.columns)
+    return _placed(rooms, placements, ["room_number", "level"])
+
+
+def restore_sign_placements(signs: DataFrame, placements: DataFrame) -> DataFrame:
+    """Signs (keyed by room number, level and sign type, null as empty) with the coordinates of their key's first manual
+    placement: two signs of one room keep their own places."""
+    whole = lambda df: df.withColumns({f"_{c}": F.coalesce(c, F.lit("")) for c in ("room_number", "level", "sign_type")})
+    return _placed(whole(signs), whole(placements), ["_room_number", "_level", "_sign_type"]).select(*signs.columns)
+
+
+def _placed(rows: DataFrame, placements: DataFrame, key: list[str]) -> DataFrame:
+    first = first_per_key(placements, [*JOB, *key]).select(*JOB, *key, F.col("coord_x").alias("_x"), F.col("coord_y").alias("_y"))
+    joined = rows.join(first, [*JOB, *key], "left")
+    return joined.withColumns({"coord_x": F.coalesce("_x", "coord_x"), "coord_y": F.coalesce("_y", "coord_y")}).select(*rows.columns)
 
 
 def schedule_to_signs(schedule: DataFrame, rooms: DataFrame) -> DataFrame:

@@ -209,15 +209,15 @@ def _finished(df: DataFrame) -> DataFrame:
     return df.withColumn("status", F.when(F.col("confidence") >= vocab.AUTO_FROM, "auto").otherwise("needs_review")).withColumn("ada_required", F.col("sign_type").isin(*vocab.ADA_REQUIRED))
 
 
-def signed_rooms(rooms: DataFrame) -> DataFrame:
-    """Prepared rooms that carry signs, with the array of their signs; rooms that rules skip are left out."""
+def signed_rooms(rooms: DataFrame, every_room: bool = False) -> DataFrame:
+    """Prepared rooms with the array of their signs. Rooms that rules skip are left out, or have none."""
     if "occupancy_group" not in rooms.columns:
         rooms = rooms.withColumn("occupancy_group", F.lit(None).cast("string"))
     kind = F.col("detected")
     allowed = kind.isin(*vocab.UNIT_SIGN_TYPES) | text.building_type_group(kind).isin(*vocab.UNIT_SIGN_TYPES)
     skipped = F.col("is_door_schedule_entry") | F.col("_schedule_row") | (F.upper("level").rlike(vocab.MEZZANINE) & F.col("is_mep")) | (F.col("_unit_or_apt") & ~allowed & ~F.col("unit_dominant"))
     every = F.concat(room_id_signs(), restroom_signs(), exit_signs(), capacity_signs(), directory_signs())
-    found = rooms.filter(~skipped).withColumn("signs", every)
+    found = rooms.withColumn("signs", F.when(~skipped, every).otherwise(F.array().cast(NONE))) if every_room else rooms.filter(~skipped).withColumn("signs", every)
     # an insert takes the plain sign's place, and only the first insert stays
     inserts = F.filter("signs", lambda s: s["sign_type"] == "Room ID w/insert")
     others = F.filter("signs", lambda s: ~s["sign_type"].isin("Room ID", "Room ID w/insert"))

@@ -9,7 +9,7 @@ from wayfind import vocab
 from wayfind.functions import text
 from wayfind.operators.cleaning import is_junk_room_name
 from wayfind.operators.dedup import first_per_key
-from wayfind.operators.rules import JOB
+from wayfind.operators.rules import JOB, aggregate_signs, signed_rooms
 from wayfind.sources.kept import discard, kept
 
 
@@ -217,45 +217,75 @@ def fuzzy_match_rooms(schedule: DataFrame, rooms: DataFrame) -> DataFrame:
     return placed.join(s, [*JOB, "s_seq"]).join(scores, [*JOB, "s_class", "r_class"]).select(*JOB, "s_seq", "r_seq", "score")
 
 
-def validate_jobs(ready: DataFrame, signs: DataFrame, stair_signs: DataFrame, elevator_signs: DataFrame, maps: DataFrame) -> DataFrame:
-    """(tenant_id, job_id, check, status): the checks of a job's rooms and signs.
+#: Rooms that a check names.
+EXAMPLES = 5
 
-    ready: prepared rooms; signs: their room signs. Restrooms are compared with the generic Restroom signs only.
+
+def validate_jobs(ready: DataFrame) -> DataFrame:
+    """(tenant_id, job_id, check, status, details): the checks of a job's rooms and signs.
+
+    ready: prepared rooms (kept). Signs of rooms come with their rooms, so one aggregation by job counts both; restrooms are
+    compared with the generic Restroom signs only. Of the rooms that a check names only the first five are gathered.
     """
-    per_room = signs.groupBy(*JOB, "seq").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sign_type").alias("types"), F.count_if(F.col("sign_type") == "Exit").alias("exits"), F.count_if(F.col("sign_type") == "Restroom").alias("restrooms"), F.count_if(F.col("confidence") < 0.5).alias("low"))
-    count = lambda df, name: df.groupBy(*JOB).agg(F.count(F.lit(1)).alias(name))
-    r = ready.join(per_room, [*JOB, "seq"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    mezzanine = F.upper("level").rlike(vocab.MEZZANINE) & F.col("is_mep")
-    facts = r.groupBy(*JOB, "detected").agg(
-        F.count_if((zero("n") == 0) & ~F.col("is_stair") & ~F.col("is_elevator") & ~F.col("is_corridor") & ~F.col("is_mep") & ~mezzanine).alias("without"),
-        F.count_if((zero("types") < zero("n")) & ~F.col("is_vestibule")).alias("twice"),
-        F.sum(zero("exits")).alias("exits"),
+    rooms = signed_rooms(ready, every_room=True)
+    kinds = F.transform("signs", lambda s: s["sign_type"])
+    of = lambda test: F.size(F.filter("signs", test))
+    mezzanine = F.coalesce(F.upper("level").rlike(vocab.MEZZANINE), F.lit(False)) & F.col("is_mep")
+    r = rooms.select(
+        *JOB,
+        "seq",
+        "room_number",
+        "level",
+        "detected",
+        "is_restroom",
+        "is_stair",
+        "is_elevator",
+        ((F.size("signs") == 0) & ~F.col("is_stair") & ~F.col("is_elevator") & ~F.col("is_corridor") & ~F.col("is_mep") & ~mezzanine).alias("bare"),
+        ((F.size(F.array_distinct(kinds)) < F.size("signs")) & ~F.col("is_vestibule")).alias("twice"),
+        of(lambda s: s["sign_type"] == "Exit").alias("exits"),
+        of(lambda s: s["sign_type"] == "Restroom").alias("restroom_signs"),
+        of(lambda s: s["confidence"] < 0.5).alias("low"),
+        (F.col("is_mep") & (F.coalesce("occupant_load", F.lit(0)) > 0)).alias("loaded"),
+    )
+    r = kept(r, "checked-rooms")
+    facts = r.groupBy(*JOB).agg(
+        F.first("detected").alias("detected"),
+        F.count_if("bare").alias("without"),
+        F.count_if("twice").alias("twice"),
+        F.sum("exits").alias("exits"),
         F.count_if("is_restroom").alias("restrooms"),
-        F.sum(zero("restrooms")).alias("restroom_signs"),
+        F.sum("restroom_signs").alias("restroom_signs"),
         F.count_if("is_stair").alias("stairs"),
         F.count_if("is_elevator").alias("elevators"),
-        F.sum(zero("low")).alias("low"),
+        F.sum("low").alias("low"),
         F.count_distinct(F.coalesce("level", F.lit(""))).alias("levels"),
-        F.count_if(F.col("is_mep") & (F.coalesce("occupant_load", F.lit(0)) > 0)).alias("loaded"),
+        F.count_if("loaded").alias("loaded"),
     )
-    all_facts = facts.join(count(stair_signs, "stair_signs"), JOB, "left").join(count(elevator_signs, "elevator_signs"), JOB, "left").join(maps, JOB, "left").fillna(0, ["stair_signs", "elevator_signs", "maps"])
-    c = F.col
+    which = F.explode(F.array_compact(F.array(F.when(F.col("bare"), "bare"), F.when(F.col("loaded"), "loaded")))).alias("which")
+    named = r.filter("bare or loaded").select(*JOB, "seq", "room_number", which)
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy(*JOB, "which").orderBy("seq"))).filter(F.col("place") <= EXAMPLES)
+    some = lambda w: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("which") == w, F.struct("place", "room_number")))), lambda x: F.coalesce(x["room_number"], F.lit(""))), ", ")
+    examples = first.groupBy(*JOB).agg(some("bare").alias("bare_rooms"), some("loaded").alias("loaded_rooms"))
+    of_jobs = aggregate_signs(ready, exits=False).groupBy(*JOB).agg(F.count_if(F.col("rule_ref").isin("R11", "R14", "R16")).alias("stair_signs"), F.count_if(F.col("rule_ref") == "R12").alias("elevator_signs"), F.count_if(F.col("rule_ref") == "R13").alias("maps"))
+    facts = facts.join(of_jobs, JOB, "left").join(examples, JOB, "left").fillna(0, ["stair_signs", "elevator_signs", "maps"])
+    c, say = F.col, lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    # check: whether it passes, and what it says if so and if not
     checks = {
-        "occupied_rooms_have_signs": c("without") == 0,
-        "no_duplicate_signs_per_room": c("twice") == 0,
-        "exit_signs_present": c("exits") > 0,
-        "restroom_signs_match_restrooms": c("restrooms") == c("restroom_signs"),
-        "stair_signs_present": (c("stairs") == 0) | (c("stair_signs") > 0),
-        "elevator_signs_present": (c("elevators") == 0) | (c("elevator_signs") > 0),
-        "low_confidence_signs": c("low") == 0,
-        "building_type_detected": c("detected") != "commercial",
-        "multi_level_coverage": c("levels") > 0,
-        "evac_maps_present": (c("levels") < 2) | (c("maps") > 0),
-        "unoccupied_rooms_with_occupant_load": c("loaded") == 0,
+        "occupied_rooms_have_signs": (c("without") == 0, F.lit("All occupied rooms have at least one sign."), say(c("without"), " occupied rooms have no signs: ", F.coalesce("bare_rooms", F.lit("")))),
+        "no_duplicate_signs_per_room": (c("twice") == 0, F.lit("No duplicate sign types per room."), say(c("twice"), " rooms have duplicate sign types.")),
+        "exit_signs_present": (c("exits") > 0, say(c("exits"), " Exit sign(s) assigned."), F.lit("No Exit signs assigned — verify egress doors.")),
+        "restroom_signs_match_restrooms": (c("restrooms") == c("restroom_signs"), say(c("restroom_signs"), " Restroom sign(s) match ", c("restrooms"), " restroom(s)."), say(c("restrooms"), " restrooms but ", c("restroom_signs"), " Restroom signs — review.")),
+        "stair_signs_present": ((c("stairs") == 0) | (c("stair_signs") > 0), F.when(c("stairs") == 0, "No stairs detected.").otherwise(say(c("stair_signs"), " stair sign(s) for ", c("stairs"), " stair(s).")), F.lit("Stairs detected but no stair signs assigned.")),
+        "elevator_signs_present": ((c("elevators") == 0) | (c("elevator_signs") > 0), F.when(c("elevators") == 0, "No elevators detected.").otherwise(say(c("elevator_signs"), " elevator sign(s) for ", c("elevators"), " elevator(s).")), F.lit("Elevators detected but no elevator signs assigned.")),
+        "low_confidence_signs": (c("low") == 0, F.lit("All signs have confidence >= 0.5."), say(c("low"), " sign(s) have low confidence (<0.5) — review required.")),
+        "building_type_detected": (c("detected") != "commercial", say("Building type detected: ", c("detected"), "."), F.lit("Building type defaulted to 'commercial' — verify and update if needed.")),
+        "multi_level_coverage": (c("levels") > 0, say("Signs assigned across ", c("levels"), " level(s)."), F.lit("No rooms found — PDF extraction may have failed.")),
+        "evac_maps_present": ((c("levels") < 2) | (c("maps") > 0), F.when(c("levels") < 2, "Single-level building — evac maps optional.").otherwise(say(c("maps"), " Evacuation Map(s) assigned.")), F.lit("Multi-level building detected but no Evacuation Maps assigned — check lobby/elevator lobbies.")),
+        "unoccupied_rooms_with_occupant_load": (c("loaded") == 0, F.lit("No MEP-unoccupied rooms carry a non-zero occupant load."), say(c("loaded"), " room(s) marked unoccupied but have an occupant load — verify source data: ", F.coalesce("loaded_rooms", F.lit("")))),
     }
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.when(ok, "pass").otherwise("fail" if k == "multi_level_coverage" else "warning").alias("status")) for k, ok in checks.items())))
-    return all_facts.select(*JOB, each.alias("c")).select(*JOB, "c.*")
+    fails = lambda k: "fail" if k == "multi_level_coverage" else "warning"
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.when(ok, "pass").otherwise(fails(k)).alias("status"), F.when(ok, yes).otherwise(no).alias("details")) for k, (ok, yes, no) in checks.items())))
+    return facts.select(*JOB, each.alias("c")).select(*JOB, "c.*")
 
 
 def merged_restroom_flag(name: Column, keyword: Column, by_vision: Column, vision_says: Column) -> Column:

@@ -143,6 +143,12 @@ SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall
         _run(lambda v: matching.score_quantities(_expected(v), _actual(v), ["room_number", "sign_type"])),
         f"""WITH {views.SQL}, {_PRESENT}, e AS (SELECT tenant_id, job_id, room_number, sign_type, sum(qty) AS e FROM expected GROUP BY ALL), a AS (SELECT tenant_id, job_id, room_number, sign_type, sum(qty) AS a FROM actual GROUP BY ALL)
 SELECT tenant_id, job_id, count(CASE WHEN e = a THEN 1 END) AS exact, count(CASE WHEN e <> a THEN 1 END) AS off, CAST(sum(e) AS BIGINT) AS expected_qty, CAST(sum(a) AS BIGINT) AS actual_qty, CAST(sum(abs(a - e)) AS BIGINT) AS abs_delta FROM e JOIN a USING (tenant_id, job_id, room_number, sign_type) GROUP BY 1, 2""",
+    ),
+    "c4_mismatches": (
+        _run(lambda v: matching.quantity_mismatches(_expected(v), _actual(v), ["room_number", "sign_type"], 7)),
+        f"""WITH {views.SQL}, {_PRESENT}, e AS (SELECT tenant_id, job_id, room_number, sign_type, sum(qty) AS e FROM expected GROUP BY ALL), a AS (SELECT tenant_id, job_id, room_number, sign_type, sum(qty) AS a FROM actual GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY abs(a - e) DESC, room_number, sign_type) AS i FROM e JOIN a USING (tenant_id, job_id, room_number, sign_type) WHERE a <> e)
+SELECT tenant_id, job_id, count(*) AS n_mismatches, list(concat(upper(trim(room_number)), '|', upper(trim(sign_type)), ' expected ', e, ', got ', a, ' (', CASE WHEN a >= e THEN '+' ELSE '' END, a - e, ')') ORDER BY i) FILTER (WHERE i <= 7) AS mismatches FROM m GROUP BY 1, 2""",
     ),
     "c5_score_by_type": (
         _run(lambda v: matching.score_by_type(_expected(v), _actual(v))),

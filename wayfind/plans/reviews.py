@@ -60,6 +60,12 @@ def _overridden(v):
     return out.select(*rules.JOB, "seq", F.inline("signs")).groupBy(*rules.JOB, "sign_type").agg(F.sum("qty").alias("qty"))
 
 
+def _located(v):
+    """Signs with the place of their room; those whose deletion flag is set count as moved by hand."""
+    at = v.rooms.select("seq", "coord_x", "coord_y")
+    return v.signs.select(*rules.JOB, "seq", "room_number", F.col("floor_label").alias("level"), "sign_type", F.col("is_deleted").alias("moved")).join(at, "seq")
+
+
 _HUMAN = "human AS (SELECT tenant_id, job_id, seq, room_name, sign_type FROM signs WHERE seq % 3 <> 0)"
 _DIFFS = f"""{_HUMAN}, known AS (SELECT tenant_id, room_name_pattern AS room_name, arg_max(sign_type, seq) AS known_type FROM corrections GROUP BY 1, 2),
 diffs AS (SELECT h.tenant_id, h.job_id, h.seq, room_name, sign_type, {_PREDICT} AS suggested, known_type, CASE WHEN known_type IS NULL THEN 'new' WHEN known_type = sign_type THEN 'duplicate' ELSE 'conflict' END AS category FROM human h LEFT JOIN known USING (tenant_id, room_name) WHERE {_PREDICT} <> sign_type)"""
@@ -81,6 +87,12 @@ FROM m LEFT JOIN l a ON a.tenant_id = m.tenant_id AND a.job_id = m.job_id AND a.
         _run(lambda v: matching.restore_placements(v.rooms.filter("room_number <> '' and level is not null"), v.rooms.filter("seq % 4 = 0 and level is not null")).select("seq", "coord_x", "coord_y")),
         f"WITH {views.SQL}, p AS (SELECT tenant_id, job_id, room_number, level, min(seq) AS k FROM rooms WHERE seq % 4 = 0 AND level IS NOT NULL GROUP BY ALL) SELECT r.seq, coalesce(q.coord_x, r.coord_x) AS coord_x, coalesce(q.coord_y, r.coord_y) AS coord_y FROM rooms r LEFT JOIN p USING (tenant_id, job_id, room_number, level) LEFT JOIN rooms q ON q.seq = k WHERE r.room_number <> '' AND r.level IS NOT NULL",
     ),
+    "c19_sign_placements": (
+        _run(lambda v: matching.restore_sign_placements(_located(v), _located(v).filter("moved")).select("seq", "coord_x", "coord_y")),
+        f"""WITH {views.SQL}, s AS (SELECT g.seq, g.tenant_id, g.job_id, coalesce(g.room_number, '') AS nr, coalesce(g.floor_label, '') AS lv, g.sign_type, r.coord_x, r.coord_y, g.is_deleted AS moved FROM signs g JOIN rooms r ON r.seq = g.seq),
+p AS (SELECT tenant_id, job_id, nr, lv, sign_type, min(seq) AS k FROM s WHERE moved GROUP BY ALL)
+SELECT s.seq, coalesce(q.coord_x, s.coord_x) AS coord_x, coalesce(q.coord_y, s.coord_y) AS coord_y FROM s LEFT JOIN p USING (tenant_id, job_id, nr, lv, sign_type) LEFT JOIN s q ON q.seq = k""",
+    ),
     "c20_review": (
         _run(lambda v: matching.cascade_review(v.signs.select(*rules.JOB, "seq", "room_seq", "is_deleted"), _review(v))),
         f"""WITH {views.SQL}, a AS (SELECT tenant_id, job_id, CAST(substring(job_id, 2) AS BIGINT) AS j FROM jobs WHERE status = 'completed'),

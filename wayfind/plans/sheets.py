@@ -9,6 +9,7 @@ from wayfind.operators import rules, sheets
 from wayfind.plans.rules import ALL, ELEVATORS, MAPS, ROOM_SIGNS, STAIRS, has, quoted, sql_in
 from wayfind.plans.rules import _ready as ready
 from wayfind.sources import views
+from wayfind.sources.kept import kept
 from wayfind.sources.views import Views
 
 TITLES = ["FLOOR PLAN LEVEL 2", "SIGN SCHEDULE", "REFLECTED CEILING PLAN", "SECOND FLOOR PLAN", "TOILET ELEVATIONS", "DOOR SCHEDULE", "12TH FLOOR - ROOF"]
@@ -61,8 +62,7 @@ _SYN = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in vocab.SYNONYMS.
 
 
 def _checks(spark, sf_dir):
-    r = ready(spark, sf_dir)
-    return sheets.validate_jobs(r, rules.room_signs(r), rules.stair_signs(r), rules.elevator_signs(r), rules.evacuation_maps(r))
+    return sheets.validate_jobs(kept(ready(spark, sf_dir), "prepared"))
 
 
 _TOKENS = "list_distinct(list_filter(string_split_regex(regexp_replace(upper(room_name), '[^A-Z0-9 ]', ' ', 'g'), ' +'), lambda t: t <> ''))"
@@ -110,8 +110,28 @@ SELECT tenant_id, job_id, file_id, CAST(page AS INT) AS page, title, level FROM
 WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.tenant_id = r.tenant_id AND m.job_id = r.job_id AND m.file_id = r.file_id AND m.page = r.page) AND NOT EXISTS (SELECT 1 FROM sheets s WHERE s.tenant_id = r.tenant_id AND s.job_id = r.job_id AND s.file_id = r.file_id AND s.page = r.page)""",
     ),
     "c11_fuzzy_rooms": (_run(lambda v: sheets.fuzzy_match_rooms(v.schedule.filter("room_number <> ''"), v.rooms.filter("room_number = ''"))), _GREEDY),
+    "d19_details": (
+        lambda s, d: _checks(s, d).drop("status"),
+        f"""WITH {ALL}, {ROOM_SIGNS}, {STAIRS}, {ELEVATORS}, {MAPS},
+pr AS (SELECT seq, count(*) AS n, count(DISTINCT sign_type) AS types, count(CASE WHEN sign_type = 'Exit' THEN 1 END) AS exits, count(CASE WHEN sign_type = 'Restroom' THEN 1 END) AS rs, count(CASE WHEN confidence < 0.5 THEN 1 END) AS low FROM room_signs GROUP BY 1),
+m AS (SELECT r.*, coalesce(exits, 0) AS x, coalesce(rs, 0) AS rs, coalesce(low, 0) AS low, n IS NULL AND NOT is_stair AND NOT is_elevator AND NOT is_corridor AND NOT is_mep AS bare, coalesce(types < n AND NOT is_vestibule, false) AS twice, is_mep AND coalesce(occupant_load, 0) > 0 AS loaded FROM ready r LEFT JOIN pr USING (seq)),
+f AS (SELECT tenant_id, job_id, any_value(detected) AS detected, count(CASE WHEN bare THEN 1 END) AS without, count(CASE WHEN twice THEN 1 END) AS twice, sum(x) AS exits, count(CASE WHEN is_restroom THEN 1 END) AS restrooms, sum(rs) AS rs, count(CASE WHEN is_stair THEN 1 END) AS stairs, count(CASE WHEN is_elevator THEN 1 END) AS elevators, sum(low) AS low, count(DISTINCT level) AS levels, count(CASE WHEN loaded THEN 1 END) AS loaded,
+ array_to_string((list(room_number ORDER BY seq) FILTER (WHERE bare))[1:5], ', ') AS bare_rooms, array_to_string((list(room_number ORDER BY seq) FILTER (WHERE loaded))[1:5], ', ') AS loaded_rooms FROM m GROUP BY 1, 2),
+a AS (SELECT f.*, coalesce(s.n, 0) AS ss, coalesce(e.n, 0) AS es, coalesce(g.maps, 0) AS m FROM f LEFT JOIN (SELECT tenant_id, job_id, count(*) AS n FROM stair_signs GROUP BY 1, 2) s USING (tenant_id, job_id) LEFT JOIN (SELECT tenant_id, job_id, count(*) AS n FROM elevator_signs GROUP BY 1, 2) e USING (tenant_id, job_id) LEFT JOIN (SELECT * FROM maps WHERE maps > 0) g USING (tenant_id, job_id))
+SELECT tenant_id, job_id, 'occupied_rooms_have_signs' AS "check", CASE WHEN without = 0 THEN 'All occupied rooms have at least one sign.' ELSE concat(without, ' occupied rooms have no signs: ', bare_rooms) END AS details FROM a
+UNION ALL SELECT tenant_id, job_id, 'no_duplicate_signs_per_room', CASE WHEN twice = 0 THEN 'No duplicate sign types per room.' ELSE concat(twice, ' rooms have duplicate sign types.') END FROM a
+UNION ALL SELECT tenant_id, job_id, 'exit_signs_present', CASE WHEN exits > 0 THEN concat(exits, ' Exit sign(s) assigned.') ELSE 'No Exit signs assigned — verify egress doors.' END FROM a
+UNION ALL SELECT tenant_id, job_id, 'restroom_signs_match_restrooms', CASE WHEN restrooms = rs THEN concat(rs, ' Restroom sign(s) match ', restrooms, ' restroom(s).') ELSE concat(restrooms, ' restrooms but ', rs, ' Restroom signs — review.') END FROM a
+UNION ALL SELECT tenant_id, job_id, 'stair_signs_present', CASE WHEN stairs = 0 THEN 'No stairs detected.' WHEN ss > 0 THEN concat(ss, ' stair sign(s) for ', stairs, ' stair(s).') ELSE 'Stairs detected but no stair signs assigned.' END FROM a
+UNION ALL SELECT tenant_id, job_id, 'elevator_signs_present', CASE WHEN elevators = 0 THEN 'No elevators detected.' WHEN es > 0 THEN concat(es, ' elevator sign(s) for ', elevators, ' elevator(s).') ELSE 'Elevators detected but no elevator signs assigned.' END FROM a
+UNION ALL SELECT tenant_id, job_id, 'low_confidence_signs', CASE WHEN low = 0 THEN 'All signs have confidence >= 0.5.' ELSE concat(low, ' sign(s) have low confidence (<0.5) — review required.') END FROM a
+UNION ALL SELECT tenant_id, job_id, 'building_type_detected', CASE WHEN detected <> 'commercial' THEN concat('Building type detected: ', detected, '.') ELSE 'Building type defaulted to ''commercial'' — verify and update if needed.' END FROM a
+UNION ALL SELECT tenant_id, job_id, 'multi_level_coverage', concat('Signs assigned across ', levels, ' level(s).') FROM a
+UNION ALL SELECT tenant_id, job_id, 'evac_maps_present', CASE WHEN levels < 2 THEN 'Single-level building — evac maps optional.' WHEN m > 0 THEN concat(m, ' Evacuation Map(s) assigned.') ELSE 'Multi-level building detected but no Evacuation Maps assigned — check lobby/elevator lobbies.' END FROM a
+UNION ALL SELECT tenant_id, job_id, 'unoccupied_rooms_with_occupant_load', CASE WHEN loaded = 0 THEN 'No MEP-unoccupied rooms carry a non-zero occupant load.' ELSE concat(loaded, ' room(s) marked unoccupied but have an occupant load — verify source data: ', loaded_rooms) END FROM a""",
+    ),
     "d19_validation": (
-        _checks,
+        lambda s, d: _checks(s, d).drop("details"),
         f"""WITH {ALL}, {ROOM_SIGNS}, {STAIRS}, {ELEVATORS}, {MAPS},
 pr AS (SELECT seq, count(*) AS n, count(DISTINCT sign_type) AS types, count(CASE WHEN sign_type = 'Exit' THEN 1 END) AS exits, count(CASE WHEN sign_type = 'Restroom' THEN 1 END) AS rs, count(CASE WHEN confidence < 0.5 THEN 1 END) AS low FROM room_signs GROUP BY 1),
 f AS (SELECT tenant_id, job_id, any_value(detected) AS detected, count(CASE WHEN n IS NULL AND NOT is_stair AND NOT is_elevator AND NOT is_corridor AND NOT is_mep THEN 1 END) AS without, count(CASE WHEN types < n AND NOT is_vestibule THEN 1 END) AS twice, coalesce(sum(exits), 0) AS exits,

@@ -131,6 +131,13 @@ SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY CASE {
         _run(lambda v: learning.mine_patterns(v.corrections)),
         f"""WITH {views.SQL}, r AS (SELECT *, upper(trim(room_name_pattern)) AS pattern FROM corrections WHERE is_active AND length(trim(room_name_pattern)) >= 3 AND NOT {has("upper(room_name_pattern)", vocab.SCHEDULE_ROW)})
 SELECT tenant_id, correction_type, pattern, sign_type, count(*) AS evidence, list_sort(list(DISTINCT job_id))[1:5] AS example_jobs, CASE WHEN count(*) >= 3 THEN 'approved' ELSE 'pending' END AS status FROM r GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2""",
+    ),
+    "g1_pattern_texts": (
+        _run(lambda v: learning.pattern_texts(learning.mine_patterns(v.corrections)).select("tenant_id", "correction_type", "pattern", "sign_type", "description", "suggested_fix")),
+        f"""WITH {views.SQL}, r AS (SELECT *, upper(trim(room_name_pattern)) AS pattern, chr(39) AS q FROM corrections WHERE is_active AND length(trim(room_name_pattern)) >= 3 AND NOT {has("upper(room_name_pattern)", vocab.SCHEDULE_ROW)})
+SELECT tenant_id, correction_type, pattern, sign_type, concat(q, pattern, q, ' \u2192 ', sign_type, ' (', count(*), ' occurrences)') AS description,
+ CASE correction_type WHEN 'ai_missed' THEN concat('Room pattern ', q, pattern, q, ' requires a ', q, sign_type, q, ' sign \u2014 add to extraction rules') WHEN 'ai_extra' THEN concat('Room pattern ', q, pattern, q, ' is being over-detected \u2014 exclude from ', q, sign_type, q, ' assignment')
+ ELSE concat('When room name is ', q, pattern, q, ', assign ', q, sign_type, q, ' instead of pipeline default') END AS suggested_fix FROM r GROUP BY tenant_id, correction_type, pattern, sign_type, q HAVING count(*) >= 2""",
     ),
     "g4_overrides": (
         _run(_kept_overrides),

@@ -94,6 +94,24 @@ def _restrooms(v):
     return flags.select("seq", sheets.merged_restroom_flag(F.col("room_name"), F.col("is_restroom"), F.col("source") == "ai_vision", _seq() % 3 == 0).alias("is_restroom"))
 
 
+def _history(v):
+    """Every correction is a change of the override of its pattern and sign type: a confidence, active or not."""
+    c = v.corrections
+    return c.select("tenant_id", F.concat_ws("|", "room_name_pattern", "sign_type").alias("rule_ref"), F.col("created_at").alias("at"), "seq", (0.6 + (_seq() % 40) / 100).alias("confidence"), "is_active")
+
+
+def _moments(v):
+    """A snapshot of each job, at an hour of its day."""
+    hours = F.make_dt_interval(F.lit(0), (_seq() % 24).cast("int"))
+    return _snapshots(v).select("tenant_id", "job_id", "seq", (F.col("snapshot_date").cast("timestamp") + hours).alias("at"))
+
+
+_AS_OF = f"""snaps AS (SELECT tenant_id, job_id, seq, CAST(snapshot_date AS TIMESTAMP) + to_hours(seq % 24) AS at FROM snapshots),
+state AS (SELECT s.tenant_id, s.seq AS s_seq, c.room_name_pattern, c.sign_type, arg_max({{'on': c.is_active, 'm': CAST(round((CAST(0.6 AS DOUBLE) + c.seq % 40 / CAST(100 AS DOUBLE)) * 1000000) AS BIGINT)}}, (c.created_at, c.seq)) AS last FROM snaps s JOIN corrections c ON c.tenant_id = s.tenant_id AND c.created_at <= s.at GROUP BY ALL),
+summed AS (SELECT tenant_id, s_seq, count(CASE WHEN last.on THEN 1 END) AS n, sum(CASE WHEN last.on THEN last.m END) AS m FROM state GROUP BY 1, 2),
+as_of AS (SELECT s.*, coalesce(n, 0) AS active_overrides, CASE WHEN n > 0 THEN round(CAST(m AS DOUBLE) / n / 1000000, 4) ELSE CAST(0 AS DOUBLE) END AS avg_confidence FROM snaps s LEFT JOIN summed u ON u.tenant_id = s.tenant_id AND s_seq = seq)"""
+
+
 _NAMED = "array_to_string(list_transform(string_split_regex(upper(nm), '\\s+'), lambda t: CASE t " + _SYN + " ELSE t END), ' ')"
 
 QUERIES = {
@@ -159,6 +177,12 @@ SELECT *, CASE WHEN n_scheduled > 0 THEN n_rooms / n_scheduled END AS coverage,
         _run(lambda v: jobs.unrecognised_codes(_coded(v), v.jobs.filter(_job() % 2 == 0).select(*rules.JOB, F.lit("a").alias("type_code")))),
         f"""WITH {views.SQL}, s AS (SELECT DISTINCT tenant_id, job_id, CASE seq % 8 WHEN 0 THEN 'Type A' ELSE 'type b.1' END AS sign_type FROM signs WHERE seq % 8 < 2)
 SELECT s.* FROM s LEFT JOIN jobs USING (tenant_id, job_id) WHERE NOT (sign_type = 'Type A' AND jobs.building_type IS NOT NULL AND CAST(substring(job_id, 2) AS BIGINT) % 2 = 0)""",
+    ),
+    "g5_as_of": (_run(lambda v: learning.snapshots_as_of(_moments(v), _history(v))), f"WITH {views.SQL}, {SNAPSHOTS}, {_AS_OF} SELECT * FROM as_of"),
+    "g6_snapshot_weeks": (
+        _run(lambda v: learning.snapshots_with_weeks(learning.snapshots_as_of(_moments(v), _history(v)), v.corrections, datetime.datetime(2024, 1, 3), datetime.datetime(2024, 1, 25))),
+        f"""WITH {views.SQL}, {SNAPSHOTS}, {_AS_OF}, w AS (SELECT tenant_id, date_trunc('week', created_at) AS week, count(*) AS n FROM corrections WHERE created_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25' GROUP BY 1, 2)
+SELECT a.*, coalesce(w.n, 0) AS correction_count FROM as_of a LEFT JOIN w ON w.tenant_id = a.tenant_id AND w.week = date_trunc('week', a.at) WHERE a."at" BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25' AND avg_confidence > 0""",
     ),
     "g5_g10_previous": (
         _run(lambda v: learning.with_previous(_snapshots(v))),
