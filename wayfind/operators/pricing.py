@@ -80,30 +80,56 @@ def install_price(sign_type: Column, own_default: Column | None = None, own: Col
 
 
 def tenant_rates(materials: DataFrame, finishings: DataFrame, defaults: DataFrame) -> DataFrame:
-    """(tenant_id, slug, rate, width, height, least): a tenant's own prices by type, from its price list.
+    """(tenant_id, slug, rate, width, height, least, material, finishing): a tenant's own prices by type, from its price list.
 
-    materials: tenant_id, id, bid_price, msrp; finishings: tenant_id, id, unit, bid_price; defaults: tenant_id, seq,
-    sign_type, material_id, finishing_ids, width, height, min_price. The first default of a type counts; finishings
-    priced by another unit than the square inch add nothing; a tenant without materials has no list.
+    materials: tenant_id, id, bid_price, msrp, and name if there is one; finishings: tenant_id, id, unit, bid_price, and name;
+    defaults: tenant_id, seq, sign_type, material_id, finishing_ids, width, height, min_price. The first default of a type
+    counts; finishings priced by another unit than the square inch add nothing; a tenant without materials has no list.
     """
+    named = lambda df: df if "name" in df.columns else df.withColumn("name", F.lit(None).cast("string"))
+    materials, finishings = named(materials), named(finishings)
     first = defaults.withColumn("slug", text.sign_type_slug(F.col("sign_type"))).groupBy("tenant_id", "slug").agg(F.min_by(F.struct("material_id", "finishing_ids", "width", "height", "min_price"), "seq").alias("d")).select("tenant_id", "slug", "d.*")
     listed = first.join(materials.select("tenant_id").distinct(), "tenant_id", "left_semi")
-    of_material = materials.select("tenant_id", F.col("id").alias("material_id"), F.coalesce("bid_price", "msrp", F.lit(0.0)).alias("_material"))
-    by_area = finishings.filter(F.coalesce("unit", F.lit("")).isin("", "sqin")).select("tenant_id", F.col("id").alias("_id"), F.coalesce("bid_price", F.lit(0.0)).alias("_bid"))
-    used = listed.select("tenant_id", "slug", F.explode(F.array_distinct("finishing_ids")).alias("_id")).join(by_area, ["tenant_id", "_id"]).groupBy("tenant_id", "slug").agg(F.sum("_bid").alias("_finishing"))
+    of_material = materials.select("tenant_id", F.col("id").alias("material_id"), F.coalesce("bid_price", "msrp", F.lit(0.0)).alias("_material"), F.col("name").alias("_name"))
+    by_area = F.when(F.coalesce("unit", F.lit("")).isin("", "sqin"), F.coalesce("bid_price", F.lit(0.0))).otherwise(0.0)
+    each = finishings.select("tenant_id", F.col("id").alias("_id"), by_area.alias("_bid"), F.col("name").alias("_called"))
+    # a type has a handful of finishings
+    used = listed.select("tenant_id", "slug", F.explode(F.array_distinct("finishing_ids")).alias("_id")).join(each, ["tenant_id", "_id"]).groupBy("tenant_id", "slug").agg(F.sum("_bid").alias("_finishing"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", "_called"))), lambda x: x["_called"]), ", ").alias("_called"))
     rates = listed.join(of_material, ["tenant_id", "material_id"], "left").join(used, ["tenant_id", "slug"], "left")
-    return rates.select("tenant_id", "slug", (F.coalesce("_material", F.lit(0.0)) + F.coalesce("_finishing", F.lit(0.0))).alias("rate"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.coalesce("min_price", F.lit(0)).cast("double").alias("least"))
+    return rates.select("tenant_id", "slug", (F.coalesce("_material", F.lit(0.0)) + F.coalesce("_finishing", F.lit(0.0))).alias("rate"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.coalesce("min_price", F.lit(0)).cast("double").alias("least"), F.coalesce("_name", F.lit("\u2014")).alias("material"), F.coalesce("_called", F.lit("\u2014")).alias("finishing"))
 
 
 def tenant_pricing_tab(signs: DataFrame, rates: DataFrame, dictionary: DataFrame, installs: DataFrame) -> DataFrame:
     """pricing_tab by the tenants' own lists: unit and extended price, installation.
 
-    rates: as ``tenant_rates`` makes them; dictionary: tenant_id, code, size (the size of a type, before all others);
-    installs: tenant_id, default_per_sign, overrides. Everything meets on tenant and type after signs are summed up.
+    rates: as ``tenant_rates`` makes them; dictionary: tenant_id, code, size (the size of a type, before all others), and
+    material if there is one (its name, before the list's); installs: tenant_id, default_per_sign, overrides. Everything meets
+    on tenant and type after signs are summed up.
     """
-    types = type_summary(signs).withColumns({"slug": text.sign_type_slug(F.col("sign_type")), "code": F.upper("sign_type")})
-    sizes = dictionary.groupBy("tenant_id", F.upper("code").alias("code")).agg(F.max("size").alias("_dictionary"))
-    own = types.join(rates, ["tenant_id", "slug"], "left").join(sizes, ["tenant_id", "code"], "left").join(installs, "tenant_id", "left")
+    own = tenant_prices(type_summary(signs), rates, dictionary).join(installs, "tenant_id", "left")
+    each = install_price(F.col("sign_type"), F.col("default_per_sign"), F.col("overrides"))
+    return own.select(*JOB, "sign_type", "qty", "material", "finishing", "unit_price", F.round(F.col("unit_price") * F.col("qty"), 2).alias("extended"), F.round(F.col("qty") * each, 2).alias("installation"))
+
+
+def tenant_lines(lines: DataFrame, rates: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Takeoff or room lines with the unit and extended price of their tenant's own list; ``floor_totals`` adds them up.
+
+    A price depends on tenant and type alone: it is found once for each pair, and those are few.
+    """
+    types = lines.select("tenant_id", "sign_type").distinct().withColumn("size", dimensions(F.col("sign_type")))
+    prices = tenant_prices(types, rates, dictionary).select("tenant_id", "sign_type", "material", F.col("unit_price").alias("_price"))
+    joined = lines.join(prices, ["tenant_id", "sign_type"], "left")
+    out = joined.withColumn("unit_price", F.col("_price")).withColumn("extended", rounded(F.col("unit_price") * F.col("qty")))
+    return out.select(*lines.columns, "material")
+
+
+def tenant_prices(types: DataFrame, rates: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """types (tenant_id, sign_type, size and more) with unit_price, material and finishing by the tenants' own lists."""
+    if "material" not in dictionary.columns:
+        dictionary = dictionary.withColumn("material", F.lit(None).cast("string"))
+    keyed = types.withColumns({"slug": text.sign_type_slug(F.col("sign_type")), "code": F.upper("sign_type")})
+    sizes = dictionary.groupBy("tenant_id", F.upper("code").alias("code")).agg(F.max("size").alias("_dictionary"), F.max("material").alias("_of"))
+    own = keyed.join(rates, ["tenant_id", "slug"], "left").join(sizes, ["tenant_id", "code"], "left")
 
     def side(told: Column, i: int) -> Column:
         return F.nullif(F.regexp_extract(F.coalesce(told, F.lit("")), _SIZE, i), F.lit("")).cast("double")
@@ -116,9 +142,7 @@ def tenant_pricing_tab(signs: DataFrame, rates: DataFrame, dictionary: DataFrame
     by_rate = rounded(F.greatest("least", F.col("rate") * length(1, "width", 6) * length(2, "height", 8)))
     listed = unit_price(F.col("sign_type"), F.when(side(F.col("_dictionary"), 1).isNotNull(), F.col("_dictionary")).otherwise(F.col("size")))
     price = F.coalesce(flat, F.when(F.col("rate").isNotNull(), by_rate).otherwise(listed))
-    each = install_price(F.col("sign_type"), F.col("default_per_sign"), F.col("overrides"))
-    out = own.withColumn("unit_price", price)
-    return out.select(*JOB, "sign_type", "qty", "unit_price", F.round(F.col("unit_price") * F.col("qty"), 2).alias("extended"), F.round(F.col("qty") * each, 2).alias("installation"))
+    return own.select(*types.columns, price.alias("unit_price"), F.coalesce("_of", "material").alias("material"), "finishing")
 
 
 def job_totals(signs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfind import vocab
 from wayfind.functions import text
+from wayfind.operators.pricing import dimensions
 from wayfind.operators.rules import JOB
 
 TABLE = [*JOB, "sheet_id", "table_idx"]
@@ -125,6 +126,44 @@ def write_takeoff(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
+def code_key(code: Column) -> Column:
+    """A key that orders sign codes as people do: runs of letters as they are, runs of digits by their number."""
+    runs = F.regexp_extract_all(F.upper(F.trim(F.coalesce(code, F.lit("")))), F.lit(r"(\d+|\D+)"), F.lit(1))
+    digits = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    # the length before the digits, so that numbers of any length stay in order
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(r)).cast("string"), 6, "0"), digits(r))).otherwise(r)), "")
+
+
+def summary_export(signs: DataFrame) -> DataFrame:
+    """The rows of a job's summary: types in the order in which they first occur (``position``)."""
+    live = signs.filter(~F.col("is_deleted"))
+    first = live.groupBy(*JOB, F.coalesce("sign_type", F.lit("Unknown")).alias("Sign Type")).agg(F.min("seq").alias("position"), F.sum(F.coalesce("qty", F.lit(1))).alias("Total Qty"))
+    return first.select(*JOB, "position", "Sign Type", dimensions(F.col("Sign Type")).alias("Standard Size"), "Total Qty", F.when(F.col("Sign Type").isin(*vocab.ADA_REQUIRED), "Yes").otherwise("No").alias("ADA Required"))
+
+
+def pricing_export(tab: DataFrame) -> DataFrame:
+    """The rows of a job's pricing, by type: tab as ``pricing_tab`` or ``tenant_pricing_tab`` make it."""
+    more = [F.col(c).alias(c.title()) for c in ("material", "finishing") if c in tab.columns]
+    return tab.select(*JOB, F.col("sign_type").alias("position"), F.col("sign_type").alias("Sign Type"), F.col("qty").alias("Qty"), *more, F.col("unit_price").alias("Unit Price"), F.col("extended").alias("Extended"), F.col("installation").alias("Installation"))
+
+
+def specialty_export(specialties: DataFrame) -> DataFrame:
+    """The rows of a job's specialty signs (sign_code, description, qty, notes), in the order of their codes."""
+    return specialties.select(*JOB, F.struct(code_key(F.col("sign_code")).alias("key"), F.coalesce("sign_code", F.lit("")).alias("code"), F.coalesce("description", F.lit("")).alias("said"), F.coalesce("qty", F.lit(1)).alias("qty")).alias("position"), F.col("sign_code").alias("Sign Code"), F.col("description").alias("Description"), F.coalesce("qty", F.lit(1)).alias("Qty"), F.coalesce("notes", F.lit("")).alias("Notes"))
+
+
+def write_jobs(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write the rows of some jobs in the order of ``position``: a folder for each tenant and job, and of the folders that are
+    there only those of these jobs are replaced, all at the commit. A job's rows stand together; a large job spreads over files.
+    """
+    order = [*JOB, "position"]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    if fmt != "parquet":
+        placed = placed.drop("position")
+    writer = placed.write.partitionBy(*JOB).mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+
+
 def rooms_and_signs_of_export(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rooms, signs) of exported lines (tenant_id, job_id, seq and EXPORT_COLUMNS as texts). Rows of structure go; a
     room is the first row of its number; a quantity that is no number counts as 1."""

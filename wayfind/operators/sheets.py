@@ -25,6 +25,69 @@ def level_from_title(title: Column) -> Column:
     return text.first_of(*((t.rlike(p), level) for p, level in vocab.TITLE_FLOORS), (ordinal != "", F.concat(F.lit("LEVEL "), ordinal)))
 
 
+def level_from_label(label: Column) -> Column:
+    """The level that a user's floor label tells (of a range its first), else null."""
+    t = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    part = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
+    number = F.coalesce(part(r"(\d+)(?:st|nd|rd|th)?\s+floor"), part(r"floors?\s*(\d+)\s*[-–]\s*\d+"), F.upper(part(r"level\s*(\w+)")))
+    return F.coalesce(text.first_of(*((t.rlike(p), level) for p, level in vocab.LABEL_FLOORS)), F.concat(F.lit("LEVEL "), number))
+
+
+def level_from_filename(name: Column) -> Column:
+    """The level that an ordinal or a word in a file's name tells, else null."""
+    u = F.upper(F.coalesce(name, F.lit("")))
+    return text.first_of(*((F.greatest(*(F.contains(u, F.lit(w)) for w in words), F.lit(False)), level) for words, level in vocab.FILE_FLOORS))
+
+
+def level_from_schedule_floor(floor: Column) -> Column:
+    """The level of a schedule's floor column: a basement, or its first number, else null."""
+    f = F.upper(F.trim(F.coalesce(floor, F.lit(""))))
+    number = F.nullif(F.regexp_extract(f, r"(\d+)", 1), F.lit("")).cast("decimal(38,0)").cast("string")
+    return F.when((f.contains("B") & f.contains("1")) | f.isin("B", "BASEMENT"), "LEVEL B1").otherwise(F.concat(F.lit("LEVEL "), number))
+
+
+def unresolved(level: Column) -> Column:
+    """Whether a level is none, or a page's name or number in its place."""
+    u = F.upper(F.coalesce(level, F.lit("")))
+    return (u == "") | u.contains("PLAN") | u.contains("PAGE") | F.trim(u).rlike(r"^LEVEL\s+\d{2,}$")
+
+
+def sheet_level_chain(sheets: DataFrame, files: DataFrame) -> DataFrame:
+    """sheets with level and level_source: ``title``; ``file name``, an ordinal or word in it; ``slot``, the label of a file that
+    was handed in as a floor plan; ``file range``, the first level of a range in the file's name; or none.
+
+    files: file_id, filename, floor_label, file_category.
+    """
+    slot = F.when(F.coalesce("file_category", F.lit("")) == "floor_plan", level_from_label(F.col("floor_label")))
+    first = F.concat(F.lit("LEVEL "), F.get(floor_range(label_from_filename(F.col("filename")))["levels"], F.lit(0)).cast("string"))
+    named = files.select(*JOB, "file_id", level_from_filename(F.col("filename")).alias("_name"), slot.alias("_slot"), first.alias("_range"))
+    joined = sheets.join(named, [*JOB, "file_id"], "left").withColumn("_title", level_from_title(F.col("title")))
+    return _first_level(joined, {"_title": "title", "_name": "file name", "_slot": "slot", "_range": "file range"}).select(*(c for c in sheets.columns if c not in ("level", "level_source")), "level", "level_source")
+
+
+def _first_level(df: DataFrame, sources: dict[str, str]) -> DataFrame:
+    """df with the first of these columns that is not null as level, and what stands for it as level_source."""
+    return df.withColumns({"level": F.coalesce(*sources), "level_source": text.first_of(*((F.col(c).isNotNull(), s) for c, s in sources.items()))})
+
+
+def room_level_chain(rooms: DataFrame, sheets: DataFrame, schedule: DataFrame) -> DataFrame:
+    """rooms with level and level_source: their own, else their sheet's with its source (``sheet_level_chain``), else that of the
+    first schedule row with their number (``schedule``); where that is none or looks like a page, the one their number tells
+    (``number``)."""
+    number = lambda: F.upper(F.trim(F.coalesce("room_number", F.lit(""))))
+    told = schedule.withColumn("_n", number()).withColumn("_floor", level_from_schedule_floor(F.col("floor"))).filter("_n <> '' and _floor is not null")
+    floors = told.groupBy(*JOB, "_n").agg(F.min_by("_floor", "seq").alias("_floor"))
+    of_sheet = sheets.select(*JOB, "sheet_id", F.col("level").alias("_sheet"), F.col("level_source").alias("_from"))
+    joined = rooms.withColumn("_n", number()).join(of_sheet, [*JOB, "sheet_id"], "left").join(floors, [*JOB, "_n"], "left")
+    own = text.blank_to_null(F.col("level"))
+    level = F.coalesce(own, "_sheet", "_floor")
+    source = text.first_of((own.isNotNull(), "own"), (F.col("_sheet").isNotNull(), F.col("_from")), (F.col("_floor").isNotNull(), "schedule"))
+    by_number = text.level_from_context(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("room_number"))
+    net = unresolved(level) & by_number.isNotNull()
+    out = joined.withColumns({"_level": F.when(net, by_number).otherwise(level), "_source": F.when(net, "number").otherwise(source)})
+    return out.select(*(c for c in rooms.columns if c not in ("level", "level_source")), F.col("_level").alias("level"), F.col("_source").alias("level_source"))
+
+
 def label_from_filename(name: Column) -> Column:
     """``Floors a-b`` or ``Floor a`` that a file's name tells, else null."""
     u = F.upper(name)

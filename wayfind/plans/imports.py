@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfind import vocab
 from wayfind.operators import drawings, learning, pricing, rules, schedules
 from wayfind.plans.drawings import _DRAWN, _drawn
-from wayfind.plans.rules import quoted
+from wayfind.plans.matching import _FLOORKEY, _SHOWN, _WING
+from wayfind.plans.rules import quoted, sql_in
 from wayfind.plans.sheets import SHEETS_SQL, _files
 from wayfind.plans.takeoff import _TYPES, _UNIT
 from wayfind.sources import views
+from wayfind.sources.kept import shared_folder
 from wayfind.sources.views import Views
 
 
@@ -20,26 +25,59 @@ def _run(f):
 
 # ---- price lists: two of three tenants have one ----
 
-MATERIALS = '[{"id": "m1", "bid_price": 0.5}, {"id": "m2", "msrp": 0.75}]'
-FINISHINGS = '[{"id": "f1", "unit": "sqin", "bid_price": 0.25}, {"id": "f2", "unit": "each", "bid_price": 9.0}, {"id": "f3", "bid_price": 0.5}]'
+MATERIALS = '[{"id": "m1", "bid_price": 0.5, "name": "Acrylic"}, {"id": "m2", "msrp": 0.75, "name": "Photopolymer"}]'
+FINISHINGS = '[{"id": "f1", "unit": "sqin", "bid_price": 0.25, "name": "Paint"}, {"id": "f2", "unit": "each", "bid_price": 9.0, "name": "Studs"}, {"id": "f3", "bid_price": 0.5, "name": "Braille"}]'
 DEFAULTS = """[{"seq": 1, "sign_type": "Room ID", "material_id": "m1", "finishing_ids": ["f1", "f2"], "width": 8, "height": 4, "min_price": 15},
  {"seq": 2, "sign_type": "exit", "material_id": "m2", "finishing_ids": ["f1", "f3"]}, {"seq": 3, "sign_type": "EXIT", "material_id": "m1", "finishing_ids": []},
  {"seq": 4, "sign_type": "Evacuation Map", "material_id": "m1", "finishing_ids": []}, {"seq": 5, "sign_type": "Elevator", "material_id": "m9", "finishing_ids": ["f1"], "width": 0, "height": 2, "min_price": 3}]"""
 
 
-def _priced(v):
+def _price_lists(v):
+    """(rates, dictionary, installs) of the tenants."""
     k = F.substring("tenant_id", 2, 9).cast("int")
     tenants = v.jobs.select("tenant_id").distinct()
     own = tenants.filter(k % 3 != 0)
     each = lambda told, fields: own.select("tenant_id", F.inline(F.from_json(F.lit(told), f"array<struct<{fields}>>")))
     rates = pricing.tenant_rates(
-        each(MATERIALS, "id string, bid_price double, msrp double"),
-        each(FINISHINGS, "id string, unit string, bid_price double"),
+        each(MATERIALS, "id string, bid_price double, msrp double, name string"),
+        each(FINISHINGS, "id string, unit string, bid_price double, name string"),
         each(DEFAULTS, "seq long, sign_type string, material_id string, finishing_ids array<string>, width double, height double, min_price double"),
     )
-    dictionary = tenants.filter(k % 2 == 0).select("tenant_id", F.lit("room id").alias("code"), F.lit("10 x 10").alias("size"))
+    dictionary = tenants.filter(k % 2 == 0).select("tenant_id", F.lit("room id").alias("code"), F.lit("10 x 10").alias("size"), F.when(k % 4 == 0, "Brass").alias("material"))
     installs = tenants.select("tenant_id", F.when(k % 4 == 1, 20.0).alias("default_per_sign"), F.when(k % 4 == 1, F.create_map(F.lit("Exit"), F.lit(30.0))).alias("overrides"))
-    return pricing.tenant_pricing_tab(v.signs, rates, dictionary, installs)
+    return rates, dictionary, installs
+
+
+def _priced(v):
+    return pricing.tenant_pricing_tab(v.signs, *_price_lists(v)).drop("material", "finishing")
+
+
+def _own_lines(v):
+    rates, dictionary, _ = _price_lists(v)
+    return pricing.tenant_lines(pricing.room_lines(v.signs, v.rooms), rates, dictionary)
+
+
+def _exported(v, kind):
+    """The rows of one export as lines of text, written by job and read back; every second job is written twice."""
+    make = {
+        "takeoff": lambda: schedules.export_rows(pricing.room_lines(v.signs, v.rooms)).select(*rules.JOB, F.struct("floor_key", "room_key", "seq").alias("position"), *schedules.EXPORT_COLUMNS),
+        "summary": lambda: schedules.summary_export(v.signs),
+        "pricing": lambda: schedules.pricing_export(pricing.tenant_pricing_tab(v.signs, *_price_lists(v))),
+        "specialty": lambda: schedules.specialty_export(_special(v)),
+    }
+    rows = make[kind]()
+    path = f"{shared_folder(v.spark)}/export-{kind}-{uuid.uuid4().hex}"
+    schedules.write_jobs(rows, path)
+    schedules.write_jobs(rows.filter(F.substring("job_id", 2, 20).cast("long") % 2 == 0), path)
+    back = v.spark.read.parquet(path)
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns if c not in (*rules.JOB, "position")]
+    place = F.row_number().over(Window.partitionBy(*rules.JOB).orderBy("position"))
+    return back.select(*rules.JOB, place.alias("place"), F.concat_ws(" | ", *cells).alias("line"))
+
+
+def _special(v):
+    """Specialty signs of jobs: codes of letters and numbers, a few for each."""
+    return v.signs.select(*rules.JOB, F.concat(F.when(F.col("seq") % 2 == 0, "S-").otherwise("A"), (F.col("seq") % 113).cast("string"), F.when(F.col("seq") % 3 == 0, "b").otherwise("")).alias("sign_code"), F.col("sign_type").alias("description"), F.when(F.col("seq") % 5 != 0, F.col("qty")).alias("qty"), F.lit(None).cast("string").alias("notes")).distinct()
 
 
 _OWN_UNIT = f"""CASE WHEN sign_type = 'Evacuation Map' THEN 45.0 WHEN k % 3 <> 0 AND sign_type = 'Room ID' THEN CASE WHEN k % 2 = 0 THEN 75.0 ELSE 24.0 END
@@ -129,7 +167,41 @@ def _coded(v):
 _BARE = lambda c: f"regexp_replace(upper(trim({c})), '^0+', '')"
 _BASE = lambda c: f"regexp_replace(upper(trim({c})), '^([A-Z])[0-9]([0-9][0-9]+)$', '\\1\\2')"
 
+_K = "CAST(substring(tenant_id, 2) AS INT)"
+_LISTED = f"{_K} % 3 <> 0"
+_MATERIAL = f"""CASE WHEN sign_type = 'Room ID' AND {_K} % 4 = 0 THEN 'Brass' WHEN NOT {_LISTED} THEN NULL WHEN sign_type IN ('Room ID', 'Evacuation Map') THEN 'Acrylic' WHEN sign_type = 'Exit' THEN 'Photopolymer' WHEN sign_type = 'Elevator' THEN '—' END"""
+_FINISHING = f"CASE WHEN NOT {_LISTED} THEN NULL WHEN sign_type = 'Room ID' THEN 'Paint, Studs' WHEN sign_type = 'Exit' THEN 'Paint, Braille' WHEN sign_type = 'Elevator' THEN 'Paint' WHEN sign_type = 'Evacuation Map' THEN '—' END"
+_OWN_LINES = f"""ol AS (SELECT s.tenant_id, s.job_id, s.seq, coalesce(r.room_number, '') AS room_number, coalesce(r.room_name, '') AS room_name, s.sign_type, s.qty, coalesce(nullif(r.level, ''), s.floor_label) AS lv, {_K.replace('tenant_id', 's.tenant_id')} AS k FROM signs s LEFT JOIN rooms r ON r.seq = s.room_seq WHERE NOT s.is_deleted),
+shown AS (SELECT *, {_SHOWN.replace("level", "lv")} AS level, {_FLOORKEY.replace("level", "lv")} AS floor_key, {_WING} AS room_key, CAST({_OWN_UNIT} AS DOUBLE) AS unit_price FROM ol)"""
+
 QUERIES = {
+    "f1_tenant_lines": (
+        _run(_own_lines),
+        f"""WITH {views.SQL}, {_OWN_LINES} SELECT tenant_id, job_id, seq, room_number, room_name, sign_type, qty, level, floor_key, room_key, unit_price, floor(unit_price * qty * 100 + CAST(0.5 AS DOUBLE)) / 100 AS extended, {_MATERIAL} AS material FROM shown""",
+    ),
+    "f3_tenant_totals": (
+        _run(lambda v: pricing.floor_totals(_own_lines(v))),
+        f"""WITH {views.SQL}, {_OWN_LINES} SELECT tenant_id, job_id, level, CAST(sum(qty) AS BIGINT) AS qty, round(sum(floor(unit_price * qty * 100 + CAST(0.5 AS DOUBLE)) / 100), 2) AS extended FROM shown GROUP BY GROUPING SETS ((tenant_id, job_id, level), (tenant_id, job_id))""",
+    ),
+    "a11_takeoff": (
+        _run(lambda v: _exported(v, "takeoff")),
+        f"""WITH {views.SQL}, {_OWN_LINES} SELECT tenant_id, job_id, CAST(row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY floor_key, room_key, seq) AS INT) AS place, concat_ws(' | ', level, room_number, room_name, sign_type, CAST(qty AS VARCHAR)) AS line FROM shown""",
+    ),
+    "a11_summary": (
+        _run(lambda v: _exported(v, "summary")),
+        f"""WITH {views.SQL}, t AS (SELECT tenant_id, job_id, sign_type, min(seq) AS f, sum(qty) AS q FROM signs WHERE NOT is_deleted GROUP BY 1, 2, 3)
+SELECT tenant_id, job_id, CAST(row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY f) AS INT) AS place, concat_ws(' | ', sign_type, CASE WHEN sign_type IN {sql_in(vocab.LARGE_SIGNS)} THEN '18 × 24' ELSE '6 × 8' END, CAST(q AS VARCHAR), CASE WHEN sign_type IN {sql_in(vocab.ADA_REQUIRED)} THEN 'Yes' ELSE 'No' END) AS line FROM t""",
+    ),
+    "a11_pricing": (
+        _run(lambda v: _exported(v, "pricing").select(*rules.JOB, "place", F.regexp_replace("line", r"\.0\b", "").alias("line"))),
+        f"""WITH {views.SQL}, {_TYPES}, k AS (SELECT *, CAST(substring(tenant_id, 2) AS INT) AS k FROM types), u AS (SELECT *, CAST({_OWN_UNIT} AS DOUBLE) AS unit_price FROM k)
+SELECT tenant_id, job_id, CAST(row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY sign_type) AS INT) AS place, regexp_replace(concat_ws(' | ', sign_type, CAST(qty AS VARCHAR), coalesce({_MATERIAL}, ''), coalesce({_FINISHING}, ''), CAST(unit_price AS VARCHAR), CAST(round(unit_price * qty, 2) AS VARCHAR), CAST(round(qty * CAST(CASE WHEN k % 4 = 1 THEN CASE sign_type WHEN 'Exit' THEN 30 ELSE 20 END WHEN sign_type IN ('Elevator', 'Evacuation Map') THEN 25 ELSE 18 END AS DOUBLE), 2) AS VARCHAR)), '[.]0( |$)', '\\1', 'g') AS line FROM u""",
+    ),
+    "a11_specialty": (
+        _run(lambda v: _exported(v, "specialty")),
+        f"""WITH {views.SQL}, s AS (SELECT DISTINCT tenant_id, job_id, seq % 2 AS odd, seq % 113 AS n, CASE WHEN seq % 3 = 0 THEN 'b' ELSE '' END AS tail, sign_type, CASE WHEN seq % 5 <> 0 THEN qty END AS qty FROM signs)
+SELECT tenant_id, job_id, CAST(row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY odd DESC, n, tail, sign_type, coalesce(qty, 1)) AS INT) AS place, concat(CASE odd WHEN 0 THEN 'S-' ELSE 'A' END, n, tail, ' | ', sign_type, ' | ', coalesce(qty, 1), ' | ') AS line FROM s""",
+    ),
     "f2_tenant_prices": (
         _run(_priced),
         f"""WITH {views.SQL}, {_TYPES}, k AS (SELECT *, CAST(substring(tenant_id, 2) AS INT) AS k FROM types), u AS (SELECT *, CAST({_OWN_UNIT} AS DOUBLE) AS unit_price FROM k)

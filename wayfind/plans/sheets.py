@@ -56,6 +56,11 @@ def _run(f):
 _TITLE_LEVEL = "CASE " + " ".join(f"WHEN {has('lower(title)', p)} THEN {quoted(v)}" for p, v in vocab.TITLE_FLOORS) + " WHEN regexp_extract(lower(title), '([0-9]+)(?:st|nd|rd|th)?\\s+floor', 1) <> '' THEN concat('LEVEL ', regexp_extract(lower(title), '([0-9]+)(?:st|nd|rd|th)?\\s+floor', 1)) END"
 _WHY = f"CASE WHEN sheet_no IN {sql_in(vocab.ADMIN_SHEETS)} THEN 'administrative' WHEN {has('sheet_no', vocab.OTHER_DISCIPLINES)} THEN 'discipline' WHEN {has('title', vocab.RESTROOM_TITLE)} AND NOT {has('title', 'BATHROOM FINISH|FINISH PLAN')} THEN NULL WHEN {has('title', vocab.NO_PLAN_TITLES)} THEN 'no plan view' WHEN {has('title', vocab.PLAN_ONLY_TITLES)} AND NOT contains(title, 'PLAN') THEN 'table' END"
 _LABELS = {"set-LEVELS-03-06.pdf": "Floors 3-6", "FL_2.pdf": "Floor 2", "plans.pdf": None, "floor 01 to 03.pdf": "Floors 1-3", "LEVEL-9-4.pdf": "Floors 9-4"}
+_NR = "upper(trim(room_number))"
+_DIGIT = lambda x: f"CASE WHEN {x} = '0' THEN 'LEVEL B1' ELSE concat('LEVEL ', {x}) END"
+_AT = lambda p: f"regexp_extract({_NR}, '{p}', 1)"
+_NUMBER_LEVEL = f"""CASE WHEN {_AT("^[A-Z]{1,3}([0-9])[0-9][0-9]")} <> '' THEN {_DIGIT(_AT("^[A-Z]{1,3}([0-9])[0-9][0-9]"))} WHEN {_AT("^([0-9])[0-9][0-9][A-Z]?$")} <> '' THEN {_DIGIT(_AT("^([0-9])[0-9][0-9][A-Z]?$"))}
+ WHEN regexp_matches({_NR}, '^[0-4][0-9][0-9]') THEN {_DIGIT(f"substring({_NR}, 1, 1)")} WHEN regexp_matches({_NR}, '^[BS]-?[0-9]') THEN 'LEVEL B1' WHEN regexp_matches({_NR}, '^P-?[0-9]') THEN 'PARKING' END"""
 _FIRST = "CASE filename WHEN 'set-LEVELS-03-06.pdf' THEN 3 WHEN 'FL_2.pdf' THEN 2 WHEN 'floor 01 to 03.pdf' THEN 1 WHEN 'LEVEL-9-4.pdf' THEN 9 END"
 _LEXICON = [("commercial", "is_public", "Reception"), ("commercial", "is_public", "lobby"), ("education", "is_assembly", "CLASSROOM"), ("hospital", "is_assembly", "exam room"), ("education", "is_mep", "STORAGE"), ("unknown", "is_mep", "OFFICE")]
 _SYN = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in vocab.SYNONYMS.items())
@@ -74,6 +79,42 @@ chosen AS (SELECT tenant_id, job_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT
  UNION ALL SELECT h.tenant_id, h.job_id, c.k, c.s_seq, list_concat(h.used, list_transform({_FREE}, lambda x: x.r)), {_FREE}[1] FROM chosen h JOIN c ON c.tenant_id = h.tenant_id AND c.job_id = h.job_id AND c.k = h.k + 1)
 SELECT tenant_id, job_id, s_seq, pick.r AS r_seq, pick.score AS score FROM chosen WHERE pick IS NOT NULL"""
 
+LEVEL_FILES = ["1st Floor Union.pdf", "plans.pdf", "B1 plan.pdf", "set-LEVELS-03-06.pdf", "north.pdf", "Ground.pdf", "FL_2.pdf"]
+LEVEL_LABELS = [None, "Second floor", " Level 7b", "", "Floors 4-5", "12th floor", "north"]
+SCHEDULE_FLOORS = ["LEVEL 02", "Floor 3", "BASEMENT", "B", "roof", None, "B-1"]
+
+
+def _labelled_files(v):
+    job = F.substring("job_id", 2, 20).cast("long")
+    pick = lambda told: F.get(F.array(*(F.lit(x) for x in told)), (job % 7).cast("int"))
+    label = F.get(F.array(*(F.lit(x) for x in LEVEL_LABELS)), (F.floor(job / 7) % 7).cast("int"))
+    return _files(v).withColumns({"filename": pick(LEVEL_FILES), "floor_label": label, "file_category": F.when(job % 5 != 0, "floor_plan").otherwise("other")})
+
+
+def _titled(v):
+    """Every second sheet's title tells a level; others are called after their place."""
+    return _sheets(v).withColumn("title", F.when(F.col("page") % 2 == 0, F.col("title")).otherwise("NORTH"))
+
+
+def _chained(v):
+    """Rooms of which every fourth has a level of its own, some of these a page's name; the schedule tells floors."""
+    seq = F.col("seq")
+    own = F.when(seq % 4 == 0, F.when(seq % 12 == 0, "PLAN 2").when(seq % 20 == 0, " level 14 ").otherwise(F.col("level")))
+    rooms = v.rooms.select(*rules.JOB, "seq", F.when(seq % 9 != 1, F.col("sheet_id")).alias("sheet_id"), "room_number", own.alias("level"))
+    schedule = v.schedule.withColumn("floor", F.get(F.array(*(F.lit(x) for x in SCHEDULE_FLOORS)), (seq % 7).cast("int")))
+    return sheets.room_level_chain(rooms, sheets.sheet_level_chain(_titled(v), _labelled_files(v)), schedule).select("seq", "level", "level_source")
+
+
+_PICK = lambda told, by: f"CASE {by} " + " ".join(f"WHEN {i} THEN {quoted(x)}" for i, x in enumerate(told) if x is not None) + " END"
+_CHAIN = f"""lf AS (SELECT *, {_PICK(LEVEL_FILES, "job % 7")} AS fname, {_PICK(LEVEL_LABELS, "job // 7 % 7")} AS label FROM (SELECT tenant_id, job_id, file_id, CAST(substring(job_id, 2) AS BIGINT) AS job FROM files)),
+leveled AS (SELECT s.tenant_id, s.job_id, s.sheet_id, CASE WHEN page % 2 = 0 THEN {_TITLE_LEVEL} END AS by_title, CASE fname WHEN '1st Floor Union.pdf' THEN 'LEVEL 1' WHEN 'B1 plan.pdf' THEN 'LEVEL B1' WHEN 'Ground.pdf' THEN 'LEVEL 1' END AS by_name,
+ CASE WHEN job % 5 <> 0 THEN CASE label WHEN 'Second floor' THEN 'LEVEL 2' WHEN ' Level 7b' THEN 'LEVEL 7B' WHEN 'Floors 4-5' THEN 'LEVEL 4' WHEN '12th floor' THEN 'LEVEL 12' END END AS by_slot, CASE fname WHEN 'set-LEVELS-03-06.pdf' THEN 'LEVEL 3' WHEN 'FL_2.pdf' THEN 'LEVEL 2' END AS by_range FROM sheets s JOIN lf USING (tenant_id, job_id, file_id)),
+told AS (SELECT tenant_id, job_id, upper(trim(room_number)) AS n, seq, CASE seq % 7 WHEN 0 THEN 'LEVEL 2' WHEN 1 THEN 'LEVEL 3' WHEN 2 THEN 'LEVEL B1' WHEN 3 THEN 'LEVEL B1' WHEN 6 THEN 'LEVEL B1' END AS lv FROM schedule),
+floors_of AS (SELECT tenant_id, job_id, n, arg_min(lv, seq) AS lv FROM told WHERE n <> '' AND lv IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT tenant_id, job_id, seq, CASE WHEN seq % 9 <> 1 THEN sheet_id END AS sheet_id, room_number, CASE WHEN seq % 4 = 0 THEN CASE WHEN seq % 12 = 0 THEN 'PLAN 2' WHEN seq % 20 = 0 THEN 'level 14' ELSE nullif(trim(level), '') END END AS own FROM rooms),
+c AS (SELECT r.*, by_title, by_name, by_slot, by_range, f.lv, coalesce(own, by_title, by_name, by_slot, by_range, f.lv) AS level, CASE WHEN own IS NOT NULL THEN 'own' WHEN by_title IS NOT NULL THEN 'title' WHEN by_name IS NOT NULL THEN 'file name' WHEN by_slot IS NOT NULL THEN 'slot' WHEN by_range IS NOT NULL THEN 'file range' WHEN f.lv IS NOT NULL THEN 'schedule' END AS source
+ FROM r LEFT JOIN leveled l ON l.tenant_id = r.tenant_id AND l.job_id = r.job_id AND l.sheet_id = r.sheet_id LEFT JOIN floors_of f ON f.tenant_id = r.tenant_id AND f.job_id = r.job_id AND f.n = upper(trim(r.room_number)))"""
+
 QUERIES = {
     "b4_synonyms": (_run(lambda v: v.rooms.select("seq", sheets.expand_synonyms(F.col("room_name")).alias("name"))), f"WITH {views.SQL} SELECT seq, array_to_string(list_transform(string_split_regex(upper(room_name), '\\s+'), lambda t: CASE t {_SYN} ELSE t END), ' ') AS name FROM rooms"),
     "b2_lexicon": (
@@ -81,6 +122,11 @@ QUERIES = {
         f"""WITH {views.SQL} SELECT tenant_id, job_id, seq, building_type = 'commercial' AND {has("room_name", r"\bRECEPTION\b|\bLOBBY\b")} AS is_public, building_type = 'education' AND {has("room_name", r"\bCLASSROOM\b")} OR building_type = 'hospital' AND {has("room_name", r"\bEXAM ROOM\b")} AS is_assembly, building_type = 'education' AND {has("room_name", r"\bSTORAGE\b")} AS is_mep FROM rooms JOIN jobs USING (tenant_id, job_id)""",
     ),
     "b9_b32_sheet_levels": (_run(lambda v: sheets.fill_sheet_level(_sheets(v), _files(v)).select("sheet_id", "level")), f"WITH {views.SQL}, {SHEETS_SQL} SELECT sheet_id, coalesce({_TITLE_LEVEL}, concat('LEVEL ', {_FIRST})) AS level FROM sheets JOIN files USING (tenant_id, job_id, file_id)".replace("concat('LEVEL ', CASE", "'LEVEL ' || CASE").replace("THEN 9 END)) AS level", "THEN 9 END) AS level")),
+    "b9_level_chain": (
+        _run(_chained),
+        f"""WITH {views.SQL}, {SHEETS_SQL}, {_CHAIN}, d AS (SELECT *, (level IS NULL OR contains(upper(level), 'PLAN') OR contains(upper(level), 'PAGE') OR regexp_matches(upper(trim(level)), '^LEVEL\s+[0-9]{{2,}}$')) AND by_number IS NOT NULL AS net FROM (SELECT *, {_NUMBER_LEVEL} AS by_number FROM c))
+SELECT seq, CASE WHEN net THEN by_number ELSE level END AS level, CASE WHEN net THEN 'number' ELSE source END AS level_source FROM d""",
+    ),
     "b10_file_labels": (
         _run(lambda v: _files(v).select("file_id", sheets.label_from_filename(F.col("filename")).alias("label"), sheets.floor_range(sheets.label_from_filename(F.col("filename")))["replicate"].alias("replicate"))),
         f"WITH {views.SQL}, {SHEETS_SQL} SELECT file_id, CASE filename {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in _LABELS.items() if v)} END AS label, filename IN ('set-LEVELS-03-06.pdf', 'floor 01 to 03.pdf') AS replicate FROM files",

@@ -214,6 +214,26 @@ RESTROOM_TITLE = r"\b(?:TOILET|RESTROOM|LAVATORY)\b|\bRR\b"
 NO_PLAN_TITLES = "ELEVATION|SECTION|EGRESS|ACCESSORY LEGEND|LIGHT FIXTURE SCHEDULE|BATHROOM FINISH|DRAWING INDEX|SYMBOL LEGEND|ABBREVIATIONS|SPECIFICATIONS|CODE ANALYSIS|LIFE SAFETY NOTES|PLUMBING FIXTURE SCHEDULE|LIGHTING SCHEDULE|LIGHTING PLAN|ELECTRICAL SCHEDULE|PLUMBING SCHEDULE|MECHANICAL SCHEDULE|REFLECTED CEILING|FINISH PLAN|FURNITURE PLAN|POWER PLAN|DATA PLAN"
 PLAN_ONLY_TITLES = "GENERAL NOTES|DOOR SCHEDULE|WINDOW SCHEDULE"
 # Floors in sheet titles, in this order: fixed values.
+#: Words in a file's name, upper case, and the level they tell: fixed values.
+FILE_FLOORS = [
+    (("1ST", "FIRST"), "LEVEL 1"),
+    (("2ND", "SECOND"), "LEVEL 2"),
+    (("3RD", "THIRD"), "LEVEL 3"),
+    (("4TH", "FOURTH"), "LEVEL 4"),
+    (("5TH", "FIFTH"), "LEVEL 5"),
+    (("6TH", "SIXTH"), "LEVEL 6"),
+    (("BASEMENT", "B1"), "LEVEL B1"),
+    (("GROUND",), "LEVEL 1"),
+]
+#: Patterns of a floor label, lower case, and the level they tell: fixed values.
+LABEL_FLOORS = [
+    (r"first\s+floor|1st\s+floor", "LEVEL 1"),
+    (r"second\s+floor|2nd\s+floor", "LEVEL 2"),
+    (r"third\s+floor|3rd\s+floor", "LEVEL 3"),
+    (r"fourth\s+floor|4th\s+floor", "LEVEL 4"),
+    (r"fifth\s+floor|5th\s+floor", "LEVEL 5"),
+    (r"basement|b1", "LEVEL B1"),
+]
 TITLE_FLOORS = [
     (r"first\s+floor|floor\s*[-\s]?1|level\s*[-\s]?1|ground\s+floor", "LEVEL 1"),
     (r"second\s+floor|floor\s*[-\s]?2|level\s*[-\s]?2", "LEVEL 2"),
