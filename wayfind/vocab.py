@@ -6,41 +6,36 @@ same in Spark (Java) and in SQL engines with RE2 syntax; they are searched for,
 
 from __future__ import annotations
 
-
-def any_word(words: str) -> str:
-    return r"\b(?:" + "|".join(words.split()) + r")\b"
-
-
 # Room flags: fixed values.
-RESTROOM = any_word("TOILET RESTROOM BATHROOM LAVATORY SHOWER LOCKER MEN'?S WOMEN'?S WOMEN MALE FEMALE GENDER UNISEX WC BOYS GIRLS") + "|SHOWER.?LOCKER|ADA RESTROOM"
+RESTROOM = r"\bTOILET\b|\bRESTROOM\b|\bBATHROOM\b|\bLAVATORY\b|\bSHOWER\b|SHOWER.?LOCKER|\bLOCKER\b|\bMEN'?S\b|\bMENS\b|\bWOMEN'?S\b|\bWOMEN\b|\bMALE\b|\bFEMALE\b|\bGENDER\b|\bUNISEX\b|\bWC\b|\bBOYS\b|\bGIRLS\b|ADA RESTROOM"
 STAIR = r"\bSTAIR(?:S|WELL|WAY|CASE|CORE|SHAFT)?\b"
 STAIR_LAST_WORD = r".+\bSTAIR\s*$"
 STAIR_QUALIFIED = r"^(?:STAIR|EXIT|EMERGENCY|EGRESS)\b"
 STAIR_AFTER_OTHER = r"\b(?:MEN'?S|WOMEN'?S|JAN(?:ITOR)?|BREAK|MECH(?:ANICAL)?)\b.+\bSTAIR\b"
 ELEVATOR = r"\bELEV(?:ATOR)?\b|\bLIFT\b"
 VESTIBULE = r"\bVEST(?:IBULE)?\b|ENTRY VEST|EXIT VEST|AIR LOCK"
-CORRIDOR = any_word("CORR(?:IDOR)? HALL(?:WAY)? PASSAGE GALLERY CIRCULATION WALKWAY CONCOURSE BREEZEWAY RAMP")
-VEHICLE_BAY = any_word("APPARATUS GARAGE VEHICLE BAY DRIVE.?THROUGH")
-MEP = any_word(r"MECH(?:ANICAL)? ELEC(?:TRICAL)? IDF MDF TELECOM SERVER IT\s*ROOM JAN(?:ITOR)? SPRINKLER UTILITY FAN\s*ROOM BOILER HVAC") + r"|PUMP\s*ROOM"
-ASSEMBLY = any_word(r"TRAINING MEETING CONFERENCE AUDITORIUM CHAPEL COMMUNITY EOC BANQUET DINING GYMNASIUM GYM CAFETERIA SANCTUARY NAVE THEAT(?:ER|RE) BALLROOM COURTROOM LECTURE\s*HALL MULTIPURPOSE FELLOWSHIP HEARING\s*ROOM COUNCIL\s*CHAMBER ARENAF?") + r"|\bASSEMBL"
-VARIABLE_USE = any_word("TRAINING EOC COMMUNITY CONVERTIBLE") + r"|MULTI.?PURPOSE|FLEX\s*ROOM|MULTI\s*USE"
-PUBLIC_FACING = any_word("LOBBY PUBLIC RECEPTION WAITING FRONT")
+CORRIDOR = r"\bCORR(?:IDOR)?\b|\bHALL(?:WAY)?\b|\bHALL\b|\bPASSAGE\b|\bGALLERY\b|\bCIRCULATION\b|\bWALKWAY\b|\bCONCOURSE\b|\bBREEZEWAY\b|\bRAMP\b"
+VEHICLE_BAY = r"\bAPPARATUS\b|\bGARAGE\b|\bVEHICLE\b|\bBAY\b|\bDRIVE.?THROUGH\b"
+MEP = r"\bMECH(?:ANICAL)?\b|\bELEC(?:TRICAL)?\b|\bIDF\b|\bMDF\b|\bTELECOM\b|\bSERVER\b|\bIT\s*ROOM\b|\bJAN(?:ITOR)?\b|\bSPRINKLER\b|PUMP\s*ROOM|\bUTILITY\b|\bFAN\s*ROOM\b|\bBOILER\b|\bHVAC\b"
+ASSEMBLY = r"\bTRAINING\b|\bMEETING\b|\bCONFERENCE\b|\bAUDITORIUM\b|\bCHAPEL\b|\bCOMMUNITY\b|\bEOC\b|\bBANQUET\b|\bDINING\b|\bASSEMBL|\bGYMNASIUM\b|\bGYM\b|\bCAFETERIA\b|\bSANCTUARY\b|\bNAVE\b|\bTHEAT(?:ER|RE)\b|\bBALLROOM\b|\bCOURTROOM\b|\bLECTURE\s*HALL\b|\bMULTIPURPOSE\b|\bFELLOWSHIP\b|\bHEARING\s*ROOM\b|\bCOUNCIL\s*CHAMBER\b|\bARENAF?\b"
+VARIABLE_USE = r"\bTRAINING\b|\bEOC\b|\bCOMMUNITY\b|MULTI.?PURPOSE|FLEX\s*ROOM|MULTI\s*USE|\bCONVERTIBLE\b"
+PUBLIC_FACING = r"\bLOBBY\b|\bPUBLIC\b|\bRECEPTION\b|\bWAITING\b|\bFRONT\b"
 RESIDENTIAL_UNIT = r"^UNIT\b|^APT\b|^SUITE\b|\bUNIT\s+\d"
 DOOR_ENTRY = r"^[0-9]+[A-Za-z]?$"
 UNIT_DOOR_CODE = r"^UNIT\s+[0-9]+[A-Z]+$"
 DORM = r"\bDORM(?:ITORY)?\b|\bBUNK\b|\bSLEEP(?:ING)?\b"
 MEZZANINE = r"\bMEZZ(?:ANINE)?\b"
-LOBBY_OR_ENTRY = any_word("LOBBY ENTRY ENTRANCE")
+LOBBY_OR_ENTRY = r"\bLOBBY\b|\bENTRY\b|\bENTRANCE\b"
 MENS = r"\bMEN'?S\b|\bMALE\b"
 WOMENS = r"\bWOMEN'?S\b|\bFEMALE\b"
-RESIDENTIAL_COMMON = any_word("LOBBY MAIL.?ROOM MAILROOM LAUNDRY FITNESS GYM GYMNASIUM LEASING PACKAGE COMMUNITY CLUB.?ROOM CLUBROOM BUSINESS.?CENTER POOL CONCIERGE RECEPTION LOUNGE THEATER THEATRE CONFERENCE COURTYARD ROOFTOP BICYCLE BIKE PARCEL")
-MULTI_ENTRY = any_word(r"APPARATUS GYMNASIUM AUDITORIUM ARENA STADIUM CAFETERIA CHAPEL BALLROOM THEAT(?:ER|RE) CONVENTION BANQUET MULTIPURPOSE AMPHITHEAT(?:ER|RE) LECTURE\s+HALL EXHIBITION SPORTS\s+COMPLEX ASSEMBLY\s+HALL PERFORMANCE\s+HALL CONFERENCE")
+RESIDENTIAL_COMMON = r"\bLOBBY\b|\bMAIL.?ROOM\b|\bMAILROOM\b|\bLAUNDRY\b|\bFITNESS\b|\bGYM\b|\bGYMNASIUM\b|\bLEASING\b|\bPACKAGE\b|\bCOMMUNITY\b|\bCLUB.?ROOM\b|\bCLUBROOM\b|\bBUSINESS.?CENTER\b|\bPOOL\b|\bCONCIERGE\b|\bRECEPTION\b|\bLOUNGE\b|\bTHEATER\b|\bTHEATRE\b|\bCONFERENCE\b|\bCOURTYARD\b|\bROOFTOP\b|\bBICYCLE\b|\bBIKE\b|\bPARCEL\b"
+MULTI_ENTRY = r"\bAPPARATUS\b|\bGYMNASIUM\b|\bAUDITORIUM\b|\bARENA\b|\bSTADIUM\b|\bCAFETERIA\b|\bCHAPEL\b|\bBALLROOM\b|\bTHEAT(?:ER|RE)\b|\bCONVENTION\b|\bBANQUET\b|\bMULTIPURPOSE\b|\bAMPHITHEAT(?:ER|RE)\b|\bLECTURE\s+HALL\b|\bEXHIBITION\b|\bSPORTS\s+COMPLEX\b|\bASSEMBLY\s+HALL\b|\bPERFORMANCE\s+HALL\b|\bCONFERENCE\b"
 SCHEDULE_ROW = r"OCCUPANT.?LOAD|LOAD.?TABLE|FIXTURE.?TABLE|DOOR.?SCHEDULE|FINISH.?SCHEDULE|^KEYNOTE|^GENERAL.?NOTE|^NOTE:|^LEGEND|^ABBREVIATION|^DETAIL\s|^SECTION\s[A-Z]|^BC\s|^FEET\s*SCALE$|^INCH\s*SCALE$|^FEET$|^SCALE$|^TEEF|^ELACS|^HCNI"
 UNIT_OR_APT = r"^UNIT\b|^APT\b"
 SUITE = r"^SUITE\b"
 CAPACITY = "assembly|auditorium|cafeteria|gymnasium|gym|theater|theatre|chapel|conference|meeting|ballroom|banquet|lecture|multipurpose|multi-purpose|classroom|training room|community room|community|event space|flex room|activity room|recreation room"
 EXIT_CLUSTER = r"\bEXIT\b|\bSTAIR(?:S|WELL|WAY|CASE|CORE|SHAFT)?\b|\bELEV(?:ATOR)?\b|\bLIFT\b|\bLOBBY\b|\bENTRY\b|\bENTRANCE\b"
-EDUCATION_ANCHOR = any_word("CORR(?:IDOR)? HALL(?:WAY)? LOBBY FOYER ENTRY ENTRANCE")
+EDUCATION_ANCHOR = r"\bCORR(?:IDOR)?\b|\bHALL(?:WAY)?\b|\bHALL\b|\bLOBBY\b|\bFOYER\b|\bENTRY\b|\bENTRANCE\b"
 GARBLED = r"\d+[Xx]\d+|\d+'-\d|(?i:\bTO\s+[EW]\d)|(?:\.\d+){2,}|\b19[A-J]\b|(?i:\bMB\b.*\d|\d.*\bMB\b)|(?i:\bTB\b.*\d|\d.*\bTB\b)|(?i:\bRY\s+CT\b)|(?i:\bKIT\s+EN\b)|(?i:\bCAF\s+ERIA\b)|(?i:\bAFETER\b)"
 
 # Building types named by rooms, in this order: fixed values.
@@ -60,16 +55,16 @@ HOTEL_ROOM, HOTEL_LOBBY, HOTEL_DESK = r"^ROOM\s+\d", r"\bLOBBY\b", r"FRONT DESK|
 
 # Building type groups: fixed values.
 TYPE_GROUPS = {
-    "commercial": "commercial office retail restaurant airport transit warehouse industrial mixed_use mixed",
-    "residential": "residential multifamily apartment condo senior_living dormitory affordable_housing",
-    "education": "education school university college daycare library",
-    "healthcare": "healthcare hospital clinic medical dental nursing_home",
-    "government": "government municipal federal courthouse police fire_station military",
-    "hotel": "hotel motel resort inn",
-    "assembly": "assembly church theater theatre arena stadium convention museum gym_venue",
-    "unknown": "unknown",
+    "commercial": ("commercial", "office", "retail", "restaurant", "airport", "transit", "warehouse", "industrial", "mixed_use", "mixed"),
+    "residential": ("residential", "multifamily", "apartment", "condo", "senior_living", "dormitory", "affordable_housing"),
+    "education": ("education", "school", "university", "college", "daycare", "library"),
+    "healthcare": ("healthcare", "hospital", "clinic", "medical", "dental", "nursing_home"),
+    "government": ("government", "municipal", "federal", "courthouse", "police", "fire_station", "military"),
+    "hotel": ("hotel", "motel", "resort", "inn"),
+    "assembly": ("assembly", "church", "theater", "theatre", "arena", "stadium", "convention", "museum", "gym_venue"),
+    "unknown": ("unknown",),
 }
-ALIASES = {alias: group for group, names in TYPE_GROUPS.items() for alias in names.split()}
+ALIASES = {alias: group for group, names in TYPE_GROUPS.items() for alias in names}
 
 # Traits of building types (unit numbers, policy for service rooms, assembly rules, directory, elevator mode, area of rescue): fixed values.
 TRAITS = {
@@ -213,7 +208,6 @@ OTHER_DISCIPLINES = "^(?:S-|M-|E-|P-|C-|FP-)"
 RESTROOM_TITLE = r"\b(?:TOILET|RESTROOM|LAVATORY)\b|\bRR\b"
 NO_PLAN_TITLES = "ELEVATION|SECTION|EGRESS|ACCESSORY LEGEND|LIGHT FIXTURE SCHEDULE|BATHROOM FINISH|DRAWING INDEX|SYMBOL LEGEND|ABBREVIATIONS|SPECIFICATIONS|CODE ANALYSIS|LIFE SAFETY NOTES|PLUMBING FIXTURE SCHEDULE|LIGHTING SCHEDULE|LIGHTING PLAN|ELECTRICAL SCHEDULE|PLUMBING SCHEDULE|MECHANICAL SCHEDULE|REFLECTED CEILING|FINISH PLAN|FURNITURE PLAN|POWER PLAN|DATA PLAN"
 PLAN_ONLY_TITLES = "GENERAL NOTES|DOOR SCHEDULE|WINDOW SCHEDULE"
-# Floors in sheet titles, in this order: fixed values.
 #: Words in a file's name, upper case, and the level they tell: fixed values.
 FILE_FLOORS = [
     (("1ST", "FIRST"), "LEVEL 1"),
@@ -234,6 +228,7 @@ LABEL_FLOORS = [
     (r"fifth\s+floor|5th\s+floor", "LEVEL 5"),
     (r"basement|b1", "LEVEL B1"),
 ]
+# Floors in sheet titles, in this order: fixed values.
 TITLE_FLOORS = [
     (r"first\s+floor|floor\s*[-\s]?1|level\s*[-\s]?1|ground\s+floor", "LEVEL 1"),
     (r"second\s+floor|floor\s*[-\s]?2|level\s*[-\s]?2", "LEVEL 2"),
@@ -246,10 +241,10 @@ TITLE_FLOORS = [
 ]
 
 # Names that are notes, materials or table rows, not rooms: fixed values.
-JUNK_WORDS = "PTD HM VIF GWB CMU ACT MTL STL GALV FL-N QUARTZ RUBBER SEAMLESS PAINTED EXISTING FLOORING CEILING LEGEND REMOVED DEMOLISHED NEW REINSTALL INSTALL PROVIDE COORDINATE".split()
-TABLE_WORDS = "FLOOR BASE WALLS CEILING COMMENTS LEGEND FLOORING RUBBER SEAMLESS PAINTED EXISTING FINISH SCHEDULE NUMBER NAME".split()
+JUNK_WORDS = ("PTD", "HM", "VIF", "GWB", "CMU", "ACT", "MTL", "STL", "GALV", "FL-N", "QUARTZ", "RUBBER", "SEAMLESS", "PAINTED", "EXISTING", "FLOORING", "CEILING", "LEGEND", "REMOVED", "DEMOLISHED", "NEW", "REINSTALL", "INSTALL", "PROVIDE", "COORDINATE")
+TABLE_WORDS = ("FLOOR", "BASE", "WALLS", "CEILING", "COMMENTS", "LEGEND", "FLOORING", "RUBBER", "SEAMLESS", "PAINTED", "EXISTING", "FINISH", "SCHEDULE", "NUMBER", "NAME")
 NOTE_PHRASES = r"FIELD MEASURE|V\.I\.F\.|SEE DETAIL|COORDINATE WITH|SEE DRAWING|NEW WORK|AREA OF WORK|TEMPORARY|REINSTALL|DEMOLISH"
-SHORT_WORDS = "WC RR IT MR DR AV HR PR SR NO OF BY".split()
+SHORT_WORDS = ("WC", "RR", "IT", "MR", "DR", "AV", "HR", "PR", "SR", "NO", "OF", "BY")
 EXEMPT_UNIT = r"^(?:UNIT|APT|SUITE|APARTMENT|FLAT)\s+[A-Z0-9]{1,4}$"
 NOT_A_NAME = r"^[A-Z]{1,2}\d{2,}\.\d+$|^[A-Z]{1,3}\s+\d+['\"’‘]|^[\d\s\-'\"`’‘“”/]+$|^[^A-Z0-9]|\d+['\"’‘][-–]\d+|\b\d+\s*X\s*\d+\b|\bTO\s+[EW][A-Z0-9]"
 JUNK_ROW = r"OCCUPANT.?LOAD|LOAD.?TABLE|FIXTURE.?TABLE|DOOR.?SCHEDULE|FINISH.?SCHEDULE|PLUMBING.?SCHEDULE|HARDWARE.?SET|^KEYNOTE|^GENERAL.?NOTE|^NOTE:|^LEGEND|^ABBREVIATION|^SYMBOL|^FEET\s*SCALE$|^INCH\s*SCALE$|^FEET$|^SCALE$|^TEEF|^ELACS|^HCNI"
@@ -257,7 +252,7 @@ SHORT_NUMBER = r"^(?:\d{1,2}|[A-Z]{1,2}\d{1,2})$"
 ANNOTATION = r"\d+X\d+|\d+'-\d|^[\s.\-'\"]+$|\bTO\s+[EW]\d"
 PLAIN_CORRIDOR = r"^(?:CORRIDOR|HALLWAY|HALL|CIRCULATION|COMMON\s+CORRIDOR|PUBLIC\s+CORRIDOR)$"
 EGRESS_NAMES = "STAIR|EXIT|ELEV|LOBBY|VESTIBULE|MECHANICAL|ELECTRICAL|FIRE"
-RESTROOM_SCOPE = any_word(r"TOILET RESTROOM BATHROOM WC UNISEX STAFF\s*RR BOYS GIRLS MEN WOMEN GENDER LAVATORY ACCESSIBLE")
+RESTROOM_SCOPE = r"\b(?:TOILET|RESTROOM|BATHROOM|WC|UNISEX|STAFF\s*RR|BOYS|GIRLS|MEN|WOMEN|GENDER|LAVATORY|ACCESSIBLE)\b"
 GENERAL_TITLE = r"\bFLOOR\s+PLAN\b|\bROOM\s+SCHEDULE\b|\bFINISH\s+SCHEDULE\b"
 # Sign types that a schedule's type definitions suppress by not naming them: fixed values.
 SUPPRESSED_UNLESS = [(("Exit", "Exit(Tactile)"), r"\bEXIT\b"), (("Evacuation Map",), r"EVAC(?:UATION)?|EMERGENCY.?\s*MAP"), (("Office Directory", "Building ID"), r"\bDIRECTORY\b")]
