@@ -123,6 +123,19 @@ def reconcile_benchmarks(rooms: DataFrame, schedule: DataFrame, signs: DataFrame
     return counted.withColumn("coverage", coverage).withColumn("warnings", F.array_join(F.array_compact(short), ", "))
 
 
+def sign_type_lists(signs: DataFrame) -> DataFrame:
+    """Per job and sign type: quantity, the levels and rules that it has, sorted, and its place by quantity.
+
+    A type has a few levels and rules: distinct ones are found before they are gathered, so a type with very many signs
+    gathers no more than others.
+    """
+    key = [*JOB, "sign_type"]
+    live = signs.filter(~F.col("is_deleted"))
+    small = live.groupBy(*key, "floor_label", "rule_ref").agg(F.sum("qty").alias("qty"))
+    out = small.groupBy(*key).agg(F.sum("qty").alias("qty"), F.array_sort(F.collect_set("floor_label")).alias("levels"), F.array_sort(F.collect_set("rule_ref")).alias("rules"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*JOB).orderBy(F.desc("qty"), "sign_type")))
+
+
 def rules_of_types(signs: DataFrame) -> DataFrame:
     """Per job and sign type: quantity, distinct floors and rules. Needs floor_label and rule_ref."""
     return signs.groupBy(*JOB, "sign_type").agg(F.sum("qty").alias("qty"), F.count_distinct("floor_label").alias("n_levels"), F.count_distinct("rule_ref").alias("n_rules"))

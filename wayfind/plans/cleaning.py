@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfind import vocab
 from wayfind.operators import cleaning, egress, rules
 from wayfind.plans.buildings import _CORES, _EGRESS, _EVAC, _FLOORS
+from wayfind.plans.drawings import _DRAWN, _drawn
 from wayfind.plans.matching import _BY_NUMBER
 from wayfind.plans.rules import ALL, ELEVATORS, EXITS, MAPS, ROOM_SIGNS, STAIRS, has, sql_in
 from wayfind.plans.rules import _ready as ready
@@ -88,9 +89,9 @@ QUERIES = {
         f"WITH {views.SQL}, {SHEETS_SQL} SELECT seq, coalesce({_BY_NUMBER}, CASE WHEN page % 2 = 0 THEN concat('LEVEL ', page) END, level) AS level FROM rooms JOIN (SELECT sheet_id, page FROM sheets) USING (sheet_id)",
     ),
     "d13_scope": (
-        _run(lambda v: cleaning.job_scope(v.schedule, _sheets(v))),
-        f"""WITH {views.SQL}, {SHEETS_SQL} SELECT tenant_id, job_id FROM schedule GROUP BY 1, 2 HAVING bool_and({has("upper(sign_type)", vocab.RESTROOM_SCOPE)})
-UNION SELECT tenant_id, job_id FROM sheets GROUP BY 1, 2 HAVING count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) > 0 AND NOT bool_or({has("title", vocab.GENERAL_TITLE)}) AND count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} AND {has("title", vocab.RESTROOM_TITLE)} THEN 1 END) / count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) >= 0.8""",
+        _run(lambda v: cleaning.job_scope(v.schedule, _drawn(v))),
+        f"""WITH {views.SQL}, {SHEETS_SQL}, {_DRAWN} SELECT tenant_id, job_id FROM schedule GROUP BY 1, 2 HAVING bool_and({has("upper(sign_type)", vocab.RESTROOM_SCOPE)})
+UNION SELECT tenant_id, job_id FROM drawn GROUP BY 1, 2 HAVING count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) > 0 AND NOT bool_or({has("title", vocab.GENERAL_TITLE)}) AND count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} AND {has("title", vocab.RESTROOM_TITLE)} THEN 1 END) / count(CASE WHEN {has("sheet_no", "^A-?[0-9]")} THEN 1 END) >= 0.8""",
     ),
     "d13_scope_whole": (
         _run(lambda v: cleaning.job_scope(_typed_by_job(v), _sheets(v))),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfind import vocab
-from wayfind.operators import dedup, drawings, rules
+from wayfind.operators import dedup, drawings, rules, sheets
 from wayfind.plans.rules import has, quoted, sql_in
 from wayfind.plans.sheets import SHEETS_SQL, _files, _sheets
 from wayfind.sources import views
@@ -133,6 +133,10 @@ SELECT seq FROM j WHERE NOT (known AND job % 4 = 0 AND (sign_type IN ('Room ID',
     ),
     "b18_sheet_types": (_run(lambda v: _drawn(v).select("sheet_id", drawings.detect_sheet_type(F.col("sheet_no"), F.col("title")).alias("sheet_type"))), f"WITH {views.SQL}, {SHEETS_SQL}, {_DRAWN} SELECT sheet_id, {_TYPE} AS sheet_type FROM drawn"),
     "b17_b19_sheet_categories": (_run(lambda v: _classified(v).select("sheet_id", "category", "reason")), f"WITH {views.SQL}, {SHEETS_SQL}, {_DRAWN}, {_CLASSIFIED} SELECT sheet_id, category, reason FROM categories"),
+    "d22_restroom_sets": (
+        _run(lambda v: sheets.restroom_sets(_drawn(v))),
+        f"WITH {views.SQL}, {SHEETS_SQL}, {_DRAWN} SELECT tenant_id, job_id FROM drawn WHERE {has('sheet_no', '^A-?[0-9]')} GROUP BY 1, 2 HAVING avg(CASE WHEN {has('title', vocab.RESTROOM_TITLE)} THEN 1.0 ELSE 0.0 END) >= 0.5",
+    ),
     "d22_restroom_rescue": (
         _run(lambda v: drawings.rescue_restroom_sheets(_classified(v)).select("sheet_id", "category", "reason")),
         f"""WITH {views.SQL}, {SHEETS_SQL}, {_DRAWN}, {_CLASSIFIED}, {_RESCUED}, r AS (SELECT c.*, s.job_id IS NOT NULL AND category = 'skip' AND {has("title", vocab.RESTROOM_RESCUE)} AS hit FROM categories c LEFT JOIN sets s USING (tenant_id, job_id))

@@ -135,7 +135,6 @@ SELECT seq, CASE WHEN net THEN by_number ELSE level END AS level, CASE WHEN net
         _run(lambda v: sheets.sheet_coverage(_sheets(v))),
         f"WITH {views.SQL}, {SHEETS_SQL}, w AS (SELECT *, {_WHY} AS why FROM sheets) SELECT tenant_id, job_id, file_id, count(*) AS n_sheets, count(*) - count(why) AS scanned, count(CASE WHEN why = 'administrative' THEN 1 END) AS administrative, count(CASE WHEN why = 'discipline' THEN 1 END) AS discipline, count(CASE WHEN why = 'no plan view' THEN 1 END) AS no_plan, count(CASE WHEN why = 'table' THEN 1 END) AS tables FROM w GROUP BY 1, 2, 3",
     ),
-    "d22_restroom_sets": (_run(lambda v: sheets.restroom_sets(_sheets(v))), f"WITH {views.SQL}, {SHEETS_SQL} SELECT tenant_id, job_id FROM sheets WHERE {has('sheet_no', '^A-?[0-9]')} GROUP BY 1, 2 HAVING avg(CASE WHEN {has('title', vocab.RESTROOM_TITLE)} THEN 1.0 ELSE 0.0 END) >= 0.5"),
     "c8_replicate_floors": (
         _run(lambda v: sheets.replicate_floors(v.rooms.select(*rules.JOB, "seq", "sheet_id", "level", "coord_x", "coord_y"), _sheets(v), _files(v)).select("seq", "level", "coord_x", "coord_y")),
         f"""WITH {views.SQL}, {SHEETS_SQL}, lv AS (SELECT * FROM (VALUES ('set-LEVELS-03-06.pdf', 3), ('set-LEVELS-03-06.pdf', 4), ('set-LEVELS-03-06.pdf', 5), ('set-LEVELS-03-06.pdf', 6), ('floor 01 to 03.pdf', 1), ('floor 01 to 03.pdf', 2), ('floor 01 to 03.pdf', 3)) AS l(filename, n))

@@ -168,6 +168,11 @@ SELECT tenant_id, job_id, 'S1' AS sign_code, 'Stair' AS description, job AS qty,
         f"""WITH {views.SQL}, r AS (SELECT tenant_id, job_id, count(*) AS n_rooms, count(*) AS n_signs FROM rooms GROUP BY 1, 2), s AS (SELECT tenant_id, job_id, count(*) AS n_scheduled FROM schedule WHERE type_mark IS NULL OR seq % 4 = 0 GROUP BY 1, 2),
 b AS (SELECT tenant_id, job_id, 100 * (CAST(substring(job_id, 2) AS BIGINT) % 5 + 1) AS benchmark FROM jobs WHERE CAST(substring(job_id, 2) AS BIGINT) % 3 = 0), a AS (SELECT r.tenant_id, r.job_id, n_rooms, coalesce(n_scheduled, 0) AS n_scheduled, n_signs, benchmark FROM r LEFT JOIN s USING (tenant_id, job_id) LEFT JOIN b USING (tenant_id, job_id))
 SELECT *, CASE WHEN n_scheduled > 0 THEN n_rooms / n_scheduled END AS coverage, CASE WHEN n_scheduled > 0 AND n_rooms / n_scheduled < 0.7 THEN 'room coverage' || CASE WHEN coalesce(n_signs < benchmark * 0.6, false) THEN ', sign count' ELSE '' END WHEN coalesce(n_signs < benchmark * 0.6, false) THEN 'sign count' ELSE '' END AS warnings FROM a""",
+    ),
+    "d18_type_lists": (
+        _run(lambda v: jobs.sign_type_lists(v.signs.withColumn("rule_ref", F.when(_seq() % 4 != 3, F.concat(F.lit("R"), (_seq() % 4).cast("string")))))),
+        f"""WITH {views.SQL}, t AS (SELECT tenant_id, job_id, sign_type, CAST(sum(qty) AS BIGINT) AS qty, coalesce(list_sort(list(DISTINCT floor_label) FILTER (WHERE floor_label IS NOT NULL)), []) AS levels, coalesce(list_sort(list(DISTINCT concat('R', seq % 4)) FILTER (WHERE seq % 4 <> 3)), []) AS rules FROM signs WHERE NOT is_deleted GROUP BY 1, 2, 3)
+SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY qty DESC, sign_type) AS INT) AS place FROM t""",
     ),
     "d18_type_rules": (
         _run(lambda v: jobs.rules_of_types(v.signs.withColumn("rule_ref", F.concat(F.lit("R"), (_seq() % 3).cast("string"))))),

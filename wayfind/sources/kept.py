@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_runs: list[list[str]] = []
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -34,15 +37,52 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
+    for run in _runs:
+        run.append(path)
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all tables that ``kept`` makes meanwhile. Results that are lazy are to be written inside:
+
+    with scratch(spark):
+        apply_rules(rooms, jobs).write.parquet(path)
+    """
+    run: list[str] = []
+    _runs.append(run)
+    try:
+        yield
+    finally:
+        _runs.remove(run)
+        for path in run:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def place_of(df: DataFrame) -> str:
+    """Where ``kept`` wrote this table."""
+    return _places[df]
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table, so that one that changed under the same path is told apart; () if
+    there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return ()
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(place)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``kept`` of which nothing more will be read."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_places.pop(df))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, _places.pop(df))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:

@@ -3,7 +3,7 @@
 The tables at hand have no rooms or signs; these views are deterministic functions of them. ``SQL`` states them
 for the SQL twins of the queries; ``Views`` builds the same in Spark, where the running number comes from a
 range partitioning instead of a window over the whole table. The numbered lines are written once a session and
-folder, in job order, and all queries read that table.
+folder, in job order, and all queries read that table, as long as the folder's files are the same.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.sources.kept import kept, numbered
+from wayfind.sources.kept import kept, numbered, place_of, stamp
 
 ROOM_NAMES = ["OFFICE", "CORR", "MEN'S TOILET", "WOMEN'S TOILET", "STAIR A", "ELEV LOBBY", "CONFERENCE", "MECH ROOM", "JANITOR", "LOBBY", "ENTRY VESTIBULE", "TRAINING / COMMUNITY", "UNIT 101", "106A", "STORAGE", "FINISH SCHEDULE", "60X21 CASEWORK", "GYMNASIUM", "CLASSROOM", "APPARATUS BAY", "UNISEX RR", "SUITE 200", "JANITOR STAIR", "GIRLS PASSAGE", "EXAM ROOM", "RECEPTION"]
 SIGN_TYPES = ["Room ID", "Restroom", "Exit", "Stair(Corridor)", "Elevator", "Evacuation Map", "Max Occupancy"]
@@ -66,7 +66,7 @@ schedule AS (SELECT r.seq, r.tenant_id, r.job_id, r.sheet_id, CASE WHEN r.seq %
 """
 
 
-_lines: dict[tuple[str, str], DataFrame] = {}
+_lines: dict[tuple, DataFrame] = {}
 
 
 def _word(names: list[str], index) -> F.Column:
@@ -84,7 +84,9 @@ class Views:
 
     @cached_property
     def lines(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, stamp(self.spark, f"{self.sf_dir}/lineitem.parquet"))
+        if key in _lines and not stamp(self.spark, place_of(_lines[key])):
+            del _lines[key]  # its folder was cleaned
         if key not in _lines:
             d = numbered(self.table("lineitem").select(*ORDER), ORDER)
             _lines[key] = kept(d.withColumn("job", F.floor(F.col("l_orderkey") / 50)).withColumn("fl", F.col("l_linenumber").cast("long") % 4).withColumn("num", F.col("l_partkey").cast("long") % 60), "lines")
