@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from wayfind.llm import decontaminate
@@ -53,3 +55,29 @@ def test_empty_tables(spark):
     i = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.contained(d.limit(0), i).count() == 0
     assert decontaminate.contained(d, i.limit(0)).count() == 0
+
+
+def test_size_partitions_lose_nothing(spark):
+    """Items of every size partition in documents that have just enough of them, or one shingle less."""
+    r = random.Random(4)
+    items, docs = [], []
+    for i, n in enumerate([1, 2, 3, 4, 6, 7, 8, 9, 15, 16, 31, 32, 33, 63, 64, 120]):
+        own = [f"i{i}w{j}" for j in range(n + 4)]
+        items.append((i, " ".join(own)))
+        for k, lost in enumerate({n - math.ceil(n * 0.75), n - math.ceil(n * 0.75) + 1, 0}):
+            # a foreign word after a shingle's first one loses it; those at the end lose one each
+            kept = own[: len(own) - lost] if k % 2 else own[lost:]
+            docs.append((100 * i + k, " ".join([f"f{r.randrange(9)}" for _ in range(r.randrange(8))] + kept)))
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["containment"] for x in decontaminate.contained(d, t).collect()} == brute(docs, items)
+
+
+def test_large_items_need_several_hits(spark):
+    """A phrase of an item is no candidate for it, whichever phrase."""
+    item = [f"w{j}" for j in range(60)]
+    docs = [(j, " ".join(["x"] * 60 + item[j : j + 5] + ["y"] * 60)) for j in range(55)]
+    index = decontaminate.item_index(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert index.filter("part = 5").count() == 56
+    assert decontaminate.candidates(spark.createDataFrame(docs, "doc_id long, text string"), index, [5]).count() == 0
+    assert decontaminate.candidates(spark.createDataFrame([(1, " ".join(item))], "doc_id long, text string"), index, [5]).count() == 1
+    assert [decontaminate.sketch_length(p) for p in range(6)] == [1, 1, 2, 5, 10, 19]

@@ -4,8 +4,9 @@ An item is contained in a document if the document has at least ``LEAST`` of the
 shingles (k is 5; a shorter item is one shingle of its own length). Items are partitioned by the size of their
 shingle sets, each partition up to twice the size of the one before. A partition's items are indexed by their
 bottom-m MinHash sketches: an item of n shingles may lack n - ceil(LEAST * n) of them, so with one more a document
-that contains it, however long, has one of its sketch; ``sketch_length`` gives the longest sketch of a partition.
-The order of hashes is the same for all items and puts those that many items share last, so that a phrase of many
+that contains it, however long, has one of its sketch, and with j more hashes it has j more. ``hits_needed`` gives
+each partition its number: larger items must be hit several times, so a phrase that they share with a document makes no
+candidate. ``sketch_length`` gives the longest sketch of a partition. The order of hashes is the same for all items and puts those that many items share last, so that a phrase of many
 items is in a sketch only where it must be. Documents are searched with all their shingle hashes, each text in one
 pass; the pairs found are then verified on the shingles themselves.
 
@@ -45,10 +46,19 @@ def _all_runs(w: Column, widths: list[int], of) -> Column:
     return F.flatten(F.array(*(F.transform(_runs(w, k), of) for k in widths)))
 
 
+#: Hits that a document needs for items of the size partitions from this one on, the first entry that is reached.
+HITS_FROM = ((5, 4), (4, 3), (3, 2), (0, 1))
+
+
+def hits_needed(part: Column) -> Column:
+    """How many hashes of an item's sketch a document that contains it has at least, by the item's size partition."""
+    return F.coalesce(*(F.when(part >= p, F.lit(h)) for p, h in HITS_FROM))
+
+
 def sketch_length(part: int, least: float = LEAST) -> int:
     """Hashes in the longest sketch of the partition of items with 2 ** part to 2 ** (part + 1) - 1 shingles."""
-    n = range(1 << part, 2 << part)
-    return max(k - max(1, math.ceil(k * least)) + 1 for k in n)
+    n, hits = range(1 << part, 2 << part), next(h for p, h in HITS_FROM if part >= p)
+    return max(k - max(1, math.ceil(k * least)) + hits for k in n)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -60,7 +70,7 @@ def item_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     """(item_id, width, n, needed, part, shingle, hash, place): an item's distinct shingles in MinHash order.
 
     n: the item's distinct shingles; needed: how many a document must have; part: the size partition (n's
-    power of two); rows with place <= n - needed + 1 are the item's sketch.
+    power of two); rows with place <= n - needed + hits_needed(part) are the item's sketch.
     """
     w = items.select(column(id_col).alias("item_id"), words(column(text_col)).alias("w")).filter(F.col("item_id").isNotNull() & (F.size("w") > 0))
     w = w.withColumn("width", F.least(F.size("w"), F.lit(WORDS)))
@@ -76,13 +86,15 @@ def item_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def candidates(docs: DataFrame, index: DataFrame, widths: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Distinct (doc_id, item_id) where the document has one of the item's sketch hashes and enough words."""
-    sketch = index.filter(F.col("place") <= F.col("n") - F.col("needed") + 1)
-    own = _small(sketch.select("item_id", "hash", F.col("needed"), F.col("width")))
+    """(doc_id, item_id) where the document has enough of the item's sketch hashes, by its size partition, and enough words."""
+    sketch = index.withColumn("hits", hits_needed(F.col("part"))).filter(F.col("place") <= F.col("n") - F.col("needed") + F.col("hits"))
+    own = _small(sketch.select("item_id", "hash", "needed", "width", "hits"))
     w = docs.select(column(id_col).alias("doc_id"), words(column(text_col)).alias("w"))
     rows = w.select("doc_id", F.size("w").alias("size"), F.explode(_all_runs(F.col("w"), widths, lambda x: F.xxhash64(x))).alias("hash"))
-    hits = rows.join(own, "hash").filter(F.col("size") - (F.col("width") - 1) >= F.col("needed"))
-    return hits.select("doc_id", "item_id").distinct()
+    met = rows.join(own, "hash").filter(F.col("size") - (F.col("width") - 1) >= F.col("needed"))
+    # each hash counts once, however often the document has it
+    found = met.select("doc_id", "item_id", "hits", "hash").distinct().groupBy("doc_id", "item_id", "hits").agg(F.count(F.lit(1)).alias("n"))
+    return found.filter(F.col("n") >= F.col("hits")).select("doc_id", "item_id")
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -110,9 +110,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, bits: int = BITS) -> Data
     return equal_runs(placed, ["curve", "text_crc32", "doc_id"], shards)
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
-    """One folder for each shard, its rows in curve order, so that statistics of files and row groups prune."""
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """One folder for each shard, its rows in curve order, so that statistics of files and row groups prune.
+
+    Ranges of shard and slot are dealt to so many tasks (as many as the session shuffles with, unless said), so a shard of any
+    size is written as several files of consecutive slots, and no task holds a whole one.
+    """
+    n = files or shuffle_partitions(rows.sparkSession)
+    rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def extents(rows: DataFrame, columns: list[str]) -> DataFrame:
