@@ -21,12 +21,18 @@ def takeoff_delta(takeoff: DataFrame, rooms: DataFrame, signs: DataFrame, extra_
     take the type of their first sign, or the one that their name suggests.
     """
     human, found = _keyed(takeoff), _keyed(rooms)
-    seen = found.select(*JOB, "room_key").distinct()
-    matched = human.join(seen, [*JOB, "room_key"], "left_semi").select(*JOB, F.lit("matched").alias("kind"), "seq", "room_key", F.lit(None).cast("string").alias("sign_type"))
-    missed = human.join(seen, [*JOB, "room_key"], "left_anti").select(*JOB, F.lit("missed").alias("kind"), "seq", "room_key", text.predict_sign_type(F.col("room_name")).alias("sign_type"))
     first = signs.filter("room_seq is not null").groupBy(*JOB, F.col("room_seq").alias("seq")).agg(F.min_by("sign_type", "seq").alias("first_type"))
-    extra = found.filter(F.col("confidence") >= extra_from).join(human.select(*JOB, "room_key").distinct(), [*JOB, "room_key"], "left_anti").join(first, [*JOB, "seq"], "left")
-    return matched.unionByName(missed).unionByName(extra.select(*JOB, F.lit("extra").alias("kind"), "seq", "room_key", F.coalesce("first_type", text.predict_sign_type(F.col("room_name"))).alias("sign_type")))
+    found = found.withColumn("sure", F.coalesce(F.col("confidence") >= extra_from, F.lit(False))).join(first, [*JOB, "seq"], "left")
+    human = human.withColumns({"sure": F.lit(False), "first_type": F.lit(None).cast("string")})
+    side = lambda df, mine: df.select(*JOB, "seq", "room_key", "room_name", F.lit(mine).alias("human"), "sure", "first_type")
+    rows = side(human, True).unionByName(side(found, False))
+    # which sides have a key: counted once for both, and every row meets one row of its key
+    sides = rows.groupBy(*JOB, "room_key").agg(F.bool_or("human").alias("in_human"), F.bool_or(~F.col("human")).alias("in_found"))
+    judged = rows.filter(F.col("human") | F.col("sure")).join(sides, [*JOB, "room_key"], "left")
+    has = lambda c: F.coalesce(c, F.lit(False))
+    kind = text.first_of((F.col("human") & has("in_found"), "matched"), (F.col("human"), "missed"), (~has("in_human"), "extra"))
+    told = F.coalesce("first_type", text.predict_sign_type(F.col("room_name")))
+    return judged.withColumn("kind", kind).filter("kind is not null").select(*JOB, "kind", "seq", "room_key", F.when(F.col("kind") != "matched", told).alias("sign_type"))
 
 
 def _scores(df: DataFrame) -> DataFrame:

@@ -61,42 +61,70 @@ def _patterned(rooms: DataFrame) -> DataFrame:
     return rooms if "_cluster" in rooms.columns else looked_up(rooms, "room_name", _name_patterns)
 
 
+def _type_facts() -> list[Column]:
+    """What a job's type is told by: counts over its rooms with their name patterns."""
+    hotel = F.bool_or("_hotel_room") & F.bool_or("_hotel_lobby") & F.bool_or("_hotel_desk")
+    return [F.avg(F.col("_units").cast("double")).alias("units"), hotel.alias("hotel"), *(F.bool_or(f"_by_{k}").alias(f"by_{k}") for k, _ in vocab.TYPE_WORDS)]
+
+
+def _detected(given: Column) -> Column:
+    by_rooms = text.first_of((F.col("units") > 0.3, "residential"), (F.col("hotel"), "hotel"), *((F.col(f"by_{k}"), k) for k, _ in vocab.TYPE_WORDS), (F.lit(True), "commercial"))
+    low = F.lower(F.trim(given))
+    return F.coalesce(F.when(low.isin(*(t for t in vocab.TRAITS if t != "unknown")), low), by_rooms)
+
+
 def detect_building_type(rooms: DataFrame, jobs: DataFrame) -> DataFrame:
     """(tenant_id, job_id, detected): a job's known type, else the type that its room names point to."""
-    facts = _patterned(rooms).groupBy(*JOB).agg(
-        F.avg(F.col("_units").cast("double")).alias("units"),
-        (F.bool_or("_hotel_room") & F.bool_or("_hotel_lobby") & F.bool_or("_hotel_desk")).alias("hotel"),
-        *(F.bool_or(f"_by_{k}").alias(f"by_{k}") for k, _ in vocab.TYPE_WORDS),
-    )
-    by_rooms = text.first_of((F.col("units") > 0.3, "residential"), (F.col("hotel"), "hotel"), *((F.col(f"by_{k}"), k) for k, _ in vocab.TYPE_WORDS), (F.lit(True), "commercial"))
-    given = F.lower(F.trim("building_type"))
-    known = F.when(given.isin(*(t for t in vocab.TRAITS if t != "unknown")), given)
-    return jobs.join(facts, JOB, "left").select(*JOB, F.coalesce(known, by_rooms).alias("detected"))
+    facts = _patterned(rooms).groupBy(*JOB).agg(*_type_facts())
+    return jobs.join(facts, JOB, "left").select(*JOB, _detected(F.col("building_type")).alias("detected"))
+
+
+_TRAIT_NAMES = ("has_units", "mep_policy", "assembly_rules", "has_directory", "elevator_mode", "area_of_rescue")
 
 
 def with_traits(df: DataFrame, type_col: str = "detected") -> DataFrame:
     """df with the traits of its building type (commercial ones for a type without traits)."""
-    names = ("has_units", "mep_policy", "assembly_rules", "has_directory", "elevator_mode", "area_of_rescue")
-    return df.withColumns({n: text.by_type(F.col(type_col), {t: v[i] for t, v in vocab.TRAITS.items()}, vocab.TRAITS["commercial"][i]) for i, n in enumerate(names)})
+    return df.withColumns({n: text.by_type(F.col(type_col), {t: v[i] for t, v in vocab.TRAITS.items()}, vocab.TRAITS["commercial"][i]) for i, n in enumerate(_TRAIT_NAMES)})
+
+
+#: Numbers of units: with a letter, in all buildings with units; without one, in residential ones.
+_LETTERED, _PLAIN = r"^\d{2,4}[A-Z]$", r"^\d{3,4}$"
 
 
 def _unit_by_number(number: Column, kind: Column) -> Column:
     n = F.upper(F.trim(number))
-    return (kind.isin(*vocab.UNIT_SIGN_TYPES) & n.rlike(r"^\d{2,4}[A-Z]$")) | ((kind == "residential") & n.rlike(r"^\d{3,4}$"))
+    return (kind.isin(*vocab.UNIT_SIGN_TYPES) & n.rlike(_LETTERED)) | ((kind == "residential") & n.rlike(_PLAIN))
+
 
+def job_facts(rooms: DataFrame, jobs: DataFrame, detect: bool = True) -> DataFrame:
+    """One row a job: its type with traits, floors, directory eligibility, unit dominance, residential scope.
 
-def job_facts(rooms: DataFrame) -> DataFrame:
-    """One row a job: floors, directory eligibility, unit dominance, residential scope. rooms: classified, with traits."""
-    unit = F.col("is_unit") | _unit_by_number(F.col("room_number"), F.col("detected"))
-    count = lambda c: F.count_if(c)
-    many = lambda c: (F.count_if(c) >= 5) & (F.count_if(c) / F.count(F.lit(1)) >= 0.3)
-    return rooms.groupBy(*JOB).agg(
+    rooms: classified, with name patterns. Everything comes from one aggregation: what depends on the job's type is counted for
+    both kinds of unit numbers, and chosen when the type is known.
+    """
+    n = F.upper(F.trim("room_number"))
+    lettered = F.col("is_unit") | n.rlike(_LETTERED)
+    counts = rooms.groupBy(*JOB).agg(
+        *_type_facts(),
         F.greatest(F.count_distinct(F.when(F.trim("level") != "", F.col("level"))), F.lit(1)).alias("floors"),
         F.count(F.lit(1)).alias("n_rooms"),
-        (F.first("has_directory") & ((count(F.col("_suite")) >= 3) | ((count(~F.col("is_mep") & ~F.col("is_door_schedule_entry")) > 30) & F.bool_or("_lobby_or_entry")))).alias("directory_eligible"),
-        many(F.col("_unit_or_apt")).alias("unit_dominant"),
-        (F.first("detected").isin(*vocab.RESIDENTIAL_TYPES) & many(unit)).alias("residential_scope"),
+        F.count_if("_suite").alias("suites"),
+        F.count_if(~F.col("is_mep") & ~F.col("is_door_schedule_entry")).alias("occupied"),
+        F.bool_or("_lobby_or_entry").alias("lobby"),
+        F.count_if("_unit_or_apt").alias("unit_names"),
+        F.count_if(lettered).alias("lettered_units"),
+        F.count_if(lettered | n.rlike(_PLAIN)).alias("all_units"),
     )
+    stated = F.coalesce(F.nullif("building_type", F.lit("")), F.lit("commercial"))
+    typed = jobs.join(counts, JOB).withColumn("detected", _detected(F.col("building_type")) if detect else stated)
+    many = lambda c: (c >= 5) & (c / F.col("n_rooms") >= 0.3)
+    units = F.when(F.col("detected") == "residential", F.col("all_units")).otherwise(F.col("lettered_units"))
+    out = with_traits(typed).withColumns({
+        "directory_eligible": F.col("has_directory") & ((F.col("suites") >= 3) | ((F.col("occupied") > 30) & F.col("lobby"))),
+        "unit_dominant": many(F.col("unit_names")),
+        "residential_scope": F.col("detected").isin(*vocab.RESIDENTIAL_TYPES) & many(units),
+    })
+    return out.select(*JOB, "detected", *_TRAIT_NAMES, "floors", "n_rooms", "directory_eligible", "unit_dominant", "residential_scope")
 
 
 def door_counts(rooms: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
@@ -129,11 +157,8 @@ def prepared(rooms: DataFrame, jobs: DataFrame, keywords: DataFrame | None = Non
     classified = looked_up(rooms, "room_name", lambda c: text.room_flags(c) | _name_patterns(c))
     classified = looked_up(classified, "level", lambda c: {"_level": text.normalize_level(c)}).withColumn("level", F.col("_level")).drop("_level")
     classified = door_counts(classified, keywords)
-    # one row a job each, written so that their size decides whether rooms are shuffled at all
-    stated = jobs.select(*JOB, F.coalesce(F.nullif("building_type", F.lit("")), F.lit("commercial")).alias("detected"))
-    types = kept(detect_building_type(classified, jobs), "detected") if detect else stated
-    typed = with_traits(classified.join(types, JOB))
-    return typed.join(kept(job_facts(typed), "facts"), JOB)
+    # one row a job, written so that its size decides whether rooms are shuffled at all
+    return classified.join(kept(job_facts(classified, jobs, detect), "facts"), JOB)
 
 
 def _sign(sign_type, qty, rule: str, confidence: float) -> Column:

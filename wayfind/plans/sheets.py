@@ -124,7 +124,7 @@ QUERIES = {
     "b9_b32_sheet_levels": (_run(lambda v: sheets.fill_sheet_level(_sheets(v), _files(v)).select("sheet_id", "level")), f"WITH {views.SQL}, {SHEETS_SQL} SELECT sheet_id, coalesce({_TITLE_LEVEL}, concat('LEVEL ', {_FIRST})) AS level FROM sheets JOIN files USING (tenant_id, job_id, file_id)".replace("concat('LEVEL ', CASE", "'LEVEL ' || CASE").replace("THEN 9 END)) AS level", "THEN 9 END) AS level")),
     "b9_level_chain": (
         _run(_chained),
-        f"""WITH {views.SQL}, {SHEETS_SQL}, {_CHAIN}, d AS (SELECT *, (level IS NULL OR contains(upper(level), 'PLAN') OR contains(upper(level), 'PAGE') OR regexp_matches(upper(trim(level)), '^LEVEL\s+[0-9]{{2,}}$')) AND by_number IS NOT NULL AS net FROM (SELECT *, {_NUMBER_LEVEL} AS by_number FROM c))
+        f"""WITH {views.SQL}, {SHEETS_SQL}, {_CHAIN}, d AS (SELECT *, (level IS NULL OR contains(upper(level), 'PLAN') OR contains(upper(level), 'PAGE') OR regexp_matches(upper(trim(level)), '^LEVEL\\s+[0-9]{{2,}}$')) AND by_number IS NOT NULL AS net FROM (SELECT *, {_NUMBER_LEVEL} AS by_number FROM c))
 SELECT seq, CASE WHEN net THEN by_number ELSE level END AS level, CASE WHEN net THEN 'number' ELSE source END AS level_source FROM d""",
     ),
     "b10_file_labels": (
