@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from wayfind.llm import packing, textnum
 from wayfind.llm.common import column, kept
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Pairs that are looked up in a broadcast (20 bytes each); the others are joined.
 FREQUENT = 1 << 20
 #: A worker forgets its chunks beyond so many links.
-CACHED_LINKS = 3_000_000
+CACHED_LINKS = 1_000_000
 #: Links that are made at a time; the pairs of a larger group are made of its distinct ids.
 LINKS = 1 << 20
 FACTS = "key long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
