@@ -316,6 +316,18 @@ def test_bytes_that_are_no_utf8(spark):
         assert one.count() == len(raw)
 
 
+def test_a_gif_of_another_encoder():
+    """The ten by ten picture that tutorials of the format take apart, byte by byte."""
+    data = bytes.fromhex("4749463839610A000A00910000FFFFFFFF00000000FF00000021F90400000000002C000000000A000A000002168C2D99872A1CDC33A00275EC95FAA8DE608C04914C01003B")
+    frames, fault = gif.decode(data)
+    red, blue, white = 1, 2, 0
+    rows = [[red] * 5 + [blue] * 5] * 3 + [[red] * 3 + [white] * 4 + [blue] * 3] * 2 + [[blue] * 3 + [white] * 4 + [red] * 3] * 2 + [[blue] * 5 + [red] * 5] * 3
+    assert fault is None and len(frames) == 1
+    assert list(frames[0]["pixels"]) == [x for r in rows for x in r]
+    counts = {int(k): int(v) for k, v in enumerate(frames[0]["histogram"]) if v}
+    assert counts == {48: 42, 3: 42, 63: 16}
+
+
 def test_buckets_are_a_parameter(spark):
     """Many languages change no prediction: the number of buckets is the caller's."""
     texts = [("en", "the cat sat on the mat"), ("de", "die katze sass auf der matte"), ("fr", "le chat dormait sur la table")]
