@@ -158,7 +158,9 @@ def prepared(rooms: DataFrame, jobs: DataFrame, keywords: DataFrame | None = Non
     classified = looked_up(classified, "level", lambda c: {"_level": text.normalize_level(c)}).withColumn("level", F.col("_level")).drop("_level")
     classified = door_counts(classified, keywords)
     # one row a job, written so that its size decides whether rooms are shuffled at all
-    return classified.join(kept(job_facts(classified, jobs, detect), "facts"), JOB)
+    facts = kept(job_facts(classified, jobs, detect), "facts")
+    # patterns that tell the job's type have done their work
+    return classified.drop("_units", "_hotel_room", "_hotel_lobby", "_hotel_desk", *(f"_by_{k}" for k, _ in vocab.TYPE_WORDS)).join(facts, JOB)
 
 
 def _sign(sign_type, qty, rule: str, confidence: float) -> Column:
@@ -308,10 +310,15 @@ def aggregate_signs(ready: DataFrame, exits: bool = True) -> DataFrame:
     return out.unionByName(cut(formula_exits(ready))) if exits else out
 
 
+#: What rules ask of a room.
+ROOM_COLUMNS = (*JOB, "seq", "room_number", "room_name", "level", "occupant_load", "occupancy_group", "public_door_count")
+
+
 def apply_rules(rooms: DataFrame, jobs: DataFrame) -> DataFrame:
     """All signs of all jobs: (tenant_id, job_id, room_seq, sign_type, qty, rule_ref, confidence)."""
     # written once, classified and with the job's facts; each kind of rule then scans the columns it needs
-    ready = kept(prepared(rooms, jobs), "prepared")
+    asked = [c for c in rooms.columns if c in ROOM_COLUMNS]
+    ready = kept(prepared(rooms.select(*asked), jobs), "prepared")
     return room_signs(ready).select(*JOB, F.col("seq").alias("room_seq"), "sign_type", "qty", "rule_ref", "confidence").unionByName(aggregate_signs(ready))
 
 
