@@ -247,8 +247,22 @@ def _picture(frames, width=4, height=4, colours=((0, 0, 0), (255, 0, 0), (0, 255
     return out + b"\x3b"
 
 
-def test_a_hostile_header_is_a_fault():
-    frames, fault = gif.decode(struct.pack("<6sHHBBB", b"GIF89a", 65535, 65535, 0, 0, 0) + b"\x3b")
+def test_large_canvases():
+    """A huge canvas takes the memory of its frames; a frame that claims all of it is a fault."""
+    def on_canvas(side, frames):
+        data = bytearray(_picture(frames))
+        struct.pack_into("<HH", data, 6, side, side)
+        return bytes(data)
+
+    small = [(0, 0, 2, 2, [1] * 4, 1, None, 0), (60_000, 200, 2, 2, [2] * 4, 3, None, 0), (60_000, 10, 1, 1, [3], 1, None, 0), (10, 3, 1, 1, [1], 1, None, 0)]
+    frames, fault = gif.decode(on_canvas(65535, small))
+    assert fault is None and [sum(f["histogram"]) for f in frames] == [4, 8, 5, 6]
+    plain, _ = gif.decode(on_canvas(65535, [(x % 300, y % 30, *rest) for x, y, *rest in small]))
+    assert [f["pixels"] for f in plain] == [f["pixels"] for f in frames]
+    hostile = bytearray(on_canvas(65535, [(0, 0, 2, 2, [1] * 4, 1, None, 0)]))
+    at = hostile.index(b"\x2c\x00\x00\x00\x00\x02\x00\x02\x00")
+    struct.pack_into("<HH", hostile, at + 5, 65535, 65535)
+    frames, fault = gif.decode(bytes(hostile))
     assert frames == [] and "too large" in fault
 
 
@@ -523,6 +537,30 @@ def test_conversations_are_packed_whole(spark):
         assert len(rows) == 1 or sum(r["n_tokens"] for r in rows) <= 1024 and sum(r["n_loss"] for r in rows) <= 768 and len(rows) <= 16
 
 
+def test_packer_against_a_plain_choice():
+    """Sequences filled from a pool: always the piece that fits and has the largest dot product with what is left."""
+    r = random.Random(6)
+    for _ in range(30):
+        most, segments, most_loss = 100, r.randrange(2, 6), r.randrange(40, 120)
+        sizes = r.sample(range(1, 101), 25)
+        pieces = [(n, r.randrange(min(n, most_loss) + 1), i) for i, n in enumerate(sizes)]
+        packer = packing.Packer(most, segments, most_loss, pool=100, min_cut=most + 1)
+        for n, m, i in pieces:
+            assert packer.add(n, m, i) is None
+        waiting = list(pieces)
+        while waiting:
+            left, left_loss, want = most, most_loss, []
+            while len(want) < segments:
+                fits = [p for p in waiting if p[0] <= left and p[1] <= left_loss]
+                if not fits or not left:
+                    break
+                best = max(fits, key=lambda p: p[0] * (left / most**2) + p[1] * (left_loss / most_loss**2))
+                want.append((best[2], best[0], best[1]))
+                waiting.remove(best)
+                left, left_loss = left - best[0], left_loss - best[1]
+            assert packer.fill() == want
+
+
 def test_conversations_without_id_are_packed(spark):
     rows = [(None, "user", "a b"), (None, "assistant", "c"), (1, "assistant", None), (1, None, "x y z")]
     out = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, role string, text string")).collect()

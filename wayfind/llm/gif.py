@@ -5,8 +5,8 @@ column into timed frames, each with the indices of its own rectangle and a colou
 shown, and joins the indices of all frames to the payload.
 
 Defined cases: a null text is stored like an empty one (64 zero bytes); a null or broken file gives the frames
-before the fault and the fault in ``error``, as does one that claims a canvas over ``MAX_PIXELS``; repeated rows are
-handled alike, null ids carried along; columns other than those named are ignored; empty tables give no rows.
+before the fault and the fault in ``error``; a canvas of any size takes the memory of what its frames cover, and a frame or
+frames that cover more than ``MAX_PIXELS`` are such a fault; repeated rows are handled alike, null ids carried along; columns other than those named are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BINS = 64
 #: 3 bits of red, 3 of green, 2 of blue.
 PALETTE = np.array([((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3) for i in range(256)], np.uint8)
 OUT_BYTES = 4 << 20
-#: Pixels of a canvas; a file that claims more is not drawn.
+#: Pixels that the frames of a file cover at most, so that a small file cannot claim gigabytes.
 MAX_PIXELS = 1 << 24
 
 _HEAD = struct.Struct("<6sHHBBB")
@@ -190,6 +190,21 @@ def _deinterlaced(pixels: np.ndarray) -> np.ndarray:
     return out
 
 
+def _grown(x0: int, y0: int, canvas: np.ndarray, left: int, top: int, width: int, height: int) -> tuple[int, int, np.ndarray]:
+    """The covered part of a canvas with this box in it: its corner and pixels."""
+    if not canvas.size:
+        x0, y0 = left, top
+    h, w = canvas.shape
+    a, b, c, d = min(x0, left), min(y0, top), max(x0 + w, left + width), max(y0 + h, top + height)
+    if (c - a, d - b) == (w, h):
+        return x0, y0, canvas
+    if (c - a) * (d - b) > MAX_PIXELS:
+        raise ValueError(f"frames that cover {c - a} x {d - b} are too large")
+    out = np.full((d - b, c - a), -1, np.int32)
+    out[y0 - b : y0 - b + h, x0 - a : x0 - a + w] = canvas
+    return a, b, out
+
+
 def decode(data: bytes | None) -> tuple[list[dict], str | None]:
     """Timed frames in file order, and the fault that ended the reading, if any."""
     frames: list[dict] = []
@@ -197,14 +212,14 @@ def decode(data: bytes | None) -> tuple[list[dict], str | None]:
         if not data or data[:6] not in (b"GIF87a", b"GIF89a"):
             return frames, "no GIF header"
         _, w, h, flags, _, _ = _HEAD.unpack_from(data)
-        if w * h > MAX_PIXELS:
-            return frames, f"a canvas of {w} x {h} is too large"
         at = _HEAD.size
         shared = None
         if flags & 0x80:
             n = 3 << (flags & 7) + 1
             shared, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
-        canvas = np.full((h, w), -1, np.int32)  # packed colours; -1 shows through
+        # packed colours of the part of the canvas that frames have covered so far; -1 shows through
+        x0 = y0 = 0
+        canvas = np.full((0, 0), -1, np.int32)
         control = (0, 0, -1)
         while data[at] != 0x3B:
             if data[at] == 0x21:
@@ -225,6 +240,8 @@ def decode(data: bytes | None) -> tuple[list[dict], str | None]:
             least = data[at]
             if not 2 <= least <= 8 or palette is None or left + fw > w or top + fh > h:
                 raise ValueError("a frame cannot be drawn")
+            if fw * fh > MAX_PIXELS:
+                raise ValueError(f"a frame of {fw} x {fh} is too large")
             stream, at = _sub_blocks(data, at + 1)
             samples = lzw_unpack(stream, least, fw * fh)
             if len(samples) < fw * fh:
@@ -234,11 +251,12 @@ def decode(data: bytes | None) -> tuple[list[dict], str | None]:
                 pixels = _deinterlaced(pixels)
             disposal, delay, clear = control
             control = (0, 0, -1)
+            x0, y0, canvas = _grown(x0, y0, canvas, left, top, fw, fh)
             before = canvas.copy() if disposal == 3 else None
             colours = np.zeros(256, np.int32)
             p = palette.astype(np.int32)
             colours[: len(p)] = p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
-            box = canvas[top : top + fh, left : left + fw]
+            box = canvas[top - y0 : top - y0 + fh, left - x0 : left - x0 + fw]
             if clear >= 0:
                 np.copyto(box, colours[pixels], where=pixels != clear)
             else:
