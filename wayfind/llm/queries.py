@@ -22,6 +22,7 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from documents that are not held out; a null id is never held out, and its document trains."""
     docs = documents(spark, sf_dir)
     model = language.fit(docs, fold(F.col("doc_id")) != 1)
     found = language.predict(docs, model)
@@ -42,6 +43,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labelled documents that are not held out; a null id is never held out, and has no label."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(labelled_sample(docs, labels.filter(fold(F.col("doc_id")) != 1), toxicity.MAX_FIT_ROWS))
