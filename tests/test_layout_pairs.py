@@ -10,7 +10,7 @@ from wayfind.operators import layout
 def plain_segments(words):
     """Words in reading order; each joins the last run if it stands on its line, near enough and of the same sort."""
     runs = []
-    for w in sorted(words, key=lambda w: (round(w[2] / layout.LINE_Y), w[1], w[0])):
+    for w in sorted(words, key=lambda w: (round(w[2] / layout.LINE_Y), w[1], w[0], w[2], w[3], w[4])):
         text, x0, y0, x1, y1 = w
         if runs:
             r = runs[-1]
@@ -58,3 +58,11 @@ def test_pages(seed):
     found = layout.segments(words)
     assert found == plain_segments(words)
     assert sorted(layout.pair(found)) == sorted(plain_pairs(found))
+
+
+def test_order_of_words_does_not_matter():
+    # same line and left edge, same text, other heights
+    words = [("101", 10.0, 21.5, 30.0, 29.5), ("101", 10.0, 20.0, 30.0, 28.0), ("OFFICE", 32.0, 24.0, 60.0, 32.0), ("OFFICE", 32.0, 22.5, 60.0, 30.5)]
+    for seed in range(10):
+        mixed = random.Random(seed).sample(words, len(words))
+        assert layout.segments(mixed) == layout.segments(words)

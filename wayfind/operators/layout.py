@@ -39,9 +39,9 @@ OUT = "tenant_id string, job_id string, sheet_id string, room_number string, roo
 
 def segments(words: list[tuple[str, float, float, float, float]]) -> list[tuple[str, float, float]]:
     """Runs of words on one line without a wide gap: (text, centre x, centre y). A letter prefix and the number
-    right of it become one word."""
+    right of it become one word. Words go by line, then from left to right, then by text and place, whatever their order."""
     out: list[list] = []
-    for text, x0, y0, x1, y1 in sorted(words, key=lambda w: (round(w[2] / LINE_Y), w[1], w[0])):
+    for text, x0, y0, x1, y1 in sorted(words, key=lambda w: (round(w[2] / LINE_Y), w[1], w)):
         last = out[-1] if out else None
         if last and abs(last[2] - y0) <= LINE_Y and 0 <= x0 - last[3] <= GAP_X:
             joined = _PREFIX.match(last[0]) and _DIGITS.match(text) and x0 - last[3] <= GAP_X / 4
