@@ -50,6 +50,34 @@ def test_cells_follow_the_order_of_texts(spark):
     assert known == sorted(set(known)) and cells[None] == 0
 
 
+def plain_cells(values, bits):
+    """Bounds from a loop over the sorted values with their counts."""
+    known, total, upto, bounds = sorted(v.encode() for v in values if v is not None), sum(v is not None for v in values), 0, []
+    for v in sorted(set(known)):
+        before, upto = upto, upto + known.count(v)
+        if upto * (1 << bits) // total > before * (1 << bits) // total:
+            bounds.append((v, min(upto * (1 << bits) // total, (1 << bits) - 1)))
+    return {v: 0 if v is None else max([c for b, c in bounds if b <= v.encode()], default=0) for v in values}
+
+
+def test_cells_of_texts_against_a_plain_loop(spark):
+    start = "https://one.host.example/a/long/common/path/"
+    several = {
+        "long common beginnings": [f"{start}{i % 37:03d}" for i in range(500)] + ["a", "é", "\U0001f600", "", None, None],
+        "one holds a third": ["hot"] * 200 + [f"s{i}" for i in range(400)],
+        "one value": ["x"] * 9,
+        "only nulls": [None] * 3,
+    }
+    for case, values in several.items():
+        df = spark.createDataFrame([(v,) for v in values], "source string")
+        for bits in (3, 6):
+            found = {r[0]: r[1] for r in df.select("source", sharding.quantised_text(df, "source", bits)).distinct().collect()}
+            assert found == plain_cells(values, bits), (case, bits)
+    # of the 37 addresses that begin alike, every one has a cell of its own
+    urls = [v for v in several["long common beginnings"] if v and v.startswith(start)]
+    assert len(set(plain_cells(urls, 6).values())) == 37
+
+
 def test_written_files_prune(spark, tmp_path):
     """Statistics of the files written in curve order exclude most files for a value of each column."""
     rows = [(i, "x" * (1 + i * 31 % 97 * 40), f"l{i * 13 % 4}", f"s{i * 17 % 20:02d}", 0, 0) for i in range(4000)]

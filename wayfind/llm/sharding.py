@@ -16,16 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import kept, shuffle_partitions
+from wayfind.llm.common import discard, kept, shuffle_partitions
 
 BITS = 6
 
 
-def text_key(value: Column, skip: int) -> Column:
-    """Seven bytes of a text from the skip-th on as a number: texts in byte order give numbers in order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
 def quantised(df: DataFrame, key: Column, bits: int = BITS) -> Column:
     """A number's cell. Cells follow the order and, as far as the numbers differ, hold equally many rows of df; a
     frequent number takes the last of the cells that are its share."""
@@ -35,12 +30,33 @@ def quantised(df: DataFrame, key: Column, bits: int = BITS) -> Column:
     return F.when(key.isNull(), 0).otherwise(cell).cast("int")
 
 
+def text_bounds(df: DataFrame, name: str, bits: int = BITS) -> list[tuple[str, int]]:
+    """(least text, cell) of the cells above 0 that hold a value, at most 2 ** bits: whole values, each counted with its rows.
+
+    A distinct value is one row here, whatever its frequency. They are put in order by a range partitioning, and a value
+    is a bound where the rows up to it pass a cell's share; only partitions' totals and the bounds are gathered.
+    """
+    n, cells = shuffle_partitions(df.sparkSession), 1 << bits
+    counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = kept(counts.repartitionByRange(n, "value").withColumn("part", F.spark_partition_id()), "values")
+    # as many rows as there are partitions
+    of_part = placed.groupBy("part").agg(F.sum("n").alias("_n"))
+    ahead = of_part.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("ahead"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    upto = F.col("ahead") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    share = placed.join(F.broadcast(ahead), "part").select("value", "total", upto.alias("upto"), (upto - F.col("n")).alias("before"))
+    passed = share.select("value", F.expr(f"(upto * {cells}) div total").alias("cell"), F.expr(f"(before * {cells}) div total").alias("cell_before"))
+    found = passed.filter("cell > cell_before").select("value", F.least("cell", F.lit(cells - 1)).cast("int").alias("cell")).collect()
+    discard(placed)
+    return sorted(map(tuple, found), key=lambda r: r[0].encode())
+
+
 def quantised_text(df: DataFrame, name: str, bits: int = BITS) -> Column:
-    """A text's cell, in byte order."""
-    least, most = (x or "" for x in df.agg(F.min(name), F.max(name)).first())
-    least, most = least.encode(), most.encode()
-    skip = next((i for i, (x, y) in enumerate(zip(least, most)) if x != y), min(len(least), len(most)))
-    return quantised(df, text_key(F.col(name), skip), bits)
+    """A text's cell, in byte order. Values that begin alike are told apart at any length; a frequent value takes the last of
+    the cells that are its share."""
+    bounds = text_bounds(df, name, bits)
+    known = F.array(*(F.struct(F.lit(v).alias("value"), F.lit(c).alias("cell")) for v, c in bounds)).cast("array<struct<value:string,cell:int>>")
+    cell = F.array_max(F.transform(F.filter(known, lambda b: b["value"] <= F.col(name)), lambda b: b["cell"]))
+    return F.coalesce(cell, F.lit(0))
 
 
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
