@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
 return the columns of docs, whatever their names; the last returns the packed pieces. Of rows that repeat with id and
-text, stage 2 keeps one; different texts under one id all stay or go together, as that id does. A null id is never
+text, stage 2 keeps the one whose other columns come first; different texts under one id all stay or go together, as that id does. A null id is never
 dropped as a copy or for a benchmark passage. Stages pass texts to Python a few MB at a time.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.llm import decontaminate, jaccard_join, packing, pii, quality
-from wayfind.llm.common import all_columns, discard, kept, labelled_sample, restore_batches, small_batches, table
+from wayfind.llm.common import all_columns, column, discard, kept, labelled_sample, restore_batches, small_batches, table
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -25,6 +25,18 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(_few(ids), "doc_id", "left_anti").select(*all_columns(docs))
 
 
+def _least(docs: DataFrame) -> DataFrame:
+    """Of rows that repeat with id and text, the one whose other columns come first as JSON (columns by name, nulls told
+    from absent ones), so that repeating the job keeps the same row."""
+    others = [c for c in sorted(docs.columns) if c not in ("doc_id", "text")]
+    if not others:
+        return docs.distinct()
+    rest = F.struct(*(column(c).alias(f"c{i}") for i, c in enumerate(others)))
+    best = docs.groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest, {"ignoreNullFields": "false"})).alias("_rest"))
+    back = [F.col(c) if c in ("doc_id", "text") else F.col("_rest")[f"c{others.index(c)}"].alias(c) for c in docs.columns]
+    return best.select(*back)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hierarchical empirical Bayes does not reject."""
     small_batches(spark)
@@ -43,7 +55,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return out
     repeated = _few(repeated)
     single = out.join(repeated, "doc_id", "left_anti").select(*all_columns(docs))
-    return single.unionByName(out.join(repeated, "doc_id", "left_semi").select(*all_columns(docs)).dropDuplicates(["doc_id", "text"]))
+    return single.unionByName(_least(out.join(repeated, "doc_id", "left_semi").select(*all_columns(docs))))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
