@@ -88,3 +88,15 @@ def test_two_texts_under_one_id_both_stay(spark):
     rows = [(1, "quite one text", "a"), (1, "and another text", "b"), (1, "quite one text", "c"), (2, "and another text", "d"), (3, "a third text", "e"), (None, "quite one text", "f")]
     left = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, extra string"), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "quite one text"), (1, "and another text"), (1, "quite one text"), (3, "a third text")]
+
+
+def test_of_repeated_rows_the_least_stays(spark):
+    """Whatever the order and number of rows; also with nulls, lists and maps in other columns."""
+    schema = "doc_id long, text string, source string, n_chars long, tags array<string>, more map<string,int>, `a.b` string"
+    text = "some words under one id"
+    rows = [(1, text, "t", 1, ["x"], {"k": 1}, "d"), (1, text, "s", 2, None, None, "d"), (1, text, "s", 1, ["y"], {"k": 2}, "c"), (1, text, "s", 1, ["y"], {"k": 2}, "c"), (2, None, "s", 2, None, None, None), (2, None, "r", 1, None, None, None)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        left = corpus_pipeline.one_of_each(spark, spark.createDataFrame(order, schema).repartition(3, "n_chars"), "").collect()
+        assert sorted(map(tuple, left), key=lambda r: r[0]) == [rows[2], (2, None, "r", 1, None, None, None)]
+    bare = [(1, text), (1, text), (2, "other words here")]
+    assert corpus_pipeline.one_of_each(spark, spark.createDataFrame(bare, "doc_id long, text string"), "").count() == 2
