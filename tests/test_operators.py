@@ -240,3 +240,9 @@ def test_sheets_are_made_for_pages_that_no_index_told(spark):
     assert pages["b"] == [(1, "2nd Floor", "LEVEL 2")]
     assert {k: len(v) for k, v in pages.items()} == {"a": 2, "b": 1, "d": 8, "e": 3, "f": 35}
     assert sorted(pages["e"])[2] == (3, "FLOOR PLAN LEVEL 3", "LEVEL 3")
+
+
+def test_names_of_rooms_are_not_broadcast(spark):
+    """Names of all jobs are a small file and a large table: the driver must not hold it."""
+    plan = dedup.dedup_rooms(rooms(spark, ("101", "MEN'S TOILET"), ("", "TOILET"), ("", "STORAGE")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

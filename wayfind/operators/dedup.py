@@ -77,15 +77,16 @@ def _inside(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """Pairs (job, part, whole) of distinct names of at least four characters where whole contains part.
 
     A whole that contains part has all of part's runs of three characters: wholes are listed by each of theirs, and a part
-    is looked up by the one that the fewest wholes of the job have.
+    is looked up by the one that the fewest wholes of the job have. The tables are joined by shuffles: Spark would judge them by
+    their small files, and the driver would hold many times as much.
     """
     listed = wholes.filter(F.length("whole") >= LEAST_NAME).select(*JOB, "whole", F.explode(_threes(F.col("whole"))).alias("three"))
     asked = parts.filter(F.length("part") >= LEAST_NAME).select(*JOB, "part", F.explode(_threes(F.col("part"))).alias("three"))
     counts = listed.groupBy(*JOB, "three").agg(F.count(F.lit(1)).alias("n"))
     # a run of three that no whole has: the part is in none
-    rare = asked.join(counts, [*JOB, "three"], "left").groupBy(*JOB, "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "three")).alias("m"))
+    rare = asked.join(counts.hint("merge"), [*JOB, "three"], "left").groupBy(*JOB, "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "three")).alias("m"))
     probe = rare.filter("m.n > 0").select(*JOB, "part", F.col("m.three").alias("three"))
-    return probe.join(listed, [*JOB, "three"]).filter(F.contains("whole", F.col("part"))).select(*JOB, "part", "whole")
+    return probe.join(listed.hint("merge"), [*JOB, "three"]).filter(F.contains("whole", F.col("part"))).select(*JOB, "part", "whole")
 
 
 def dedup_rooms(rooms: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def dedup_rooms(rooms: DataFrame) -> DataFrame:
     within = _inside(asks.withColumnRenamed("_name", "part"), has.withColumnRenamed("_name", "whole")).select(*JOB, F.col("part").alias("_name"))
     around = _inside(has.filter(F.contains("_name", F.lit(" "))).withColumnRenamed("_name", "part"), asks.withColumnRenamed("_name", "whole")).select(*JOB, F.col("whole").alias("_name"))
     name = F.col("_name")
-    of_kind = asks.filter(name.rlike(RESTROOM_WORDS) | name.isin("hallway", "hall", "corridor")).join(kinds, JOB)
+    of_kind = asks.filter(name.rlike(RESTROOM_WORDS) | name.isin("hallway", "hall", "corridor")).join(kinds.hint("merge"), JOB)
     of_kind = of_kind.filter((F.col("_restroom") & name.rlike(RESTROOM_WORDS)) | (F.col("_corridor") & name.isin("hallway", "hall", "corridor"))).select(*JOB, "_name")
-    covered = asks.join(has, [*JOB, "_name"], "left_semi").unionByName(within).unionByName(around).unionByName(of_kind).distinct()
-    return numbered.select(*rooms.columns).unionByName(plain.join(covered, [*JOB, "_name"], "left_anti").select(*rooms.columns))
+    covered = asks.join(has.hint("merge"), [*JOB, "_name"], "left_semi").unionByName(within).unionByName(around).unionByName(of_kind).distinct()
+    return numbered.select(*rooms.columns).unionByName(plain.join(covered.hint("merge"), [*JOB, "_name"], "left_anti").select(*rooms.columns))
