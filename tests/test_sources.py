@@ -65,3 +65,20 @@ def test_lines_of_tenants_without_a_list_keep_list_prices(spark):
     lines = pricing.takeoff_lines(signs)
     own = {r["tenant_id"]: (r["unit_price"], r["extended"], r["material"]) for r in pricing.tenant_lines(lines, rates, spark.createDataFrame([], "tenant_id string, code string, size string")).collect()}
     assert own == {"t": (100.0, 200.0, "Brass"), "u": (59.04, 118.08, None)}
+
+
+def test_files_of_an_export_do_not_grow_with_its_jobs(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('t', id % 3) tenant_id", "concat('j', id) job_id", "id position", "'old' line")
+    path = str(tmp_path / "many")
+    schedules.write_jobs(rows, path)
+    schedules.write_jobs(rows.filter("id % 4 = 0").withColumn("line", F.lit("new")), path)
+    back = spark.read.parquet(path)
+    assert sorted((r["position"], r["line"]) for r in back.collect()) == [(i, "new" if i % 4 == 0 else "old") for i in range(2000)]
+    assert len(back.inputFiles()) < 2 * schedules.FOLDERS
+
+
+def test_an_export_replaces_jobs_without_a_name(spark, tmp_path):
+    path, kind = str(tmp_path / "null"), "tenant_id string, job_id string, position int, line string"
+    schedules.write_jobs(spark.createDataFrame([("t", None, 1, "x"), (None, "a", 1, "y"), ("", "a", 1, "z")], kind), path)
+    schedules.write_jobs(spark.createDataFrame([("t", None, 1, "u"), (None, "a", 2, "v")], kind), path)
+    assert sorted(r["line"] for r in spark.read.parquet(path).collect()) == ["u", "v", "z"]

@@ -15,7 +15,7 @@ from wayfind.plans.rules import quoted, sql_in
 from wayfind.plans.sheets import SHEETS_SQL, _files
 from wayfind.plans.takeoff import _TYPES, _UNIT
 from wayfind.sources import views
-from wayfind.sources.kept import shared_folder
+from wayfind.sources.kept import kept, shared_folder
 from wayfind.sources.views import Views
 
 
@@ -65,7 +65,7 @@ def _exported(v, kind):
         "pricing": lambda: schedules.pricing_export(pricing.tenant_pricing_tab(v.signs, *_price_lists(v))),
         "specialty": lambda: schedules.specialty_export(_special(v)),
     }
-    rows = make[kind]()
+    rows = kept(make[kind](), "export")
     path = f"{shared_folder(v.spark)}/export-{kind}-{uuid.uuid4().hex}"
     schedules.write_jobs(rows, path)
     schedules.write_jobs(rows.filter(F.substring("job_id", 2, 20).cast("long") % 2 == 0), path)
