@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from wayfind.operators import layout
@@ -54,3 +56,13 @@ def test_tags_take_words_outside_legends(spark):
     got = {r["room_number"]: r["room_name"] for r in layout.tag_rooms(tags, words).collect()}
     assert got == {"1101": "ONE TWO THREE FOUR FIVE", "102": "UNIT 102", "1204": "ROOM 1204"}
     assert layout.tag_rooms(tags, words.limit(0)).filter(F.col("room_name") == "ROOM 1101").count() == 1
+
+
+def test_words_are_dealt_out_by_page_once(spark):
+    """No word is copied to the cells around it, and pairs are not shuffled again."""
+    words = page(spark, ("101", 100, 100), ("OFFICE", 100, 112))
+    tags = spark.createDataFrame([("t", "j", "s", "101", 110.0, 104.0, 1000.0, 1000.0)], "tenant_id string, job_id string, sheet_id string, tag string, x double, y double, page_width double, page_height double")
+    for found in (layout.proximity_rooms(words), layout.tag_rooms(tags, words)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        dealt = {re.sub(r"#\d+", "", x) for x in re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)}
+        assert {x.replace("_tenant", "tenant").replace("_job", "job").replace("_sheet", "sheet") for x in dealt} == {"tenant_id, job_id, sheet_id"} and "Generate" not in plan
