@@ -139,6 +139,22 @@ def test_overrides_fold_in_order(spark):
     assert run(over(1, "sign_type", "Max Occupancy", number="101"), over(2, "sign_type", "Max Occupancy", number="102"), over(3, "sign_type", "Nonsense", number="103"), over(4, "add", "X", tenant="other", number="101")) == {1: plain, 2: [("Max Occupancy", 1)], 3: plain}
 
 
+def test_alike_rooms_are_folded_once(spark):
+    """The fold is the costly step: it runs for each kind of room, not for each room."""
+    import glob
+
+    base = rules.classify_rooms(rooms(spark, *[("101", "OFFICE")] * 20, *[("102", "GYM")] * 20)).withColumn("occupancy_group", F.lit(None).cast("string"))
+    base = base.withColumn("signs", F.array(F.struct(F.lit("Room ID").alias("sign_type"), F.lit(1).alias("qty"), F.lit("R1").alias("rule_ref"), F.lit(0.85).alias("confidence"))))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in [("c_contains", "string"), ("c_group", "string"), *((f"c_{k}", "boolean") for k in egress._FLAGS)]]
+    given = spark.createDataFrame([("t", 1, "o1", "add", "Exit", 1, 0.8, "office", None), ("t", 2, "o2", "exclude", "Room ID", 1, 0.8, None, "102")], "tenant_id string, seq long, rule_ref string, override_type string, sign_type string, qty int, confidence double, c_pattern string, c_number string").select("*", *none)
+    folded = lambda: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/overridden-*"))
+    before = folded()
+    out = egress.apply_overrides(base, given).collect()
+    assert sorted((r["seq"], [s["sign_type"] for s in r["signs"]]) for r in out) == [(i, ["Room ID", "Exit"] if i <= 20 else []) for i in range(1, 41)]
+    (new,) = folded() - before
+    assert spark.read.parquet(new).count() == 2
+
+
 def test_overrides_come_from_all_corrections(spark):
     from types import SimpleNamespace
 
