@@ -5,7 +5,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from wayfind.operators import pricing, schedules
+from wayfind.operators import pricing, schedules, sheets
 from wayfind.sources.kept import kept, place_of, scratch, stamp
 from wayfind.sources.views import Views
 
@@ -82,3 +82,16 @@ def test_an_export_replaces_jobs_without_a_name(spark, tmp_path):
     schedules.write_jobs(spark.createDataFrame([("t", None, 1, "x"), (None, "a", 1, "y"), ("", "a", 1, "z")], kind), path)
     schedules.write_jobs(spark.createDataFrame([("t", None, 1, "u"), (None, "a", 2, "v")], kind), path)
     assert sorted(r["line"] for r in spark.read.parquet(path).collect()) == ["u", "v", "z"]
+
+
+def test_file_names_are_read_once_each(spark):
+    """A range of floors is told by a file's name, once for each name and not for each row that files come from."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    rooms = spark.createDataFrame([("t", "j", i, "s", "L1", i, i) for i in range(4)], "tenant_id string, job_id string, seq long, sheet_id string, level string, coord_x long, coord_y long")
+    sheets_of = spark.createDataFrame([("t", "j", "s", "f")], "tenant_id string, job_id string, sheet_id string, file_id string")
+    files = spark.createDataFrame([("t", "j", "f", "set-LEVELS-03-04.pdf"), ("t", "k", "g", "set-LEVELS-03-04.pdf"), ("t", "k", "h", "plans.pdf")], "tenant_id string, job_id string, file_id string, filename string")
+    before = set(os.listdir(folder))
+    out = sheets.replicate_floors(rooms, sheets_of, files).collect()
+    assert sorted((r["seq"], r["level"], r["coord_x"]) for r in out) == sorted((i, f"LEVEL {n}", i if n == 3 else None) for i in range(4) for n in (3, 4))
+    (new,) = set(os.listdir(folder)) - before
+    assert spark.read.parquet(f"{folder}/{new}").count() == 2
