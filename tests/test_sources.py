@@ -6,7 +6,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from wayfind.operators import pricing, schedules, sheets
-from wayfind.sources.kept import kept, place_of, scratch, stamp
+from wayfind.sources.kept import kept, numbered, place_of, scratch, stamp
 from wayfind.sources.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,20 @@ def test_an_export_replaces_jobs_without_a_name(spark, tmp_path):
     assert sorted(r["line"] for r in spark.read.parquet(path).collect()) == ["u", "v", "z"]
 
 
+def test_numbering_writes_once_and_drops_what_only_orders(spark):
+    """The numbers come from the partitions' counts when the table is read: it is not written a second time with them."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    rows = numbered(spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"), "id"), ["x"], parts=9, drop=("x",))
+    assert rows.columns == ["id", "seq"]
+    assert [r["id"] for r in rows.orderBy("seq").collect()] == sorted(range(1000), key=lambda i: i * 7919 % 1009)
+    assert sorted(r["seq"] for r in rows.collect()) == list(range(1, 1001))
+    assert len(set(os.listdir(folder)) - before) == 1
+    before = set(os.listdir(folder))
+    Views(spark, SF.replace("sf0.001", "sf0.001/")).lines
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
 def test_file_names_are_read_once_each(spark):
     """A range of floors is told by a file's name, once for each name and not for each row that files come from."""
     folder = spark.conf.get("spark.checkpoint.dir")
