@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import rooms
 from wayfind.operators import egress, rules, ruling
-from wayfind.sources.kept import kept
+from wayfind.sources.kept import kept, place_of
 
 JOBS = "tenant_id string, job_id string, building_type string, status string"
 
@@ -71,3 +71,25 @@ def test_reruled_jobs_repeat_without_change(spark):
     assert ruling.merge_ruled(once, again, made, 5).filter("generation = 4").count() == 0
     total = {r["job_id"]: (r["signs_updated"], r["total_qty"]) for r in ruling.rerule_totals(again, made).collect()}
     assert total == {"j": (len([r for r in rows if "generation=4" in r]), once.filter("generation = 4").agg(F.sum("qty")).first()[0])}
+
+
+def test_signs_are_made_once_a_kind(spark):
+    own = rooms(spark, *[(str(n), name) for n in range(101, 121) for name in ("OFFICE", "MECH ROOM")])
+    of = ready(spark, own)
+    _, kinds = rules.kinds_of_rooms(of)
+    assert kinds.count() == 2
+    # an override that asks for a number concerns that room alone
+    number = override(spark, (1, "add", "Plaque", None, 2, 0.9)).withColumn("c_number", F.lit("105"))
+    lines = found(ruling.rule_jobs(of, number))
+    alone = rules.room_signs(of).filter("sign_type = 'Room ID'").count()
+    assert [(r[1], r[2]) for r in lines if r[1] == "Plaque"] == [("Plaque", 2)] * 2
+    assert sum(r[1] == "Room ID" for r in lines) == alone >= 20
+
+
+def test_prepared_rooms_are_written_without_what_names_tell(spark):
+    own = rooms(spark, ("101", "OFFICE"), ("102", None), ("S1", "STAIR A", "LEVEL 2")).withColumn("occupancy_group", F.lit(None).cast("string"))
+    jobs = spark.createDataFrame([("t", "j", "education", "completed")], JOBS)
+    once, whole = rules.prepared_once(own, jobs), rules.prepared(own, jobs)
+    assert once.columns == whole.columns and sorted(map(str, once.collect())) == sorted(map(str, whole.collect()))
+    written = spark.read.parquet(place_of(once)).columns
+    assert "is_stair" not in written and "mep_policy" not in written and "_doors" in written

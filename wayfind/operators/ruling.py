@@ -1,8 +1,9 @@
 """The whole rules engine: rooms and jobs with a tenant's overrides and door keywords and the job's own type definitions, in
 one fold that keeps what it drops; and re-ruling of stored jobs.
 
-A room's signs are one array of structs from the first rule to the last guard. What an override, the definitions or the
-canonical list take away stays in it with its reason, so signs and suppression log are two filters of one table.
+Rooms that are alike are one kind, and a kind's signs are one array of structs from the first rule to the last override; what
+an override, the definitions or the canonical list take away stays with its reason, so signs and suppression log are two
+filters of one table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from wayfind import vocab
 from wayfind.functions import text
 from wayfind.operators.cleaning import place_on_sheets
 from wayfind.operators.egress import DROPPED, overridden
-from wayfind.operators.rules import JOB, aggregate_signs, prepared, signed_rooms
+from wayfind.operators.rules import JOB, aggregate_signs, asked, kinds_of_rooms, prepared_once, signed_rooms, with_kinds
 from wayfind.sources.kept import discard, kept
 
 _HAS = [f"_has{i}" for i in range(len(vocab.SUPPRESSED_UNLESS))]
@@ -50,29 +51,32 @@ def rule_jobs(ready: DataFrame, overrides: DataFrame | None = None, definitions:
 
     Order as in the field: rules, overrides, definitions, canonical list, then the job's own names.
     """
-    rooms = signed_rooms(ready).select(*JOB, "seq", "room_name", "room_number", "occupancy_group", "is_restroom", "is_corridor", "is_unit", "is_vehicle_bay", "is_mep", "is_assembly", "detected", "signs")
-    rooms = overridden(rooms, overrides) if overrides is not None else rooms.withColumn("dropped", F.array().cast(DROPPED))
-    own = [*JOB, "room_seq", "sign_type", "qty", "rule_ref", "confidence", "reason"]
-    aggregate = aggregate_signs(ready, exits)
+    numbers = kept(overrides.filter("c_number is not null").select("tenant_id", F.upper("c_number").alias("_number")).distinct(), "numbers") if overrides is not None else None
+    if numbers is None or numbers.isEmpty():
+        rooms, kinds = kinds_of_rooms(ready)
+        kinds = kinds.withColumn("room_number", F.lit(None).cast("string"))
+    else:
+        # a room's number tells its kind only where an override asks for it
+        numbered = ready.withColumn("_number", F.upper("room_number")).join(numbers.withColumn("_asked", F.lit(True)), ["tenant_id", "_number"], "left")
+        rooms, kinds = kinds_of_rooms(numbered, {"room_number": F.when(F.col("_asked"), F.col("_number"))})
+    kinds = signed_rooms(kinds).withColumn("job_id", F.lit(""))
+    kinds = overridden(kinds, overrides) if overrides is not None else kinds.withColumn("dropped", F.array().cast(DROPPED))
+    kind = F.col("detected")
+    units = F.coalesce(kind.isin(*vocab.UNIT_SIGN_TYPES) | text.building_type_group(kind).isin(*vocab.UNIT_SIGN_TYPES), F.lit(False))
+    stays = F.transform("signs", lambda x: F.struct(x["sign_type"].alias("sign_type"), x["qty"].alias("qty"), x["rule_ref"].alias("rule_ref"), x["confidence"].alias("confidence"), F.lit(None).cast("string").alias("reason")))
+    kinds = kinds.withColumns({"_every": F.concat(stays.cast(DROPPED), "dropped"), "_units": units, "_assembly": F.coalesce("is_assembly", F.lit(False))})
+    aggregate = aggregate_signs(ready, exits).withColumns({"_units": F.lit(True), "_assembly": F.lit(True), "reason": F.lit(None).cast("string")})
     if definitions is not None:
         told = kept(_told(definitions), "definitions")
         rooms, aggregate = rooms.join(told, JOB, "left"), aggregate.join(told, JOB, "left")
     else:
         none = {h: F.lit(None).cast("boolean") for h in _HAS} | {"_alias": F.lit(None).cast("string")}
         rooms, aggregate = rooms.withColumns(none), aggregate.withColumns(none)
-    kind = F.col("detected")
-    units = F.coalesce(kind.isin(*vocab.UNIT_SIGN_TYPES) | text.building_type_group(kind).isin(*vocab.UNIT_SIGN_TYPES), F.lit(False))
-    each = lambda x, reason, name: F.struct(name.alias("sign_type"), x["qty"].alias("qty"), x["rule_ref"].alias("rule_ref"), x["confidence"].alias("confidence"), reason.alias("reason"))
-
-    def guarded(x: Column) -> Column:
-        reason = _reason(x["sign_type"], units, F.coalesce("is_assembly", F.lit(False)))
-        return each(x, reason, F.when(reason.isNull(), _called(x["sign_type"])).otherwise(x["sign_type"]))
-
-    every = F.concat(F.transform("signs", guarded).cast(DROPPED), "dropped")
-    per_room = rooms.select(*JOB, F.col("seq").alias("room_seq"), F.inline(every))
-    why = _reason(F.col("sign_type"), F.lit(True), F.lit(True))
-    of_job = aggregate.withColumn("reason", why).withColumn("sign_type", F.when(F.col("reason").isNull(), _called(F.col("sign_type"))).otherwise(F.col("sign_type")))
-    return per_room.select(*own).unionByName(of_job.select(*own))
+    own = [*JOB, "room_seq", "sign_type", "qty", "rule_ref", "confidence", "reason"]
+    per_room = with_kinds(rooms, kinds, "_every", "_units", "_assembly").select(*JOB, F.col("seq").alias("room_seq"), F.inline("_every"), "_units", "_assembly", *_HAS, "_alias")
+    every = per_room.unionByName(aggregate.select(*own, "_units", "_assembly", *_HAS, "_alias"))
+    every = every.withColumn("reason", F.coalesce("reason", _reason(F.col("sign_type"), F.col("_units"), F.col("_assembly"))))
+    return every.withColumn("sign_type", F.when(F.col("reason").isNull(), _called(F.col("sign_type"))).otherwise(F.col("sign_type"))).select(*own)
 
 
 def standing(ruled: DataFrame) -> DataFrame:
@@ -96,7 +100,7 @@ def reruled(rooms: DataFrame, jobs: DataFrame, overrides: DataFrame, keywords: D
     """
     again = kept(jobs.filter(~F.col("status").isin("processing", "pending")).join(rooms.select(*JOB).distinct(), JOB, "left_semi").select(*JOB, "building_type"), "jobs-again")
     own = rooms.join(again.select(*JOB), JOB, "left_semi")
-    ready = kept(prepared(own, again, keywords, detect=False), "prepared")
+    ready = prepared_once(asked(own), again, keywords, detect=False)
     made = kept(standing(rule_jobs(ready, overrides, exits=False)), "reruled")
     discard(ready)
     return again.select(*JOB), place_on_sheets(made, own)

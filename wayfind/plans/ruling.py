@@ -9,7 +9,6 @@ from wayfind.operators import rules, ruling
 from wayfind.plans.reviews import _learned
 from wayfind.plans.rules import _DOORS, DETECTED, ELEVATORS, EXITS, FLAGS, MAPS, NAME, PREPARED, ROOM_SIGNS, STAIRS, has, sql_in
 from wayfind.sources import views
-from wayfind.sources.kept import kept
 from wayfind.sources.views import Views
 
 
@@ -37,7 +36,7 @@ def _definitions(v):
 
 def _ruled(v):
     rooms = v.rooms.withColumn("occupancy_group", F.lit(None).cast("string"))
-    ready = kept(rules.prepared(rooms, v.jobs, _keywords(v)), "prepared")
+    ready = rules.prepared_once(rules.asked(rooms), v.jobs, _keywords(v))
     return ruling.rule_jobs(ready, _overrides(v), _definitions(v))
 
 
