@@ -66,3 +66,17 @@ def test_words_are_dealt_out_by_page_once(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         dealt = {re.sub(r"#\d+", "", x) for x in re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)}
         assert {x.replace("_tenant", "tenant").replace("_job", "job").replace("_sheet", "sheet") for x in dealt} == {"tenant_id, job_id, sheet_id"} and "Generate" not in plan
+
+
+def test_names_are_told_once_each(spark, monkeypatch):
+    texts, tell = [], layout.looked_up
+
+    def counted(df, key, columns):
+        texts.append(df.select(key).distinct().count())
+        return tell(df, key, columns)
+
+    monkeypatch.setattr(layout, "looked_up", counted)
+    rows = [("t", "j", "s", str(n), name, n, n) for n in range(100, 120) for name in ("OFFICE", "CORR")] + [("t", "j", "s", "7", "", 1, 1), ("t", "j", "s", "8", None, 1, 1)]
+    found = layout._named(spark.createDataFrame(rows, layout.OUT)).collect()
+    assert sum(r["room_name"] == "OFFICE" for r in found) == 20
+    assert texts[0] == 3 and texts[1] <= 4
