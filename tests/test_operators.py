@@ -191,6 +191,17 @@ def test_scores_are_symmetric_and_empty_sides_count(spark):
     assert (z["precision"], z["recall"], z["f1"]) == (1.0, 0.0, 0.0)
 
 
+def test_presence_lists_meet_nulls_in_one_shuffle(spark):
+    schema = "tenant_id string, job_id string, k string"
+    a, b = spark.createDataFrame([("t", "j", x) for x in ("a", "a", "b", None)], schema), spark.createDataFrame([("t", "j", x) for x in ("b", None, "x")], schema)
+    out = matching.presence_lists(a, b, ["k"])
+    assert sorted((r["k"], r["kind"]) for r in out.collect()) == [("a", "missed"), ("x", "extra")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    score = matching.score_presence(a, b, ["k"]).first()
+    assert (score["tp"], score["fp"], score["fn"]) == (1, 2, 2)
+
+
 def test_floor_totals_add_up(spark):
     rows = [("t", "j", i, None, "Exit" if i % 2 else "Evacuation Map", i % 3 + 1, 0.9, "x", False, f"{i % 4}", str(i), "n", None) for i in range(40)]
     signs = spark.createDataFrame(rows, "tenant_id string, job_id string, seq long, room_seq long, sign_type string, qty int, confidence double, source string, is_deleted boolean, floor_label string, room_number string, room_name string, review_status string")
