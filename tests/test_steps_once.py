@@ -1,6 +1,8 @@
 """What depends on a kind of room, a name or a sheet is told once for each, and rooms are read a single time for it."""
 
 from wayfind import catalog
+from wayfind.operators import sheets
+from wayfind.sources.views import Views
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +17,11 @@ def _reads_of_lines(df):
 
 def test_assembly_reads_prepared_rooms(spark):
     assert _reads_of_lines(catalog.queries()["e23_assembly"](spark, SF)) == 0
+
+
+def test_checks_sign_kinds_of_rooms(spark, monkeypatch):
+    given = []
+    signed = sheets.signed_rooms
+    monkeypatch.setattr(sheets, "signed_rooms", lambda rooms, every_room=False: given.append(rooms.count()) or signed(rooms, every_room))
+    catalog.queries()["d19_details"](spark, SF)
+    assert 2 * given[0] < Views(spark, SF).rooms.count()
