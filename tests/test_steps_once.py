@@ -25,3 +25,14 @@ def test_checks_sign_kinds_of_rooms(spark, monkeypatch):
     monkeypatch.setattr(sheets, "signed_rooms", lambda rooms, every_room=False: given.append(rooms.count()) or signed(rooms, every_room))
     catalog.queries()["d19_details"](spark, SF)
     assert 2 * given[0] < Views(spark, SF).rooms.count()
+
+
+def test_payload_names_are_judged_once(spark):
+    plan = _plan(catalog.queries()["b29_payload_rooms"](spark, SF))
+    assert any("Relation" in line and "_junk" in line for line in plan.splitlines())
+
+
+def test_payloads_without_items_leave_no_row(spark):
+    rows = [("t", "j", "s", 1, '[{"roomNumber": "1", "roomName": "OFFICE"}, null]'), ("t", "j", "s", 2, "[]"), ("t", "j", "s", 3, None), ("t", "j", "s", 4, "no json"), ("t", "j", "s", 5, '[{"room_number": "1", "room_name": "office"}]')]
+    out = sheets.rooms_from_payload(spark.createDataFrame(rows, "tenant_id string, job_id string, sheet_id string, seq long, payload string"))
+    assert [(r["seq"], r["item"], r["room_name"]) for r in out.collect()] == [(1, 0, "OFFICE")]
