@@ -27,6 +27,10 @@ def test_checks_sign_kinds_of_rooms(spark, monkeypatch):
     assert 2 * given[0] < Views(spark, SF).rooms.count()
 
 
+def test_sheets_tell_their_columns_once(spark):
+    assert "explode(_columns#" in _plan(catalog.queries()["a1_a5_takeoff_rows"](spark, SF))
+
+
 def test_payload_names_are_judged_once(spark):
     plan = _plan(catalog.queries()["b29_payload_rooms"](spark, SF))
     assert any("Relation" in line and "_junk" in line for line in plan.splitlines())

@@ -45,9 +45,11 @@ ROW = ["sign_type", "room_number", "room_name", "level", "qty"]
 
 def takeoff_from_tall(cells: DataFrame, header: DataFrame) -> DataFrame:
     """One row a sign: type and name must be there."""
-    of = lambda *names: F.coalesce(_cell(_place(F.col("low"), names)), F.lit(""))
-    rows = _body(cells, header.filter("is_tall"))
-    out = rows.select(*SHEET, "row_idx", of("sign type").alias("sign_type"), of(*vocab.NUMBER_COLUMNS).alias("room_number"), of(*vocab.NAME_COLUMNS).alias("room_name"), of("level", "floor").alias("level"), _whole(of("qty", "quantity")).alias("qty"))
+    names = {"_type": ("sign type",), "_number": vocab.NUMBER_COLUMNS, "_name": vocab.NAME_COLUMNS, "_level": ("level", "floor"), "_qty": ("qty", "quantity")}
+    # where a sheet's columns stand is told once a sheet, not once a row
+    rows = _body(cells, header.filter("is_tall").select(*SHEET, "header_idx", *(_place(F.col("low"), n).alias(c) for c, n in names.items())))
+    of = lambda c: F.coalesce(_cell(F.col(c)), F.lit(""))
+    out = rows.select(*SHEET, "row_idx", of("_type").alias("sign_type"), of("_number").alias("room_number"), of("_name").alias("room_name"), of("_level").alias("level"), _whole(of("_qty")).alias("qty"))
     return out.filter("sign_type <> '' and room_name <> ''")
 
 
@@ -61,20 +63,22 @@ def truthy_qty(c: Column) -> Column:
 def takeoff_from_wide(cells: DataFrame, header: DataFrame) -> DataFrame:
     """One row for each sign column with a truthy cell. A lone first cell that names a floor is the level of the
     rows below it."""
-    low, level_names = F.col("low"), ("level", "floor", "bldg", "building")
-    of = lambda *names: F.coalesce(_cell(_place(low, names)), F.lit(""))
-    rows = _body(cells, header.filter("not is_tall"))
-    filled = F.size(F.filter("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    low, names = F.col("low"), {"_number_at": vocab.NUMBER_COLUMNS, "_name_at": vocab.NAME_COLUMNS, "_level_at": ("level", "floor", "bldg", "building")}
+    taken = F.array(*(F.coalesce(_place(low, n), F.lit(0)) for n in names.values()))
+    columns = F.filter(F.transform("header", lambda h, i: F.struct(h.alias("name"), (i + 1).alias("at"))), lambda x: (F.trim(x["name"]) != "") & ~F.lower(F.trim(x["name"])).isin(*vocab.NOT_SIGN_COLUMNS) & ~F.array_contains(taken, x["at"].cast("bigint")))
+    plain = lambda name: F.trim(F.regexp_replace(name, F.lit(vocab.SIGN_CODE), F.lit("")))
+    typed = F.transform(columns, lambda x: F.struct(F.coalesce(F.nullif(plain(x["name"]), F.lit("")), F.trim(x["name"])).alias("sign_type"), x["at"].alias("at")))
+    # where a sheet's columns stand, and what they are called, is told once a sheet, not once a row
+    rows = _body(cells, header.filter("not is_tall").select(*SHEET, "header_idx", *(_place(low, n).alias(c) for c, n in names.items()), typed.alias("_columns")))
+    of = lambda c: F.coalesce(_cell(F.col(c)), F.lit(""))
     first = F.trim(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
-    section = (filled == 1) & first.rlike(vocab.SECTION_ROW)
+    filled = F.size(F.filter("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    section = first.rlike(vocab.SECTION_ROW) & (filled == 1)
     w = Window.partitionBy(*SHEET).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.withColumn("_section", section).withColumn("_above", F.last(F.when(section, first), ignorenulls=True).over(w)).filter("not _section")
-    named = carried.withColumns({"room_number": of(*vocab.NUMBER_COLUMNS), "_name": of(*vocab.NAME_COLUMNS), "level": F.coalesce(F.nullif(of(*level_names), F.lit("")), "_above", F.lit(""))}).filter("_name <> '' or room_number <> ''")
-    taken = F.array(*(F.coalesce(_place(low, n), F.lit(0)) for n in (vocab.NUMBER_COLUMNS, vocab.NAME_COLUMNS, level_names)))
-    columns = F.filter(F.transform("header", lambda h, i: F.struct(h.alias("name"), (i + 1).alias("at"))), lambda x: (F.trim(x["name"]) != "") & ~F.lower(F.trim(x["name"])).isin(*vocab.NOT_SIGN_COLUMNS) & ~F.array_contains(taken, x["at"].cast("bigint")))
-    each = named.select("*", F.explode(columns).alias("c"))
-    plain = F.trim(F.regexp_replace("c.name", vocab.SIGN_CODE, ""))
-    out = each.select(*SHEET, "row_idx", F.coalesce(F.nullif(plain, F.lit("")), F.trim("c.name")).alias("sign_type"), "room_number", F.coalesce(F.nullif("_name", F.lit("")), "room_number").alias("room_name"), "level", truthy_qty(_cell(F.col("c.at"))).alias("qty"))
+    carried = rows.withColumn("_section", section).withColumn("_above", F.last(F.when(F.col("_section"), first), ignorenulls=True).over(w)).filter("not _section")
+    named = carried.withColumns({"room_number": of("_number_at"), "_name": of("_name_at"), "level": F.coalesce(F.nullif(of("_level_at"), F.lit("")), "_above", F.lit(""))}).filter("_name <> '' or room_number <> ''")
+    each = named.select("*", F.explode("_columns").alias("c"))
+    out = each.select(*SHEET, "row_idx", F.col("c.sign_type").alias("sign_type"), "room_number", F.coalesce(F.nullif("_name", F.lit("")), "room_number").alias("room_name"), "level", truthy_qty(_cell(F.col("c.at"))).alias("qty"))
     return out.filter("qty > 0")
 
 
