@@ -2,6 +2,7 @@
 
 from wayfind import catalog
 from wayfind.operators import sheets
+from wayfind.plans import imports
 from wayfind.sources.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -19,6 +20,14 @@ def test_assembly_reads_prepared_rooms(spark):
     assert _reads_of_lines(catalog.queries()["e23_assembly"](spark, SF)) == 0
 
 
+def test_index_reads_rooms_for_its_files_only(spark):
+    assert _reads_of_lines(catalog.queries()["a12_drawing_index"](spark, SF)) == 1
+
+
+def test_index_pages_read_rooms_for_their_files_only(spark):
+    assert _reads_of_lines(imports.QUERIES["a12_index_pages"][0](spark, SF)) == 1
+
+
 def test_checks_sign_kinds_of_rooms(spark, monkeypatch):
     given = []
     signed = sheets.signed_rooms

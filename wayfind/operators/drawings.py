@@ -52,6 +52,8 @@ def sheets_from_index(lines: DataFrame, page_ids: DataFrame, files: DataFrame) -
     as the sheet's place in it. A file's index has some hundred lines, so places are counted within a file.
     """
     file = [*JOB, "file_id"]
+    # written first: the filter on a line's number would else be asked of the rows from which the lines are derived
+    lines = kept(lines.select(*file, "index_page", "line_no", "line"), "index-lines")
     part = lambda i: F.regexp_extract(F.trim("line"), vocab.INDEX_LINE, i)
     told = lambda c: F.nullif(F.regexp_replace(c, r"^[ .|-]+|[ .|-]+$", ""), F.lit(""))
     named = lines.select(*file, "index_page", "line_no", part(2).alias("sheet_no"), F.upper(F.coalesce(told(part(3)), told(part(1)), part(2))).alias("title")).filter("sheet_no <> ''")
@@ -112,6 +114,7 @@ def numbers_on_pages(words: DataFrame, listed: DataFrame) -> DataFrame:
 
 def sheets_from_pages(lines: DataFrame, words: DataFrame, files: DataFrame) -> DataFrame:
     """``sheets_from_index`` with the numbers searched on the pages: words as for ``numbers_on_pages``."""
+    lines = kept(lines, "index-lines")
     listed = lines.select(*JOB, "file_id", F.regexp_extract(F.trim("line"), vocab.INDEX_LINE, 2).alias("sheet_no")).filter("sheet_no <> ''").distinct()
     return sheets_from_index(lines, numbers_on_pages(words, kept(listed, "listed-numbers")), files)
 

@@ -114,24 +114,24 @@ decisions AS (SELECT tenant_id, room_name_pattern, sign_type, seq, CASE WHEN pai
 # ---- drawing indexes and type-code rows ----
 
 
-def _index_lines(v):
-    d = _drawn(v)
+def _index_lines(d):
     key = [*rules.JOB, "file_id", F.lit(1).alias("index_page")]
     line = F.when(F.col("page") % 3 == 0, F.concat("sheet_no", F.lit(" - "), "title")).when(F.col("page") % 3 == 1, F.concat("title", F.lit(" | "), "sheet_no")).otherwise(F.concat(F.lit(" "), "sheet_no", F.lit(" ")))
     return d.select(*key, F.col("page").alias("line_no"), line.alias("line")).unionByName(d.select(*key, (F.col("page") + 10).alias("line_no"), F.concat("sheet_no", F.lit(" AGAIN")).alias("line")))
 
 
 def _index(v):
-    d, job, lines = _drawn(v), F.substring("job_id", 2, 20).cast("long"), _index_lines(v)
+    # few rows, and told once: rooms are read for them a single time
+    d, job = kept(_drawn(v), "drawn"), F.substring("job_id", 2, 20).cast("long")
     # the index page itself bears every number
     found = d.filter((F.col("page") + job) % 2 == 0).select(*rules.JOB, "file_id", "sheet_no", F.explode(F.array(F.lit(1), F.col("page") + 3, F.col("page") + 4)).alias("page"))
-    return drawings.sheets_from_index(lines, found, _files(v).withColumn("page_count", F.col("page_count") + 2)).select(*rules.JOB, "sheet_no", "title", "page", "page_source")
+    return drawings.sheets_from_index(_index_lines(d), found, _files(v).withColumn("page_count", F.col("page_count") + 2)).select(*rules.JOB, "sheet_no", "title", "page", "page_source")
 
 
-def _page_words(v):
+def _page_words(d):
     """Words of a sheet's page, three after it: its number in the title block, or in the text beside another number there,
     or split at its hyphen, or after a number that no index lists. The index page bears all numbers."""
-    d, case = _drawn(v), (F.col("page") + F.substring("job_id", 2, 20).cast("long")) % 4
+    case = (F.col("page") + F.substring("job_id", 2, 20).cast("long")) % 4
     word = lambda t, x, y: F.struct(t.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("top"))
     n, lit = F.col("sheet_no"), F.lit
     split = F.array(word(F.regexp_replace(n, "-.*", "-"), 100, 100), word(F.when(n.contains("-"), F.regexp_replace(n, ".*-", "")).otherwise(F.concat(lit("x"), n)), 120, 100))
@@ -147,7 +147,8 @@ def _page_words(v):
 
 
 def _searched(v):
-    found = drawings.sheets_from_pages(_index_lines(v), _page_words(v), _files(v).withColumn("page_count", F.col("page_count") + 2))
+    d = kept(_drawn(v), "drawn")
+    found = drawings.sheets_from_pages(_index_lines(d), _page_words(d), _files(v).withColumn("page_count", F.col("page_count") + 2))
     return found.select(*rules.JOB, "sheet_no", "title", "page", "page_source")
 
 
