@@ -134,3 +134,33 @@ def test_pairs_are_bounded(spark, monkeypatch):
         monkeypatch.setattr(pages, "PAIRS_AT_ONCE", most)
         out.append([r for b in pages.numbers_with_words(table.to_batches()) for r in b.to_pylist()])
     assert str(out[0]) == str(out[1]) and any(r["found"] for r in out[0])
+
+
+def told(spark, names):
+    """(name as found, final name or None) as found for each room."""
+    rooms = spark.createDataFrame([("t", "j", "s", "1101", n, 1, 1) for n in names], layout.OUT)
+    rows = rooms.select(*rooms.columns, rooms.room_name.alias("raw"))
+    return {r["raw"]: r["room_name"] for r in layout._named(rows, layout._in_place).select("raw", "room_name").collect()}
+
+
+def test_sure_names_are_names(spark):
+    r = random.Random(5)
+    parts = ["OFFICE", "RR", "CORR", "MRR", "19A", "60X21", "MB", "7", "A", "TO", "EAST", "FINISH", "SCHEDULE", "FLOOR", "BASE", "MAIN ST", "DRAWING", "C4", "WD1", "IT", "12'-4", "NOTE:", "DEMOLISH", "LOBBY", "É", "CAF", "ERIA", " X", "A  B", "UNIT", "101", "FIELD MEASURE", "X" * 25, "S-1.2.3", "SCALE", "FEET", "", "GWB", ",", "GYMNASIUM"]
+    names = [[r.choice(parts) for _ in range(r.randrange(1, 6))] for _ in range(1500)] + [[p] for p in parts]
+    words, index = pa.array(sorted(set(parts))), {w: i for i, w in enumerate(sorted(set(parts)))}
+    raw = [" ".join(n) for n in names]
+    import numpy as np
+
+    sure = pages.sure_names(pa.array(raw), words, np.array([index[w] for n in names for w in n]), np.array([len(n) for n in names])).to_pylist()
+    final = told(spark, raw)
+    assert all(s is None or s == final[n] for n, s in zip(raw, sure) if n)
+    assert 200 < sum(s is not None for s in sure) < 1500
+
+
+def test_sure_names_are_not_judged_again(spark, monkeypatch):
+    """Nor are the others judged twice, for the filter and for the name."""
+    monkeypatch.setattr(layout, "is_junk_room_name", lambda c: layout.F.raise_error(layout.F.lit("judged")).cast("boolean"))
+    words = spark.createDataFrame([("t", "j", "s", t, 100.0, y, 120.0, y + 8, 1000.0, 800.0) for t, y in (("1101", 100.0), ("OFFICE", 112.0))], WORDS)
+    assert [r["room_name"] for r in layout.proximity_rooms(words).collect()] == ["OFFICE"]
+    monkeypatch.undo()
+    assert layout.proximity_rooms(words)._jdf.queryExecution().optimizedPlan().toString().count("COPYRIGHT") == 1
